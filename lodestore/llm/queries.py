@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import quality, url_filters
+from . import packing, quality, sentencepiece_codec, simhash, url_filters
 from .common import table
 
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; they are installed, not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -27,12 +36,28 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_codec.sentencepiece_codec(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_decoded=False)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filters": op2_url_filters,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_sentencepiece_codec": op8_sentencepiece_codec,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import packing, quality, sentencepiece_codec, simhash, url_filters
+from . import packing, quality, sentencepiece_codec, sharding, simhash, url_filters
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec.sentencepiece_codec(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_decoded=False)
@@ -59,5 +63,6 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_histogram_sharding": op7_histogram_sharding,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
 }

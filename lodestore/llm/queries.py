@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import packing, quality, sentencepiece_codec, sharding, simhash, url_filters
+from . import licenses, packing, quality, sentencepiece_codec, sharding, simhash, url_filters
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_license_scans": op5_license_scans,
     "op6_quality_rules": op6_quality_rules,
     "op7_histogram_sharding": op7_histogram_sharding,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,

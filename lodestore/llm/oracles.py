@@ -41,3 +41,18 @@ with urls as (
 select page_id, host, path, rule, coalesce(own, case when b and not coalesce(a, false) then 'block' else 'allow' end) as verdict
 from judged left join forms using (canon)
 """
+
+ORACLES["op10_embedding_near_dedup"] = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and not list_contains(list_transform(embedding, x -> coalesce(isfinite(x), false)), false)
+    and list_contains(list_transform(embedding, x -> x <> 0), true)
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(n, r) as (
+  select vec_id, vec_id from embeddings union select l.b, r from reach join links l on l.a = n
+)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings
+join (select n as vec_id, min(r) as component_id from reach group by 1) using (vec_id)
+left join (select a as vec_id, count(*) as n_links from links group by 1) using (vec_id)
+"""

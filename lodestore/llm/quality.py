@@ -125,6 +125,17 @@ def ratio_weights(counts: DataFrame, bits: int = BITS, alpha: float = ALPHA) ->
     return share(trusted) - share(raw)
 
 
+def fitted_weights(
+    docs: DataFrame, labels: DataFrame | None, *, bits: int = BITS, max_target: int = MAX_TARGET, alpha: float = ALPHA
+) -> np.ndarray:
+    """Log ratio per bucket, from the n-grams of all docs and of the (at most max_target) trusted ones."""
+    target = None
+    if labels is not None:
+        good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+        target = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target))
+    return ratio_weights(ngram_counts(docs, target, bits), bits, alpha)
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame | None = None,
@@ -145,11 +156,7 @@ def quality_rules(
     most max_target ids are ever broadcast or collected.
     """
     docs = docs.select("doc_id", "text")
-    target = None
-    if labels is not None:
-        good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-        target = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target))
-    weights = ratio_weights(ngram_counts(docs, target, bits), bits, alpha)
+    weights = fitted_weights(docs, labels, bits=bits, max_target=max_target, alpha=alpha)
     schema = (
         "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, llr double, kept boolean"
@@ -173,3 +180,20 @@ def quality_rules(
             )
 
     return docs.mapInArrow(judge, schema)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame | None = None, *, bits: int = BITS, threshold: float = THRESHOLD, **fit) -> DataFrame:
+    """Rows of docs, with all columns, that quality_rules keeps; texts are judged where they are read, without a join."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted_weights(docs, labels, bits=bits, **fit))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            good = []
+            for text in b.column(at).to_pylist():
+                (n, _, _, _, repeated), kinds, ids = _counts(text or "")
+                bad = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
+                good.append(not bad and float(held.value[_buckets(kinds, ids, bits)].mean()) >= threshold)
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

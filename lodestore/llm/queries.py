@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import embedding_dedup, licenses, packing, quality, sentencepiece_codec, sharding, simhash, url_filters
+from . import embedding_dedup, licenses, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filters
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.sentencepiece_codec(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_decoded=False)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False).drop("text")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
@@ -74,5 +78,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_histogram_sharding": op7_histogram_sharding,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }

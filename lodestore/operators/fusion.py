@@ -52,7 +52,7 @@ def fuse(
 ) -> DataFrame:
     """One row per query and file: rrf, sources (names joined by +), best_rank, compensated, rrf_rank from 1.
 
-    branches: query_id, branch, file_path, rank0. order: all branches that were asked, in
+    branches: query_id, branch, file_path, hash_seq, rank0. order: all branches that were asked, in
     insertion order, which also breaks ties of equal scores. media (file_path,
     content_type) is needed for content type image or video: files that no lexical branch
     found get the missing branches' weight back.
@@ -68,7 +68,7 @@ def fuse(
             F.sum("w").alias("rrf"),
             F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("sources"),
             F.min("rank0").alias("best_rank"),
-            F.min(F.struct(position.alias("branch"), F.col("rank0"))).alias("seen"),
+            F.min(F.struct(position.alias("branch"), F.col("rank0"), F.col("hash_seq"))).alias("seen"),
             F.max(lexical).alias("lexical"),
         )
     )
@@ -82,7 +82,7 @@ def fuse(
     fused = fused.withColumn("compensated", compensated).withColumn("rrf", F.round(F.when(compensated, F.col("rrf") * factor).otherwise(F.col("rrf")), 12))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen", "file_path")
     ranked = fused.withColumn("rrf_rank", F.row_number().over(w)).where(F.col("rrf_rank") <= candidate_limit(limit))
-    return ranked.select("query_id", "file_path", "rrf", "sources", "best_rank", "compensated", "rrf_rank")
+    return ranked.select("query_id", "file_path", "rrf", "sources", "best_rank", "compensated", "rrf_rank", F.col("seen.hash_seq").alias("hash_seq"))
 
 
 def is_media(kind: str = "content_type") -> Column:
@@ -109,14 +109,14 @@ def rerank(
     min_margin: float = 0.25,
     scorer=overlap_scorer,
 ) -> DataFrame:
-    """fused plus details (file_path, text_body, content_type, ...), rerank_score and rerank_path.
+    """fused plus details of its first-seen chunk (file_path, hash_seq, text_body, content_type, ...), rerank_score and rerank_path.
 
     The gates run in order: no reranker (text), top_k 0 (skipped), media present but
     disabled, caps for media, a confident margin between the first two (media only),
     nothing to rerank. Rows that are not reranked score 0.5. scorer(query, text) is a
     column function, for models a pandas UDF; it runs on the gated rows only.
     """
-    joined = fused.join(details, "file_path").join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
+    joined = fused.join(details, ["file_path", "hash_seq"]).join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
     by_query = Window.partitionBy("query_id")
     half = F.lit(0.5)
     if not enabled or top_k <= 0:

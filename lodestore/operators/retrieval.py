@@ -28,12 +28,13 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.length("text_body")), F.lit(1.0)).alias("avgdl"))
 
 
-def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, hash_seq, file_path, len, tf). With terms (term), only those are exploded into rows."""
-    rows = chunks.select("hash_seq", "file_path", F.length("text_body").alias("len"), F.explode(words(F.col("text_body"))).alias("term"))
+def postings(chunks: DataFrame, terms: DataFrame | None = None, **carried) -> DataFrame:
+    """(term, hash_seq, file_path, len, tf) and carried columns of the chunk. With terms (term), only those reach a shuffle."""
+    keys = ["hash_seq", "file_path", "len", *carried]
+    rows = chunks.select("hash_seq", "file_path", F.length("text_body").alias("len"), *[c.alias(n) for n, c in carried.items()], F.explode(words(F.col("text_body"))).alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term")
-    return rows.groupBy("term", "hash_seq", "file_path", "len").agg(F.count("*").alias("tf"))
+    return rows.groupBy("term", *keys).agg(F.count("*").alias("tf"))
 
 
 def best_per_file(scored: DataFrame) -> DataFrame:
@@ -61,16 +62,14 @@ def bm25(
     """
     terms = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     terms = small(terms)
-    posts = postings(chunks, small(terms.select("term").distinct()))
+    posts = postings(chunks, small(terms.select("term").distinct()), boost=policy(as_of_ms))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = posts.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
-    summed = scored.groupBy("query_id", "hash_seq", "file_path").agg(F.round(F.sum(F.col("qn") * idf * tf), DIGITS).alias("raw"))
-    boost = chunks.select("hash_seq", "file_path", policy(as_of_ms).alias("boost"))
-    with_policy = summed.where("raw > 0").join(boost, ["hash_seq", "file_path"])
-    found = with_policy.select("query_id", "file_path", "hash_seq", F.round(F.col("raw") * F.col("boost"), DIGITS).alias("score"))
+    summed = scored.groupBy("query_id", "hash_seq", "file_path", "boost").agg(F.round(F.sum(F.col("qn") * idf * tf), DIGITS).alias("raw"))
+    found = summed.where("raw > 0").select("query_id", "file_path", "hash_seq", F.round(F.col("raw") * F.col("boost"), DIGITS).alias("score"))
     return top_ranked(best_per_file(found), limit)
 
 

@@ -10,7 +10,7 @@ from ..operators import fusion, retrieval
 from ..operators.filters import live, visible, within
 
 PROBE = 20
-DETAILS = ["file_path", "content_type", "title", "text_body", "memory_id", "memory_role", "memory_root_path", "tags"]
+DETAILS = ["file_path", "hash_seq", "content_type", "title", "text_body", "memory_id", "memory_role", "memory_root_path", "tags"]
 
 
 def searchable(chunks: DataFrame, as_of_ms: int, **scope: str | None) -> DataFrame:
@@ -48,13 +48,6 @@ def branches(
     return out, order
 
 
-def details(chunks: DataFrame, rows: DataFrame) -> DataFrame:
-    """What results show of the files in rows: one chunk each (the first by key)."""
-    files = rows.select("file_path").distinct()
-    key = F.struct("hash_seq", *[c for c in DETAILS if c != "file_path"])
-    return chunks.join(files, "file_path", "left_semi").groupBy("file_path").agg(F.min_by(key, "hash_seq").alias("d")).select("file_path", "d.*").drop("hash_seq")
-
-
 def hybrid(
     chunks: DataFrame,
     queries: DataFrame,
@@ -75,7 +68,7 @@ def hybrid(
     found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes)
     media = rows.select("file_path", "content_type").distinct() if content_type in ("image", "video") else None
     fused = fusion.fuse(found, order, intent=intent, content_type=content_type, limit=limit, media=media)
-    reranked = fusion.rerank(fused, details(rows, fused), queries, top_k=rerank_top_k, **rerank_options)
+    reranked = fusion.rerank(fused, rows.select(*DETAILS), queries, top_k=rerank_top_k, **rerank_options)
     blended = fusion.blend(reranked)
     return fusion.roll_up(blended, limit) if rolled else blended
 

@@ -12,7 +12,7 @@ NAMESPACES = ["user_id", "session_id", "project_id", "profile"]
 def _struct(spec: str, required: str = "") -> T.StructType:
     must = set(required.split())
     kinds = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "byte": T.ByteType()}
-    kinds |= {"vector": T.ArrayType(T.FloatType(), False), "tags": T.ArrayType(T.StringType())}
+    kinds |= {"vector": T.ArrayType(T.FloatType()), "tags": T.ArrayType(T.StringType())}
     fields = [x.split(":") for x in spec.split()]
     return T.StructType([T.StructField(n, kinds[k], n not in must) for n, k in fields])
 
@@ -76,5 +76,5 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 def decoded_tags(raw):
     """Tags from a JSON list, or from comma-separated text where it is none."""
     listed = F.from_json(raw, "array<string>")
-    plain = F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.trim(raw).startswith("["), listed).otherwise(plain)

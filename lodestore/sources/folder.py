@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Folders that are never entered; extensions of each type.
 PRUNED = [".git", "node_modules", "__pycache__", ".venv", "venv"]
@@ -55,7 +56,7 @@ def list_folder(
     return rows.select(*kept, *["content"] * content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(data: pd.Series) -> pd.Series:
     """UTF-8 with or without a mark, else Latin-1."""
 

@@ -55,7 +55,7 @@ def test_cosine_and_hash_embedding(spark):
 
 
 def test_chunks_cover_the_text():
-    text = "\n\n".join(f"para {i} " + "word " * (i % 90) for i in range(120))
+    text = "\n\n".join(f"para {i} " + "word " * (i % 30) for i in range(300))
     bounds = chunk_bounds(text)
     assert bounds[0][0] == 0 and bounds[-1][1] == len(text)
     assert all(b - a <= 2048 for a, b in bounds)

@@ -290,7 +290,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
                         ["k1", "k2", "h", "g", "at"],
                     )
 
-    runs = cut(keyed.where(F.octet_length("text") >= length).mapInArrow(find, "k1 long, k2 long, h long, g long, at long"))
+    # Not checkpointed: its two readers scan the texts again, which costs less than to store a row per run.
+    runs = keyed.where(F.octet_length("text") >= length).mapInArrow(find, "k1 long, k2 long, h long, g long, at long")
     segments = runs.groupBy("h", "g").agg(
         F.count("*").alias("n"), F.max(F.col("at").bitwiseAND(1)).alias("twice"), F.min(F.struct("k1", "k2", "at")).alias("rep")
     )

@@ -24,29 +24,53 @@ SEED = 42
 DISTANCE = 3
 #: Two segments of 32 bits: a table entry meets a random fingerprint once in 2 ** 32.
 SEGMENTS = 2
+#: Of near_copies: independent fingerprints, and the words of a shingle and the similarity that a link must have.
+TABLES = 4
+WORDS = 5
+SIMILARITY = 0.8
 
 
-def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
-    """Unsigned SimHash of a text's word shingles (repeats count); 0 without words."""
+def shingle_hashes(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle of a text, in order; of the whole sequence if it is shorter; none without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if n <= width:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[: n - width] + 1]).tolist()
-        hashes = [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+        return np.array([xxh64_intdigest(joined, seed)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[: n - width] + 1]).tolist()
+    return np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned number of the bits that are set in over half of the hashes; 0 without any."""
     total = len(hashes)
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(total, 8), axis=1, bitorder="little")
+    if not total:
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(total, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > total
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
+    """Unsigned SimHash of a text's word shingles (repeats count); 0 without words."""
+    return majority(shingle_hashes(text, width, seed))
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for the k-th table, made from those of the first (k = 0)."""
+    if not k:
+        return hashes
+    x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, *, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -100,6 +124,74 @@ def simhash_groups(
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copies(
+    docs: DataFrame, *, tables: int = TABLES, width: int = WIDTH, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(doc_id, component_id) of all rows of docs (doc_id, text) by verified links; rows with a null doc_id are left out.
+
+    Candidates come from `tables` independent SimHash fingerprints, each searched by
+    multi-index hashing; a pair of texts links if a fingerprint is within `distance`
+    bits and the Jaccard similarity of the `words`-word shingle sets reaches `similarity`.
+    Texts are compared as word sequences with A-Z lower-cased; those without words link
+    with each other. Equal sequences meet as one class, so copies make no pairs. A repeated
+    doc_id with different texts counts with the shingles of all. Within a fingerprint,
+    classes link through its smallest; each table is searched by itself,
+    so no more than one table's probes are on disk.
+    """
+    from .common import cut
+    from .suffix_dedup import release
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches_of(batches):
+            keys, fps = [], []
+            for t in b.column(1).to_pylist():
+                keys.append(xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
+                h = shingle_hashes(t, width)
+                fps.append(np.array([majority(remixed(h, k)) for k in range(tables)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "key", "fps"])
+
+    rows = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(prints, f"doc_id {kind}, key binary, fps array<long>"))
+    classes = cut(rows.groupBy("key", "fps").agg(F.min("doc_id").alias("node")))
+    found = None
+    for k in range(tables):
+        own = classes.select("node", F.col("fps")[k].alias("fp"))
+        first = own.groupBy("fp").agg(F.min("node").alias("first"))
+        same = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        pairs = linked_pairs(first.select("fp"), distance=distance, segments=segments)
+        across = pairs.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        links = cut(same.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+        found = links if found is None else found.unionByName(links)
+        release(docs.sparkSession)
+    pairs = cut(found.distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            out = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "set"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    shingles = cut(texts.mapInArrow(sets, f"node {kind}, set array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
+    left, right = (shingles.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - common
+    near = both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
+    root = connected_components(near).withColumnRenamed("node", "n")
+    named = classes.join(root, classes["node"] == root["n"], "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(named, "key").select("doc_id", "component_id")
+
+
+def near_copy_dedup(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs, with all columns, whose doc_id is the smallest of its near copies; rows with a null doc_id are kept."""
+    kept = near_copies(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs whose doc_id is the smallest of its group, with all columns; one stays of repeated doc_ids' groups each.
 

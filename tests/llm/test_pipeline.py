@@ -49,7 +49,7 @@ def test_line_stage(stages):
 
 def test_simhash_stage_leaves_one_of_each_group(stages):
     _, out = stages
-    groups = simhash.simhash_groups(out[2])
+    groups = simhash.near_copies(out[2])
     assert {r.doc_id for r in out[3].where("doc_id is not null").collect()} == {r.component_id for r in groups.collect()}
 
 

@@ -17,7 +17,7 @@ from lodestore.llm.line_dedup import line_dedup
 from lodestore.llm.packing import pack_documents
 from lodestore.llm.quality import quality_filter
 from lodestore.llm.queries import tokenizer_file
-from lodestore.llm.simhash import simhash_dedup
+from lodestore.llm.simhash import near_copy_dedup
 from lodestore.llm.suffix_dedup import suffix_dedup_text
 
 
@@ -32,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id."""
-    return simhash_dedup(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one of smallest doc_id."""
+    return near_copy_dedup(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,8 +45,8 @@ from judged left join forms using (canon)
 ORACLES["op10_embedding_near_dedup"] = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
-  where embedding is not null and not list_contains(list_transform(embedding, x -> coalesce(isfinite(x), false)), false)
-    and list_contains(list_transform(embedding, x -> x <> 0), true)
+  where embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+    and list_contains(list_transform(embedding, lambda x: x <> 0), true)
 ), links as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9
 ), reach(n, r) as (

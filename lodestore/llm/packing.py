@@ -30,7 +30,7 @@ FAN_IN = 8
 #: A round that lowers the number of underfull bins by less than this share is the last.
 LEAST_GAIN = 0.01
 #: Words that a worker remembers; beyond it the memory starts anew.
-MAX_KNOWN = 700_000
+MAX_KNOWN = 300_000
 
 _ITEM = "struct<doc_id:{}, piece:int, start:bigint, length:int, offset:int, crc:bigint, ids:array<int>>"
 
@@ -188,6 +188,8 @@ def pack_documents(
                     own = raw[at : at + 4 * capacity]
                     ids = np.frombuffer(own, "<i4") if with_ids else None
                     items.append((len(own) // 4, [{"doc_id": doc, "piece": piece, "start": at // 4, "length": len(own) // 4, "offset": 0, "crc": crc32(own), "ids": ids}]))
+        tokens.known.clear()  # workers outlive their tasks
+        tokens.plain.clear()
         if items:
             yield from emit(items, 0, id_type)
 

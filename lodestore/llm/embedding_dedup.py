@@ -20,10 +20,10 @@ from .components import connected_components
 
 THRESHOLD = 0.9
 #: Mean vectors per cell; the number of pivots follows from it up to MAX_PIVOTS, which bounds what is broadcast.
-CELL = 4096
+CELL = 8192
 MAX_PIVOTS = 2048
 #: Rows of a cell that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 4096
 #: Slack of the angle bounds against rounding; it can only copy more.
 ROUNDING = 1e-6
 
@@ -68,33 +68,60 @@ def local_components(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _join_block(table: pa.Table, width: int, threshold: float) -> pa.Table:
-    """Links inside one block pair of a cell: per row the weighted count of its partners and its local root.
+def linked(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean matrix of the unit rows at cosine >= threshold in double precision.
 
-    side 0 and 1 are the two blocks. Pairs are compared across the blocks, or within the
-    one block of a diagonal pair; pairs of two copied rows are left to another cell.
+    Products are taken in single precision; those nearer to the threshold than its error
+    are taken again in double.
     """
+    margin = 1e-6 + one.shape[1] * 2.5e-7
+    a, b = one.astype(np.float32), two.astype(np.float32)
+    out = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(a), 512):
+        g = a[at : at + 512] @ b.T
+        out[at : at + 512] = g >= threshold + margin
+        row, col = np.nonzero(np.abs(g - np.float32(threshold)) <= 2 * margin)
+        for k in range(0, len(row), 50_000):
+            r, c = row[k : k + 50_000], col[k : k + 50_000]
+            out[at + r, c] = np.einsum("ij,ij->i", one[at + r], two[c]) >= threshold
+    return out
+
+
+def _weighted(links: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Per row the sum of copies over its links."""
+    out = np.zeros(len(links), np.int64)
+    for at in range(0, len(links), 512):
+        part = links[at : at + 512]
+        if part.any():
+            out[at : at + 512] = np.where(part, copies[None, :], 0).sum(axis=1)
+    return out
+
+
+def _join_block(table: pa.Table, width: int, threshold: float) -> pa.Table:
+    """Links between the two blocks of a group, or within its one block: per row the weighted count of partners and its local root."""
     order = np.argsort(table["uid"].to_numpy())  # so that the smallest position is the smallest id
     table = table.take(pa.array(order)).combine_chunks()
-    uid, copies = table["uid"].to_numpy(), table["copies"].to_numpy()
-    home, side = table["home"].to_numpy(zero_copy_only=False), table["side"].to_numpy()
-    units = _units(table["embedding"].chunk(0) if table.num_rows else pa.array([], table.schema.field("embedding").type), width)
-    n = len(uid)
-    linked = np.zeros((n, n), bool)
-    two = n > 0 and table["low"][0] != table["high"][0]
-    for at in range(0, n, 512):
-        rows = slice(at, at + 512)
-        near = units[rows] @ units.T >= threshold
-        near &= home[rows, None] | home[None, :]
-        if two:
-            near &= side[rows, None] != side[None, :]
-        linked[rows] = near
-    linked |= linked.T
-    np.fill_diagonal(linked, False)
-    links = linked @ copies.astype(np.float64) if n else np.zeros(0)
-    root = uid[local_components(linked)] if n else uid
-    hit = links > 0
-    return pa.table({"uid": uid[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
+    uid, copies, side = table["uid"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
+    units = _units(table["embedding"].chunk(0), width)
+    if table["low"][0] == table["high"][0]:
+        a = b = np.arange(len(uid))
+    else:
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    near = linked(units[a], units[b], threshold)
+    links = np.zeros(len(uid), np.int64)
+    if a is b:
+        np.fill_diagonal(near, False)
+        links[a] = _weighted(near, copies[b])
+    else:
+        links[a], links[b] = _weighted(near, copies[b]), _weighted(near.T, copies[a])
+    hit = np.flatnonzero(links)
+    place = np.full(len(uid), -1)
+    place[hit] = np.arange(len(hit))
+    square = np.zeros((len(hit), len(hit)), bool)
+    rows, cols = np.flatnonzero(place[a] >= 0), np.flatnonzero(place[b] >= 0)
+    square[np.ix_(place[a][rows], place[b][cols])] = near[np.ix_(rows, cols)]
+    root = uid[hit][local_components(square | square.T)] if len(hit) else uid[hit]
+    return pa.table({"uid": uid[hit], "links": links[hit], "root": root})
 
 
 def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -144,13 +171,16 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(where), pa.array(where == p[row])], ["uid", "copies", "embedding", "cell", "home"])
 
     dealt = vectors.select("uid", "copies", "embedding").mapInArrow(copy, f"uid long, copies long, embedding {element}, cell long, home boolean")
-    sizes = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most MAX_PIVOTS rows
-    blocks = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 0) // block)) for c in range(count)]), F.col("cell").cast("int") + 1)
-    dealt = dealt.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
-    partner = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = dealt.withColumn("other", F.explode(partner)).select(
-        "uid", "copies", "embedding", "home", "cell",
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+    # Home rows form blocks 0, 1, ..; copied ones the blocks behind them. Home blocks meet all blocks, copied ones the home blocks.
+    sizes = {(r["cell"], r["home"]): -(-r["count"] // block) for r in dealt.groupBy("cell", "home").count().collect()}  # at most 2 * MAX_PIVOTS rows
+    at_cell = lambda home: F.element_at(F.array(*[F.lit(sizes.get((c, home), 0)) for c in range(count)]), F.col("cell").cast("int") + 1)
+    dealt = dealt.withColumns({"homes": at_cell(True), "others": at_cell(False)})
+    spread = F.xxhash64("uid")
+    own = F.when(F.col("home"), F.pmod(spread, F.greatest("homes", F.lit(1)))).otherwise(F.col("homes") + F.pmod(spread, F.greatest("others", F.lit(1))))
+    last = F.when(F.col("home"), F.col("homes") + F.col("others")).otherwise(F.col("homes")) - 1
+    met = dealt.withColumns({"own": own.cast("int"), "other": F.explode(F.sequence(F.lit(0), last))})
+    pairs = met.select(
+        "uid", "copies", "embedding", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
 

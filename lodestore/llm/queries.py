@@ -62,7 +62,7 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False).drop("text")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False, with_text=False)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

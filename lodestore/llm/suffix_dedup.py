@@ -22,7 +22,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
@@ -266,14 +266,33 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def squeezed(text: Column) -> Column:
+    """A text as a zstd frame: texts are shuffled twice, and frames are half the size of what the shuffle makes of them."""
+
+    @F.pandas_udf("binary")
+    def squeeze(texts: pd.Series) -> pd.Series:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3)
+        return texts.map(lambda t: None if t is None else pack.compress(t.encode()))
+
+    return squeeze(text)
+
+
+def _opened(frame: bytes | None) -> bytes:
+    from zstandard import ZstdDecompressor
+
+    return ZstdDecompressor().decompress(frame) if frame else b""
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("k2"), *docs.columns)
+    return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("k2"), "text")
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """(k1, k2, spans): removable byte spans [a, b) of the documents (doc_id, text), keyed by two hashes of row content."""
     spark = docs.sparkSession
-    keyed = _keyed(docs.select("doc_id", "text")).select("k1", "k2", "text")
+    keyed = _keyed(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,14 +326,15 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 out: list[tuple] = []
-                for text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = text.encode()
+                for frame, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = _opened(frame)
                     for r in own:
                         start, count = r["at"] >> 10, r["at"] >> 1 & 511
                         out.append((r["h"], r["g"], r["n"], r["m"], raw[start : start + count - 1 + length]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "g", "n", "m", "bytes"])
 
-    taken = keyed.join(wanted, ["k1", "k2"]).select("text", "runs").mapInArrow(slices, "h long, g long, n long, m long, bytes binary")
+    frames = keyed.where(F.octet_length("text") >= length).select("k1", "k2", squeezed(F.col("text")).alias("frame"))
+    taken = frames.join(wanted, ["k1", "k2"]).select("frame", "runs").mapInArrow(slices, "h long, g long, n long, m long, bytes binary")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, single, parts, size = [], [], [], [], 0
@@ -370,8 +390,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS, with_bytes: bool = True) -> DataFrame:
-    """Every row and column of docs (doc_id, text, ...) plus n_bytes, n_removed, n_spans, kept_sha256 and on demand spans and kept.
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS, with_bytes: bool = True, with_text: bool = True) -> DataFrame:
+    """Every row and column of docs (doc_id, text, ...; without text on demand) plus n_bytes, n_removed, n_spans, kept_sha256 and on demand spans and kept.
 
     Texts count as UTF-8 bytes (null: empty); matches never cross documents. Every byte
     covered by a string of `length` bytes that also starts elsewhere in the input, in
@@ -390,31 +410,30 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max
     names = {n: fresh(docs, n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
     k1, k2, runs = fresh(docs, "key_one"), fresh(docs, "key_two"), fresh(docs, "removable")
     spans = repeated_spans(docs, length=length, gram=gram, max_segments=max_segments)
-    rows = docs.withColumn(k1, F.xxhash64("text")).withColumn(k2, F.xxhash64(F.lit(3), "doc_id", "text"))
+    frame = fresh(docs, "frame")
+    rows = docs.withColumn(k1, F.xxhash64("text")).withColumn(k2, F.xxhash64(F.lit(3), "doc_id", "text")).withColumn(frame, squeezed(F.col("text"))).drop("text")
     spans = spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(runs))
     joined = rows.join(spans, [k1, k2], "left").drop(k1, k2)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += f", `{names['n_bytes']}` long, `{names['n_removed']}` long, `{names['n_spans']}` long, `{names['kept_sha256']}` string"
-    if with_bytes:
-        schema += f", `{names['spans']}` array<struct<a:long,b:long>>, `{names['kept']}` binary"
-    columns, added = docs.columns, list(names.values())
-    text_at, width = columns.index("text"), len(columns)
-    span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    columns = [c for c in docs.columns if c != "text" or with_text]
+    added = list(names.values())[: 6 if with_bytes else 4]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()][: len(added)]
+    kinds = ["long", "long", "long", "string", "array<struct<a:long,b:long>>", "binary"]
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"`{n}` {k}" for n, k in zip(added, kinds, strict=False)])
+    carried = [c for c in docs.columns if c != "text"]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, own in zip(b.column(text_at).to_pylist(), b.column(width).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                kept, gone = remove_spans(raw, [(x["a"], x["b"]) for x in own or ()])
-                out.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.binary()][: 6 if with_bytes else 4]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:width], *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))],
-                [*columns, *added[: len(types)]],
-            )
-
-    return joined.select(*columns, runs).mapInArrow(remove, schema)
+        for whole in batches:
+            for b in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+                out, texts = [], []
+                for packed, own in zip(b.column(len(carried)).to_pylist(), b.column(len(carried) + 1).to_pylist(), strict=True):
+                    raw = _opened(packed)
+                    kept, gone = remove_spans(raw, [(x["a"], x["b"]) for x in own or ()])
+                    out.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept))
+                    texts.append(None if packed is None else raw.decode())
+                given = dict(zip(carried, b.columns, strict=False)) | {"text": pa.array(texts, pa.string()) if with_text else None}
+                yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], [*columns, *added])
+
+    return joined.select(*carried, frame, runs).mapInArrow(remove, schema)
 
 
 def suffix_dedup_text(docs: DataFrame, **options) -> DataFrame:

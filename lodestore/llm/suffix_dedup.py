@@ -32,10 +32,10 @@ GRAM = 64
 #: Blocks per window: the merge takes so many iterations.
 DEPTH = 4
 #: Elements of a partition's transforms, and of one shard.
-PARTITION_BYTES = 2 << 20
-SHARD_BYTES = 1 << 20
+PARTITION_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Names with more different segments are decided by counting window hashes instead (no task holds them).
-MAX_SEGMENTS = 8000
+MAX_SEGMENTS = 4000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -390,7 +390,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS, with_bytes: bool = True, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS, with_bytes: bool = True, with_text: bool = True, replace: bool = False) -> DataFrame:
     """Every row and column of docs (doc_id, text, ...; without text on demand) plus n_bytes, n_removed, n_spans, kept_sha256 and on demand spans and kept.
 
     Texts count as UTF-8 bytes (null: empty); matches never cross documents. Every byte
@@ -400,6 +400,9 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max
     stay whole. Repeated rows are each other's copies and lose all such strings. Names
     that docs already has get a trailing underscore. An empty table gives an empty one.
 
+    replace puts the remaining text in the place of text; a character that loses some of
+    its bytes goes as a whole, and null stays null.
+
     length must be a multiple of DEPTH and at most 511. No task gathers more than the
     different segments of one name: exact copies meet as one segment with a count, and
     names with more than max_segments different segments are decided by counting
@@ -429,7 +432,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max
                     raw = _opened(packed)
                     kept, gone = remove_spans(raw, [(x["a"], x["b"]) for x in own or ()])
                     out.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept))
-                    texts.append(None if packed is None else raw.decode())
+                    texts.append(None if packed is None else (kept.decode("utf-8", "ignore") if replace else raw.decode()))
                 given = dict(zip(carried, b.columns, strict=False)) | {"text": pa.array(texts, pa.string()) if with_text else None}
                 yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], [*columns, *added])
 
@@ -441,11 +444,4 @@ def suffix_dedup_text(docs: DataFrame, **options) -> DataFrame:
 
     All other columns stay. Null texts stay null. Takes the options of suffix_dedup.
     """
-    kept = fresh(docs, "kept")
-
-    @F.pandas_udf("string")
-    def text_of(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = suffix_dedup(docs, **options)
-    return out.select(*[F.when(F.col(c).isNotNull(), text_of(F.col(kept))).alias(c) if c == "text" else out[c] for c in docs.columns])
+    return suffix_dedup(docs, with_bytes=False, replace=True, **options).select(*docs.columns)

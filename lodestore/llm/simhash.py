@@ -8,12 +8,13 @@ keeps the ones whose complete distance is at most r.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of
@@ -28,6 +29,9 @@ SEGMENTS = 2
 TABLES = 4
 WORDS = 5
 SIMILARITY = 0.8
+#: Of near_copies: bits of the buckets by which rarity is estimated, and rounds of stars at most before the rest is compared pair by pair.
+MIN_BITS, MAX_BITS = 12, 20
+TURNS = 4
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
@@ -124,24 +128,52 @@ def simhash_groups(
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_weights(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarray:
+    """How many texts hold a shingle of each of 2 ** bits hash buckets: one partial histogram per task, then a sum per bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for b in batches_of(batches):
+            for t in b.column(0).to_pylist():
+                np.add.at(n, (np.unique(shingle_hashes(t, words)) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[np.flatnonzero(n)])], ["bucket", "n"])
+
+    out = np.zeros(1 << bits, np.int64)
+    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def rarest(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set under one order for all sets, rare buckets first: sets of that Jaccard similarity meet in it."""
+    bits = len(weights).bit_length() - 1
+    n = len(hashes)
+    order = np.lexsort((hashes, weights[(hashes >> np.uint64(64 - bits)).astype(np.int64)]))
+    return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
 def near_copies(
-    docs: DataFrame, *, tables: int = TABLES, width: int = WIDTH, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = WORDS, similarity: float = SIMILARITY
+    docs: DataFrame, *, tables: int = TABLES, width: int = WIDTH, distance: int | None = DISTANCE, words: int = WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """(doc_id, component_id) of all rows of docs (doc_id, text) by verified links; rows with a null doc_id are left out.
 
-    Candidates come from `tables` independent SimHash fingerprints, each searched by
-    multi-index hashing; a pair of texts links if a fingerprint is within `distance`
-    bits and the Jaccard similarity of the `words`-word shingle sets reaches `similarity`.
-    Texts are compared as word sequences with A-Z lower-cased; those without words link
-    with each other. Equal sequences meet as one class, so copies make no pairs. A repeated
-    doc_id with different texts counts with the shingles of all. Within a fingerprint,
-    classes link through its smallest; each table is searched by itself,
-    so no more than one table's probes are on disk.
+    Every pair of texts links whose `words`-word shingle sets have a Jaccard similarity of
+    `similarity` or more; unless distance is None, one of `tables` independent SimHash
+    fingerprints must also be within `distance` bits. Texts are compared as word sequences
+    with A-Z lower-cased; those without words link with each other. Equal sequences meet
+    as one class, so copies make no pairs. A repeated doc_id with different texts counts
+    with the shingles of all.
+
+    No link is missed: similar sets share a shingle of their prefixes (rarest). Within
+    the classes of a shingle, stars around a leader join most near copies in rounds; then
+    all pairs that are still in different components are compared. Rarity is estimated
+    by bucket, which only decides how many pairs are compared.
     """
     from .common import cut
     from .suffix_dedup import release
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -150,38 +182,86 @@ def near_copies(
             keys, fps = [], []
             for t in b.column(1).to_pylist():
                 keys.append(xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
-                h = shingle_hashes(t, width)
-                fps.append(np.array([majority(remixed(h, k)) for k in range(tables)], np.uint64).view(np.int64))
+                h = shingle_hashes(t, width) if distance is not None else None
+                fps.append([] if h is None else np.array([majority(remixed(h, k)) for k in range(tables)], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "key", "fps"])
 
-    rows = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(prints, f"doc_id {kind}, key binary, fps array<long>"))
+    rows = cut(docs.mapInArrow(prints, f"doc_id {kind}, key binary, fps array<long>"))
     classes = cut(rows.groupBy("key", "fps").agg(F.min("doc_id").alias("node")))
-    found = None
-    for k in range(tables):
-        own = classes.select("node", F.col("fps")[k].alias("fp"))
-        first = own.groupBy("fp").agg(F.min("node").alias("first"))
-        same = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        pairs = linked_pairs(first.select("fp"), distance=distance, segments=segments)
-        across = pairs.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        links = cut(same.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
-        found = links if found is None else found.unionByName(links)
-        release(docs.sparkSession)
-    pairs = cut(found.distinct())
+    several = cut(rows.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"))
+    alone = several.isEmpty()
+    bits = min(max(classes.count().bit_length(), MIN_BITS), MAX_BITS)
+    held = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, bits, words))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
             out = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "set"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    shingles = cut(texts.mapInArrow(sets, f"node {kind}, set array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
-    left, right = (shingles.select(F.col("node").alias(n), F.col("set").alias(f"s{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    near = both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
-    root = connected_components(near).withColumnRenamed("node", "n")
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 1 << 20):
+            every = [x.values.to_numpy().view("<u8") for x in b.column(1)]
+            got = [rarest(x, held.value, similarity) if len(x) else x for x in every]
+            lens = np.array(list(map(len, got)), np.int64)
+            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in lens]])
+            key = np.concatenate([np.zeros(0, "<u8"), *got]).view(np.int64)
+            size = np.repeat(np.array(list(map(len, every)), np.int32), lens)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(np.repeat(np.arange(len(lens)), lens))), pa.array(size), pa.array(at)], ["key", "node", "n", "at"])
+
+    def shingles(nodes: DataFrame) -> DataFrame:
+        texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        if alone:
+            return texts.mapInArrow(sets, f"node {kind}, set array<long>")
+        single = texts.join(several, "doc_id", "left_anti").mapInArrow(sets, f"node {kind}, set array<long>")
+        joint = texts.join(several, "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, set array<long>")
+        return single.unionByName(joint.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
+
+    keys = shingles(classes.select("node")).mapInArrow(prefixes, f"key long, node {kind}, n int, at int")
+    own = Window.partitionBy("key")
+    met = keys.withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own)}).where("x <> y")
+    shared = cut(met.select("key", "node", "n", "at"))
+    release(docs.sparkSession)
+    held_sets = cut(shingles(shared.select("node")).dropDuplicates(["node"]))
+    tags = classes.groupBy("node").agg(F.collect_list("fps").alias("tags"))
+    if distance is not None:
+        held_sets = held_sets.join(tags, "node")
+    release(docs.sparkSession)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        left, right = (held_sets.select(*[F.col(c).alias({"node": n}.get(c, c + n)) for c in held_sets.columns]) for n in "ab")
+        both = pairs.join(left, "a").join(right, "b")
+        common = F.size(F.array_intersect("seta", "setb"))
+        near = both.where(common >= F.lit(similarity) * (F.size("seta") + F.size("setb") - common))
+        if distance is not None:
+            meet = lambda x, y: F.exists(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.bit_count(z["x"].bitwiseXOR(z["y"])) <= distance)
+            near = near.where(F.exists("tagsa", lambda x: F.exists("tagsb", lambda y: meet(x, y))))
+        return near.select("a", "b")
+
+    def able(x: str, y: str):
+        """Whether two sets that meet first at these places of their orders can be similar, by length and by what is left."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        most = 1 + F.least(n - F.col(f"{x}.at") - 1, m - F.col(f"{y}.at") - 1)
+        return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (n + m))
+
+    ordered = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    links, now = None, shared.withColumn("root", F.col("node"))
+    for turn in range(TURNS):
+        lead = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "at", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("l")).select("key", "l.*")
+        found = cut(linked(now.alias("x").join(lead.alias("y"), "key").where(able("x", "y")).select(*ordered).distinct()))
+        links = found if links is None else links.unionByName(found)
+        root = connected_components(links)
+        now = cut(shared.join(root.select("node", F.col("component").alias("r")), "node", "left").select("key", "node", "n", "at", F.coalesce("r", "node").alias("root")))
+        release(docs.sparkSession)
+        parts = now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
+        left, size = parts.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.sum("c")).first()
+        if (left or 0) <= 2 * (size or 0):
+            break
+    if left:
+        rest = now.alias("x").join(now.alias("y"), "key").where(able("x", "y") & (F.col("x.node") < F.col("y.node")))
+        links = links.unionByName(cut(linked(rest.select(*ordered).distinct())))
+        root = connected_components(links)
+    root = root.withColumnRenamed("node", "n")
     named = classes.join(root, classes["node"] == root["n"], "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "key").select("doc_id", "component_id")
 

@@ -9,17 +9,23 @@ against one fixed threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, cut
 
-#: Hash buckets of the n-gram table (2 ** BITS); two float arrays of this length are all that is sent around.
+#: Hash buckets of the n-gram table (2 ** BITS) at least.
 BITS = 16
+#: There are as many buckets (a power of two) as leaves at least so many n-grams of the corpus to each, and under twice as many.
+GRAMS_PER_BUCKET = 20
+#: Up to 2 ** BROADCAST_BITS weights (32 MB) are broadcast; more are joined by shuffle.
+BROADCAST_BITS = 23
+#: Counts travel as compressed arrays of 2 ** CHUNK_BITS buckets.
+CHUNK_BITS = 16
 #: At most so many trusted documents define the target multinomial, taken in the order of a hash of their id.
 MAX_TARGET = 20_000
 #: Pseudo-count of each bucket in both multinomials.
@@ -89,61 +95,142 @@ def _counts(text: str):
     ), kinds, ids
 
 
-def ngram_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:
-    """(bucket, n_raw, n_target) over all documents; one partial histogram per task, then a sum per bucket."""
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of the n-gram table for docs, by about two n-grams per word (white space is counted, runs of it as often)."""
+    text = F.coalesce("text", F.lit(""))
+    gaps = F.length(text) - F.length(F.translate(text, _SPACE, "")) + 1
+    grams = 2 * (docs.agg(F.sum(gaps.cast("long"))).first()[0] or 0)
+    return max(BITS, (grams // GRAMS_PER_BUCKET).bit_length() - 1)
+
+
+def _packed(chunk: int, arrays: list[np.ndarray]) -> tuple:
+    return (chunk, *(compress(x.astype(np.int64).tobytes(), 1) for x in arrays))
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(decompress(blob), np.int64)
+
+
+def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:
+    """(chunk, raw, target): counts of 2 ** CHUNK_BITS buckets as packed arrays; one partial histogram per task, then a sum per chunk."""
     flagged = docs.select("doc_id", "text")
     if target_ids is None:
         flagged = flagged.withColumn("target", F.lit(False))
     else:
         flagged = flagged.join(target_ids.withColumn("target", F.lit(True)), "doc_id", "left")
+    width = 1 << min(bits, CHUNK_BITS)
+    kind = "chunk long, raw binary, target binary"
+
+    def rows(made) -> pa.RecordBatch:
+        made = list(made)
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], ["chunk", "raw", "target"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        held: list[dict] = [{}, {}]
+
+        def add(which: int, got: list[np.ndarray]) -> None:
+            at, n = np.unique(np.concatenate(got), return_counts=True)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // width)) + 1):
+                c = int(at[part[0]]) // width
+                if c not in held[which]:
+                    held[which][c] = np.zeros(width, np.int32)
+                held[which][c][at[part] - c * width] += n[part].astype(np.int32)
+
         for b in batches_of(batches):
+            raw, trusted = [], []
             for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 if words:
-                    got = np.bincount(_buckets(*_word_ids(words), bits), minlength=1 << bits)
-                    raw += got
+                    raw.append(_buckets(*_word_ids(words), bits))
                     if target:
-                        trusted += got
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "n_raw", "n_target"])
+                        trusted.append(raw[-1])
+            for which, got in enumerate((raw, trusted)):
+                if got:
+                    add(which, got)
+        none = np.zeros(width, np.int32)
+        for c, raw in held[0].items():
+            yield rows([_packed(c, [raw, held[1].get(c, none)])])
 
-    parts = flagged.select("text", "target").mapInArrow(count, "bucket long, n_raw long, n_target long")
-    return parts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
+    def total(key, table):
+        sums = [sum(map(_unpacked, table.column(c).to_pylist())) for c in ("raw", "target")]
+        return pa.Table.from_batches([rows([_packed(key[0].as_py(), sums)])])
 
+    return flagged.select("text", "target").mapInArrow(count, kind).groupBy("chunk").applyInArrow(total, kind)
 
-def ratio_weights(counts: DataFrame, bits: int = BITS, alpha: float = ALPHA) -> np.ndarray:
-    """log P(bucket | target) - log P(bucket | raw), at most 2 ** bits values; all zero without a target."""
-    raw, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
-    for r in counts.collect():  # at most 2 ** bits rows
-        raw[r["bucket"]], trusted[r["bucket"]] = r["n_raw"], r["n_target"]
-    if not trusted.sum():
-        return np.zeros(1 << bits)
-    share = lambda n: np.log((n + alpha) / (n.sum() + alpha * len(n)))
-    return share(trusted) - share(raw)
+
+def ngram_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:
+    """(bucket, n_raw, n_target) over all documents, of the buckets that occur."""
+    width = 1 << min(bits, CHUNK_BITS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, raw, trusted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                raw, trusted = _unpacked(raw), _unpacked(trusted)
+                at = np.flatnonzero(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(at + c * width), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "n_raw", "n_target"])
+
+    return chunk_counts(docs, target_ids, bits).mapInArrow(rows, "bucket long, n_raw long, n_target long")
+
+
+def _target(labels: DataFrame | None, max_target: int) -> DataFrame | None:
+    if labels is None:
+        return None
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    return F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target))
 
 
 def fitted_weights(
     docs: DataFrame, labels: DataFrame | None, *, bits: int = BITS, max_target: int = MAX_TARGET, alpha: float = ALPHA
 ) -> np.ndarray:
-    """Log ratio per bucket, from the n-grams of all docs and of the (at most max_target) trusted ones."""
-    target = None
-    if labels is not None:
-        good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-        target = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target))
-    return ratio_weights(ngram_counts(docs, target, bits), bits, alpha)
+    """log P(bucket | target) - log P(bucket | raw) of all 2 ** bits buckets, from the n-grams of all docs and of the
+    (at most max_target) trusted ones; all zero without a target."""
+    width = 1 << min(bits, CHUNK_BITS)
+    raw, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
+    for r in chunk_counts(docs, _target(labels, max_target), bits).toLocalIterator():
+        at = slice(r["chunk"] * width, (r["chunk"] + 1) * width)
+        raw[at], trusted[at] = _unpacked(r["raw"]), _unpacked(r["target"])
+    if not trusted.sum():
+        return np.zeros(1 << bits)
+    trusted = np.log((trusted + alpha) / (trusted.sum() + alpha * len(trusted)))
+    return trusted - np.log((raw + alpha) / (raw.sum() + alpha * len(raw)))
+
+
+def _sent(docs: DataFrame, weights: np.ndarray):
+    """Broadcast of weights as the bytes of single floats: workers read them without a second copy."""
+    return docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).tobytes())
+
+
+def joined_scores(docs: DataFrame, labels: DataFrame | None, *, bits: int, max_target: int = MAX_TARGET, alpha: float = ALPHA) -> DataFrame:
+    """docs and column llr, for tables that outgrow a broadcast: n-grams meet their weights by shuffle, then texts their scores."""
+    docs = cut(docs.withColumn("ngram_row", F.monotonically_increasing_id()))
+    counts = cut(ngram_counts(docs, _target(labels, max_target), bits))
+    raw, trusted = counts.agg(F.sum("n_raw"), F.sum("n_target")).first()
+    own = F.log((F.col("n_target") + alpha) / F.lit((trusted or 0) + alpha * (1 << bits))) - F.log((F.col("n_raw") + alpha) / F.lit((raw or 0) + alpha * (1 << bits)))
+    weights = counts.select("bucket", (own if trusted else F.lit(0.0)).alias("w"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 1 << 20):
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                if words:
+                    at, n = np.unique(_buckets(*_word_ids(words), bits), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(at), pa.array(n)], ["ngram_row", "bucket", "n"])
+
+    met = docs.select("ngram_row", "text").mapInArrow(grams, "ngram_row long, bucket long, n long").join(weights, "bucket")
+    scores = met.groupBy("ngram_row").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("llr"))
+    return docs.join(scores, "ngram_row", "left").drop("ngram_row").fillna(0.0, ["llr"])
 
 
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame | None = None,
     *,
-    bits: int = BITS,
+    bits: int | None = None,
     max_target: int = MAX_TARGET,
     alpha: float = ALPHA,
     threshold: float = THRESHOLD,
+    broadcast_bits: int = BROADCAST_BITS,
 ) -> DataFrame:
     """Judge every row of docs (doc_id, text and any other columns).
 
@@ -152,28 +239,34 @@ def quality_rules(
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
     A null or empty text has no words: it fails the base rule and its llr is 0.
     Repeated doc_ids are judged row by row. Columns other than doc_id and text are
-    ignored, so their names cannot clash. Only the histograms (2 ** bits rows) and at
-    most max_target ids are ever broadcast or collected.
+    ignored, so their names cannot clash. The number of buckets follows the corpus
+    (bucket_bits) unless bits is given. At most 2 ** broadcast_bits weights and
+    max_target ids are ever broadcast or collected; larger tables are joined.
     """
     docs = docs.select("doc_id", "text")
-    weights = fitted_weights(docs, labels, bits=bits, max_target=max_target, alpha=alpha)
+    bits = bucket_bits(docs) if bits is None else bits
+    joined = bits > broadcast_bits
+    if joined:
+        docs = joined_scores(docs, labels, bits=bits, max_target=max_target, alpha=alpha)
+    weights = None if joined else fitted_weights(docs, labels, bits=bits, max_target=max_target, alpha=alpha)
     schema = (
         "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, llr double, kept boolean"
     ).format(docs.schema["doc_id"].dataType.simpleString())
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    held = None if joined else _sent(docs, weights)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
+        w = None if joined else np.frombuffer(held.value, np.float32)
         for b in batches_of(batches):
             counts, scores = [], []
             for text in b.column(1).to_pylist():
                 got, kinds, ids = _counts(text or "")
                 counts.append(got)
-                scores.append(float(w[_buckets(kinds, ids, bits)].mean()) if got[0] else 0.0)
+                if not joined:
+                    scores.append(float(w[_buckets(kinds, ids, bits)].mean(dtype=np.float64)) if got[0] else 0.0)
             c = np.array(counts, np.int64)
             failed = (c[:, 0] < MIN_WORDS) | (100 * c[:, 4] > MAX_REPEAT_PERCENT * c[:, 0])
-            llr = np.array(scores)
+            llr = b.column(2).to_numpy(zero_copy_only=False) if joined else np.array(scores)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c[:, i]) for i in range(5)), pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= threshold))],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"],
@@ -182,18 +275,25 @@ def quality_rules(
     return docs.mapInArrow(judge, schema)
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame | None = None, *, bits: int = BITS, threshold: float = THRESHOLD, **fit) -> DataFrame:
-    """Rows of docs, with all columns, that quality_rules keeps; texts are judged where they are read, without a join."""
-    held = docs.sparkSession.sparkContext.broadcast(fitted_weights(docs, labels, bits=bits, **fit))
+def quality_filter(
+    docs: DataFrame, labels: DataFrame | None = None, *, bits: int | None = None, threshold: float = THRESHOLD, broadcast_bits: int = BROADCAST_BITS, **fit
+) -> DataFrame:
+    """Rows of docs, with all columns, that quality_rules keeps; texts are judged where they are read, without a join up to broadcast_bits."""
+    bits = bucket_bits(docs) if bits is None else bits
+    joined, schema = bits > broadcast_bits, docs.schema
+    held = None if joined else _sent(docs, fitted_weights(docs, labels, bits=bits, **fit))
     at = docs.columns.index("text")
+    if joined:
+        docs = joined_scores(docs, labels, bits=bits, **fit)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = None if joined else np.frombuffer(held.value, np.float32)
         for b in batches_of(batches):
             good = []
-            for text in b.column(at).to_pylist():
+            for k, text in enumerate(b.column(at).to_pylist()):
                 (n, _, _, _, repeated), kinds, ids = _counts(text or "")
                 bad = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
-                good.append(not bad and float(held.value[_buckets(kinds, ids, bits)].mean()) >= threshold)
-            yield b.filter(pa.array(good, pa.bool_()))
+                good.append(not bad and (b.column(len(schema))[k].as_py() if joined else float(w[_buckets(kinds, ids, bits)].mean(dtype=np.float64))) >= threshold)
+            yield b.select(schema.names).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, schema)

@@ -1,7 +1,7 @@
 """Licence scans: phrases by word position, and a positional index of rare licence words.
 
-The templates' words are posted by position. A file's licence words of highest IDF are
-looked up in the postings; occurrences that agree on one relative position align file
+The templates' words are posted by position. Of each template, a file's words of highest
+IDF and those of the key phrases are looked up in the postings; occurrences that agree on one relative position align file
 and template, and an aligned template counts if its mandatory key phrases stand where
 the template has them. Built-in functions only; texts are never shuffled.
 """
@@ -47,7 +47,7 @@ TEMPLATES = [
     ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
 ]
-#: So many of a file's licence words, those of highest IDF, are looked up.
+#: So many of a file's words of each template, those of highest IDF, are looked up, and those of its key phrases.
 TOP_WORDS = 12
 #: Looked-up words that must agree on one relative position.
 MIN_HITS = 2
@@ -81,6 +81,10 @@ def _shifts(body: Sequence[str]):
     return lambda o: F.transform(F.filter(postings, lambda p: p["w"] == o["w"]), lambda p: o["i"] - p["p"])
 
 
+def _among(words: str):
+    return lambda o: F.array_contains(words, o["w"])
+
+
 def _often(shifts: str, least: int):
     return lambda s: F.size(F.filter(shifts, lambda x: x == s)) >= least
 
@@ -138,13 +142,18 @@ def license_scan(
     rows = rows.withColumns({f"base_{k}": s for k, s in enumerate(starts)})
 
     eligible = [_has_all(present, [w for key in keys for w in key]) for _, _, keys in split]
-    rare = F.slice(F.array_intersect(_array(ranked, "string"), present), 1, top_words)
+    for k, ((_, body, keys), fits) in enumerate(zip(split, eligible, strict=True)):
+        top = F.slice(F.array_intersect(_array([w for w in ranked if w in body], "string"), present), 1, top_words)
+        own = F.array_union(top, _array(sorted({w for key in keys for w in key}), "string"))
+        rows = rows.withColumn(f"rare_{k}", F.when(fits, own).otherwise(F.array().cast("array<string>")))
+    rare = F.array_distinct(F.concat(*[f"rare_{k}" for k in range(len(split))]))
     rows = rows.withColumn("rare", F.when(reduce(lambda a, b: a | b, eligible), rare))
     placed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     rows = rows.withColumn("met", F.when(F.col("rare").isNotNull(), F.filter(placed, lambda x: F.array_contains("rare", x["w"]))))
 
     for k, ((_, body, keys), fits) in enumerate(zip(split, eligible, strict=True)):
-        rows = rows.withColumn(f"shift_{k}", F.when(fits, F.flatten(F.transform("met", _shifts(body)))).otherwise(none))
+        looked_up = F.filter("met", _among(f"rare_{k}"))
+        rows = rows.withColumn(f"shift_{k}", F.when(fits, F.flatten(F.transform(looked_up, _shifts(body)))).otherwise(none))
         marks = [(next(i for i in range(len(body)) if body[i : i + len(key)] == key), key) for key in keys]
         aligned = F.filter(F.filter(F.array_distinct(f"shift_{k}"), _keyed(words, marks)), _often(f"shift_{k}", min_hits))
         rows = rows.withColumn(f"score_{k}", F.array_max(F.transform(aligned, _share(words, body))))

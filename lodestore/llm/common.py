@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Stage:
+    """Parquet tables of one call, in a folder of its own under the shared checkpoint folder; dropped by name or all together."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a written table: survives lost executors, and later plans read only the columns they need."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str | None = None) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder if name is None else f"{self.folder}/{name}")
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions on DataFrames made inside drop their shuffle files as they end; their results are tables or checkpoints."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of df's (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -62,7 +62,9 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False, with_text=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.suffix_dedup(docs, passage=suffix_dedup.PASSAGE, with_bytes=False, replace=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

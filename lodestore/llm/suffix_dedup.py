@@ -2,8 +2,9 @@
 
 1. Candidates. Every window of `length` bytes is named by the smallest hash among the
    k-grams inside it, so equal windows have equal names. Neighbouring windows of one
-   name form a run; a run's bytes are its segment. Segments that occur twice are
-   repeated throughout; segments that share a name with a different one are contested.
+   name form a run; a run's bytes are its segment. Runs whose name stands nowhere else
+   are done with. Segments that occur twice are repeated throughout; segments that share
+   a name with a different one are contested.
 2. Burrows-Wheeler transforms. Contested segments go to partitions by name. Each
    partition sorts the suffixes of two or more shards of its segments, over an alphabet
    of blocks of `length / DEPTH` bytes, keeps per shard the transform (the block before
@@ -11,6 +12,9 @@
    iteration. An iteration is one stable pass over the transforms; suffixes are not
    sorted again. The iteration in which two neighbours part gives their common prefix;
    intervals that have not parted after DEPTH iterations are repeated strings.
+   A hot name is refined the same way over all partitions: per iteration the intervals
+   of its suffixes are counted with their next block, pre-aggregated in every task, and
+   suffixes that are alone in their interval leave.
 3. Removal. Repeated starts become byte spans of their documents.
 """
 
@@ -25,17 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import Stage, cut, fresh, shuffles_dropped
 
 LENGTH = 400
+#: Length at which repeated passages of over 50 words go: the shortest of those have some 250 bytes.
+PASSAGE = 240
+#: Longest k-gram; shorter windows are named by grams of a fifth of their length.
 GRAM = 64
 #: Blocks per window: the merge takes so many iterations.
 DEPTH = 4
 #: Elements of a partition's transforms, and of one shard.
 PARTITION_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
-#: Names with more different segments are decided by counting window hashes instead (no task holds them).
-MAX_SEGMENTS = 4000
+#: A name with more different segments is hot: its intervals are refined over all partitions, no task holds them.
+MAX_SEGMENTS = 300
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -170,6 +177,28 @@ def merge_transforms(one: tuple, two: tuple, depth: int) -> tuple[np.ndarray, np
     return sa, bwt, interval
 
 
+def _equal(data: np.ndarray, byte: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings at each pair of elements (a, b) are equal byte by byte.
+
+    A pair one place behind a pair of the same segments shares all but its last byte with it.
+    """
+    partner = np.full(len(owner) + 1, -2)
+    partner[a + 1] = b
+    behind = (partner[a] == b - 1) & (a > 0) & (owner[np.maximum(a - 1, 0)] == owner[a]) & (owner[np.maximum(b - 1, 0)] == owner[b])
+    out = data[byte[a] + length - 1] == data[byte[b] + length - 1]
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+
+    def whole(at: np.ndarray) -> None:
+        for k in range(0, len(at), 2048):
+            i = at[k : k + 2048]
+            out[i] = (windows[byte[a[i]]] == windows[byte[b[i]]]).all(axis=1)
+
+    whole(np.flatnonzero(~behind))
+    if not out.all():  # two strings with equal hashes: no pair rests on another
+        whole(np.arange(len(a)))
+    return out
+
+
 def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) start of each segment at which its `length` bytes occur at another start of any segment; -1 without one.
 
@@ -204,13 +233,10 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int, depth: int
     sa = shards[0][0]
 
     starts = local[sa] + length <= sizes[owner[sa]]
-    # Exact check on the whole string's hash: neighbours of an interval must agree in it too.
-    windows = hashes.every(length)
-    print_ = windows[np.minimum(byte[sa], len(windows) - 1)]
-    same = (interval[1:] == interval[:-1]) & starts[1:] & starts[:-1] & (print_[1:] == print_[:-1])
+    same = np.flatnonzero((interval[1:] == interval[:-1]) & starts[1:] & starts[:-1])
+    same = same[_equal(data, byte, owner, sa[same], sa[same + 1], length)]
     hit = np.zeros(len(sa), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
+    hit[same] = hit[same + 1] = True
     spots = np.sort(sa[hit])
     lo, hi = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
     if len(spots):
@@ -258,14 +284,6 @@ def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[
     return b"".join([*kept, raw[at:]]), [(a, b) for a, b in joined]
 
 
-def release(spark) -> None:
-    """Let Spark drop shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def squeezed(text: Column) -> Column:
     """A text as a zstd frame: texts are shuffled twice, and frames are half the size of what the shuffle makes of them."""
 
@@ -289,36 +307,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("k2"), "text")
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS) -> DataFrame:
-    """(k1, k2, spans): removable byte spans [a, b) of the documents (doc_id, text), keyed by two hashes of row content."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs)
+def gram_of(length: int) -> int:
+    return max(8, min(GRAM, length // 5))
+
+
+def _place() -> tuple[Column, Column, Column, Column]:
+    """(start, level, starts, twice) of a run's column at: start << 12 | level << 10 | starts << 1 | twice; level is the place of its length in lengths."""
+    return F.shiftright("at", 12), F.shiftright("at", 10).bitwiseAND(3), F.shiftright("at", 1).bitwiseAND(511), F.col("at").bitwiseAND(1)
+
+
+def runs_table(keyed: DataFrame, lengths: tuple[int, ...], gram: int | None = None) -> DataFrame:
+    """(k1, k2, h, g, at): the runs of every length in all texts, from one scan."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 raws = [(t or "").encode() for t in part.column(2).to_pylist()]
-                for rows, offsets, data, ends in _units(raws, length):
-                    name, segment, starts, counts, twice = runs_of(data, ends, length, gram)
-                    unit = np.searchsorted(ends, starts, side="right")
-                    spot = starts - np.concatenate([[0], ends[:-1]])[unit] + np.array(offsets)[unit]
-                    own = part.take(pa.array(np.array(rows)[unit]))
-                    yield pa.RecordBatch.from_arrays(
-                        [own.column(0), own.column(1), _signed(name), _signed(segment), pa.array(spot << 10 | counts << 1 | twice)],
-                        ["k1", "k2", "h", "g", "at"],
-                    )
-
-    # Not checkpointed: its two readers scan the texts again, which costs less than to store a row per run.
-    runs = keyed.where(F.octet_length("text") >= length).mapInArrow(find, "k1 long, k2 long, h long, g long, at long")
-    segments = runs.groupBy("h", "g").agg(
-        F.count("*").alias("n"), F.max(F.col("at").bitwiseAND(1)).alias("twice"), F.min(F.struct("k1", "k2", "at")).alias("rep")
-    )
-    named = segments.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    open_ = segments.join(named, "h", "left").where("n > 1 or m > 1 or twice = 1")
-    open_ = cut(open_.select("h", "g", "n", F.coalesce("m", F.lit(1)).alias("m"), "twice", "rep.*"))
-
-    wanted = open_.where("m > 1 or twice = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "at", "n", "m")).alias("runs"))
+                for level, length in enumerate(lengths):
+                    for rows, offsets, data, ends in _units(raws, length):
+                        name, segment, starts, counts, twice = runs_of(data, ends, length, gram or gram_of(length))
+                        unit = np.searchsorted(ends, starts, side="right")
+                        spot = starts - np.concatenate([[0], ends[:-1]])[unit] + np.array(offsets)[unit]
+                        own = part.take(pa.array(np.array(rows)[unit]))
+                        yield pa.RecordBatch.from_arrays(
+                            [own.column(0), own.column(1), _signed(name ^ np.uint64(level * 0x9FB21C651E98DF25 & (1 << 64) - 1)), _signed(segment), pa.array(spot << 12 | level << 10 | counts << 1 | twice)],
+                            ["k1", "k2", "h", "g", "at"],
+                        )
+
+    return keyed.where(F.octet_length("text") >= min(lengths)).mapInArrow(find, "k1 long, k2 long, h long, g long, at long")
+
+
+def contested_bytes(keyed: DataFrame, segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(h, g, n, level, bytes) of segments (h, g, n, k1, k2, at), cut out of the texts they name."""
+    wanted = segments.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "at", "n")).alias("runs"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -329,28 +351,36 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
                 for frame, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = _opened(frame)
                     for r in own:
-                        start, count = r["at"] >> 10, r["at"] >> 1 & 511
-                        out.append((r["h"], r["g"], r["n"], r["m"], raw[start : start + count - 1 + length]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "g", "n", "m", "bytes"])
+                        start, level, count = r["at"] >> 12, r["at"] >> 10 & 3, r["at"] >> 1 & 511
+                        out.append((r["h"], r["g"], r["n"], level, raw[start : start + count - 1 + lengths[level]]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "g", "n", "level", "bytes"])
 
-    frames = keyed.where(F.octet_length("text") >= length).select("k1", "k2", squeezed(F.col("text")).alias("frame"))
-    taken = frames.join(wanted, ["k1", "k2"]).select("frame", "runs").mapInArrow(slices, "h long, g long, n long, m long, bytes binary")
+    frames = keyed.where(F.octet_length("text") >= min(lengths)).select("k1", "k2", squeezed(F.col("text")).alias("frame"))
+    return frames.join(wanted, ["k1", "k2"]).select("frame", "runs").mapInArrow(slices, "h long, g long, n long, level long, bytes binary")
+
+
+_FOUND = "h long, g long, first long, last long"
+
+
+def merged_starts(taken: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(h, g, first, last): first and last repeated start of the segments that occur once, by merged transforms per partition."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, single, parts, size = [], [], [], [], 0
+        names, ids, single, parts, size, now = [], [], [], [], 0, 0
 
         def flush():
-            lo, hi = repeated_starts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), length)
+            lo, hi = repeated_starts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), lengths[now])
             hit = (lo >= 0) & np.array(single)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.array(names)[hit]), pa.array(np.array(ids)[hit]), pa.array(lo[hit]), pa.array(hi[hit])], ["h", "g", "first", "last"]
             )
 
         for b in batches:
-            for h, g, n, raw in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                if size >= PARTITION_BYTES and h != names[-1]:
+            for h, g, n, level, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if names and (level != now or (size >= PARTITION_BYTES and h != names[-1])):
                     yield flush()
                     names, ids, single, parts, size = [], [], [], [], 0
+                now = level
                 if names and names[-1] == h and ids[-1] == g:
                     continue  # a repeated row of documents
                 names.append(h)
@@ -361,36 +391,75 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
         if parts:
             yield flush()
 
-    result = "h long, g long, first long, last long"
-    merged = taken.where(F.col("m") <= max_segments)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(merged.repartition(parts, "h").sortWithinPartitions("h", "g").mapInArrow(decide, result))
-    if open_.where(F.col("m") > max_segments).limit(1).count():
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for h, g, n, raw in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                    w = Hashes(np.frombuffer(raw, np.uint8)).every(length)
-                    k = len(w)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, h)), pa.array(np.full(k, g)), pa.array(np.full(k, n)), pa.array(np.arange(k)), _signed(w)], ["h", "g", "n", "spot", "w"]
-                    )
-
-        each = taken.where(F.col("m") > max_segments).mapInArrow(windows, "h long, g long, n long, spot long, w long")
-        often = each.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
-        hot = each.where("n = 1").join(often, ["h", "w"], "left_semi").groupBy("h", "g").agg(F.min("spot").alias("first"), F.max("spot").alias("last"))
-        found = found.unionByName(cut(hot))
-    release(spark)
-    count = F.shiftright("at", 1).bitwiseAND(511)
-    full = open_.where("n > 1").select("h", "g", F.lit(0).cast("long").alias("first"), (count - 1).alias("last"))
-    start = F.shiftright("at", 10)
-    spans = runs.join(full.unionByName(found), ["h", "g"]).select(
-        "k1", "k2", F.struct((start + F.col("first")).alias("a"), (start + F.col("last") + length).alias("b")).alias("span")
-    )
-    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
-
-
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_segments: int = MAX_SEGMENTS, with_bytes: bool = True, with_text: bool = True, replace: bool = False) -> DataFrame:
+    parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return taken.repartition(parts, "h").sortWithinPartitions("level", "h", "g").mapInArrow(decide, _FOUND)
+
+
+def refined_starts(taken: DataFrame, lengths: tuple[int, ...], stage: Stage) -> DataFrame:
+    """The same of hot names: DEPTH iterations that refine the intervals of all their suffixes by the next block.
+
+    An interval is known by a hash of its blocks so far. Its members are counted with
+    partial sums per task; those that are alone leave before the next iteration.
+    """
+    blocks = [f"b{t}" for t in range(DEPTH)]
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, g, n, level, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                size, k = lengths[level] // DEPTH, len(raw) - lengths[level] + 1
+                each = Hashes(np.frombuffer(raw, np.uint8)).every(size)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(k, x)) for x in (h, g, n)), pa.array(np.arange(k)), *(_signed(each[t * size : t * size + k].copy()) for t in range(DEPTH))],
+                    ["h", "g", "n", "spot", *blocks],
+                )
+
+    own = "h long, g long, n long, spot long, "
+    now = stage.put(taken.mapInArrow(suffixes, own + ", ".join(f"{x} long" for x in blocks)).withColumn("interval", F.col("h")), "suffixes")
+    for t, symbol in enumerate(blocks):
+        several = now.groupBy("interval", symbol).agg(F.count("*").alias("c")).where("c > 1").select("interval", symbol)
+        kept = now.join(several, ["interval", symbol], "left_semi")
+        now = stage.put(kept.select("h", "g", "n", "spot", *blocks[t + 1 :], F.xxhash64("interval", symbol).alias("interval")), f"refined-{t}")
+    return now.where("n = 1").groupBy("h", "g").agg(F.min("spot").alias("first"), F.max("spot").alias("last"))
+
+
+def repeated_spans(docs: DataFrame, *, lengths: tuple[int, ...] = (LENGTH,), gram: int | None = None, max_segments: int = MAX_SEGMENTS) -> DataFrame:
+    """(k1, k2, spans): per level of lengths the removable byte spans [a, b) of documents (doc_id, text), keyed by two hashes of row content.
+
+    Written at once; what is staged on the way is deleted again.
+    """
+    spark, keyed = docs.sparkSession, _keyed(docs)
+    stage, (start, level, count, twice) = Stage(spark, "suffixes"), _place()
+    try:
+        with shuffles_dropped(spark):
+            runs = stage.put(runs_table(keyed, lengths, gram), "runs")
+            # A name counts once per run, and twice where it may stand twice in one.
+            names = runs.groupBy("h").agg(F.sum(twice + 1).alias("c")).where("c > 1").select("h")
+            runs = stage.put(runs.join(names, "h", "left_semi"), "open")
+            stage.drop("runs")
+            segments = runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.max(twice).alias("twice"), F.min(F.struct("k1", "k2", "at")).alias("rep"))
+            segments = stage.put(segments.select("h", "g", "n", "twice", "rep.*"), "segments")
+            named = segments.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+            contested = segments.join(named, "h", "left").where("m > 1 or twice = 1").withColumn("hot", F.coalesce(F.col("m") > max_segments, F.lit(False)))
+            contested = stage.put(contested, "contested")
+            calm = contested_bytes(keyed, contested.where("not hot"), lengths)
+            found = [segments.where("n > 1").select("h", "g", F.lit(0).cast("long").alias("first"), (count - 1).alias("last")), stage.put(merged_starts(calm, lengths), "merged")]
+            if not contested.where("hot").isEmpty():
+                found.append(refined_starts(contested_bytes(keyed, contested.where("hot"), lengths), lengths, stage))
+            every = found[0]
+            for more in found[1:]:
+                every = every.unionByName(more)
+            size = F.element_at(F.array(*map(F.lit, lengths)), (level + 1).cast("int"))
+            spans = runs.join(every, ["h", "g"]).select(
+                "k1", "k2", F.struct(level.cast("int").alias("level"), (start + F.col("first")).alias("a"), (start + F.col("last") + size).alias("b")).alias("span")
+            )
+            return cut(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")))
+    finally:
+        stage.drop()
+
+
+def suffix_dedup(
+    docs: DataFrame, *, length: int = LENGTH, passage: int | None = None, gram: int | None = None, max_segments: int = MAX_SEGMENTS, with_bytes: bool = True, with_text: bool = True, replace: bool = False
+) -> DataFrame:
     """Every row and column of docs (doc_id, text, ...; without text on demand) plus n_bytes, n_removed, n_spans, kept_sha256 and on demand spans and kept.
 
     Texts count as UTF-8 bytes (null: empty); matches never cross documents. Every byte
@@ -401,18 +470,21 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max
     that docs already has get a trailing underscore. An empty table gives an empty one.
 
     replace puts the remaining text in the place of text; a character that loses some of
-    its bytes goes as a whole, and null stays null.
-
-    length must be a multiple of DEPTH and at most 511. No task gathers more than the
-    different segments of one name: exact copies meet as one segment with a count, and
-    names with more than max_segments different segments are decided by counting
-    (name, window hash) pairs over all partitions instead of a transform, as exactly.
+    its bytes goes as a whole, and null stays null. With passage (shorter than length),
+    that text loses the repeated strings of `passage` bytes instead, found in the same
+    scan; the counts, spans and kept stay those of `length`.
+
+    Lengths must be multiples of DEPTH and at most 511. Segments are told apart by two
+    64-bit hashes; merged intervals are compared byte by byte. No task gathers more than
+    max_segments different segments of one name: exact copies meet as one segment with a
+    count, and names beyond that are refined over all partitions.
     """
-    if length % DEPTH or not gram < length < 512:
-        raise ValueError("length must be a multiple of DEPTH, above gram and below 512")
+    lengths = (length,) if passage is None else (length, passage)
+    if any(x % DEPTH or not (gram or gram_of(x)) < x < 512 for x in lengths) or passage is not None and passage >= length:
+        raise ValueError("lengths must be multiples of DEPTH, above their gram and below 512, passage below length")
     names = {n: fresh(docs, n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
     k1, k2, runs = fresh(docs, "key_one"), fresh(docs, "key_two"), fresh(docs, "removable")
-    spans = repeated_spans(docs, length=length, gram=gram, max_segments=max_segments)
+    spans = repeated_spans(docs, lengths=lengths, gram=gram, max_segments=max_segments)
     frame = fresh(docs, "frame")
     rows = docs.withColumn(k1, F.xxhash64("text")).withColumn(k2, F.xxhash64(F.lit(3), "doc_id", "text")).withColumn(frame, squeezed(F.col("text"))).drop("text")
     spans = spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(runs))
@@ -429,19 +501,20 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max
             for b in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 out, texts = [], []
                 for packed, own in zip(b.column(len(carried)).to_pylist(), b.column(len(carried) + 1).to_pylist(), strict=True):
-                    raw = _opened(packed)
-                    kept, gone = remove_spans(raw, [(x["a"], x["b"]) for x in own or ()])
+                    raw, levels = _opened(packed), [[(x["a"], x["b"]) for x in own or () if x["level"] == k] for k in range(len(lengths))]
+                    kept, gone = remove_spans(raw, levels[0])
                     out.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept))
-                    texts.append(None if packed is None else (kept.decode("utf-8", "ignore") if replace else raw.decode()))
+                    rest = raw if not replace else kept if passage is None else remove_spans(raw, levels[1])[0]
+                    texts.append(None if packed is None else rest.decode("utf-8", "ignore"))
                 given = dict(zip(carried, b.columns, strict=False)) | {"text": pa.array(texts, pa.string()) if with_text else None}
                 yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], [*columns, *added])
 
     return joined.select(*carried, frame, runs).mapInArrow(remove, schema)
 
 
-def suffix_dedup_text(docs: DataFrame, **options) -> DataFrame:
-    """docs with the repeated strings taken out of `text`; a character that loses some of its bytes goes as a whole.
+def suffix_dedup_text(docs: DataFrame, *, length: int = PASSAGE, **options) -> DataFrame:
+    """docs with the repeated strings of `length` bytes taken out of `text`; a character that loses some of its bytes goes as a whole.
 
-    All other columns stay. Null texts stay null. Takes the options of suffix_dedup.
+    All other columns stay. Null texts stay null, empty and short ones as they are. Takes the options of suffix_dedup.
     """
-    return suffix_dedup(docs, with_bytes=False, replace=True, **options).select(*docs.columns)
+    return suffix_dedup(docs, length=length, with_bytes=False, replace=True, **options).select(*docs.columns)

@@ -9,12 +9,13 @@ against one fixed threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import compress, crc32, decompress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from zstandard import compress, decompress
 
 from .common import batches_of, cut
 
@@ -104,11 +105,16 @@ def bucket_bits(docs: DataFrame) -> int:
 
 
 def _packed(chunk: int, arrays: list[np.ndarray]) -> tuple:
-    return (chunk, *(compress(x.astype(np.int64).tobytes(), 1) for x in arrays))
+    """Arrays in the narrowest unsigned type that holds them, compressed behind a byte that names its size."""
+    out = []
+    for x in arrays:
+        kind = np.min_scalar_type(int(x.max(initial=0)))
+        out.append(bytes([kind.itemsize]) + compress(x.astype(kind).tobytes(), 3))
+    return (chunk, *out)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(decompress(blob), np.int64)
+    return np.frombuffer(decompress(blob[1:]), f"u{blob[0]}").astype(np.int64)
 
 
 def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 from uuid import uuid4
 
 import pyarrow as pa
@@ -64,6 +65,18 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def drops_shuffles(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f(df, ...), whose steps are checkpoints or tables, with their shuffle files dropped as each ends; its result is planned anew outside."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        with shuffles_dropped(df.sparkSession):
+            out = f(df, *args, **options)
+        return out.select("*")
+
+    return run
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of df's (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

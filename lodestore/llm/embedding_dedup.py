@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drops_shuffles
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -190,6 +190,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     return pairs.groupBy("cell", "low", "high").applyInArrow(join, out)
 
 
+@drops_shuffles
 def embedding_groups(
     rows: DataFrame, *, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:

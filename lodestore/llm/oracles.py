@@ -9,7 +9,7 @@ with lines as (
 ), pages as (select source, count(*) as pages from documents where source is not null group by 1),
 bad as (
   select source, line from (select distinct doc_id, source, line from lines where regexp_matches(line, '[^\x09-\x0D\x20]'))
-  join pages using (source) where pages >= 10 group by source, line, pages having count(*) > pages * 0.1
+  join pages using (source) group by source, line, pages having count(*) >= 2 and count(*) > pages * 0.1
 ), kept as (
   select doc_id, count(*) as n_kept, string_agg(line, chr(10) order by pos) as text
   from lines l where not exists (select 1 from bad b where b.source = l.source and b.line = l.line) group by doc_id
@@ -31,7 +31,7 @@ with urls as (
     case when instr(url, '://') > 0 then 'https://' || {_HOST.format(u="url")} || regexp_replace(
       regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1), '(?s:#.*)$', ''),
         '([?&])(?:(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*(?:&|$))+', '\1', 'g'),
-        '([?&])(?:(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', ''), '/$', '') else url end as canon
+        '([?&])(?:(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', ''), '^/$', '') else url end as canon
   from pages
 ), judged as (
   select u.*, (select h || p from {_RULES} where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1) as rule,

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, cut, drops_shuffles
 from .components import connected_components
 
 WIDTH = 3
@@ -106,6 +106,7 @@ def linked_pairs(fps: DataFrame, *, distance: int = DISTANCE, segments: int = SE
     return met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
 
 
+@drops_shuffles
 def simhash_groups(
     docs: DataFrame, *, width: int = WIDTH, seed: int = SEED, distance: int = DISTANCE, segments: int = SEGMENTS
 ) -> DataFrame:
@@ -117,8 +118,6 @@ def simhash_groups(
     one shingle. Rows of one fingerprint are joined to it, never to each other, so copies
     make no pairs; repeated doc_ids get a row each. An empty table gives an empty one.
     """
-    from .common import cut
-
     prints = cut(fingerprints(docs, width=width, seed=seed))
     unique = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = connected_components(linked_pairs(unique.select("fp"), distance=distance, segments=segments)).withColumnRenamed("node", "fp")
@@ -152,6 +151,7 @@ def rarest(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.nda
     return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
+@drops_shuffles
 def near_copies(
     docs: DataFrame, *, tables: int = TABLES, width: int = WIDTH, distance: int | None = DISTANCE, words: int = WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -169,9 +169,6 @@ def near_copies(
     all pairs that are still in different components are compared. Rarity is estimated
     by bucket, which only decides how many pairs are compared.
     """
-    from .common import cut
-    from .suffix_dedup import release
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.where("doc_id is not null").select("doc_id", "text")
 
@@ -220,12 +217,10 @@ def near_copies(
     own = Window.partitionBy("key")
     met = keys.withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own)}).where("x <> y")
     shared = cut(met.select("key", "node", "n", "at"))
-    release(docs.sparkSession)
     held_sets = cut(shingles(shared.select("node")).dropDuplicates(["node"]))
     tags = classes.groupBy("node").agg(F.collect_list("fps").alias("tags"))
     if distance is not None:
         held_sets = held_sets.join(tags, "node")
-    release(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
@@ -252,7 +247,6 @@ def near_copies(
         links = found if links is None else links.unionByName(found)
         root = connected_components(links)
         now = cut(shared.join(root.select("node", F.col("component").alias("r")), "node", "left").select("key", "node", "n", "at", F.coalesce("r", "node").alias("root")))
-        release(docs.sparkSession)
         parts = now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
         left, size = parts.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.sum("c")).first()
         if (left or 0) <= 2 * (size or 0):

@@ -43,18 +43,41 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column
 
 
 def canonical_form(url: Column) -> Column:
-    """https, host in lower case, no fragment, no tracking parameters, no closing slash or ?."""
+    """https, host in lower case, no fragment, no tracking parameters, no ? or & at the end, and an empty path for /."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     bare = F.regexp_replace(bare, r"(?<=[?&])(?:" + "|".join(TRACKING) + r")=[^&]*(?:&|$)", "")
     bare = F.regexp_replace(bare, r"[?&]+$", "")
     rest = F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(F.lit("https://"), url_host(url), F.regexp_replace(rest, "/$", ""))).otherwise(url)
+    return F.when(F.instr(url, "://") > 0, F.concat(F.lit("https://"), url_host(url), F.when(rest != "/", rest).otherwise(""))).otherwise(url)
 
 
-def _named_link(html: Column, tag: str, mark: str, value: str) -> Column:
-    """The url in the first <tag> that holds mark; null if there is none that is absolute."""
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; .. at the top is dropped."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/", -1)
+    return F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step), "/")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """An absolute url from a link target and the url of its page; null for an empty target, a fragment or a page without ://."""
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(url_path(base), r"(?s)^(.*/)", 1)
+    own, query = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(\?.*)$", 1)
+    path = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.contains("://"), target))
+        .when(site == "", F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(own == "", F.concat(site, url_path(base), query))
+        .otherwise(F.concat(site, without_dots(path), query))
+    )
+
+
+def _named_link(html: Column, tag: str, mark: str, value: str, base: Column) -> Column:
+    """The url in the first <tag> that holds mark, resolved against its page's; null if there is none."""
     found = F.regexp_extract(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*{mark}[^>]*>", 0), value, 1)
-    return F.when(found.contains("://"), found)
+    return resolved(F.replace(F.trim(found), F.lit("&amp;"), F.lit("&")), base)
 
 
 def link_edges(pages: DataFrame, *, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -63,8 +86,8 @@ def link_edges(pages: DataFrame, *, url: str = "url", html: str | None = "html")
     targets = [canonical_form(u)]
     if html and html in pages.columns:
         h = F.col(html)
-        link = F.when(F.lower(h).contains("canonical"), _named_link(h, "link", r"rel\s*=\s*[\"']?canonical", r"(?is)href\s*=\s*[\"']?([^\"'\s>]+)"))
-        move = F.when(F.lower(h).contains("refresh"), _named_link(h, "meta", r"http-equiv\s*=\s*[\"']?refresh", r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)"))
+        link = F.when(F.lower(h).contains("canonical"), _named_link(h, "link", r"rel\s*=\s*[\"']?canonical", r"(?is)href\s*=\s*[\"']?([^\"'\s>]+)", u))
+        move = F.when(F.lower(h).contains("refresh"), _named_link(h, "meta", r"http-equiv\s*=\s*[\"']?refresh", r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)", u))
         targets += [canonical_form(link), canonical_form(move)]
     return (
         pages.select(u.alias("src"), F.explode(F.array_compact(F.array(*targets))).alias("dst"))

@@ -85,7 +85,7 @@ def line_dedup_brute(data):
             seen[source].update({x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")})
     out = []
     for d, text, source in data:
-        bad = {x for x, n in seen[source].items() if pages[source] >= 10 and n > 0.1 * pages[source]} if source is not None else set()
+        bad = {x for x, n in seen[source].items() if n >= 2 and n > 0.1 * pages[source]} if source is not None else set()
         lines = (text or "").split("\n")
         kept = [x for x in lines if x not in bad]
         out.append((d, None if text is None else "\n".join(kept), len(lines) if text else 0, len(lines) - len(kept)))

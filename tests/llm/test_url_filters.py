@@ -1,5 +1,7 @@
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from lodestore.llm import url_filters as uf
 from lodestore.llm.components import connected_components
 from lodestore.llm.queries import URL_RULES
@@ -78,3 +80,22 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {i: 100 for i in range(100, 141)} | {500: 500} | {i: 500 for i in range(600, 640)}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_relative_links_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.com/x/y/z?q=1#f", "http://a.com", "https://b.org/", "https://c.net/p"]
+    targets = ["/en/8", "//h.io/x?y", "k", "k/l?m=1", "../k", "./k/", "../../../k", "a/./b/../c", "?only=1", "https://o.com/a", ".", ".."]
+    rows = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "b string, t string").select(uf.resolved(F.col("t"), F.col("b")).alias("r")).collect()
+    assert [r.r for r in got] == [urljoin(b, t) for b, t in rows]
+    none = [("https://a.com/x", "#top"), ("https://a.com/x", ""), ("no scheme", "/x"), ("https://a.com/x", "mailto:me"), (None, "/x"), ("https://a.com", None)]
+    assert {r[0] for r in spark.createDataFrame(none, "b string, t string").select(uf.resolved(F.col("t"), F.col("b"))).collect()} == {None}
+    block = [("https://one.io/en/a", "<link rel=canonical href='../b'>"), ("https://one.io/b", None), ("https://one.io/b", '<meta http-equiv=refresh content="1;url=//bad.com/en/1">')]
+    assert {r.verdict for r in uf.url_filter(pages(spark, block), URL_RULES).collect()} == {"block"}
+
+
+def test_a_closing_slash_is_another_url(spark):
+    rows = [("https://x.org/es/", None), ("https://x.org/es", None), ("https://x.org/es?utm_source=a", None)]
+    assert {r.page_id: r.verdict for r in uf.url_filter(pages(spark, rows), URL_RULES).collect()} == {0: "block", 1: "allow", 2: "allow"}

@@ -76,13 +76,20 @@ def test_chunked_rows(spark):
     assert [tuple(r) for r in chunked(df).orderBy("id", "seq").select("id", "seq", "pos").collect()] == [(1, 0, 0), (1, 1, 1792), (1, 2, 3584), (2, 0, 0)]
 
 
-def test_entities():
+def test_entities(spark):
+    def found_in(*texts):
+        rows = entities.mentions(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text_body string")).collect()
+        return [sorted((r for r in rows if r.i == i), key=lambda r: r.ord) for i in range(len(texts))]
+
     text = "Alice Smith met @brian about REC-76 at Acme Robotics. See https://example.com/a(b) and NASA, Project Apollo Program today. On Monday"
-    found = {e["entity_key"]: e["entity_type"] for e in entities.find_entities(text)}
+    first, none, blank, many, odd = found_in(text, None, " ", " ".join(f"Name{i}x," for i in range(60)), "AB-٣٤ 'Big  Gap' é@me @me The a.b.com Big Gap")
+    found = {e["entity_key"]: e["entity_type"] for e in first}
     assert found["alice_smith"] == "proper_noun" and found["brian"] == "person" and found["rec_76"] == "ticket" and found["nasa"] == "acronym"
     assert found["https_example_com_a_b"] == "url" and any(t == "project" for t in found.values())
-    assert "monday" not in found and entities.find_entities(None) == [] and entities.find_entities(" ") == []
-    assert len(entities.find_entities(" ".join(f"Name{i}x," for i in range(60)))) == 24
+    assert "monday" not in found and none == [] and blank == []
+    assert len(many) == 24 and [e.ord for e in many] == list(range(1, 25))
+    assert [(e.name, e.entity_type) for e in odd] == [("AB-٣٤", "ticket"), ("Big Gap", "proper_noun"), ("@me", "person"), ("a.b.com", "url")]
+    assert odd[1].evidence == "AB-٣٤ 'Big Gap' é@me @me The a.b.com Big Gap"
 
 
 def test_names_are_checked():

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -284,25 +283,6 @@ def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[
     return b"".join([*kept, raw[at:]]), [(a, b) for a, b in joined]
 
 
-def squeezed(text: Column) -> Column:
-    """A text as a zstd frame: texts are shuffled twice, and frames are half the size of what the shuffle makes of them."""
-
-    @F.pandas_udf("binary")
-    def squeeze(texts: pd.Series) -> pd.Series:
-        from zstandard import ZstdCompressor
-
-        pack = ZstdCompressor(level=3)
-        return texts.map(lambda t: None if t is None else pack.compress(t.encode()))
-
-    return squeeze(text)
-
-
-def _opened(frame: bytes | None) -> bytes:
-    from zstandard import ZstdDecompressor
-
-    return ZstdDecompressor().decompress(frame) if frame else b""
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("k2"), "text")
 
@@ -348,15 +328,15 @@ def contested_bytes(keyed: DataFrame, segments: DataFrame, lengths: tuple[int, .
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 out: list[tuple] = []
-                for frame, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = _opened(frame)
+                for text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = text.encode()
                     for r in own:
                         start, level, count = r["at"] >> 12, r["at"] >> 10 & 3, r["at"] >> 1 & 511
                         out.append((r["h"], r["g"], r["n"], level, raw[start : start + count - 1 + lengths[level]]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "g", "n", "level", "bytes"])
 
-    frames = keyed.where(F.octet_length("text") >= min(lengths)).select("k1", "k2", squeezed(F.col("text")).alias("frame"))
-    return frames.join(wanted, ["k1", "k2"]).select("frame", "runs").mapInArrow(slices, "h long, g long, n long, level long, bytes binary")
+    texts = keyed.where(F.octet_length("text") >= min(lengths))
+    return texts.join(wanted, ["k1", "k2"]).select("text", "runs").mapInArrow(slices, "h long, g long, n long, level long, bytes binary")
 
 
 _FOUND = "h long, g long, first long, last long"
@@ -485,8 +465,7 @@ def suffix_dedup(
     names = {n: fresh(docs, n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
     k1, k2, runs = fresh(docs, "key_one"), fresh(docs, "key_two"), fresh(docs, "removable")
     spans = repeated_spans(docs, lengths=lengths, gram=gram, max_segments=max_segments)
-    frame = fresh(docs, "frame")
-    rows = docs.withColumn(k1, F.xxhash64("text")).withColumn(k2, F.xxhash64(F.lit(3), "doc_id", "text")).withColumn(frame, squeezed(F.col("text"))).drop("text")
+    rows = docs.withColumns({k1: F.xxhash64("text"), k2: F.xxhash64(F.lit(3), "doc_id", "text")})
     spans = spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(runs))
     joined = rows.join(spans, [k1, k2], "left").drop(k1, k2)
     columns = [c for c in docs.columns if c != "text" or with_text]
@@ -500,16 +479,16 @@ def suffix_dedup(
         for whole in batches:
             for b in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 out, texts = [], []
-                for packed, own in zip(b.column(len(carried)).to_pylist(), b.column(len(carried) + 1).to_pylist(), strict=True):
-                    raw, levels = _opened(packed), [[(x["a"], x["b"]) for x in own or () if x["level"] == k] for k in range(len(lengths))]
+                for text, own in zip(b.column(len(carried)).to_pylist(), b.column(len(carried) + 1).to_pylist(), strict=True):
+                    raw, levels = (text or "").encode(), [[(x["a"], x["b"]) for x in own or () if x["level"] == k] for k in range(len(lengths))]
                     kept, gone = remove_spans(raw, levels[0])
                     out.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept))
                     rest = raw if not replace else kept if passage is None else remove_spans(raw, levels[1])[0]
-                    texts.append(None if packed is None else rest.decode("utf-8", "ignore"))
+                    texts.append(None if text is None else rest.decode("utf-8", "ignore"))
                 given = dict(zip(carried, b.columns, strict=False)) | {"text": pa.array(texts, pa.string()) if with_text else None}
                 yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], [*columns, *added])
 
-    return joined.select(*carried, frame, runs).mapInArrow(remove, schema)
+    return joined.select(*carried, "text", runs).mapInArrow(remove, schema)
 
 
 def suffix_dedup_text(docs: DataFrame, *, length: int = PASSAGE, **options) -> DataFrame:

@@ -12,7 +12,7 @@ from .functions import text as tx
 from .functions.chunking import chunked
 from .functions.entities import mentions
 from .operators import evaluate, filters, fusion, graph, memories, retrieval
-from .plans import search, store
+from .plans import index, search, store
 from .plans.tables import AS_OF_MS, memory_chunks, read, search_queries
 from .streaming import watch
 
@@ -25,7 +25,16 @@ def query(f):
 
 
 def _live(spark, sf_dir, **scope):
-    return search.searchable(memory_chunks(spark, sf_dir), AS_OF_MS, **scope)
+    return search.searchable(index.opened(spark, sf_dir).chunks, AS_OF_MS, **scope)
+
+
+def _posted(spark, sf_dir):
+    return index.opened(spark, sf_dir).postings
+
+
+def _hybrid(spark, sf_dir, plan=search.hybrid, **options):
+    found = index.opened(spark, sf_dir)
+    return plan(found.chunks, search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, posted=found.postings, **options)
 
 
 def _r(*columns, digits=6):
@@ -107,7 +116,7 @@ def term_postings(spark, sf_dir):
 
 @query
 def bm25_topk_batch(spark, sf_dir):
-    got = retrieval.bm25(_live(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS)
+    got = retrieval.bm25(_live(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, posted=_posted(spark, sf_dir))
     return got.select("query_id", "file_path", "rank0", *_r("score"))
 
 
@@ -146,9 +155,9 @@ def best_chunk_per_file(spark, sf_dir):
 def knn_label_recall(spark, sf_dir):
     vecs = read(spark, sf_dir, "embeddings")
     q = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    met = vecs.select("vec_id", F.col("label").alias("found_label"), "embedding").crossJoin(retrieval.small(q)).where("vec_id <> query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("cos"), "vec_id")
-    ranked = met.withColumn("cos", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 9)).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    found = retrieval.neighbours(vecs, q.select("query_id", "q"), 10)
+    labels = vecs.select("vec_id", F.col("label").alias("found_label"))
+    ranked = found.join(labels, "vec_id").join(q.select("query_id", "label"), "query_id")
     return evaluate.neighbour_recall(ranked).select(*_r("recall_at_1", "recall_at_5", "recall_at_10"), "queries")
 
 
@@ -162,7 +171,7 @@ def _fused(spark, sf_dir, *, intent=None, content_type=None, filter_type=False,
     if expand:
         vecs = read(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("vector"))
         variants = queries.select("query_id").join(vecs, "query_id").withColumn("variant", F.lit(1))
-    found, order = search.branches(rows, queries, as_of_ms=AS_OF_MS, variants=variants)
+    found, order = search.branches(rows, queries, as_of_ms=AS_OF_MS, variants=variants, posted=_posted(spark, sf_dir))
     media = rows.select("file_path", "content_type").distinct()
     return fusion.fuse(found, order, intent=intent, content_type=content_type, media=media)
 
@@ -180,49 +189,49 @@ for _name, _options in {
 
 @query
 def rerank_jaccard(spark, sf_dir):
-    got = search.hybrid(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="text", rolled=False)
+    got = _hybrid(spark, sf_dir, content_type="text", rolled=False)
     return got.select("query_id", "file_path", "rerank_path", *_r("rerank_score"))
 
 
 @query
 def blend_text_tiers(spark, sf_dir):
-    got = search.hybrid(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="text", rolled=False)
+    got = _hybrid(spark, sf_dir, content_type="text", rolled=False)
     return got.select("query_id", "file_path", "rrf_rank", "rrf_weight", *_r("rrf_norm", "rerank_norm", "score"))
 
 
 @query
 def blend_media_tiers(spark, sf_dir):
-    got = search.hybrid(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, media_enabled=True, require_ambiguity=False, rolled=False)
+    got = _hybrid(spark, sf_dir, media_enabled=True, require_ambiguity=False, rolled=False)
     return got.select("query_id", "file_path", "rrf_rank", "rrf_weight", "rerank_path", *_r("rerank_score", "rrf_norm", "rerank_norm", "score"))
 
 
 @query
 def rerank_media_disabled(spark, sf_dir):
-    got = search.hybrid(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="video", rolled=False)
+    got = _hybrid(spark, sf_dir, content_type="video", rolled=False)
     return got.select("query_id", "file_path", "rerank_path", "compensated", *_r("rerank_score", "score"))
 
 
 @query
 def hybrid_search(spark, sf_dir):
-    got = search.hybrid(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="text")
+    got = _hybrid(spark, sf_dir, content_type="text")
     return got.select("query_id", "path", "rank", "title", "hit_count", "evidence_path", *_r("score"))
 
 
 @query
 def explain_search(spark, sf_dir):
-    got = search.explain(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="text")
+    got = _hybrid(spark, sf_dir, search.explain, content_type="text")
     return got.select("query_id", "rank", "path", "sources", "rrf_rank", "rerank_path", *_r("score", "rrf", "rerank_score", "rrf_weight", "boost", digits=4))
 
 
 @query
 def memory_rollup(spark, sf_dir):
-    got = search.hybrid(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="text", limit=30)
+    got = _hybrid(spark, sf_dir, content_type="text", limit=30)
     return got.select("query_id", "path", "hit_count", *_r("score", "boost"), F.array_join("supporting_paths", ",").alias("supporting"), F.array_join("tags", ",").alias("tags"))
 
 
 @query
 def search_batch_merge(spark, sf_dir):
-    got = search.search_batch(memory_chunks(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, content_type="text")
+    got = _hybrid(spark, sf_dir, search.search_batch, content_type="text")
     return got.select("path", "source", F.round("score", 9).alias("score"))
 
 
@@ -416,7 +425,7 @@ def eval_percentiles(spark, sf_dir):
 @query
 def stage_metrics(spark, sf_dir):
     rows = _live(spark, sf_dir)
-    found, _ = search.branches(rows, search_queries(spark, sf_dir), as_of_ms=AS_OF_MS)
+    found, _ = search.branches(rows, search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, posted=_posted(spark, sf_dir))
     kinds = rows.select("file_path", "content_type").distinct()
     got = evaluate.stage_metrics(found.withColumnRenamed("branch", "stage").join(kinds, "file_path"))
     return got.select("stage", "content_type", "n", *_r("min_score", "max_score", "mean_score"))

@@ -109,25 +109,28 @@ def rerank(
     min_margin: float = 0.25,
     scorer=overlap_scorer,
 ) -> DataFrame:
-    """fused plus details of its first-seen chunk (file_path, hash_seq, text_body, content_type, ...), rerank_score and rerank_path.
+    """fused plus details of its first-seen chunk (file_path, hash_seq, content_type, ..., without text_body), rerank_score and rerank_path.
 
     The gates run in order: no reranker (text), top_k 0 (skipped), media present but
     disabled, caps for media, a confident margin between the first two (media only),
     nothing to rerank. Rows that are not reranked score 0.5. scorer(query, text) is a
-    column function, for models a pandas UDF; it runs on the gated rows only.
+    column function, for models a pandas UDF. It sees the texts of the first top_k
+    ranks only, where they are read: texts enter no exchange of this function.
     """
     joined = fused.join(details, ["file_path", "hash_seq"]).join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
     by_query = Window.partitionBy("query_id")
     half = F.lit(0.5)
     if not enabled or top_k <= 0:
-        return joined.drop("_q").withColumns({"rerank_score": half, "rerank_path": F.lit("text" if not enabled else "skipped")})
+        return joined.drop("_q", "text_body").withColumns({"rerank_score": half, "rerank_path": F.lit("text" if not enabled else "skipped")})
     rank = F.col("rrf_rank")
+    seen = F.when(rank <= top_k, F.col("text_body"))
+    joined = joined.withColumns({"_told": F.length(F.trim(F.coalesce("text_body", F.lit("")))) > 0, "_own": F.when(rank <= top_k, scorer(F.col("_q"), seen))}).drop("text_body", "_q")
     preview_media = F.max((rank <= top_k) & is_media()).over(by_query)
     media = F.lit(query_is_media) | preview_media
     cap = F.when(F.lit(query_is_media), min(top_k, query_media_top_k)).when(preview_media, min(top_k, result_media_top_k)).otherwise(top_k)
     first, second = (F.max(F.when(rank == i, F.col("rrf"))).over(by_query) for i in (1, 2))
     confident = media & F.lit(require_ambiguity) & second.isNotNull() & (cap >= 2) & (first > 0) & ((first - second) / first >= min_margin)
-    content = (F.length(F.trim(F.coalesce("text_body", F.lit("")))) > 0) | is_media()
+    content = F.col("_told") | is_media()
     gated = joined.withColumns({"_media": media, "_cap": cap, "_confident": confident})
     gated = gated.withColumn("_in", (rank <= F.col("_cap")) & content)
     gated = gated.withColumn("_some", F.max("_in").over(by_query))
@@ -143,8 +146,8 @@ def rerank(
     )
     scored = gated.withColumn("rerank_path", path)
     runs = F.col("rerank_path").isin("text", "vl_image", "vl_video") & F.col("_in")
-    out = scored.withColumn("rerank_score", F.when(runs, scorer(F.col("_q"), F.col("text_body"))).otherwise(half))
-    return out.drop("_q", "_media", "_cap", "_confident", "_in", "_some")
+    out = scored.withColumn("rerank_score", F.when(runs, F.col("_own")).otherwise(half))
+    return out.drop("_told", "_own", "_media", "_cap", "_confident", "_in", "_some")
 
 
 def _scaled(value: Column, window, neutral: float) -> Column:

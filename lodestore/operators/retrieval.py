@@ -5,33 +5,66 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..functions.text import words
 from .filters import policy
 
-#: Queries of one batch are broadcast up to this number; larger query tables are joined by shuffle.
+#: What is broadcast is measured first: at most so many rows and so many bytes; larger tables are joined by shuffle or in blocks.
 MAX_BROADCAST_QUERIES = 10_000
+MAX_BROADCAST_BYTES = 32 << 20
 DIGITS = 9
 
 
-def small(df: DataFrame, bound: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """df with a broadcast hint if it has at most `bound` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            size += F.greatest(F.size(f.name), F.lit(0)) * 8 + 16
+        else:
+            size += 8
+    return size
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of df, by one aggregation."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df).cast("long")), F.lit(0))).first()
+    return rows, size
+
+
+def small(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to have at most so many rows and bytes."""
+    return F.broadcast(df) if _fits(df, rows, size) else df
+
+
+def _fits(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES, size: int = MAX_BROADCAST_BYTES) -> bool:
+    got = measured(df)
+    return got[0] <= rows and got[1] <= size
+
+
+def length_of(chunks: DataFrame) -> Column:
+    """Characters of a chunk: a stored column, if there is one, else counted."""
+    return F.col("chars") if "chars" in chunks.columns else F.length("text_body")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length in characters."""
-    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.length("text_body")), F.lit(1.0)).alias("avgdl"))
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(length_of(chunks)), F.lit(1.0)).alias("avgdl"))
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None, **carried) -> DataFrame:
     """(term, hash_seq, file_path, len, tf) and carried columns of the chunk. With terms (term), only those reach a shuffle."""
     keys = ["hash_seq", "file_path", "len", *carried]
-    rows = chunks.select("hash_seq", "file_path", F.length("text_body").alias("len"), *[c.alias(n) for n, c in carried.items()], F.explode(words(F.col("text_body"))).alias("term"))
+    rows = chunks.select("hash_seq", "file_path", length_of(chunks).alias("len"), *[c.alias(n) for n, c in carried.items()], F.explode(words(F.col("text_body"))).alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term")
     return rows.groupBy("term", *keys).agg(F.count("*").alias("tf"))
@@ -52,23 +85,31 @@ def top_ranked(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def bm25(
-    chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, limit: int = 20, k1: float = 1.5, b: float = 0.75
+    chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, limit: int = 20, k1: float = 1.5, b: float = 0.75, posted: DataFrame | None = None
 ) -> DataFrame:
     """(query_id, file_path, hash_seq, score, rank0): BM25 with lengths in characters, times policy, best chunk per file.
 
     queries: query_id, query. Repeated query words count as often as they stand there.
-    All chunks given are scored. Chunk words meet the broadcast query terms before any
-    shuffle, so only matching words are aggregated.
+    All chunks given are scored. posted: stored postings (term, hash_seq, len, tf) of a
+    table that holds the chunks; no text is read then. Without, chunk words meet the
+    broadcast query terms before any shuffle, so only matching words are aggregated.
     """
     terms = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    terms = small(terms)
-    posts = postings(chunks, small(terms.select("term").distinct()), boost=policy(as_of_ms))
+    asked = measured(terms)
+    hint = F.broadcast if asked[1] <= MAX_BROADCAST_BYTES else lambda df: df
+    known = hint(terms.select("term").distinct())
+    if posted is None:
+        posts = postings(chunks, known, boost=policy(as_of_ms))
+    else:
+        own = chunks.select("hash_seq", "file_path", policy(as_of_ms).alias("boost"))
+        posts = posted.select("term", "hash_seq", "len", "tf").join(known, "term").join(own, "hash_seq")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = posts.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
-    summed = scored.groupBy("query_id", "hash_seq", "file_path", "boost").agg(F.round(F.sum(F.col("qn") * idf * tf), DIGITS).alias("raw"))
+    weighed = hint(terms.join(df, "term")).crossJoin(F.broadcast(stats)).select("query_id", "term", F.col("qn"), idf.alias("idf"), "avgdl")
+    scored = posts.join(weighed, "term")
+    summed = scored.groupBy("query_id", "hash_seq", "file_path", "boost").agg(F.round(F.sum(F.col("qn") * F.col("idf") * tf), DIGITS).alias("raw"))
     found = summed.where("raw > 0").select("query_id", "file_path", "hash_seq", F.round(F.col("raw") * F.col("boost"), DIGITS).alias("score"))
     return top_ranked(best_per_file(found), limit)
 
@@ -76,65 +117,87 @@ def bm25(
 def vector_search(chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, limit: int = 20, blocks: bool = False) -> DataFrame:
     """(query_id, file_path, hash_seq, score, rank0): (1 + cosine) / 2 times policy, best chunk per file.
 
-    queries: query_id, vector. blocks=True multiplies Arrow batches with the query matrix
-    and keeps the best rows of each task; the result is that of the expression path.
+    queries: query_id, vector. blocks=True, and any number of queries beyond a broadcast,
+    multiplies Arrow batches with query matrices and keeps the best files of each task;
+    the result is that of the expression path.
     """
     rows = chunks.where("vector is not null").select("hash_seq", "file_path", "vector", policy(as_of_ms).alias("boost"))
     asked = queries.where("vector is not null").select("query_id", F.col("vector").alias("q"))
-    if blocks:
-        return top_ranked(best_per_file(_by_blocks(rows, asked, limit)), limit)
-    similar = vectors.cosine(F.col("vector"), F.col("q"))
-    met = rows.crossJoin(F.broadcast(asked)) if asked.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES else None
-    if met is None:
+    if blocks or not _fits(asked):
         return top_ranked(best_per_file(_by_blocks(rows, asked, limit)), limit)
+    length = F.col("_n") * F.col("_m")
+    met = rows.withColumn("_n", vectors.norm(F.col("vector"))).crossJoin(F.broadcast(asked.withColumn("_m", vectors.norm(F.col("q")))))
+    similar = F.when(length > 0, vectors.dot(F.col("vector"), F.col("q")) / length).otherwise(F.lit(0.0))
     scored = met.select("query_id", "file_path", "hash_seq", F.round((1 + similar) / 2 * F.col("boost"), DIGITS).alias("score"))
     return top_ranked(best_per_file(scored), limit)
 
 
+def neighbours(rows: DataFrame, asked: DataFrame, limit: int, *, blocks: bool = False) -> DataFrame:
+    """(query_id, vec_id, cos, rank from 1): the nearest rows (vec_id, embedding) of each query (query_id, q), itself left out; ties go to the smaller id."""
+    usable = rows.where("embedding is not null").select("vec_id", "embedding")
+    if blocks or not _fits(asked):
+        keyed = usable.select(F.col("vec_id").cast("string").alias("hash_seq"), F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("file_path"), F.col("embedding").alias("vector"), F.lit(1.0).alias("boost"))
+        near = _by_blocks(keyed, asked.where("q is not null"), limit + 1)
+        met = near.select("query_id", F.col("hash_seq").cast("long").alias("vec_id"), F.round(2 * F.col("score") - 1, DIGITS).alias("cos"))
+    else:
+        length = F.col("_n") * F.col("_m")
+        met = usable.withColumn("_n", vectors.norm(F.col("embedding"))).crossJoin(F.broadcast(asked.withColumn("_m", vectors.norm(F.col("q")))))
+        cos = F.when(length > 0, vectors.dot(F.col("embedding"), F.col("q")) / length).otherwise(F.lit(0.0))
+        met = met.select("query_id", "vec_id", F.round(cos, DIGITS).alias("cos"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("cos"), "vec_id")
+    return met.where("vec_id <> query_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def _best_of(score: np.ndarray, files: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the best row of each of the best `limit` files per query, with all that tie; rows are sorted by file and key."""
+    first = np.flatnonzero(np.concatenate([[True], files[1:] != files[:-1]]))
+    top = np.maximum.reduceat(score, first, axis=0)
+    floor = np.partition(top, len(top) - limit, axis=0)[len(top) - limit] if len(top) > limit else top.min(axis=0)
+    which, query = np.nonzero(top >= floor)
+    row = first[which]
+    long = np.diff(np.append(first, len(files)))[which] > 1
+    for i in np.flatnonzero(long):
+        end = first[which[i] + 1] if which[i] + 1 < len(first) else len(files)
+        row[i] += score[row[i] : end, query[i]].argmax()
+    return row, query
+
+
 def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """Per task and query the best rows of limit files, by matrix products over query blocks of bounded size."""
+    """Per task and query the best rows of limit files, by matrix products with blocks of queries of bounded size."""
+    spark, kind = rows.sparkSession, asked.schema["query_id"].dataType.simpleString()
+    out = f"query_id {kind}, file_path string, hash_seq string, score double"
+    total, size = measured(asked)
+    count = max(1, -(-total // MAX_BROADCAST_QUERIES), -(-size // MAX_BROADCAST_BYTES))
     parts = []
-    total = asked.count()
-    step = MAX_BROADCAST_QUERIES
-    numbered = asked if total <= step else asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(-(-total // step))))
-    for k in range(max(1, -(-total // step))):
-        block = numbered if total <= step else numbered.where(F.col("_b") == k).drop("_b")
-        got = block.collect()  # about MAX_BROADCAST_QUERIES rows
-        if not got:
+    for k in range(count):
+        got = (asked if count == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == k)).toArrow()  # one block of about the bound
+        if not got.num_rows:
             continue
-        q = np.array([r["q"] for r in got], np.float64)
-        held = rows.sparkSession.sparkContext.broadcast(([r["query_id"] for r in got], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-        kind = asked.schema["query_id"].dataType.simpleString()
+        matrix = np.array(got["q"].to_pylist(), np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        held = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), matrix))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, matrix = held.value
-            best: dict[int, dict[str, tuple]] = {}
+            best = pd.DataFrame({"q": np.zeros(0, np.int64), "f": [], "k": [], "s": np.zeros(0)})
             for b in batches:
-                if not b.num_rows:
-                    continue
-                v = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                cos = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                score = np.round((1 + cos) / 2 * b.column(3).to_numpy(zero_copy_only=False)[:, None], DIGITS)
-                keys, files = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for j in range(len(ids)):
-                    own = best.setdefault(j, {})
-                    take = np.argpartition(-score[:, j], min(len(keys), 4 * limit) - 1)[: 4 * limit] if len(keys) > 4 * limit else range(len(keys))
-                    floor = min(score[i, j] for i in take) if len(keys) > 4 * limit else -np.inf
-                    take = np.flatnonzero(score[:, j] >= floor)
-                    for i in take:
-                        now = (-score[i, j], keys[i])
-                        if files[i] not in own or now < own[files[i]]:
-                            own[files[i]] = now
-                    if len(own) > limit:
-                        best[j] = dict(sorted(own.items(), key=lambda x: (x[1][0], x[0]))[:limit])
-            out = [(ids[j], f, k, -s) for j, own in best.items() for f, (s, k) in own.items()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], ["query_id", "file_path", "hash_seq", "score"])
-
-        parts.append(rows.mapInArrow(run, f"query_id {kind}, file_path string, hash_seq string, score double"))
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    part = part.take(pc.sort_indices(part, sort_keys=[("file_path", "ascending"), ("hash_seq", "ascending")]))
+                    v = np.array(part.column(2).to_pylist(), np.float64)
+                    cos = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    score = np.round((1 + cos) / 2 * part.column(3).to_numpy(zero_copy_only=False)[:, None], DIGITS)
+                    keys, files = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                    row, query = _best_of(score, files, limit)
+                    best = pd.concat([best, pd.DataFrame({"q": query, "f": files[row], "k": keys[row], "s": score[row, query]})])
+                    best = best.sort_values(["q", "s", "f", "k"], ascending=[True, False, True, True]).drop_duplicates(["q", "f"]).groupby("q").head(limit)
+            columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), pa.array(best["f"], pa.string()), pa.array(best["k"], pa.string()), pa.array(best["s"], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "file_path", "hash_seq", "score"])
+
+        parts.append(rows.mapInArrow(run, out))
     if not parts:
-        return rows.sparkSession.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, file_path string, hash_seq string, score double")
-    out = parts[0]
+        return spark.createDataFrame([], out)
+    every = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        every = every.unionByName(p)
+    return every

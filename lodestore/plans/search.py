@@ -10,6 +10,8 @@ from ..operators import fusion, retrieval
 from ..operators.filters import live, visible, within
 
 PROBE = 20
+#: A fused hit in memory, at most: keys, names of branches and numbers.
+HIT_BYTES = 512
 DETAILS = ["file_path", "hash_seq", "content_type", "title", "text_body", "memory_id", "memory_role", "memory_root_path", "tags"]
 
 
@@ -25,7 +27,8 @@ def expanded(queries: DataFrame) -> DataFrame:
 
 
 def branches(
-    chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, probe: int = PROBE, modes=("vec", "fts"), blocks: bool = False, variants: DataFrame | None = None
+    chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, probe: int = PROBE, modes=("vec", "fts"), blocks: bool = False, variants: DataFrame | None = None,
+    posted: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(query_id, branch, file_path, hash_seq, score, rank0) and the branch names in insertion order.
 
@@ -40,7 +43,7 @@ def branches(
             parts.append(retrieval.vector_search(chunks, own, as_of_ms=as_of_ms, limit=probe, blocks=blocks).withColumn("branch", F.lit(f"original_vec_exp{k}")))
             order.append(f"original_vec_exp{k}")
     if "fts" in modes:
-        parts.append(retrieval.bm25(chunks, queries, as_of_ms=as_of_ms, limit=probe).withColumn("branch", F.lit("original_fts")))
+        parts.append(retrieval.bm25(chunks, queries, as_of_ms=as_of_ms, limit=probe, posted=posted).withColumn("branch", F.lit("original_fts")))
         order.append("original_fts")
     out = parts[0]
     for p in parts[1:]:
@@ -61,13 +64,20 @@ def hybrid(
     modes=("vec", "fts"),
     probe: int = PROBE,
     rolled: bool = True,
+    posted: DataFrame | None = None,
     **rerank_options,
 ) -> DataFrame:
-    """Results of every query (query_id, query, vector) with their provenance; rolled=False stops before the roll-up."""
+    """Results of every query (query_id, query, vector) with their provenance; rolled=False stops before the roll-up.
+
+    posted: stored postings of the chunks. The hits, of which each query has
+    candidate_limit at most, are broadcast to the chunks if that bound is small enough.
+    """
     rows = searchable(chunks, as_of_ms, content_type=content_type, **(scope or {}))
-    found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes)
+    found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes, posted=posted)
     media = rows.select("file_path", "content_type").distinct() if content_type in ("image", "video") else None
     fused = fusion.fuse(found, order, intent=intent, content_type=content_type, limit=limit, media=media)
+    if queries.count() * fusion.candidate_limit(limit) * HIT_BYTES <= retrieval.MAX_BROADCAST_BYTES:
+        fused = F.broadcast(fused)
     reranked = fusion.rerank(fused, rows.select(*DETAILS), queries, top_k=rerank_top_k, **rerank_options)
     blended = fusion.blend(reranked)
     return fusion.roll_up(blended, limit) if rolled else blended

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows of an Arrow batch in the steps of an operator.
+ARROW_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a folder in the warehouse stands in where it is unset (tests)."""
+    """Use the cluster's spark.checkpoint.dir; on one machine (tests) a folder in the warehouse stands in where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
@@ -50,19 +55,44 @@ class Stage:
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """f over the batches of a task; as it ends, the worker hands freed memory back."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim_memory()
+
+    return run
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Actions on DataFrames made inside drop their shuffle files as they end; their results are tables or checkpoints."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    """Actions on DataFrames made inside drop their shuffle files as they end; their results are tables or checkpoints.
+
+    Their Arrow batches have ARROW_ROWS rows, so that few texts are held at once.
+    """
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def trim_memory() -> None:
+    """Hand freed memory back to the system: workers outlive their tasks, and large arrays leave holes."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def drops_shuffles(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

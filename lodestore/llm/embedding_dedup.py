@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drops_shuffles
+from .common import cut, drops_shuffles, trimmed
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -141,6 +141,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     pivots = spark.sparkContext.broadcast(_units(rows["embedding"].combine_chunks(), width))
     element = vectors.schema["embedding"].dataType.simpleString()
 
+    @trimmed
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radius, size = np.full(count, -1.0), np.zeros(count, np.int64)
         for b in batches:
@@ -157,6 +158,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
         radii[r["cell"]] = r["r"]
     bounds = spark.sparkContext.broadcast(radii)
 
+    @trimmed
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):

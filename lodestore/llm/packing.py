@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut
+from .common import batches_of, cut, trimmed
 
 CAPACITY = 4096
 END_ID = 1
@@ -178,6 +178,7 @@ def pack_documents(
         if rows:
             yield _arrow_bins(rows, kind_)
 
+    @trimmed
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, items, id_type = _tokens(held.value), [], None
         for b in batches_of(batches):
@@ -194,6 +195,7 @@ def pack_documents(
             yield from emit(items, 0, id_type)
 
     def later(level: int):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, id_type = [], None
             for b in batches:

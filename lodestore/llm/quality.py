@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from zstandard import compress, decompress
 
-from .common import batches_of, cut
+from .common import batches_of, cut, trimmed
 
 #: Hash buckets of the n-gram table (2 ** BITS) at least.
 BITS = 16
@@ -132,6 +132,7 @@ def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS
         kinds = (pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], ["chunk", "raw", "target"])
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = [{}, {}]
 
@@ -169,6 +170,7 @@ def ngram_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS
     """(bucket, n_raw, n_target) over all documents, of the buckets that occur."""
     width = 1 << min(bits, CHUNK_BITS)
 
+    @trimmed
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, raw, trusted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -215,6 +217,7 @@ def joined_scores(docs: DataFrame, labels: DataFrame | None, *, bits: int, max_t
     own = F.log((F.col("n_target") + alpha) / F.lit((trusted or 0) + alpha * (1 << bits))) - F.log((F.col("n_raw") + alpha) / F.lit((raw or 0) + alpha * (1 << bits)))
     weights = counts.select("bucket", (own if trusted else F.lit(0.0)).alias("w"))
 
+    @trimmed
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 1 << 20):
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -261,6 +264,7 @@ def quality_rules(
     ).format(docs.schema["doc_id"].dataType.simpleString())
     held = None if joined else _sent(docs, weights)
 
+    @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = None if joined else np.frombuffer(held.value, np.float32)
         for b in batches_of(batches):
@@ -292,6 +296,7 @@ def quality_filter(
     if joined:
         docs = joined_scores(docs, labels, bits=bits, **fit)
 
+    @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = None if joined else np.frombuffer(held.value, np.float32)
         for b in batches_of(batches):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of
+from .common import batches_of, trimmed
 
 SPACE = "▁"
 #: Stretches that a worker remembers; beyond it the memory starts anew.
@@ -207,6 +207,7 @@ def sentencepiece_codec(docs: DataFrame, model_file: str, *, with_ids: bool = Tr
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(held.value)
         for b in batches_of(batches, 2 << 20):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, trimmed
 
 SHARDS = 16
 #: Allowed distance of a splitter from its wanted byte count, as a share of a shard.
@@ -34,6 +34,7 @@ def count_below(keyed: DataFrame, probes: list[int]) -> tuple[list[int], list[in
     """Exact bytes and rows with key < probe, for each of the ascending probes (keyed: key long, size long)."""
     edges = np.array(probes, np.int64)
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, rows = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
         for b in batches:

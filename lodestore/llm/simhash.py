@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, drops_shuffles
+from .common import batches_of, cut, drops_shuffles, trimmed
 from .components import connected_components
 
 WIDTH = 3
@@ -78,6 +78,7 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, *, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
             got = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
@@ -130,6 +131,7 @@ def simhash_groups(
 def shingle_weights(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarray:
     """How many texts hold a shingle of each of 2 ** bits hash buckets: one partial histogram per task, then a sum per bucket."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << bits, np.int64)
         for b in batches_of(batches):
@@ -172,6 +174,7 @@ def near_copies(
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.where("doc_id is not null").select("doc_id", "text")
 
+    @trimmed
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
@@ -190,11 +193,13 @@ def near_copies(
     bits = min(max(classes.count().bit_length(), MIN_BITS), MAX_BITS)
     held = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, bits, words))
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
             out = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "set"])
 
+    @trimmed
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 1 << 20):
             every = [x.values.to_numpy().view("<u8") for x in b.column(1)]

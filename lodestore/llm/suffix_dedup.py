@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, cut, fresh, shuffles_dropped
+from .common import Stage, cut, fresh, shuffles_dropped, trimmed
 
 LENGTH = 400
 #: Length at which repeated passages of over 50 words go: the shortest of those have some 250 bytes.
@@ -36,12 +36,12 @@ PASSAGE = 240
 #: Longest k-gram; shorter windows are named by grams of a fifth of their length.
 GRAM = 64
 #: Blocks per window: the merge takes so many iterations.
-DEPTH = 4
+DEPTH = 2
 #: Elements of a partition's transforms, and of one shard.
-PARTITION_BYTES = 1 << 20
-SHARD_BYTES = 1 << 19
+PARTITION_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 #: A name with more different segments is hot: its intervals are refined over all partitions, no task holds them.
-MAX_SEGMENTS = 300
+MAX_SEGMENTS = 4000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -202,26 +202,27 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int, depth: int
     """(first, last) start of each segment at which its `length` bytes occur at another start of any segment; -1 without one.
 
     Segments (at least `length` bytes each) stand end to end in data. A suffix starts at
-    every byte; its symbols are the blocks of length / depth bytes from there on, and
-    each segment holds one string per residue, closed by an end mark (symbol 0).
+    every byte from which a block of length / depth bytes is left; its symbols are the
+    blocks from there on. Each segment holds one circular string per residue: a suffix
+    that wraps around is no start, and no start wraps within depth blocks.
     """
     size = length // depth
     begins = np.concatenate([[0], ends[:-1]])
-    sizes, m = ends - begins, len(ends)
-    offset = begins + np.arange(m)  # every segment has one element more than bytes
-    owner = np.repeat(np.arange(m), sizes + 1)
-    local = np.arange(len(owner)) - offset[owner]
-    byte = np.minimum(local + begins[owner], max(0, len(data) - size))
+    m, counts = len(ends), ends - begins - size + 1
+    offset = np.cumsum(counts) - counts
+    total = int(counts.sum())
+    owner = np.repeat(np.arange(m), counts)
+    byte = np.arange(total) + (begins - offset)[owner]
     hashes = Hashes(data)
-    blocks = hashes.every(size)
-    inside = local <= sizes[owner] - size
-    symbol = np.where(inside, (blocks[byte] >> _BITS) | np.uint64(1), np.uint64(0))
-    tail = sizes[owner] - size + 1
-    before = np.where(local >= size, np.arange(len(owner)) - size, offset[owner] + tail + (local - tail) % size)
+    symbol = hashes.every(size)[byte] >> _BITS
+    before = np.arange(total) - size
+    residue = np.arange(size)
+    head = offset[:, None] + residue
+    before[head] = head + (counts[:, None] - 1 - residue) // size * size
 
     part = (offset // shard_bytes) if offset[-1] >= shard_bytes else (np.arange(m) * 2 // m)
     first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-    bounds = np.concatenate([offset[first], [len(owner)]])
+    bounds = np.concatenate([offset[first], [total]])
     shards = [shard_transform(np.arange(a, b), before, symbol, depth) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     if len(shards) == 1:
         shards.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
@@ -231,8 +232,9 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int, depth: int
         shards = [x[:2] for x in merged] + (shards[-1:] if len(shards) % 2 else [])
     sa = shards[0][0]
 
-    starts = local[sa] + length <= sizes[owner[sa]]
-    same = np.flatnonzero((interval[1:] == interval[:-1]) & starts[1:] & starts[:-1])
+    starts = byte[sa] + length <= ends[owner[sa]]
+    sa, interval = sa[starts], interval[starts]
+    same = np.flatnonzero(interval[1:] == interval[:-1])
     same = same[_equal(data, byte, owner, sa[same], sa[same + 1], length)]
     hit = np.zeros(len(sa), bool)
     hit[same] = hit[same + 1] = True
@@ -241,8 +243,9 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int, depth: int
     if len(spots):
         seg = owner[spots]
         new = np.concatenate([[True], seg[1:] != seg[:-1]])
-        lo[seg[new]] = local[spots[new]]
-        hi[seg[np.concatenate([new[1:], [True]])]] = local[spots[np.concatenate([new[1:], [True]])]]
+        old = np.concatenate([new[1:], [True]])
+        lo[seg[new]] = spots[new] - offset[seg[new]]
+        hi[seg[old]] = spots[old] - offset[seg[old]]
     return lo, hi
 
 
@@ -299,17 +302,18 @@ def _place() -> tuple[Column, Column, Column, Column]:
 def runs_table(keyed: DataFrame, lengths: tuple[int, ...], gram: int | None = None) -> DataFrame:
     """(k1, k2, h, g, at): the runs of every length in all texts, from one scan."""
 
+    @trimmed
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                raws = [(t or "").encode() for t in part.column(2).to_pylist()]
+                raws, keys = [(t or "").encode() for t in part.column(2).to_pylist()], part.select(["k1", "k2"])
                 for level, length in enumerate(lengths):
                     for rows, offsets, data, ends in _units(raws, length):
                         name, segment, starts, counts, twice = runs_of(data, ends, length, gram or gram_of(length))
                         unit = np.searchsorted(ends, starts, side="right")
                         spot = starts - np.concatenate([[0], ends[:-1]])[unit] + np.array(offsets)[unit]
-                        own = part.take(pa.array(np.array(rows)[unit]))
+                        own = keys.take(pa.array(np.array(rows)[unit]))
                         yield pa.RecordBatch.from_arrays(
                             [own.column(0), own.column(1), _signed(name ^ np.uint64(level * 0x9FB21C651E98DF25 & (1 << 64) - 1)), _signed(segment), pa.array(spot << 12 | level << 10 | counts << 1 | twice)],
                             ["k1", "k2", "h", "g", "at"],
@@ -322,6 +326,7 @@ def contested_bytes(keyed: DataFrame, segments: DataFrame, lengths: tuple[int, .
     """(h, g, n, level, bytes) of segments (h, g, n, k1, k2, at), cut out of the texts they name."""
     wanted = segments.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "at", "n")).alias("runs"))
 
+    @trimmed
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
@@ -345,6 +350,7 @@ _FOUND = "h long, g long, first long, last long"
 def merged_starts(taken: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(h, g, first, last): first and last repeated start of the segments that occur once, by merged transforms per partition."""
 
+    @trimmed
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, single, parts, size, now = [], [], [], [], 0, 0
 
@@ -383,6 +389,7 @@ def refined_starts(taken: DataFrame, lengths: tuple[int, ...], stage: Stage) ->
     """
     blocks = [f"b{t}" for t in range(DEPTH)]
 
+    @trimmed
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, g, n, level, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -475,6 +482,7 @@ def suffix_dedup(
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"`{n}` {k}" for n, k in zip(added, kinds, strict=False)])
     carried = [c for c in docs.columns if c != "text"]
 
+    @trimmed
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):

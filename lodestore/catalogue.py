@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .functions.entities import mentions
 from .operators import evaluate, filters, fusion, graph, memories, retrieval
 from .plans import index, search, store
 from .plans.tables import AS_OF_MS, memory_chunks, read, search_queries
+from .sources import folder
 from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,15 +297,99 @@ def orphan_content(spark, sf_dir):
     return store.orphans(rows.select(F.col("content_hash").alias("hash")).distinct(), rest, rest)
 
 
+def _store(spark, sf_dir):
+    """A store of its own that holds the memories."""
+    kept = store.Store(spark, f"{index.shared_folder(spark)}/store-{uuid4().hex}")
+    rows = memory_chunks(spark, sf_dir, vectors=False)
+    docs = rows.withColumns({"id": identity.name_uuid(F.concat_ws("::", "memory_id", "file_path")), "created_at": F.col("embedded_at"), "updated_at": F.col("embedded_at")})
+    content = rows.select(F.col("content_hash").alias("hash"), F.col("text_body").alias("doc"), F.lit("text").alias("content_type"), F.lit(AS_OF_MS).alias("created_at")).dropDuplicates(["hash"])
+    kept.commit({"embeddings": rows, "documents": docs, "content": content})
+    return kept
+
+
 @query
 def rename_collection(spark, sf_dir):
-    rows = memory_chunks(spark, sf_dir, vectors=False)
-    return rows.select("doc_id", F.when(F.col("collection") == "c0", "renamed").otherwise(F.col("collection")).alias("collection"), "memory_id")
+    kept = _store(spark, sf_dir)
+    kept.rename_collection("c0", "renamed")
+    chunks = kept.table("embeddings").select("file_path", "collection", "memory_id")
+    return chunks.join(kept.table("documents").select("file_path", F.col("collection").alias("document_collection")), "file_path")
 
 
 @query
 def delete_collection(spark, sf_dir):
-    return memory_chunks(spark, sf_dir, vectors=False).where("collection <> 'c0'").groupBy("collection").agg(F.count("*").alias("n"))
+    kept = _store(spark, sf_dir)
+    kept.delete_collection("c0")
+    count = lambda name, by: kept.table(name).groupBy(by.alias("collection")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "collection", "n")
+    return count("embeddings", F.col("collection")).unionByName(count("documents", F.col("collection"))).unionByName(count("content", F.lit("")))
+
+
+@query
+def delete_memory(spark, sf_dir):
+    """The memory of doc/8 leaves: its documents are hidden, its chunks gone."""
+    kept = _store(spark, sf_dir)
+    kept.delete_memory(kept.get_memory(path="doc/8").first().memory_id)
+    chunks = kept.table("embeddings").select("file_path", F.lit(True).alias("_has"))
+    return kept.table("documents").join(chunks, "file_path", "left").select("file_path", "active", F.coalesce("_has", F.lit(False)).alias("has_chunk"))
+
+
+@query
+def get_memory(spark, sf_dir):
+    got = _store(spark, sf_dir).get_memory(path="doc/8")
+    paths = lambda c: F.array_join(F.transform(c, lambda x: x["path"]), ",")
+    told = F.array_join(F.transform("snippets", lambda x: x["text"]), "|")
+    return got.select("memory_id", "path", "collection", paths("children").alias("children"), paths("snippets").alias("snippets"), F.sha2(told, 256).alias("told"), F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def upsert_memory(spark, sf_dir):
+    """Every fiftieth document gets another text; the rest and all created_at stay."""
+    kept = _store(spark, sf_dir)
+    old = memory_chunks(spark, sf_dir, vectors=False).where("doc_id % 50 = 0")
+    texts = old.select("collection", "file_path", "user_id", "session_id", "project_id", "profile", "memory_root_path", F.concat(F.lit("Updated text "), F.col("doc_id").cast("string")).alias("text"))
+    kept.upsert_memory(texts, now_ms=AS_OF_MS)
+    chunks = kept.table("embeddings").select("file_path", "collection", "memory_id", "content_hash", "active")
+    return chunks.join(kept.table("documents").select("file_path", "created_at", "updated_at", F.col("content_hash").alias("document_hash")), "file_path")
+
+
+@query
+def parent_summaries(spark, sf_dir):
+    return memories.parent_summaries(memory_chunks(spark, sf_dir, vectors=False))
+
+
+@query
+def result_bodies(spark, sf_dir):
+    """Bodies of results whose chunk text is missing for every third document: those come from the content table."""
+    rows = index.opened(spark, sf_dir).chunks
+    content = rows.select(F.col("content_hash").alias("hash"), F.col("text_body").alias("doc")).dropDuplicates(["hash"])
+    empty = rows.withColumn("text_body", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text_body")))
+    got = retrieval.vector_search(_live(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS).select("query_id", "file_path", "hash_seq")
+    return search.with_bodies(got, empty, content).select("query_id", "file_path", F.sha2("body", 256).alias("body_hash"))
+
+
+@query
+def search_image(spark, sf_dir):
+    """Benchmark texts as captions of images that have the queries' vectors."""
+    found = index.opened(spark, sf_dir)
+    media = search_queries(spark, sf_dir).select("query_id", "vector", F.col("query").alias("caption"))
+    got = search.search_media(found.chunks, media, as_of_ms=AS_OF_MS, posted=found.postings, content_type="image")
+    return got.select("query_id", "path", "rank", "rerank_path", "compensated", *_r("score"))
+
+
+@query
+def benchmark_paths(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("memo://c1/doc/"), i, F.lit("::section:0001"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("/data/corpus/a/"), i, F.lit(".md")))
+    path = path.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("./x/"), i, F.lit(".md"))).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("v/"), i, F.lit(".transcript.json"))).otherwise(F.concat(F.lit("  doc  "), i, F.lit("::a ")))
+    return read(spark, sf_dir, "documents").select("doc_id", identity.corpus_path(path, "/data/corpus").alias("path"), identity.memory_key(path, "/data/corpus").alias("memory_key"))
+
+
+@query
+def query_categories(spark, sf_dir):
+    """Benchmark texts by their openings' words and by the kinds of the rows they find."""
+    asked = _phrased(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 3 == 0, F.substring_index("query", " ", 2)).otherwise(F.col("query")).alias("query"))
+    kind = F.when(F.col("item_id") % 4 == 0, "image").when(F.col("item_id") % 4 == 1, "text")
+    targets = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), kind.alias("content_type")).where("content_type is not null")
+    return evaluate.query_categories(asked, targets)
 
 
 @query
@@ -385,11 +471,11 @@ def visual_query_flag(spark, sf_dir):
 
 
 def _phrased(spark, sf_dir):
-    """Benchmark texts behind openings that do or do not ask for a picture."""
-    openings = ["show me ", "The mapreduce show ", "a diagram of ", "", "tableau ", "photo of the ", "show ", "my wireframes "]
+    """Benchmark texts behind openings that do or do not ask for a picture or a question."""
+    openings = ["show me ", "The mapreduce show ", "a diagram of ", "", "tableau ", "photo of the ", "show ", "my wireframes ", "how to ", " What is ", "the difference between ", "how many of "]
     items = read(spark, sf_dir, "benchmark")
     head = F.element_at(F.array(*map(F.lit, openings)), (F.col("item_id") % len(openings)).cast("int") + 1)
-    return items.select(F.col("item_id").alias("query_id"), F.concat(head, F.substring("text", 1, 40)).alias("query"))
+    return items.select(F.col("item_id").alias("query_id"), F.concat(head, "text").alias("query"))
 
 
 @query
@@ -435,4 +521,4 @@ def stage_metrics(spark, sf_dir):
 def ingest_summary(spark, sf_dir):
     rows = memory_chunks(spark, sf_dir, vectors=False)
     status = F.when(F.length("text_body") > 5000, "too_large").when(F.col("active") == 0, "hidden").otherwise("ok")
-    return rows.groupBy("content_type", status.alias("status")).agg(F.count("*").alias("files"), F.sum(F.length("text_body")).alias("chars"))
+    return folder.ingest_summary(rows.select("content_type", status.alias("status"), F.octet_length("text_body").alias("length")))

@@ -53,3 +53,19 @@ def child_path(root: Column, kind: str, index: Column) -> Column:
 
 def graph_id(*parts: Column) -> Column:
     return F.sha2(F.encode(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "UTF-8"), 256)
+
+
+def corpus_path(path: Column, corpus: str = "") -> Column:
+    """A result's path within a corpus: without scheme and collection, the corpus folder, white space runs and leading dots and slashes; null is empty."""
+    raw = F.trim(F.coalesce(path, F.lit("")))
+    named = F.regexp_extract(raw, r"^[a-z][a-z0-9+.-]*://[^/]*/(.+)$", 1)
+    bare = F.regexp_replace(F.when(named != "", named).otherwise(F.regexp_replace(raw, r"^[a-z][a-z0-9+.-]*://", "")), r"\s+", " ")
+    folder = corpus.rstrip("/") + "/"
+    inside = F.when(F.lit(bool(corpus)) & bare.startswith(folder), F.substring(bare, len(folder) + 1, 1 << 30)).otherwise(bare)
+    return F.when(inside.startswith("/"), inside).otherwise(F.regexp_replace(inside, r"^[./]+", ""))
+
+
+def memory_key(path: Column, corpus: str = "") -> Column:
+    """The path of the memory that a path belongs to: a transcript stands for its video, a child for its root."""
+    own = corpus_path(path, corpus)
+    return F.when(own.endswith(".transcript.json"), F.regexp_replace(own, r"\.transcript\.json$", ".mp4")).otherwise(F.substring_index(own, "::", 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,30 @@ def diagnostics(per_group: DataFrame, target: float = 0.6) -> DataFrame:
     issue = F.when(F.col("hit_at_10") < target, "recall").when(F.col("hit_at_1") < F.col("hit_at_10") - 0.25, "ranking").when(F.col("mrr") < 0.4, "depth").otherwise("none")
     extra = F.when(issue == "recall", 0.15).otherwise(0.0) + F.when(issue == "ranking", 0.05).otherwise(0.0) + F.when(F.col("mrr") < 0.4, 0.05).otherwise(0.0)
     return per_group.withColumns({"issue": issue, "priority": F.round(gap + extra, 9)})
+
+
+def query_categories(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, category): a query counts in every category that fits.
+
+    queries: query_id, query. targets: query_id, content_type of its relevant items.
+    text_only and image_only by all targets, cross_modal where words and targets differ
+    in kind, short_query up to 2 words, long_query from 6.
+    """
+    kinds = targets.groupBy("query_id").agg(F.max(F.col("content_type") == "image").alias("image"), F.max(F.col("content_type") == "text").alias("text"))
+    image, text = (F.coalesce(F.col(c), F.lit(False)) for c in ("image", "text"))
+    says = F.lower("query").rlike("diagram|visual|image|picture|photo")
+    words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != ""))
+    fits = {"image_only": image & ~text, "text_only": text & ~image, "cross_modal": image != says, "short_query": words <= 2, "long_query": words >= 6}
+    named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fits.items()]))
+    return queries.join(kinds, "query_id", "left").select("query_id", F.explode(named).alias("category"))
+
+
+def with_typo(query: Column, seed: int = 42) -> Column:
+    """A query with two neighbouring letters of one word swapped, both chosen by a hash; short words and single words stay."""
+    words = F.split(query, r"\s+")
+    at = F.pmod(F.xxhash64(query, F.lit(seed)), F.size(words)).cast("int")
+    word = F.get(words, at)
+    place = (F.pmod(F.xxhash64(query, F.lit(seed + 1)), F.greatest(F.length(word) - 1, F.lit(1))) + 1).cast("int")
+    swapped = F.concat(F.substring(word, F.lit(1), place - 1), F.substring(word, place + 1, F.lit(1)), F.substring(word, place, F.lit(1)), F.substring(word, place + 2, F.length(word)))
+    turned = F.array_join(F.transform(words, lambda w, i: F.when(i == at, swapped).otherwise(w)), " ")
+    return F.when((F.size(words) < 2) | (F.length(word) < 3), query).otherwise(turned)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.generated import parent_summary
 from ..functions.text import compact, shortened
-from .filters import is_root, visible
+from .filters import is_root, visible, within
 
-SUMMARY, SUMMARY_FROM, SUMMARY_PARTS = 320, 280, 2
+SUMMARY, SUMMARY_FROM, SUMMARY_PARTS, PARENT = 320, 280, 2, 4000
 
 
 def _ordered(value: Column) -> Column:
@@ -40,6 +41,36 @@ def list_memories(documents: DataFrame, limit: int = 50) -> DataFrame:
     return documents.where(visible() & is_root()).orderBy(F.desc("updated_at"), "file_path").limit(limit)
 
 
+def memory_view(documents: DataFrame, chunks: DataFrame, *, memory_id: str | None = None, path: str | None = None, snippets: int = 20, shown: int = 500, **scope: str | None) -> DataFrame:
+    """The memory of an id or, without one, of a root path: one row, or none if it is not visible.
+
+    memory_id, path, title, collection, children (path, title, content_type; by path) and
+    snippets (path, text; the root's first, then by path and place, the first 20 that are
+    not blank, 500 characters each). documents and chunks hold the columns of the store.
+    """
+    own = F.col("memory_id") == memory_id if memory_id else F.coalesce("memory_root_path", "file_path") == F.lit(path)
+    family = documents.where(visible() & within(**scope) & F.coalesce(own, F.lit(False)))
+    role = F.when(is_root(), 0).otherwise(1)
+    child = F.struct(F.col("file_path").alias("path"), F.coalesce("title", "file_path").alias("title"), F.col("content_type"))
+    rows = family.groupBy("collection", "memory_id").agg(
+        F.min_by(F.struct(F.coalesce("memory_root_path", "file_path").alias("path"), "title"), F.struct(role, F.col("file_path"))).alias("root"),
+        F.array_sort(F.collect_list(F.when(~is_root(), child))).alias("children"), F.min(role).alias("first"),
+    ).where("first = 0")
+    said = F.trim(F.coalesce("text_body", F.lit("")))
+    text = F.struct(role.alias("role"), F.col("file_path").alias("path"), F.coalesce("seq", F.lit(0)).alias("seq"), F.substring(said, 1, shown).alias("text"))
+    told = chunks.where(visible() & within(**scope) & F.coalesce(own, F.lit(False)) & (said != "")).groupBy("collection", "memory_id").agg(F.array_sort(F.collect_list(text)).alias("all"))
+    joined = rows.join(told.withColumnRenamed("collection", "_c").withColumnRenamed("memory_id", "_m"), (F.col("collection") == F.col("_c")) & (F.col("memory_id") == F.col("_m")), "left")
+    kept = F.transform(F.slice(F.coalesce("all", F.array().cast("array<struct<role:int,path:string,seq:int,text:string>>")), 1, snippets), lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
+    return joined.select("memory_id", "collection", F.col("root.path").alias("path"), F.coalesce("root.title", "root.path").alias("title"), "children", kept.alias("snippets"))
+
+
+def parent_summaries(snippets: DataFrame, title: str = "title") -> DataFrame:
+    """(memory_id, summary): what a memory's root is stored with, from its parts in order; the title if they are all blank."""
+    body = F.substring(compact(F.col("text_body")), 1, PARENT)
+    rows = snippets.groupBy("memory_id").agg(_ordered(body).alias("texts"), _ordered(F.col(title)).alias("titles"))
+    return rows.select("memory_id", parent_summary(F.col("texts"), F.get("titles", F.lit(0)), PARENT).alias("summary"))
+
+
 def list_collections(documents: DataFrame) -> DataFrame:
     return documents.where(visible()).select("collection").distinct()
 
@@ -75,13 +106,15 @@ def conversation_roots(children: DataFrame) -> DataFrame:
     first = F.when(F.col("seq") <= 8, F.struct("seq", "role", shortened(F.col("content"), 360).alias("content")))
     rows = children.groupBy("conv_id", "root_path", "title").agg(
         F.max("total").alias("total"), F.array_sort(F.collect_list(first)).alias("shown"), F.array_sort(F.collect_set("role")).alias("people"),
-        F.array_sort(F.collect_list(F.struct("seq", "role"))).alias("order"),
     )
+    # Roles in the order of their first turn: a row per role, not per turn, is gathered.
+    begins = children.groupBy("conv_id", "role").agg(F.min("seq").alias("seq")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role"))).alias("order"))
+    rows = rows.join(begins, "conv_id")
     said = F.transform("shown", lambda t: F.concat(F.lit("- Turn "), t["seq"].cast("string"), F.lit(" "), t["role"], F.lit(": "), t["content"]))
     lines = F.concat_ws(
         "\n", F.concat(F.lit("# "), F.col("title")), F.lit(""), F.concat(F.lit("Conversation with "), F.col("total").cast("string"), F.lit(" turns.")),
         F.concat(F.lit("Participants: "), F.array_join(F.slice("people", 1, 12), ", "), F.lit(".")), F.lit(""), F.lit("Turn excerpts:"), F.array_join(said, "\n"),
     )
-    roles = F.array_distinct(F.transform("order", lambda t: F.concat(F.lit("role:"), t["role"])))
+    roles = F.transform("order", lambda t: F.concat(F.lit("role:"), t["role"]))
     tags = F.slice(F.concat(F.array(F.lit("conversation"), F.concat(F.lit("turns:"), F.col("total").cast("string"))), roles), 1, 16)
     return rows.select("conv_id", F.col("root_path").alias("file_path"), "title", F.trim(F.substring(F.trim(lines), 1, 4000)).alias("text_body"), tags.alias("tags"), "total")

@@ -50,7 +50,7 @@ def memory_rows(texts: DataFrame, *, now_ms: int, embed=None, model: str = "none
     edges = co_mentions(found, key="unit").join(found.where("ord = 1").select("unit", *kept, "created_at"), "unit")
     return {
         "embeddings": chunks,
-        "documents": rows.withColumns({"id": F.expr("uuid()"), "created_at": F.col("now"), "updated_at": F.col("now")}),
+        "documents": rows.withColumns({"id": identity.name_uuid(F.concat_ws("::", "memory_id", "file_path")), "created_at": F.col("now"), "updated_at": F.col("now")}),
         "content": rows.select(F.col("content_hash").alias("hash"), F.col("text").alias("doc"), "content_type", F.col("now").alias("created_at")).dropDuplicates(["hash"]),
         "entities": found,
         "relations": edges,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_visual, visual_description
+from ..functions.generated import query_variants
 from ..operators import fusion, retrieval
 from ..operators.filters import live, visible, within
 
@@ -19,11 +19,16 @@ def searchable(chunks: DataFrame, as_of_ms: int, **scope: str | None) -> DataFra
     return chunks.where(visible() & live(as_of_ms) & within(**scope))
 
 
-def expanded(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) with variant 0 and, for visual ones, variant 1: a description of what the image shows."""
-    original = queries.withColumn("variant", F.lit(0))
-    other = queries.where(is_visual(F.col("query"))).withColumn("query", visual_description(F.col("query"))).withColumn("variant", F.lit(1))
-    return original.unionByName(other)
+def expanded(queries: DataFrame, generated=None) -> DataFrame:
+    """queries (query_id, query) with variant 0 and up to two other wordings as variants 1 and 2.
+
+    Visual queries get a description of what the image shows; others what a generator
+    says (a column of its text or a column function of the query) or, without usable
+    text, rewrites by rule. Null queries have no variants.
+    """
+    others = queries.select("*", F.posexplode(query_variants(F.col("query"), generated)).alias("_n", "_v"))
+    others = others.withColumns({"query": F.col("_v"), "variant": F.col("_n") + 1}).drop("_n", "_v")
+    return queries.withColumn("variant", F.lit(0)).unionByName(others)
 
 
 def branches(
@@ -32,19 +37,26 @@ def branches(
 ) -> tuple[DataFrame, list[str]]:
     """(query_id, branch, file_path, hash_seq, score, rank0) and the branch names in insertion order.
 
-    variants: query_id, variant (1, 2), vector; each adds a branch original_vec_exp<variant>.
+    variants: query_id, variant (1, 2) and vector, query or both: each variant adds a
+    branch original_vec_exp<variant> by its vector and original_fts_exp<variant> by its words.
     """
+    exp = (1, 2) if variants is not None else ()
+    by_words = [k for k in exp if "query" in variants.columns and "fts" in modes]
     parts, order = [], []
     if "vec" in modes:
         parts.append(retrieval.vector_search(chunks, queries, as_of_ms=as_of_ms, limit=probe, blocks=blocks).withColumn("branch", F.lit("original_vec")))
         order.append("original_vec")
-        for k in (1, 2) if variants is not None else ():
+        for k in exp if variants is not None and "vector" in variants.columns else ():
             own = variants.where(F.col("variant") == k)
             parts.append(retrieval.vector_search(chunks, own, as_of_ms=as_of_ms, limit=probe, blocks=blocks).withColumn("branch", F.lit(f"original_vec_exp{k}")))
             order.append(f"original_vec_exp{k}")
     if "fts" in modes:
         parts.append(retrieval.bm25(chunks, queries, as_of_ms=as_of_ms, limit=probe, posted=posted).withColumn("branch", F.lit("original_fts")))
         order.append("original_fts")
+        for k in by_words:
+            own = variants.where(F.col("variant") == k).select("query_id", "query")
+            parts.append(retrieval.bm25(chunks, own, as_of_ms=as_of_ms, limit=probe, posted=posted).withColumn("branch", F.lit(f"original_fts_exp{k}")))
+            order.append(f"original_fts_exp{k}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -65,6 +77,7 @@ def hybrid(
     probe: int = PROBE,
     rolled: bool = True,
     posted: DataFrame | None = None,
+    variants: DataFrame | None = None,
     **rerank_options,
 ) -> DataFrame:
     """Results of every query (query_id, query, vector) with their provenance; rolled=False stops before the roll-up.
@@ -73,7 +86,7 @@ def hybrid(
     candidate_limit at most, are broadcast to the chunks if that bound is small enough.
     """
     rows = searchable(chunks, as_of_ms, content_type=content_type, **(scope or {}))
-    found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes, posted=posted)
+    found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes, posted=posted, variants=variants)
     media = rows.select("file_path", "content_type").distinct() if content_type in ("image", "video") else None
     fused = fusion.fuse(found, order, intent=intent, content_type=content_type, limit=limit, media=media)
     if queries.count() * fusion.candidate_limit(limit) * HIT_BYTES <= retrieval.MAX_BROADCAST_BYTES:
@@ -83,6 +96,42 @@ def hybrid(
     return fusion.roll_up(blended, limit) if rolled else blended
 
 
+MAX_PROBE = 2000
+
+
+def media_probes(media: DataFrame) -> DataFrame:
+    """media (query_id, vector and caption, transcript or both) as queries: the probe text is the transcript and the caption, 2000 characters at most.
+
+    Equal parts count once. Without any text only the vector searches; without a vector only the text.
+    """
+    kept = [F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) for c in ("transcript", "caption") if c in media.columns]
+    parts = F.array_distinct(F.array_compact(F.array(*kept)))
+    return media.select("query_id", "vector", F.trim(F.substring(F.array_join(parts, " "), 1, MAX_PROBE)).alias("query"))
+
+
+def search_media(chunks: DataFrame, media: DataFrame, *, expand: bool = False, generated=None, embed=None, **options) -> DataFrame:
+    """Search by images or videos: their vectors, and the words of captions and transcripts, through the pipeline of hybrid().
+
+    expand adds branches for other wordings of the probe text; embed maps their text
+    column to vectors. Reranking is capped and gated as for media queries.
+    """
+    queries = media_probes(media)
+    variants = None
+    if expand:
+        variants = expanded(queries.select("query_id", "query"), generated).where("variant > 0")
+        variants = variants.withColumn("vector", embed(F.col("query"))) if embed else variants
+    return hybrid(chunks, queries, query_is_media=True, variants=variants, **options)
+
+
+def with_bodies(results: DataFrame, chunks: DataFrame, content: DataFrame) -> DataFrame:
+    """results (file_path, hash_seq) with their body: the chunk's text or, where that is empty, the whole content of its hash."""
+    text = chunks.select("file_path", "hash_seq", "content_hash", F.when(F.col("text_body") != "", F.col("text_body")).alias("_body"))
+    found = F.broadcast(results).join(text, ["file_path", "hash_seq"])
+    empty = found.where("_body is null").select("content_hash").distinct()
+    whole = content.join(empty, content["hash"] == empty["content_hash"], "left_semi").select(F.col("hash").alias("content_hash"), "doc")
+    return found.join(whole, "content_hash", "left").select(*results.columns, F.coalesce("_body", "doc", F.lit("")).alias("body"))
+
+
 def explain(chunks: DataFrame, queries: DataFrame, **options) -> DataFrame:
     """Provenance per result: scores of every stage, weights, path and boost, rounded to 4 digits for display."""
     out = hybrid(chunks, queries, **options)

@@ -14,7 +14,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters
+from ..operators import filters, memories
 from ..schema import TABLES, checked_name, conform
 
 KEYS = {"embeddings": ["collection", "user_id", "session_id", "project_id", "profile", "file_path", "hash_seq"], "content": ["hash"], "cache": ["key"]}
@@ -117,20 +117,85 @@ class Store:
     def delete_path(self, path: str, collection: str, *, children: bool = True, **namespaces: str | None) -> int:
         """Drop chunks and graph rows of a path and hide its documents; returns the number of chunks dropped."""
         family = filters.in_family(path) if children else F.col("file_path") == path
-        mine = F.coalesce(family & filters.within(collection=collection, **namespaces), F.lit(False))
+        return self._drop(family & filters.within(collection=collection, **namespaces))
+
+    def upsert_memory(self, texts: DataFrame, *, now_ms: int, embed=None, model: str = "none") -> int:
+        """Put texts (see ingest.memory_rows) in the place of what their paths held: chunks, mentions and edges are replaced, documents keep id and created_at.
+
+        One flip shows all of it. Paths count within their collection and namespaces; a
+        path that occurs twice in texts gets the chunks of both.
+        """
+        from .ingest import memory_rows
+
+        new = {n: conform(df, n) for n, df in memory_rows(texts, now_ms=now_ms, embed=embed, model=model).items()}
+        paths = KEYS["documents"]
+        replaced = new["documents"].select(paths).distinct()
+        out = {n: self._without(n, replaced, paths).unionByName(new[n]) for n in ("embeddings", "entities", "relations")}
+        old = self.table("documents")
+        out["documents"] = self.upserted(old, kept_identity(old, new["documents"]), paths)
+        have = self.table("content")
+        out["content"] = have.unionByName(new["content"].join(have.select("hash"), "hash", "left_anti"))
+        return self.commit(out)
+
+    def _without(self, name: str, keys: DataFrame, on: list[str]) -> DataFrame:
+        """Rows of a table whose columns `on` equal no row of keys; nulls are equal to each other."""
+        rows, other = self.table(name), keys.select(*[F.col(k).alias(f"_{k}") for k in on])
+        same = F.lit(True)
+        for k in on:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return rows.join(other, same, "left_anti")
+
+    def _drop(self, mine) -> int:
+        """Drop chunks and graph rows that a predicate holds for, hide the documents; returns the number of chunks."""
+        mine = F.coalesce(mine, F.lit(False))
         gone = self.table("embeddings").where(mine).count()
         out = {n: self.table(n).where(~mine) for n in ("embeddings", "entities", "relations")}
         out["documents"] = self.table("documents").withColumn("active", F.when(mine, 0).otherwise(F.col("active")).cast("byte"))
         self.commit(out)
         return gone
 
+    def delete_memory(self, memory_id: str, **scope: str | None) -> int:
+        """Drop the chunks and graph rows of a memory, root and children, and hide its documents; returns the number of chunks dropped."""
+        return self._drop((F.col("memory_id") == checked_name(memory_id, "memory_id")) & filters.within(**scope))
+
+    def delete_paths(self, paths: DataFrame, collection: str) -> int:
+        """The same for a table of paths (path) and their children, all in one flip."""
+        keys = paths.select(F.col("path").alias("_path")).where("_path is not null").distinct()
+        mine = F.col("collection") == checked_name(collection, "collection")
+        owners = F.array_compact(F.array("file_path", F.substring_index("file_path", "::", 1), "memory_root_path"))
+
+        def split(name: str) -> tuple[DataFrame, DataFrame]:
+            rows = self.table(name)
+            hit = rows.where(mine).select(F.col("file_path").alias("_file"), F.explode(owners).alias("_path")).join(keys, "_path", "left_semi").select("_file").distinct()
+            on = mine & (F.col("file_path") == F.col("_file"))
+            return rows.join(hit, on, "left_anti"), rows.join(hit, on, "left_semi")
+
+        kept, gone = split("embeddings")
+        n = gone.count()
+        out = {"embeddings": kept} | {t: split(t)[0] for t in ("entities", "relations")}
+        rest, hidden = split("documents")
+        out["documents"] = rest.unionByName(hidden.withColumn("active", F.lit(0).cast("byte")))
+        self.commit(out)
+        return n
+
+    def get_memory(self, memory_id: str | None = None, *, path: str | None = None, **scope: str | None) -> DataFrame:
+        """The memory of an id or root path with its children, snippets, summary and tags; no row if there is none."""
+        rows = self.table("embeddings")
+        found = memories.memory_view(self.table("documents"), rows, memory_id=memory_id, path=path, **scope)
+        own = F.coalesce(F.col("memory_id") == memory_id if memory_id else F.col("memory_root_path") == F.lit(path), F.lit(False))
+        return found.join(memories.summaries(rows.where(filters.visible() & own)).select("memory_id", "summary", "tags"), "memory_id", "left")
+
+    def cached(self, keys: DataFrame) -> DataFrame:
+        """keys (key) with the cached value, null for those that the cache does not hold."""
+        return keys.join(self.table("cache").select("key", "value"), "key", "left")
+
     def rename_collection(self, old: str, new: str) -> int:
         """Move a collection to a new name; refuses an existing one. Memory ids stay as they are."""
         checked_name(new, "new_name")
         if old == new:
             return self.version()
         names = ("embeddings", "documents", "entities", "relations")
-        if self.table("documents").where(F.col("collection") == new).limit(1).count():
+        if any(not self.table(n).where(F.col("collection") == new).isEmpty() for n in names):
             raise ValueError(f"collection {new!r} exists")
         moved = F.when(F.col("collection") == old, new).otherwise(F.col("collection"))
         return self.commit({n: self.table(n).withColumn("collection", moved) for n in names})

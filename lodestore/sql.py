@@ -97,13 +97,13 @@ _JACCARD = f"""case when len({_words("query", _PLAIN)}) = 0 or len({_words("text
   len(list_distinct(list_concat({_words("query", _PLAIN)}, {_words("text_body", _PLAIN)}))) end"""
 
 
-def blended(media_enabled: bool = False) -> str:
+def blended(media_enabled: bool = False, query_media: bool = False) -> str:
     """Ambiguity is not required here; text-only candidate sets take the text path."""
     return f"""
 joined as (select f.query_id, f.file_path, f.rrf, f.sources, f.compensated, f.rrf_rank, f.content_type, m.text_body, m.memory_id, m.memory_role, m.memory_root_path, m.lang, m.source, q.query
   from fused f join mem m using (file_path) join qs q using (query_id)),
-gates as (select *, bool_or(rrf_rank <= 20 and content_type in ('image', 'video')) over (partition by query_id) as media from joined),
-caps as (select *, case when media then 10 else 20 end as cap from gates),
+gates as (select *, {query_media} or bool_or(rrf_rank <= 20 and content_type in ('image', 'video')) over (partition by query_id) as media from joined),
+caps as (select *, case when {query_media} then 5 when media then 10 else 20 end as cap from gates),
 ins as (select *, rrf_rank <= cap and (length(trim(text_body)) > 0 or content_type in ('image', 'video')) as inside from caps),
 paths as (
   select *, case when media and not {media_enabled} then 'media_disabled' when not bool_or(inside) over q then case when media then 'media_no_rerankable_candidates' else 'no_rerankable_candidates' end
@@ -139,9 +139,9 @@ def _q(*stages: str, select: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}" + ",\n".join(s.strip() for s in stages) + "\n" + select
 
 
-def _hybrid(select: str, content_type: str | None = "text", limit: int = 10, media_enabled: bool = False, roll: bool = True) -> str:
+def _hybrid(select: str, content_type: str | None = "text", limit: int = 10, media_enabled: bool = False, roll: bool = True, query_media: bool = False, asked: str = QS) -> str:
     rows = f"typed as (select * from live where content_type = '{content_type}')" if content_type else "typed as (select * from live)"
-    parts = [MEM, LIVE, rows, QS, vec("typed"), bm25("typed"), fused(["original_vec", "original_fts"], content_type=content_type, limit=limit), blended(media_enabled)]
+    parts = [MEM, LIVE, rows, asked, vec("typed"), bm25("typed"), fused(["original_vec", "original_fts"], content_type=content_type, limit=limit), blended(media_enabled, query_media)]
     return _q(*parts, *([rolled(limit)] if roll else []), select=select)
 
 
@@ -174,8 +174,8 @@ kids as (select *, row_number() over (partition by conv_id order by turn, conten
 
 _PHRASES = "'show me|image of|photo of|picture of|architecture diagram|flow chart|mind map|that photo|that image|the diagram|the chart|the picture|the screenshot|visual representation'"
 _WORDS = "diagram|chart|screenshot|illustration|drawing|infographic|wireframe|mockup|sketch|whiteboard|portrait"
-_OPENINGS = "['show me ', 'The mapreduce show ', 'a diagram of ', '', 'tableau ', 'photo of the ', 'show ', 'my wireframes ']"
-PHRASED = f"phrased as (select item_id as query_id, {_OPENINGS}[item_id % 8 + 1] || substr(text, 1, 40) as query from benchmark)"
+_OPENINGS = "['show me ', 'The mapreduce show ', 'a diagram of ', '', 'tableau ', 'photo of the ', 'show ', 'my wireframes ', 'how to ', ' What is ', 'the difference between ', 'how many of ']"
+PHRASED = f"phrased as (select item_id as query_id, {_OPENINGS}[item_id % 12 + 1] || text as query from benchmark)"
 VISUAL = f"""flagged as (select *, lower(trim(query)) as low, regexp_matches(low, {_PHRASES}) or low = 'show' or regexp_matches(low, '\\b({_WORDS})\\b')
   or (regexp_matches(low, '\\bshow\\b') and not list_contains(regexp_split_to_array(low, '\\s+'), 'show')) as visual from phrased)"""
 _CORE = "low"
@@ -183,6 +183,15 @@ for _p in ["show me", "image of", "photo of", "picture of", "architecture diagra
     _CORE = f"replace({_CORE}, '{_p}', '')"
 _CORE = f"trim(regexp_replace(trim(regexp_replace({_CORE}, '\\b(show|{_WORDS})\\b', '', 'g')), '^\\s*(of|a|an|the|with|for|in)\\b\\s*', ''))"
 
+_REWRITES = [("how to", "guide for"), ("what is", "definition of"), ("best way to", "optimal method for"), ("difference between", "comparison of"), ("example of", "sample"), ("how do", "how does")]
+_RULED = " ".join(f"when instr(low, '{o}') > 0 then [substr(low, 1, instr(low, '{o}') - 1) || '{n}' || substr(low, instr(low, '{o}') + {len(o)})]" for o, n in _REWRITES)
+_BARE = f"trim(regexp_replace(regexp_replace({_compact("v")}, '^[\"''` ]+|[\"''` ]+$', '', 'g'), '^\\s*(?:[-*•]\\s*|\\d+[.)]\\s*)', ''))"
+ASKED = f"""ruled as (select query_id, low, list_filter(regexp_split_to_array(low, '\\s+'), lambda w: w <> '')[3:] as rest from flagged where not visual),
+turned as (select query_id, low, case {_RULED} when (starts_with(low, 'what ') or starts_with(low, 'how ')) and len(rest) > 0
+  then [array_to_string(rest, ' '), 'information about ' || array_to_string(rest, ' ')] else [] end as vs from ruled),
+items as (select query_id, low, unnest(vs) as v, generate_subscripts(vs, 1) as k from turned),
+others as (select query_id, {_BARE} as query, row_number() over (partition by query_id order by k) as variant from items where {_BARE} <> '' and lower({_BARE}) <> low)"""
+
 _JUDGED = """
 rel as (select file_path as item, max(quality) + 1 - max(toxic) as relevance from labels join mem using (doc_id) group by 1),
 judged as (select query_id, file_path, rank0 + 1 as rank, coalesce(relevance, 0) as rel from vec left join rel on item = file_path)"""
@@ -259,8 +268,24 @@ counts as (select memory_id, count(*) as snippets from mem group by 1)""", selec
 firsts as (select memory_id, t, min(o || k) as o from each group by 1, 2), nth as (select *, row_number() over (partition by memory_id order by o) as i from firsts)""", select="select memory_id, string_agg(t, ',' order by i) as tags from nth where i <= 8 group by 1"),
     "count_rows": _q(MEM, select="select count(*) as chunks, count(distinct memory_id) as memories, count(distinct content_hash) as contents from mem where active = 1"),
     "orphan_content": _q(MEM, select="select content_hash as hash from mem group by 1 having bool_and(collection = 'c0')"),
-    "rename_collection": _q(MEM, select="select doc_id, case collection when 'c0' then 'renamed' else collection end as collection, memory_id from mem"),
-    "delete_collection": _q(MEM, select="select collection, count(*) as n from mem where collection <> 'c0' group by 1"),
+    "rename_collection": _q(MEM, select="select file_path, case collection when 'c0' then 'renamed' else collection end as collection, memory_id, case collection when 'c0' then 'renamed' else collection end as document_collection from mem"),
+    "delete_collection": _q(MEM, "rest as (select * from mem where collection <> 'c0')", select="""select 'embeddings' as table_name, collection, count(*) as n from rest group by 2 union all select 'documents', collection, count(*) from rest group by 2
+union all select 'content', '', count(distinct content_hash) from rest"""),
+    "delete_memory": _q(MEM, select="select file_path, case when memory_root_path = 'doc/8' then 0 else active end as active, memory_root_path <> 'doc/8' as has_chunk from mem"),
+    "get_memory": _q(MEM, """own as (select * from mem where memory_root_path = 'doc/8' and active = 1),
+told as (select string_agg(file_path, ',' order by memory_role <> 'root', file_path) as snippets, string_agg(substr(trim(text_body), 1, 500), '|' order by memory_role <> 'root', file_path) as told from own where trim(text_body) <> ''),
+each as (select memory_role <> 'root' as c, file_path, unnest([lower(lang), 'src ' || lower(source)]) as t, unnest([1, 2]) as k from own),
+firsts as (select t, min({'c': c, 'f': file_path, 'k': k}) as o from each group by 1)""", select="""select memory_id, memory_root_path as path, collection, (select string_agg(file_path, ',' order by file_path) from own where memory_role <> 'root') as children,
+(select snippets from told) as snippets, (select sha256(told) from told) as told, (select string_agg(t, ',' order by o) from (select * from firsts order by o limit 8)) as tags from own where memory_role = 'root'"""),
+    "upsert_memory": _q(MEM, """new as (select *, doc_id % 50 = 0 as fresh, case when doc_id % 50 = 0 then sha256('Updated text ' || doc_id) else content_hash end as now from mem)""", select=f"""
+select file_path, collection, memory_id, now as content_hash, case when fresh then 1 else active end as active, embedded_at as created_at, case when fresh then {AS_OF_MS} else embedded_at end as updated_at, now as document_hash from new"""),
+    "parent_summaries": _q(MEM, f"""snips as (select memory_id, case memory_role when 'root' then 0 else 1 end as r, file_path, heading, substr({_compact("text_body")}, 1, 4000) as t from mem),
+firsts as (select memory_id, lower(t) as k, arg_min(t, r || file_path) as t, min(r || file_path) as o from snips where t <> '' group by 1, 2),
+nth as (select *, row_number() over (partition by memory_id order by o) as i, first_value(length(t)) over (partition by memory_id order by o) as l from firsts),
+chosen as (select memory_id, string_agg(t, chr(10) || chr(10) order by i) as s from nth where i = 1 or (i = 2 and l < 600) group by 1),
+titles as (select memory_id, arg_min(case when trim(heading) <> '' and trim(heading) not in ('Notes', '📝 Notes') then trim(heading) else list_extract(string_split(file_path, '/'), -1) end, r || file_path) as title from snips group by 1)""",
+        select=f"select memory_id, trim(substr(coalesce(s, {_compact("title")}), 1, 4000)) as summary from titles left join chosen using (memory_id)"),
+    "result_bodies": _q(MEM, LIVE, QS, vec(), select="select query_id, file_path, sha256(text_body) as body_hash from vec join (select file_path, text_body from mem) using (file_path)"),
     "promote_batch": _q(MEM, select="select doc_id, case when doc_id % 4 = 2 then 1 when memory_root_path = 'doc/8' then 0 else active end as active from mem"),
     "watch_latest_per_path": f"with {_CHANGES} select path, change, event_id from latest",
     "watch_batches": f"with {_CHANGES}, b as (select *, (row_number() over (order by ts, path) - 1) // 32 as batch from latest) select path, batch, row_number() over (partition by batch order by case change when 'deleted' then 0 else 1 end, ts, path) as step from b",
@@ -270,7 +295,17 @@ select path, case when not b then 'created' when not n then 'deleted' else 'modi
 b as (select item_id, v & 2047 as bucket, sum(case when (v >> 8) & 1 = 0 then 1.0 else -1.0 end)::double as s from h group by 1, 2)
 select item_id, bucket, round(s / sqrt(sum(s * s) over (partition by item_id)), 6) as value from b""",
     "visual_query_flag": _q(PHRASED, VISUAL, select="select query_id, visual from flagged"),
-    "expand_queries": _q(PHRASED, VISUAL, select=f"select query_id, 0 as variant, query from phrased union all select query_id, 1, case when {_CORE} = '' then low else 'A photograph or image showing ' || {_CORE} end from flagged where visual"),
+    "expand_queries": _q(PHRASED, VISUAL, ASKED, select=f"""select query_id, 0 as variant, query from phrased union all
+select query_id, 1, case when {_CORE} = '' then low else 'A photograph or image showing ' || {_CORE} end from flagged where visual union all select query_id, variant, query from others"""),
+    "query_categories": _q(PHRASED, r"""asked as (select query_id, case when query_id % 3 = 0 then array_to_string(string_split(query, ' ')[1:2], ' ') else query end as q from phrased),
+said as (select query_id, query_id % 4 = 0 as image, query_id % 4 = 1 as txt, regexp_matches(lower(q), 'diagram|visual|image|picture|photo') as says,
+  len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')) as n from asked),
+each as (select query_id, unnest([case when image and not txt then 'image_only' end, case when txt and not image then 'text_only' end, case when image <> says then 'cross_modal' end,
+  case when n <= 2 then 'short_query' end, case when n >= 6 then 'long_query' end]) as category from said)""", select="select query_id, category from each where category is not null"),
+    "benchmark_paths": r"""
+with p as (select doc_id, case doc_id % 5 when 0 then 'doc/' || doc_id || '::section:0001' when 1 then 'a/' || doc_id || '.md' when 2 then 'x/' || doc_id || '.md' when 3 then 'v/' || doc_id || '.transcript.json'
+  else 'doc ' || doc_id || '::a' end as path from documents)
+select doc_id, path, case doc_id % 5 when 3 then 'v/' || doc_id || '.mp4' else string_split(path, '::')[1] end as memory_key from p""",
     "eval_hit_mrr": _q(MEM, LIVE, QS, vec(), _JUDGED, """per as (select query_id, max((rank <= 1 and rel > 0)::int) as h1, max((rank <= 5 and rel > 0)::int) as h5, max((rank <= 10 and rel > 0)::int) as h10,
 coalesce(1.0 / min(rank) filter (rel > 0), 0) as rr from judged group by 1)""", select="select round(avg(h1), 6) as hit_at_1, round(avg(h5), 6) as hit_at_5, round(avg(h10), 6) as hit_at_10, round(avg(rr), 6) as rr, count(*) as queries from per"),
     "eval_ndcg": _q(MEM, LIVE, QS, vec(), _JUDGED, "sorted as (select *, row_number() over (partition by query_id order by rel desc) as best from judged where rank <= 10)", """per as (select query_id, coalesce(1.0 / min(rank) filter (rel > 0), 0) as rr_at_10,
@@ -280,7 +315,11 @@ case when sum(rel) = 0 then 0 else sum(rel / log2(rank + 1)) / sum(rel / log2(be
 select round(v[ceil(n * 0.5)::int], 6) as p50, round(v[ceil(n * 0.95)::int], 6) as p95, round(v[floor(n * 0.5)::int + 1], 6) as i50, round(v[floor(n * 0.95)::int + 1], 6) as i95 from s""",
     "stage_metrics": _q(MEM, LIVE, QS, vec(), bm25(), """b as (select 'original_vec' as stage, * from vec union all select 'original_fts', * from fts)""", select="""select stage, content_type, count(*) as n, round(min(score), 6) as min_score, round(max(score), 6) as max_score,
 round(avg(score), 6) as mean_score from b join (select file_path, content_type from mem) using (file_path) group by 1, 2"""),
-    "ingest_summary": _q(MEM, select="select content_type, case when length(text_body) > 5000 then 'too_large' when active = 0 then 'hidden' else 'ok' end as status, count(*) as files, sum(length(text_body))::bigint as chars from mem group by 1, 2"),
+    "ingest_summary": _q(MEM, select="select content_type, case when length(text_body) > 5000 then 'too_large' when active = 0 then 'hidden' else 'ok' end as status, count(*) as files, sum(strlen(text_body))::bigint as bytes from mem group by 1, 2"),
 }
 SQL["vector_topk_blocks"] = SQL["vector_topk_batch"]
 SQL["hybrid_search"] = _hybrid("select query_id, path, rank, case when root_hit then title else list_extract(string_split(path, '/'), -1) end as title, hit_count, evidence_path, round(score, 6) as score from rolled join (select query_id, memory_id, bool_or(memory_role = 'root') as root_hit from hits group by 1, 2) using (query_id, memory_id) join (select file_path as path, case when trim(heading) <> '' then trim(heading) else list_extract(string_split(file_path, '/'), -1) end as title from mem) using (path)")
+SQL["search_image"] = _hybrid(
+    "select query_id, path, rank, rerank_path, compensated, round(score, 6) as score from rolled join (select query_id, file_path as evidence_path, compensated from blended) using (query_id, evidence_path)",
+    content_type="image", query_media=True, asked=QS.replace("b.text as query", "trim(substr(trim(b.text), 1, 2000)) as query"),
+)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH = 32
+#: Spans of time within which changes are numbered independently.
+SPANS = 4096
 
 
 def snapshot_diff(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -25,10 +27,22 @@ def latest_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(last.alias("e")).select("path", "e.*")
 
 
-def batches(changes: DataFrame, size: int = BATCH) -> DataFrame:
-    """Changes numbered into batches of `size`, oldest first, deletions of a batch before its other changes."""
-    w = Window.orderBy("ts", "path")
-    numbered = changes.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def batches(changes: DataFrame, size: int = BATCH, spans: int = SPANS) -> DataFrame:
+    """Changes numbered into batches of `size`, oldest first, deletions of a batch before its other changes.
+
+    Time is cut into spans of equal length; rows are numbered within their span, behind
+    the counts of the spans before it, of which there are few. Changes without a time come first.
+    """
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62)))
+    known = F.when(F.col("ts").isNotNull(), at)
+    bounds = changes.agg(F.min(known).alias("_low"), F.max(known).alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low")) / spans, F.lit(1.0))
+    spot = F.coalesce(F.floor((known - F.col("_low")) / width), F.lit(-1))
+    timed = changes.crossJoin(F.broadcast(bounds)).withColumn("_span", spot).drop("_low", "_high")
+    counts = timed.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = counts.select("_span", (F.sum("_n").over(Window.orderBy("_span")) - F.col("_n")).alias("_before"))  # spans + 2 rows
+    own = F.row_number().over(Window.partitionBy("_span").orderBy("ts", "path"))
+    numbered = timed.join(F.broadcast(before), "_span").withColumn("batch", F.floor((F.col("_before") + own - 1) / size).cast("int")).drop("_span", "_before")
     step = Window.partitionBy("batch").orderBy(F.when(F.col("change") == "deleted", 0).otherwise(1), "ts", "path")
     return numbered.withColumn("step", F.row_number().over(step))
 

@@ -1,17 +1,20 @@
 """Store of immutable Parquet snapshots behind a manifest that is replaced in one step.
 
-A write stages new versions of tables and then flips the manifest for all of them at
-once; readers see the old or the new state, never a mix. One writer at a time.
-Files and renames go through Hadoop's FileSystem, so the store can be on any file system
-that Spark reaches.
+A table is kept in parts: one per collection, content by the first digit of its hash. A
+write stages new versions of the parts it touches and then flips the manifest for all of
+them at once; the other parts stay where they are. Readers see the old or the new state,
+never a mix. One writer at a time. Files and renames go through Hadoop's FileSystem, so
+the store can be on any file system that Spark reaches.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, memories
@@ -20,6 +23,15 @@ from ..schema import TABLES, checked_name, conform
 KEYS = {"embeddings": ["collection", "user_id", "session_id", "project_id", "profile", "file_path", "hash_seq"], "content": ["hash"], "cache": ["key"]}
 KEYS["documents"] = ["collection", "user_id", "session_id", "project_id", "profile", "file_path"]
 KEYS["entities"] = KEYS["relations"] = ["id"]
+#: Tables whose rows belong to a collection.
+OWNED = ("embeddings", "documents", "entities", "relations")
+
+
+def part_of(name: str) -> Column:
+    """The part of a table that a row is kept in."""
+    if name in OWNED:
+        return F.col("collection")
+    return F.substring("hash", 1, 1) if name == "content" else F.lit("all")
 
 
 class Store:
@@ -39,7 +51,7 @@ class Store:
     def version(self) -> int:
         return self.manifest()["version"]
 
-    def _flip(self, tables: dict[str, str]) -> int:
+    def _flip(self, tables: dict[str, dict[str, str]]) -> int:
         now = self.manifest()
         new = {"version": now["version"] + 1, "tables": now["tables"] | tables}
         side = self._path(f"{self.root}/manifest-{uuid4().hex}.json")
@@ -55,69 +67,95 @@ class Store:
 
     # -- tables -----------------------------------------------------------
 
-    def table(self, name: str) -> DataFrame:
-        place = self.manifest()["tables"].get(name)
-        if place is None:
+    def table(self, name: str, parts: Iterable[str] | None = None) -> DataFrame:
+        """A table, or the named parts of it."""
+        kept = self.manifest()["tables"].get(name, {})
+        places = sorted(place for part, place in kept.items() if parts is None or part in set(parts))
+        if not places:
             return self.spark.createDataFrame([], TABLES[name])
-        return conform(self.spark.read.parquet(f"{self.root}/{place}"), name)
+        return conform(self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{p}" for p in places]), name)
 
-    def stage(self, tables: dict[str, DataFrame]) -> dict[str, str]:
-        """Write hidden versions of tables; promote() shows them, abort() drops them."""
-        places = {}
+    def stage(self, tables: dict[str, DataFrame], touched: dict[str, list[str]] | None = None) -> dict[str, dict]:
+        """Write hidden versions of tables, or of the touched parts of them (rows of other parts must not be given); promote() shows them, abort() drops them."""
+        unescaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        staged = {}
         for name, df in tables.items():
-            places[name] = f"tables/{name}/{uuid4().hex}"
-            conform(df, name).write.parquet(f"{self.root}/{places[name]}")
-        return places
-
-    def promote(self, places: dict[str, str]) -> int:
-        return self._flip(places)
-
-    def abort(self, places: dict[str, str]) -> None:
-        for place in places.values():
-            self._fs.delete(self._path(f"{self.root}/{place}"), True)
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        places = self.stage(tables)
+            folder = f"tables/{name}/{uuid4().hex}"
+            conform(df, name).withColumn("_part", part_of(name)).write.partitionBy("_part").parquet(f"{self.root}/{folder}")
+            found = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if x.isDirectory()]
+            parts = {unescaped(x.partition("=")[2]): f"{folder}/{x}" for x in found if x.startswith("_part=")}
+            staged[name] = {"folder": folder, "parts": parts, "touched": None if touched is None else touched.get(name)}
+        return staged
+
+    def promote(self, staged: dict[str, dict]) -> int:
+        now = self.manifest()["tables"]
+        kept = {name: {} if x["touched"] is None else {part: place for part, place in now.get(name, {}).items() if part not in x["touched"]} for name, x in staged.items()}
+        return self._flip({name: kept[name] | x["parts"] for name, x in staged.items()})
+
+    def abort(self, staged: dict[str, dict]) -> None:
+        for x in staged.values():
+            self._fs.delete(self._path(f"{self.root}/{x['folder']}"), True)
+
+    def commit(self, tables: dict[str, DataFrame], touched: dict[str, list[str]] | None = None) -> int:
+        staged = self.stage(tables, touched)
         try:
-            return self.promote(places)
+            return self.promote(staged)
         except Exception:
-            self.abort(places)
+            self.abort(staged)
             raise
 
+    @staticmethod
+    def parts(name: str, rows: DataFrame) -> list[str]:
+        """The parts that rows belong to."""
+        return sorted(r[0] for r in rows.select(part_of(name).alias("p")).where("p is not null").distinct().collect())
+
     # -- writes -----------------------------------------------------------
 
+    @staticmethod
+    def without(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows of old whose keys no row of gone has; nulls are equal to each other."""
+        other = gone.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        return old.join(other, same, "left_anti")
+
     @staticmethod
     def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows of old whose keys new does not have, and new; nulls are equal to each other."""
-        same = None
-        fresh_keys = new.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-        for k in keys:
-            test = F.col(k).eqNullSafe(F.col(f"_{k}"))
-            same = test if same is None else same & test
-        return old.join(fresh_keys, same, "left_anti").unionByName(new)
+        """Rows of old whose keys new does not have, and new."""
+        return Store.without(old, new, keys).unionByName(new)
+
+    def _added(self, content: DataFrame, parts: list[str]) -> DataFrame:
+        """The parts of the content table with the hashes that they lack."""
+        old = self.table("content", parts)
+        return old.unionByName(content.dropDuplicates(["hash"]).join(old.select("hash"), "hash", "left_anti"))
 
     def upsert(self, tables: dict[str, DataFrame]) -> int:
         """Insert or replace rows by key, all tables in one flip. Documents keep id and created_at; content keeps what it has."""
-        out = {}
+        out, touched = {}, {}
         for name, df in tables.items():
-            old, new = self.table(name), conform(df, name)
+            new = conform(df, name)
+            touched[name] = self.parts(name, new)
+            old = self.table(name, touched[name])
             if name == "content":
-                out[name] = old.unionByName(new.dropDuplicates(["hash"]).join(old.select("hash"), "hash", "left_anti"))
-            elif name == "documents":
-                out[name] = self.upserted(old, kept_identity(old, new), KEYS[name])
+                out[name] = self._added(new, touched[name])
             else:
-                out[name] = self.upserted(old, new, KEYS[name])
-        return self.commit(out)
+                out[name] = self.upserted(old, kept_identity(old, new) if name == "documents" else new, KEYS[name])
+        return self.commit(out, touched)
 
     def replace_family(self, path: str, collection: str, tables: dict[str, DataFrame]) -> int:
         """Put new rows in the place of a path and its children, in one flip."""
-        mine = (F.col("collection") == checked_name(collection, "collection")) & filters.in_family(path)
-        return self.commit({n: self.table(n).where(~F.coalesce(mine, F.lit(False))).unionByName(conform(df, n)) for n, df in tables.items()})
+        checked_name(collection, "collection")
+        mine = F.coalesce((F.col("collection") == collection) & filters.in_family(path), F.lit(False))
+        out, touched = {}, {}
+        for n, df in tables.items():
+            new = conform(df, n)
+            touched[n] = sorted({collection, *self.parts(n, new)})
+            out[n] = self.table(n, touched[n]).where(~mine).unionByName(new)
+        return self.commit(out, touched)
 
     def delete_path(self, path: str, collection: str, *, children: bool = True, **namespaces: str | None) -> int:
         """Drop chunks and graph rows of a path and hide its documents; returns the number of chunks dropped."""
         family = filters.in_family(path) if children else F.col("file_path") == path
-        return self._drop(family & filters.within(collection=collection, **namespaces))
+        return self._drop(family & filters.within(collection=collection, **namespaces), [collection])
 
     def upsert_memory(self, texts: DataFrame, *, now_ms: int, embed=None, model: str = "none") -> int:
         """Put texts (see ingest.memory_rows) in the place of what their paths held: chunks, mentions and edges are replaced, documents keep id and created_at.
@@ -129,59 +167,54 @@ class Store:
 
         new = {n: conform(df, n) for n, df in memory_rows(texts, now_ms=now_ms, embed=embed, model=model).items()}
         paths = KEYS["documents"]
+        mine = self.parts("documents", new["documents"])
         replaced = new["documents"].select(paths).distinct()
-        out = {n: self._without(n, replaced, paths).unionByName(new[n]) for n in ("embeddings", "entities", "relations")}
-        old = self.table("documents")
+        out = {n: self.without(self.table(n, mine), replaced, paths).unionByName(new[n]) for n in ("embeddings", "entities", "relations")}
+        old = self.table("documents", mine)
         out["documents"] = self.upserted(old, kept_identity(old, new["documents"]), paths)
-        have = self.table("content")
-        out["content"] = have.unionByName(new["content"].join(have.select("hash"), "hash", "left_anti"))
-        return self.commit(out)
-
-    def _without(self, name: str, keys: DataFrame, on: list[str]) -> DataFrame:
-        """Rows of a table whose columns `on` equal no row of keys; nulls are equal to each other."""
-        rows, other = self.table(name), keys.select(*[F.col(k).alias(f"_{k}") for k in on])
-        same = F.lit(True)
-        for k in on:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        return rows.join(other, same, "left_anti")
-
-    def _drop(self, mine) -> int:
+        touched = dict.fromkeys(OWNED, mine) | {"content": self.parts("content", new["content"])}
+        out["content"] = self._added(new["content"], touched["content"])
+        return self.commit(out, touched)
+
+    def _drop(self, mine: Column, parts: list[str]) -> int:
         """Drop chunks and graph rows that a predicate holds for, hide the documents; returns the number of chunks."""
         mine = F.coalesce(mine, F.lit(False))
-        gone = self.table("embeddings").where(mine).count()
-        out = {n: self.table(n).where(~mine) for n in ("embeddings", "entities", "relations")}
-        out["documents"] = self.table("documents").withColumn("active", F.when(mine, 0).otherwise(F.col("active")).cast("byte"))
-        self.commit(out)
+        gone = self.table("embeddings", parts).where(mine).count()
+        out = {n: self.table(n, parts).where(~mine) for n in ("embeddings", "entities", "relations")}
+        out["documents"] = self.table("documents", parts).withColumn("active", F.when(mine, 0).otherwise(F.col("active")).cast("byte"))
+        self.commit(out, dict.fromkeys(OWNED, parts))
         return gone
 
     def delete_memory(self, memory_id: str, **scope: str | None) -> int:
         """Drop the chunks and graph rows of a memory, root and children, and hide its documents; returns the number of chunks dropped."""
-        return self._drop((F.col("memory_id") == checked_name(memory_id, "memory_id")) & filters.within(**scope))
+        mine = (F.col("memory_id") == checked_name(memory_id, "memory_id")) & filters.within(**scope)
+        parts = sorted({p for n in ("embeddings", "documents") for p in self.parts(n, self.table(n).where(mine))})
+        return self._drop(mine, parts) if parts else 0
 
     def delete_paths(self, paths: DataFrame, collection: str) -> int:
         """The same for a table of paths (path) and their children, all in one flip."""
         keys = paths.select(F.col("path").alias("_path")).where("_path is not null").distinct()
-        mine = F.col("collection") == checked_name(collection, "collection")
+        mine = [checked_name(collection, "collection")]
         owners = F.array_compact(F.array("file_path", F.substring_index("file_path", "::", 1), "memory_root_path"))
 
         def split(name: str) -> tuple[DataFrame, DataFrame]:
-            rows = self.table(name)
-            hit = rows.where(mine).select(F.col("file_path").alias("_file"), F.explode(owners).alias("_path")).join(keys, "_path", "left_semi").select("_file").distinct()
-            on = mine & (F.col("file_path") == F.col("_file"))
-            return rows.join(hit, on, "left_anti"), rows.join(hit, on, "left_semi")
+            rows = self.table(name, mine)
+            hit = rows.select(F.col("file_path").alias("_file"), F.explode(owners).alias("_path")).join(keys, "_path", "left_semi").select("_file").distinct()
+            return rows.join(hit, F.col("file_path") == F.col("_file"), "left_anti"), rows.join(hit, F.col("file_path") == F.col("_file"), "left_semi")
 
         kept, gone = split("embeddings")
         n = gone.count()
         out = {"embeddings": kept} | {t: split(t)[0] for t in ("entities", "relations")}
         rest, hidden = split("documents")
         out["documents"] = rest.unionByName(hidden.withColumn("active", F.lit(0).cast("byte")))
-        self.commit(out)
+        self.commit(out, dict.fromkeys(OWNED, mine))
         return n
 
     def get_memory(self, memory_id: str | None = None, *, path: str | None = None, **scope: str | None) -> DataFrame:
         """The memory of an id or root path with its children, snippets, summary and tags; no row if there is none."""
-        rows = self.table("embeddings")
-        found = memories.memory_view(self.table("documents"), rows, memory_id=memory_id, path=path, **scope)
+        parts = [scope["collection"]] if scope.get("collection") else None
+        rows = self.table("embeddings", parts)
+        found = memories.memory_view(self.table("documents", parts), rows, memory_id=memory_id, path=path, **scope)
         own = F.coalesce(F.col("memory_id") == memory_id if memory_id else F.col("memory_root_path") == F.lit(path), F.lit(False))
         return found.join(memories.summaries(rows.where(filters.visible() & own)).select("memory_id", "summary", "tags"), "memory_id", "left")
 
@@ -194,27 +227,30 @@ class Store:
         checked_name(new, "new_name")
         if old == new:
             return self.version()
-        names = ("embeddings", "documents", "entities", "relations")
-        if any(not self.table(n).where(F.col("collection") == new).isEmpty() for n in names):
+        if any(not self.table(n, [new]).isEmpty() for n in OWNED):
             raise ValueError(f"collection {new!r} exists")
-        moved = F.when(F.col("collection") == old, new).otherwise(F.col("collection"))
-        return self.commit({n: self.table(n).withColumn("collection", moved) for n in names})
+        return self.commit({n: self.table(n, [old]).withColumn("collection", F.lit(new)) for n in OWNED}, dict.fromkeys(OWNED, [old, new]))
 
     def delete_collection(self, name: str) -> int:
         """Drop a collection and the content that nothing refers to any more."""
-        rest = {n: self.table(n).where(F.col("collection") != checked_name(name)) for n in ("embeddings", "documents", "entities", "relations")}
-        rest["content"] = self.table("content").join(references(rest["embeddings"], rest["documents"]), "hash", "left_semi")
-        return self.commit(rest)
-
-    def compact(self, keep: int = 0) -> int:
-        """Delete table versions that the manifest does not name; returns how many."""
-        named, n = set(self.manifest()["tables"].values()), 0
+        checked_name(name)
+        held = self.manifest()["tables"]
+        rest = {n: [p for p in held.get(n, {}) if p != name] for n in OWNED}
+        out = {n: self.spark.createDataFrame([], TABLES[n]) for n in OWNED}
+        out["content"] = self.table("content").join(references(self.table("embeddings", rest["embeddings"]), self.table("documents", rest["documents"])), "hash", "left_semi")
+        return self.commit(out, dict.fromkeys(OWNED, [name]) | {"content": list(held.get("content", {}))})
+
+    def compact(self) -> int:
+        """Delete versions of parts that the manifest does not name; returns how many folders went."""
+        named, n = {place for parts in self.manifest()["tables"].values() for place in parts.values()}, 0
         for name in TABLES:
             folder = self._path(f"{self.root}/tables/{name}")
-            if self._fs.exists(folder):
-                for s in self._fs.listStatus(folder):
-                    if f"tables/{name}/{s.getPath().getName()}" not in named:
-                        n += self._fs.delete(s.getPath(), True)
+            for version in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                place = f"tables/{name}/{version.getPath().getName()}"
+                inside = [x.getPath() for x in self._fs.listStatus(version.getPath()) if x.isDirectory()]
+                used = [p for p in inside if f"{place}/{p.getName()}" in named]
+                for p in [p for p in inside if p not in used] if used else [version.getPath()]:
+                    n += self._fs.delete(p, True)
         return n
 
 

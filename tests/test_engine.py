@@ -44,6 +44,22 @@ def test_an_upsert_replaces_chunks_and_graph_of_its_paths(spark, engine):
     assert engine.store.table("documents").where("file_path = 'a.md'").first().id == same
 
 
+def test_a_write_touches_its_collections_only(spark, engine):
+    def places():
+        return {(n, p): place for n, parts in engine.store.manifest()["tables"].items() for p, place in parts.items()}
+
+    before = places()
+    engine.add(spark.createDataFrame([("c", "new.md", None, "Dora", None)], TEXTS))
+    after = places()
+    assert all(after[k] == v for k, v in before.items() if k[0] != "content" and k[1] == "d")
+    assert all(after[k] != v for k, v in before.items() if k[0] in ("embeddings", "documents") and k[1] == "c")
+    engine.rename_collection("d", "e/f")
+    assert paths(engine.memories().where("collection = 'e/f'")) == [("e/f", "b.md")] and ("documents", "d") not in places()
+    engine.delete_collection("c")
+    assert {r.collection for r in engine.collections().collect()} == {"e/f"} and engine.store.compact() > 0
+    assert [r.text_body for r in engine.store.table("embeddings").collect()] == [""] and engine.store.table("content").count() == 1
+
+
 def test_get_and_delete_by_id(engine):
     got = engine.get(path="a.md").first()
     assert got.path == "a.md" and got.title == "Alpha" and [c.path for c in got.children] == ["a.md::section:0001"] and got.tags == ["x", "y"]

@@ -128,3 +128,29 @@ def test_diagnostics(spark):
     got = {r.group: (r.issue, r.priority) for r in evaluate.diagnostics(df).collect()}
     assert got == {"a": ("recall", 0.5), "b": ("none", 0.0)}
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_graph_equals_plain_python(spark):
+    """Co-mentions, related memories and listed entities of many mentions against loops."""
+    import random
+    from itertools import combinations
+
+    r = random.Random(3)
+    rows = []
+    for c in range(30):
+        keys = r.sample([f"k{i}" for i in range(40)], r.randint(1, 20))
+        rows += [(f"c{c}", f"m{c % 9}", f"p{c % 9}", f"f{c}", i + 1, k, k.upper(), "e" * r.randint(0, 9)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "hash_seq string, memory_id string, path string, file_path string, ord int, entity_key string, name string, evidence string").repartition(4)
+    want = set()
+    for c in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == c), key=lambda x: x[4])[:12]
+        for n, (a, b) in enumerate(list(combinations(own, 2))[:48], 1):
+            want.add((c, a[5], b[5], n, a[7] if len(a[7]) >= len(b[7]) else b[7]))
+    assert {(e.hash_seq, e.subject_key, e.object_key, e.pair, e.evidence) for e in graph.co_mentions(df).collect()} == want
+    mine = {x[5] for x in rows if x[1] == "m0"}
+    score = {m: 10 * len(mine & {x[5] for x in rows if x[1] == m}) + sum(x[1] == m and x[5] in mine for x in rows) for m in {x[1] for x in rows} - {"m0"}}
+    order = sorted(((-s, m.replace("m", "p")) for m, s in score.items() if s))[:4]
+    got = graph.related_memories(df, spark.createDataFrame([("m0",)], "memory_id string"), 4).collect()
+    assert [(-x.score, x.path) for x in got] == order
+    listed = [(x.name, x.path, x.ord) for x in graph.list_entities(df, 25).collect()]
+    assert listed == sorted(((x[6], x[2], x[4]) for x in rows), key=lambda x: (x[0].lower(), x[1], x[2]))[:25]

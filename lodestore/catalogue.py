@@ -222,7 +222,8 @@ def hybrid_search(spark, sf_dir):
 @query
 def explain_search(spark, sf_dir):
     got = _hybrid(spark, sf_dir, search.explain, content_type="text")
-    return got.select("query_id", "rank", "path", "sources", "rrf_rank", "rerank_path", *_r("score", "rrf", "rerank_score", "rrf_weight", "boost", digits=4))
+    told = [F.get_json_object("payload", f"$.{c}").alias(f"payload_{c}") for c in ("path", "sources", "rrf_rank")]
+    return got.select("query_id", "rank", "path", "sources", "rrf_rank", "rerank_path", *_r("score", "rrf", "rerank_score", "rrf_weight", "boost", digits=4), *told)
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, memories
 from .operators.filters import visible
-from .plans import search, watching
+from .plans import index, search, watching
 from .plans.store import Store
 
 MODES = ("hybrid", "embed")
@@ -72,13 +72,16 @@ class Engine:
         if self.config.expand:
             variants = search.expanded(queries.select("query_id", "query")).where("variant > 0")
             variants = variants.withColumn("vector", self.embed(F.col("query"))) if self.embed else variants
-        return search.hybrid(self.store.table("embeddings"), queries, variants=variants, **self._options(scope))
+        found = index.of_store(self.store)
+        return search.hybrid(found.chunks, queries, variants=variants, posted=found.postings, **self._options(scope))
 
     def explain(self, query: str, **scope: str | None) -> DataFrame:
-        return search.explain(self.store.table("embeddings"), self._queries([{"query": query}]), **self._options(scope))
+        found = index.of_store(self.store)
+        return search.explain(found.chunks, self._queries([{"query": query}]), posted=found.postings, **self._options(scope))
 
     def search_batch(self, queries: list[dict], **scope: str | None) -> DataFrame:
-        return search.search_batch(self.store.table("embeddings"), self._queries(queries), **self._options(scope))
+        found = index.of_store(self.store)
+        return search.search_batch(found.chunks, self._queries(queries), posted=found.postings, **self._options(scope))
 
     def add(self, texts: DataFrame) -> int:
         return self.store.upsert_memory(texts, now_ms=self.now_ms(), embed=self.embed, model=self.config.model)

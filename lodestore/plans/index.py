@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from dataclasses import dataclass
 from hashlib import sha256
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import postings
+from .store import Store
 from .tables import memory_chunks
 
 _OPEN: dict[tuple[str, str], Index] = {}
@@ -59,3 +61,16 @@ def opened(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _OPEN:
         _OPEN[key] = written(spark, memory_chunks(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid4().hex}")
     return _OPEN[key]
+
+
+def of_store(store: Store) -> Index:
+    """The index of a store's chunks, kept under its root by what the manifest names: written at the first search after a write, read afterwards."""
+    spark = store.spark
+    state = sha256(json.dumps(store.manifest()["tables"].get("embeddings", {}), sort_keys=True).encode()).hexdigest()
+    folder = f"{store.root}/index/{state}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/postings/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(done):
+        return Index(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/postings"))
+    fs.delete(done.getParent().getParent(), True)  # what a broken run has left
+    return written(spark, store.table("embeddings"), folder)

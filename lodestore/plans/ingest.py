@@ -9,6 +9,7 @@ from ..functions import identity
 from ..functions import text as tx
 from ..functions.chunking import chunked
 from ..functions.entities import mentions
+from ..functions.generated import media_tags, parent_summary
 from ..operators import memories as mem
 from ..operators.filters import expiry
 from ..operators.graph import co_mentions
@@ -79,3 +80,22 @@ def segment_texts(segments: DataFrame, collection: str) -> DataFrame:
     stamp = F.concat(F.lit("@"), F.format_string("%.2f", F.col("start")), F.lit("s"))
     place = F.concat("path", F.lit("::transcript:"), F.lpad(F.col("seq").cast("string"), 4, "0"), stamp)
     return segments.select(F.lit(collection).alias("collection"), place.alias("file_path"), F.col("path").alias("memory_root_path"), F.col("segment").alias("text"), F.lit("video").alias("content_type"))
+
+
+def media_texts(media: DataFrame, segments: DataFrame, collection: str, *, caption=None, tagger=None) -> DataFrame:
+    """Root and child texts of images, videos and audio files, for memory_rows.
+
+    media: path, content_type and caption, or content for caption (a column function of
+    the bytes, for a model a pandas UDF). segments: path, seq, start, segment of their
+    transcripts, if any. A root's text sums up caption and first segments, else names the
+    file; tagger maps that text to generated tags.
+    """
+    named = media.withColumn("_said", caption(F.col("content")) if caption else F.col("caption"))
+    told = segments.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("seq") <= 2, F.struct("seq", "segment")))).alias("_first"))
+    first = F.transform(F.coalesce("_first", F.array().cast("array<struct<seq:int,segment:string>>")), lambda x: x["segment"])
+    text = parent_summary(F.concat(F.array(F.col("_said")), first), F.element_at(F.split("path", "/"), -1))
+    root = named.join(told, "path", "left").withColumn("text", text)
+    tags = media_tags(tagger(F.col("text"))) if tagger else F.lit(None).cast("array<string>")
+    root = root.select(F.lit(collection).alias("collection"), F.col("path").alias("file_path"), F.col("path").alias("memory_root_path"), "text", "content_type", tags.alias("tags"))
+    child = segment_texts(segments, collection).drop("content_type").join(media.select(F.col("path").alias("memory_root_path"), "content_type"), "memory_root_path")
+    return root.unionByName(child.withColumn("tags", F.lit(None).cast("array<string>")))

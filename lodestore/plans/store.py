@@ -251,6 +251,7 @@ class Store:
                 used = [p for p in inside if f"{place}/{p.getName()}" in named]
                 for p in [p for p in inside if p not in used] if used else [version.getPath()]:
                     n += self._fs.delete(p, True)
+        self._fs.delete(self._path(f"{self.root}/index"), True)  # made anew at the next search
         return n
 
 

@@ -75,9 +75,17 @@ def is_text(content: Column) -> Column:
     return ~F.hex(F.substring(content, 1, HEAD)).rlike(r"^(?:..)*00")
 
 
-def routed(files: DataFrame, *, types: list[str] | None = None, max_mb: float = MAX_MB) -> DataFrame:
-    """files with status: ok, too_large, type_excluded or binary (a text file with a zero byte near its start)."""
-    status = F.when(F.col("length") > F.lit(int(max_mb * 1024 * 1024)), "too_large")
+def routed(files: DataFrame, *, types: list[str] | None = None, max_mb: float = MAX_MB, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """files with status, the log of a run: glob_mismatch, too_large, type_excluded, binary (a text file with a zero byte near its start) or ok.
+
+    include and exclude are for listings that keep all files; a file without content counts as no binary.
+    """
+    status = F.when(F.lit(False), "")
+    if include:
+        status = status.when(~matches_any(F.col("rel_path"), include), "glob_mismatch")
+    if exclude:
+        status = status.when(matches_any(F.col("rel_path"), exclude), "glob_mismatch")
+    status = status.when(F.col("length") > F.lit(int(max_mb * 1024 * 1024)), "too_large")
     if types:
         status = status.when(~F.col("content_type").isin(types), "type_excluded")
     status = status.when((F.col("content_type") == "text") & ~is_text(F.col("content")), "binary").otherwise("ok")

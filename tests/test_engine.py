@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestore.engine import Config, Engine
-from lodestore.plans import probes, search, watching
+from lodestore.plans import index, ingest, probes, search, watching
 from lodestore.plans.store import Store
+from lodestore.sources import folder
 
 TEXTS = "collection string, file_path string, user_id string, text string, tags array<string>"
 
@@ -172,3 +173,34 @@ def test_media_search_with_variants(engine, spark):
     got = search.search_media(engine.store.table("embeddings"), media, as_of_ms=5000, expand=True, embed=engine.embed)
     first = got.orderBy("rank").first()
     assert first.path == "a.md" and "original_fts_exp1" in first.sources and got.where("rerank_path <> 'media_disabled'").count() == 0
+
+
+def test_searches_read_an_index_that_follows_the_store(engine, spark):
+    engine.search("Alice")
+    first = index.of_store(engine.store)
+    assert first.postings.where("term = 'alice'").count() == 2 and index.of_store(engine.store).postings.inputFiles() == first.postings.inputFiles()
+    engine.add(spark.createDataFrame([("c", "z.md", None, "Alice three", None)], TEXTS))
+    assert index.of_store(engine.store).postings.where("term = 'alice'").count() == 3
+    engine.store.compact()
+    assert engine.search("three").first().path == "z.md"
+
+
+def test_media_become_memories(engine, spark):
+    media = spark.createDataFrame([("v.mp4", "video", "a dog runs"), ("p.png", "image", None)], "path string, content_type string, caption string")
+    segments = spark.createDataFrame([("v.mp4", 1, 0.0, "Hello there"), ("v.mp4", 2, 2.5, "again"), ("v.mp4", 3, 4.0, "more")], "path string, seq int, start double, segment string")
+    tagger = lambda c: F.concat(F.lit('["Dog", "'), F.substring(c, 1, 1), F.lit('"]'))
+    engine.add(ingest.media_texts(media, segments, "m", tagger=tagger).withColumn("user_id", F.lit(None).cast("string")))
+    rows = {r.file_path: r for r in engine.store.table("embeddings").where("collection = 'm'").collect()}
+    assert rows["v.mp4"].text_body == "a dog runs\n\nHello there" and rows["v.mp4"].tags == ["dog", "a"] and rows["p.png"].text_body == "p.png"
+    child = rows["v.mp4::transcript:0002@2.50s"]
+    assert (child.text_body, child.content_type, child.memory_role, child.memory_id) == ("again", "video", "child", rows["v.mp4"].memory_id)
+    assert engine.get(path="v.mp4").first().children[0].path.startswith("v.mp4::transcript:0001")
+
+
+def test_the_log_of_a_listing(spark, tmp_path):
+    for name, data in {"a.md": b"x", "b.log": b"x", "c.png": b"x", "d.md": b"\0", "e.md": b"x" * 3000}.items():
+        (tmp_path / name).write_bytes(data)
+    got = folder.routed(folder.list_folder(spark, str(tmp_path)), types=["text"], max_mb=0.002, exclude=["*.log"])
+    assert {r.rel_path: r.status for r in got.collect()} == {"a.md": "ok", "b.log": "glob_mismatch", "c.png": "type_excluded", "d.md": "binary", "e.md": "too_large"}
+    summary = {(r.content_type, r.status): r.files for r in folder.ingest_summary(got).collect()}
+    assert summary[("text", "ok")] == 1 and sum(summary.values()) == 5

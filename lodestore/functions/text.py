@@ -48,7 +48,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
-# Phrases and words that mark a query as visual.
+# Phrases and words that mark a query as visual, and words that may stand before its subject.
 VISUAL_PHRASES = [
     "show me", "image of", "photo of", "picture of", "architecture diagram", "flow chart", "mind map", "that photo", "that image",
     "the diagram", "the chart", "the picture", "the screenshot", "visual representation",
@@ -57,6 +57,7 @@ VISUAL_WORDS = [
     "show", "diagram", "chart", "screenshot", "illustration", "drawing", "infographic", "wireframe", "mockup", "sketch", "whiteboard",
     "portrait",
 ]
+LEADING = r"^\s*(of|a|an|the|with|for|in)\b\s*"
 
 
 def is_visual(query: Column) -> Column:
@@ -75,5 +76,5 @@ def visual_description(query: Column) -> Column:
     for p in VISUAL_PHRASES:
         core = F.replace(core, F.lit(p), F.lit(""))
     core = F.regexp_replace(core, r"\b(" + "|".join(VISUAL_WORDS) + r")\b", "")
-    core = F.trim(F.regexp_replace(F.trim(core), r"^\s*(of|a|an|the|with|for|in)\b\s*", ""))
+    core = F.trim(F.regexp_replace(F.trim(core), LEADING, ""))
     return F.when(core == "", low).otherwise(F.concat(F.lit("A photograph or image showing "), core))

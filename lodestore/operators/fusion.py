@@ -21,6 +21,8 @@ TYPE_WEIGHTS = {
     "video": {"original_vec": 1.5, "original_fts": 2.5},
 }
 EXPANDED = 0.5
+# The weight of the fused rank up to rank 3, up to rank 10 and beyond, for texts and for others.
+TEXT_TIERS, MEDIA_TIERS = (0.90, 0.85, 0.75), (0.75, 0.60, 0.40)
 
 
 def branch_weight(branch: str, intent: str | None = None, content_type: str | None = None) -> float:
@@ -159,8 +161,7 @@ def blend(reranked: DataFrame) -> DataFrame:
     """Adds rrf_norm, rerank_norm, rrf_weight and score: a mix of both by rank tier.
 
     Rerank scores are scaled per modality. Where reranking said nothing (all scores 0.5)
-    the scaled rrf is the score. Text tiers are .90 .85 .75, others .75 .60 .40, up to
-    rank 3, 10 and beyond.
+    the scaled rrf is the score.
     """
     by_query = Window.partitionBy("query_id")
     by_kind = Window.partitionBy("query_id", is_media())
@@ -172,7 +173,7 @@ def blend(reranked: DataFrame) -> DataFrame:
     out = reranked.withColumns({
         "rrf_norm": _scaled(F.col("rrf"), by_query, 0.0),
         "rerank_norm": _scaled(score, by_kind, 0.5),
-        "rrf_weight": F.when(~meaningful, 1.0).when(all_text, tier(0.90, 0.85, 0.75)).otherwise(tier(0.75, 0.60, 0.40)),
+        "rrf_weight": F.when(~meaningful, 1.0).when(all_text, tier(*TEXT_TIERS)).otherwise(tier(*MEDIA_TIERS)),
     })
     mixed = F.col("rrf_weight") * F.col("rrf_norm") + (1 - F.col("rrf_weight")) * F.col("rerank_norm")
     return out.withColumn("score", F.round(mixed, 10))

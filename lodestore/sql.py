@@ -323,3 +323,24 @@ SQL["search_image"] = _hybrid(
     "select query_id, path, rank, rerank_path, compensated, round(score, 6) as score from rolled join (select query_id, file_path as evidence_path, compensated from blended) using (query_id, evidence_path)",
     content_type="image", query_media=True, asked=QS.replace("b.text as query", "trim(substr(trim(b.text), 1, 2000)) as query"),
 )
+
+#: A cut depends on the one before, so chunks are a recursion; a chunk ends at the break of highest decayed weight in its last 200 characters.
+_CUT = "coalesce(arg_max(r.p, r.w * (1 - ((c.at + 2048 - r.p) / 200.0) ** 2 * 0.7)), least(c.at + 2048, c.n))"
+SQL["chunk_documents"] = rf"""
+with recursive docs as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from docs where n > 2048),
+spots as (select doc_id, k, line, sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 2 as p, lead(line) over (partition by doc_id order by k) as next,
+  lag(line) over (partition by doc_id order by k) as prev, sum(starts_with(line, '```')::int) over (partition by doc_id order by k) as fences from lines),
+breaks as (select doc_id, p::bigint as p, greatest(1, case when regexp_matches(line, '^#{{1,6}}([^#]|$)') then 110 - 10 * length(regexp_extract(line, '^#+')) when starts_with(line, '```') then 80
+    when regexp_matches(line, '^(---|\*\*\*|___)\s*$') and next is not null then 60 else 0 end,
+  case when line = '' and next is not null and (k = 2 or prev <> '') then 20 else 0 end, case when regexp_matches(line, '^([-*]|\d+\.)\s') then 5 else 0 end) as w
+  from spots where k > 1 and (fences % 2 = 0 or starts_with(line, '```'))),
+chunks as (
+  select doc_id, n, -1 as seq, 0::bigint as a, 0::bigint as b, 0::bigint as at from docs
+  union all
+  (select c.doc_id, c.n, c.seq + 1, c.at, {_CUT}::bigint as b, case when {_CUT} - 256 > c.at then {_CUT} - 256 else {_CUT} end::bigint
+  from chunks c left join breaks r on r.doc_id = c.doc_id and c.at + 2048 < c.n and r.p between c.at + 1848 and c.at + 2048
+  where c.seq < 0 or c.b < c.n group by c.doc_id, c.n, c.seq, c.at)
+)
+select doc_id, seq, a as pos, b - a as n_chars, sha256(substr(t, a + 1, b - a)) as chunk_hash from chunks join docs using (doc_id) where seq >= 0
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
-from typing import Any
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,23 @@ MODES = ("hybrid", "embed")
 MAX_BATCH, MAX_SEARCHES = 20, 20
 
 
+@runtime_checkable
+class Storage(Protocol):
+    """What an engine asks of a store; Store is the one here."""
+
+    def table(self, name: str, parts: list[str] | None = None) -> DataFrame: ...
+    def version(self) -> int: ...
+    def manifest(self) -> dict: ...
+    def upsert(self, tables: dict[str, DataFrame]) -> int: ...
+    def upsert_memory(self, texts: DataFrame, *, now_ms: int, embed=None, model: str = "none") -> int: ...
+    def get_memory(self, memory_id: str | None = None, *, path: str | None = None, **scope: str | None) -> DataFrame: ...
+    def delete_memory(self, memory_id: str, **scope: str | None) -> int: ...
+    def delete_path(self, path: str, collection: str, *, children: bool = True, **namespaces: str | None) -> int: ...
+    def delete_paths(self, paths: DataFrame, collection: str) -> int: ...
+    def rename_collection(self, old: str, new: str) -> int: ...
+    def delete_collection(self, name: str) -> int: ...
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings of an engine. Values out of range are refused; model and root cannot change later."""
@@ -50,9 +67,9 @@ class Config:
 class Engine:
     """Search, write and list memories of one store. embed maps a text column to a vector column; without it search is lexical."""
 
-    def __init__(self, spark: SparkSession, config: Config, *, embed=None, now_ms: Callable[[], int] = lambda: int(time.time() * 1000)):
+    def __init__(self, spark: SparkSession, config: Config, *, embed=None, now_ms: Callable[[], int] = lambda: int(time.time() * 1000), store: Storage | None = None):
         self.spark, self.config, self.embed, self.now_ms = spark, config, embed, now_ms
-        self.store = Store(spark, config.root)
+        self.store: Storage = Store(spark, config.root) if store is None else store
 
     def _queries(self, queries: list[dict]) -> DataFrame:
         if not 1 <= len(queries) <= MAX_SEARCHES:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import sha256
 
 from pyspark.sql import DataFrame
@@ -41,16 +42,22 @@ def apply_changes(store: Store, changes: DataFrame, files: DataFrame, collection
     return {"deleted": counts.get("deleted", 0), "written": counts.get("written", 0)}
 
 
-def scan(store: Store, folder: str, collection: str, *, now_ms: int, embed=None, **listing) -> dict[str, int]:
-    """One scan of a folder: what changed since the last one is applied, then the new listing is kept in the store."""
+def scan(store: Store, folder: str, collection: str, *, now_ms: int, embed=None, progress: Callable[[str], None] = lambda step: None, **listing) -> dict[str, int]:
+    """One scan of a folder: what changed since the last one is applied, then the new listing is kept in the store.
+
+    progress is told each step (listed, applied, kept) as it ends.
+    """
     spark = store.spark
     files = list_folder(spark, folder, **listing)
     place = f"{store.root}/watch/{_state(store, folder).partition(':')[2]}-{now_ms}"
     files.select(F.col("rel_path").alias("path"), "length", "modified_ms").write.mode("overwrite").parquet(place)
+    progress("listed")
     now = spark.read.schema(LISTING).parquet(place)
     usable = routed(files).where("status = 'ok' and content_type = 'text'")
     done = apply_changes(store, snapshot_diff(last_listing(store, folder), now), usable.select(F.col("rel_path").alias("path"), decoded(F.col("content")).alias("text")), collection, now_ms=now_ms, embed=embed)
+    progress("applied")
     store.upsert({"cache": spark.createDataFrame([(_state(store, folder), place, now_ms)], "key string, value string, created_at long")})
+    progress("kept")
     return done
 
 

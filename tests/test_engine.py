@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestore.engine import Config, Engine
+from lodestore import __main__ as cli
+from lodestore.engine import Config, Engine, Storage
 from lodestore.plans import index, ingest, probes, search, watching
 from lodestore.plans.store import Store
 from lodestore.sources import folder
@@ -204,3 +205,24 @@ def test_the_log_of_a_listing(spark, tmp_path):
     assert {r.rel_path: r.status for r in got.collect()} == {"a.md": "ok", "b.log": "glob_mismatch", "c.png": "type_excluded", "d.md": "binary", "e.md": "too_large"}
     summary = {(r.content_type, r.status): r.files for r in folder.ingest_summary(got).collect()}
     assert summary[("text", "ok")] == 1 and sum(summary.values()) == 5
+
+
+def test_the_command_line(spark, engine, tmp_path, capsys):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/n.md").write_text("# Zebra\nstripes")
+    root = engine.config.root
+
+    def said(*given):
+        cli.main([root, *given], spark)
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert said("scan", str(tmp_path / "docs"), "z") == [{"deleted": 0, "written": 1}]
+    assert said("search", "stripes", "--collection", "z")[0]["path"] == "n.md"
+    memory = said("get", "--path", "n.md")[0]
+    assert memory["title"] == "Zebra" and {"collection": "z"} in said("collections")
+    assert said("delete", memory["memory_id"]) == [{"chunks": 1}] and said("get", "--path", "n.md") == []
+    assert said("status")[0]["chunks"] == 4 and len(said("list")) == 3 and said("compact")[0]["folders"] > 0
+    assert isinstance(engine.store, Storage)
+    steps = []
+    engine.scan_folder(str(tmp_path / "docs"), "z", progress=steps.append)
+    assert steps == ["listed", "applied", "kept"]

@@ -1,6 +1,7 @@
 """Writes, reads, watching, file queries and caches over a store in a temporary folder."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,15 +15,25 @@ from lodestore.sources import folder
 TEXTS = "collection string, file_path string, user_id string, text string, tags array<string>"
 
 
-@pytest.fixture
-def engine(spark, tmp_path):
+def opened(spark, root, now_ms=5000):
     vector = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
-    made = Engine(spark, Config(root=str(tmp_path / "store"), model="m1"), embed=vector, now_ms=lambda: 5000)
-    made.add(spark.createDataFrame([
+    return Engine(spark, Config(root=str(root), model="m1"), embed=vector, now_ms=lambda: now_ms)
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("base") / "store"
+    opened(spark, root).add(spark.createDataFrame([
         ("c", "a.md", "u", "# Alpha\nAlice Smith wrote about Acme Robotics", ["X"]), ("c", "a.md::section:0001", "u", "Alice Smith again", ["y"]),
         ("c", "b.md", None, "Bob Jones knows Acme Robotics", None), ("d", "b.md", None, "", None),
     ], TEXTS))
-    return made
+    return root
+
+
+@pytest.fixture
+def engine(spark, written, tmp_path):
+    """An engine over a copy of the written store: its manifest names places within its root."""
+    return opened(spark, shutil.copytree(written, tmp_path / "store"))
 
 
 def paths(df):

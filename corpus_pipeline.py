@@ -7,12 +7,10 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import ensure_checkpoint_dir
+from lodestore.llm.common import Stage
 from lodestore.llm.line_dedup import line_dedup
 from lodestore.llm.packing import pack_documents
 from lodestore.llm.quality import quality_filter
@@ -22,27 +20,27 @@ from lodestore.llm.suffix_dedup import suffix_dedup_text
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts have no words and go."""
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the boilerplate lines of their source; n_chars follows the text."""
+    """All documents without the boilerplate lines of their source; n_chars follows the text. Null texts and rows with a null source stay as they are."""
     return _with_length(line_dedup(docs).select(*docs.columns))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one of smallest doc_id."""
-    return near_copy_dedup(docs, distance=None)
+    return near_copy_dedup(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the long strings that occur elsewhere; n_chars follows the text."""
+    """All documents without the strings of 240 bytes that occur elsewhere; n_chars follows the text. Null texts stay null (n_chars null), short ones as they are."""
     return _with_length(suffix_dedup_text(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 4096 tokens."""
+    """Pieces of all documents and their places in sequences of 4096 tokens; null and empty texts are one piece of the end token."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -65,11 +63,11 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over documents."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/pipeline-{uuid4().hex}"
+    """Rows of the last stage over documents; the tables of the stages before it are deleted on the way."""
+    kept = Stage(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = kept.put(stage(spark, docs, sf_dir), str(k))
+        if k:
+            kept.drop(str(k - 1))
     return docs

@@ -8,14 +8,18 @@ from contextlib import contextmanager
 from functools import wraps
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from zstandard import compress, decompress
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Rows of an Arrow batch in the steps of an operator.
 ARROW_ROWS = 2000
+#: Counts travel as compressed arrays of 2 ** CHUNK_BITS buckets.
+CHUNK_BITS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that cut() made and that no later plan reads."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Stage:
     """Parquet tables of one call, in a folder of its own under the shared checkpoint folder; dropped by name or all together."""
 
@@ -130,3 +142,16 @@ def batches_of(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) -> I
         step = max(1, min(rows, rows * max_bytes // max(1, b.nbytes)))
         for at in range(0, rows, step):
             yield b.slice(at, step)
+
+
+def packed(chunk: int, arrays: list[np.ndarray]) -> tuple:
+    """(chunk, blob per array): counts in the narrowest unsigned type that holds them, compressed behind a byte that names its size."""
+    out = []
+    for x in arrays:
+        kind = np.min_scalar_type(int(x.max(initial=0)))
+        out.append(bytes([kind.itemsize]) + compress(x.astype(kind).tobytes(), 3))
+    return (chunk, *out)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(decompress(blob[1:]), f"u{blob[0]}").astype(np.int64)

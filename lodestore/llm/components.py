@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
-def _mark(df: DataFrame) -> tuple:
-    """Count and order-free digest of an edge set: equal before and after a round once it is stable."""
-    h = F.xxhash64("u", "v")
-    return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(h % F.lit(1 << 30))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) form stars: each u has one v, and no v is a u. One pre-aggregated pass."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("c")), F.struct(F.col("v").alias("n"), F.lit(0).alias("c")))).alias("e"))
+    nodes = ends.groupBy("e.n").agg(F.sum("e.c").alias("out"), F.min("e.c").alias("least"))
+    return nodes.where("out > 1 or (out > 0 and least = 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,8 +22,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are ignored. Returns (node, component): component is the smallest node reachable,
     each node once; nodes without an edge are absent, so empty edges give an empty
     table. Every round is a few hash aggregations (partial on the map side) and
-    equi-joins, whose hot keys AQE can split; the edge set is checkpointed per round
-    and never reaches the driver.
+    equi-joins, whose hot keys AQE can split; the edge set is checkpointed per round, the
+    last one's deleted, and never reaches the driver. Rounds end when the edges form stars.
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
@@ -31,9 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    seen = _mark(now)
     for _ in range(max_rounds):
-        if not seen[0]:
+        if _settled(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -41,11 +41,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         turned = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = cut(turned.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        mark = _mark(now)
-        if mark == seen:
-            break
-        seen = mark
+        was, now = now, cut(turned.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(was)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

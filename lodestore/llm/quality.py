@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from zstandard import compress, decompress
 
-from .common import batches_of, cut, trimmed
+from .common import CHUNK_BITS, batches_of, cut, packed, trimmed, unpacked
 
 #: Hash buckets of the n-gram table (2 ** BITS) at least.
 BITS = 16
@@ -25,8 +24,6 @@ BITS = 16
 GRAMS_PER_BUCKET = 20
 #: Up to 2 ** BROADCAST_BITS weights (32 MB) are broadcast; more are joined by shuffle.
 BROADCAST_BITS = 23
-#: Counts travel as compressed arrays of 2 ** CHUNK_BITS buckets.
-CHUNK_BITS = 16
 #: At most so many trusted documents define the target multinomial, taken in the order of a hash of their id.
 MAX_TARGET = 20_000
 #: Pseudo-count of each bucket in both multinomials.
@@ -104,19 +101,6 @@ def bucket_bits(docs: DataFrame) -> int:
     return max(BITS, (grams // GRAMS_PER_BUCKET).bit_length() - 1)
 
 
-def _packed(chunk: int, arrays: list[np.ndarray]) -> tuple:
-    """Arrays in the narrowest unsigned type that holds them, compressed behind a byte that names its size."""
-    out = []
-    for x in arrays:
-        kind = np.min_scalar_type(int(x.max(initial=0)))
-        out.append(bytes([kind.itemsize]) + compress(x.astype(kind).tobytes(), 3))
-    return (chunk, *out)
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(decompress(blob[1:]), f"u{blob[0]}").astype(np.int64)
-
-
 def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:
     """(chunk, raw, target): counts of 2 ** CHUNK_BITS buckets as packed arrays; one partial histogram per task, then a sum per chunk."""
     flagged = docs.select("doc_id", "text")
@@ -157,11 +141,11 @@ def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS
                     add(which, got)
         none = np.zeros(width, np.int32)
         for c, raw in held[0].items():
-            yield rows([_packed(c, [raw, held[1].get(c, none)])])
+            yield rows([packed(c, [raw, held[1].get(c, none)])])
 
     def total(key, table):
-        sums = [sum(map(_unpacked, table.column(c).to_pylist())) for c in ("raw", "target")]
-        return pa.Table.from_batches([rows([_packed(key[0].as_py(), sums)])])
+        sums = [sum(map(unpacked, table.column(c).to_pylist())) for c in ("raw", "target")]
+        return pa.Table.from_batches([rows([packed(key[0].as_py(), sums)])])
 
     return flagged.select("text", "target").mapInArrow(count, kind).groupBy("chunk").applyInArrow(total, kind)
 
@@ -174,7 +158,7 @@ def ngram_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, raw, trusted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, trusted = _unpacked(raw), _unpacked(trusted)
+                raw, trusted = unpacked(raw), unpacked(trusted)
                 at = np.flatnonzero(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(at + c * width), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "n_raw", "n_target"])
 
@@ -197,7 +181,7 @@ def fitted_weights(
     raw, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
     for r in chunk_counts(docs, _target(labels, max_target), bits).toLocalIterator():
         at = slice(r["chunk"] * width, (r["chunk"] + 1) * width)
-        raw[at], trusted[at] = _unpacked(r["raw"]), _unpacked(r["target"])
+        raw[at], trusted[at] = unpacked(r["raw"]), unpacked(r["target"])
     if not trusted.sum():
         return np.zeros(1 << bits)
     trusted = np.log((trusted + alpha) / (trusted.sum() + alpha * len(trusted)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, drops_shuffles, trimmed
+from .common import CHUNK_BITS, batches_of, cut, discard, drops_shuffles, packed, trimmed, unpacked
 from .components import connected_components
 
 WIDTH = 3
@@ -25,13 +26,17 @@ SEED = 42
 DISTANCE = 3
 #: Two segments of 32 bits: a table entry meets a random fingerprint once in 2 ** 32.
 SEGMENTS = 2
-#: Of near_copies: independent fingerprints, and the words of a shingle and the similarity that a link must have.
-TABLES = 4
+#: Of near_copies: the words of a shingle and the similarity that a link must have.
 WORDS = 5
 SIMILARITY = 0.8
-#: Of near_copies: bits of the buckets by which rarity is estimated, and rounds of stars at most before the rest is compared pair by pair.
-MIN_BITS, MAX_BITS = 12, 20
-TURNS = 4
+#: Of near_copies: bits of the buckets by which rarity is estimated (MAX_BITS bounds what is broadcast, 8 MB), and of a set's parity.
+MIN_BITS, MORE_BITS, MAX_BITS = 12, 4, 22
+PARITY = 512
+#: Rounds of stars at most, and pairs per key row up to which the rest is compared at once.
+TURNS = 3
+REST = 16
+#: Ids that may be broadcast (8 bytes each).
+MAX_SENT = 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
@@ -65,16 +70,6 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     return majority(shingle_hashes(text, width, seed))
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes for the k-th table, made from those of the first (k = 0)."""
-    if not k:
-        return hashes
-    x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, *, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -128,20 +123,60 @@ def simhash_groups(
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def word_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles of so many words, A-Z lower-cased; of the whole sequence if it is shorter; none without words.
+
+    Each distinct word is hashed once; a shingle's hash is a mixed polynomial of those of its words.
+    """
+    from xxhash import xxh64_intdigest
+
+    said = (text or "").encode().lower().split()
+    if not said:
+        return np.zeros(0, np.uint64)
+    kinds = dict.fromkeys(said)
+    for w in kinds:
+        kinds[w] = xxh64_intdigest(w, SEED)
+    h = np.fromiter(map(kinds.__getitem__, said), np.uint64, len(said))
+    size = min(words, len(said))
+    out = np.full(len(said) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ h[k : k + len(out)]
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits, as longs: whether each bucket of a set's hashes holds an odd number of them. Two sets differ in at least as many elements as their bits do."""
+    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_weights(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarray:
-    """How many texts hold a shingle of each of 2 ** bits hash buckets: one partial histogram per task, then a sum per bucket."""
+    """How many texts hold a shingle of each of 2 ** bits hash buckets (65535 stands for more): one packed histogram per task, then a sum per chunk of buckets."""
+    width = 1 << min(bits, CHUNK_BITS)
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["chunk", "counts"])
 
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
+        n = np.zeros(1 << bits, np.int32)
         for b in batches_of(batches):
-            for t in b.column(0).to_pylist():
-                np.add.at(n, (np.unique(shingle_hashes(t, words)) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[np.flatnonzero(n)])], ["bucket", "n"])
-
-    out = np.zeros(1 << bits, np.int64)
-    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+            got = [word_shingles(t, words) >> np.uint64(64 - bits) for t in b.column(0).to_pylist()]
+            if got:
+                at, k = np.unique(np.concatenate(got), return_counts=True)
+                n[at.astype(np.int64)] += k.astype(np.int32)
+        for c, part in enumerate(n.reshape(-1, width)):
+            if part.any():
+                yield rows([packed(c, [part])])
+
+    def total(key, table):
+        return pa.Table.from_batches([rows([packed(key[0].as_py(), [sum(map(unpacked, table.column("counts").to_pylist()))])])])
+
+    out = np.zeros(1 << bits, np.uint16)
+    for r in docs.select("text").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(total, "chunk long, counts binary").toLocalIterator():
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.minimum(unpacked(r["counts"]), 65535)
     return out
 
 
@@ -154,22 +189,25 @@ def rarest(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.nda
 
 
 @drops_shuffles
-def near_copies(
-    docs: DataFrame, *, tables: int = TABLES, width: int = WIDTH, distance: int | None = DISTANCE, words: int = WORDS, similarity: float = SIMILARITY
-) -> DataFrame:
+def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of all rows of docs (doc_id, text) by verified links; rows with a null doc_id are left out.
 
     Every pair of texts links whose `words`-word shingle sets have a Jaccard similarity of
-    `similarity` or more; unless distance is None, one of `tables` independent SimHash
-    fingerprints must also be within `distance` bits. Texts are compared as word sequences
-    with A-Z lower-cased; those without words link with each other. Equal sequences meet
-    as one class, so copies make no pairs. A repeated doc_id with different texts counts
-    with the shingles of all.
-
-    No link is missed: similar sets share a shingle of their prefixes (rarest). Within
-    the classes of a shingle, stars around a leader join most near copies in rounds; then
-    all pairs that are still in different components are compared. Rarity is estimated
-    by bucket, which only decides how many pairs are compared.
+    `similarity` or more. Texts are compared as word sequences with A-Z lower-cased; those
+    without words link with each other. Equal sequences meet as one class, so copies make
+    no pairs. A repeated doc_id with different texts counts with the shingles of all.
+
+    1. Multi-index hashing over SimHash fingerprints of the shingle sets: every class is
+       compared with the smallest one of its group of fingerprints within `distance` bits.
+    2. No link is missed: similar sets share a shingle of their prefixes (rarest). Within
+       the classes of a shingle that are still in different components, stars around a
+       leader are compared in rounds; then all such pairs that are left. Rarity is
+       estimated by bucket, which only decides how many pairs are looked at.
+
+    Pairs whose lengths, places or parities rule out the similarity are dropped inside the
+    join that finds them; sets are read only of classes in one of the others. Pairs, keys and
+    components are tables; the driver sees counts and 2 ** MAX_BITS weights at most. A
+    rare shingle's unlike classes are still looked at pair by pair.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.where("doc_id is not null").select("doc_id", "text")
@@ -179,24 +217,26 @@ def near_copies(
         from xxhash import xxh3_128_digest
 
         for b in batches_of(batches):
-            keys, fps = [], []
-            for t in b.column(1).to_pylist():
-                keys.append(xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
-                h = shingle_hashes(t, width) if distance is not None else None
-                fps.append([] if h is None else np.array([majority(remixed(h, k)) for k in range(tables)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "key", "fps"])
-
-    rows = cut(docs.mapInArrow(prints, f"doc_id {kind}, key binary, fps array<long>"))
-    classes = cut(rows.groupBy("key", "fps").agg(F.min("doc_id").alias("node")))
+            texts = b.column(1).to_pylist()
+            keys = [xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            every = [word_shingles(t, words) for t in texts]
+            fps = np.array([majority(x) for x in every], np.uint64).view(np.int64)
+            bits = np.array([parity(x) for x in every], np.int64).reshape(len(every), -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps), *map(pa.array, bits.T)], ["doc_id", "key", "fp", *odd])
+
+    odd = [f"p{k}" for k in range(PARITY // 64)]
+    rows = cut(docs.mapInArrow(prints, f"doc_id {kind}, key binary, fp long, " + ", ".join(f"{p} long" for p in odd)))
+    classes = cut(rows.groupBy("key", "fp", *odd).agg(F.min("doc_id").alias("node")))
+    rows = rows.select("doc_id", "key")
     several = cut(rows.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"))
     alone = several.isEmpty()
-    bits = min(max(classes.count().bit_length(), MIN_BITS), MAX_BITS)
+    bits = min(max(classes.count().bit_length() + MORE_BITS, MIN_BITS), MAX_BITS)
     held = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, bits, words))
 
     @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
-            out = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
+            out = [word_shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "set"])
 
     @trimmed
@@ -205,61 +245,82 @@ def near_copies(
             every = [x.values.to_numpy().view("<u8") for x in b.column(1)]
             got = [rarest(x, held.value, similarity) if len(x) else x for x in every]
             lens = np.array(list(map(len, got)), np.int64)
-            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in lens]])
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in lens]])
             key = np.concatenate([np.zeros(0, "<u8"), *got]).view(np.int64)
-            size = np.repeat(np.array(list(map(len, every)), np.int32), lens)
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(np.repeat(np.arange(len(lens)), lens))), pa.array(size), pa.array(at)], ["key", "node", "n", "at"])
+            size = np.repeat(np.array(list(map(len, every)), np.int64), lens)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(np.repeat(np.arange(len(lens)), lens))), pa.array(size << 32 | at)], ["key", "node", "place"])
 
     def shingles(nodes: DataFrame) -> DataFrame:
-        texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        """(node, set) of nodes (node), read from their texts."""
+        wanted = nodes.select(F.col("node").alias("doc_id"))
+        if (n := wanted.count()) <= MAX_SENT:
+            wanted = F.broadcast(wanted)
+        texts = docs.join(wanted, "doc_id", "left_semi").where(F.lit(n) > 0)
         if alone:
-            return texts.mapInArrow(sets, f"node {kind}, set array<long>")
-        single = texts.join(several, "doc_id", "left_anti").mapInArrow(sets, f"node {kind}, set array<long>")
+            return texts.mapInArrow(sets, f"node {kind}, set array<long>").dropDuplicates(["node"])
+        single = texts.join(several, "doc_id", "left_anti").mapInArrow(sets, f"node {kind}, set array<long>").dropDuplicates(["node"])
         joint = texts.join(several, "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, set array<long>")
         return single.unionByName(joint.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
 
-    keys = shingles(classes.select("node")).mapInArrow(prefixes, f"key long, node {kind}, n int, at int")
-    own = Window.partitionBy("key")
-    met = keys.withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own)}).where("x <> y")
-    shared = cut(met.select("key", "node", "n", "at"))
-    held_sets = cut(shingles(shared.select("node")).dropDuplicates(["node"]))
-    tags = classes.groupBy("node").agg(F.collect_list("fps").alias("tags"))
-    if distance is not None:
-        held_sets = held_sets.join(tags, "node")
-
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
-        left, right = (held_sets.select(*[F.col(c).alias({"node": n}.get(c, c + n)) for c in held_sets.columns]) for n in "ab")
-        both = pairs.join(left, "a").join(right, "b")
+        """The distinct pairs (a, b) that are similar."""
+        pairs = cut(pairs.distinct())
+        found = cut(shingles(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        left, right = (found.select(F.col("node").alias(n), F.col("set").alias(f"set{n}")) for n in "ab")
         common = F.size(F.array_intersect("seta", "setb"))
-        near = both.where(common >= F.lit(similarity) * (F.size("seta") + F.size("setb") - common))
-        if distance is not None:
-            meet = lambda x, y: F.exists(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.bit_count(z["x"].bitwiseXOR(z["y"])) <= distance)
-            near = near.where(F.exists("tagsa", lambda x: F.exists("tagsb", lambda y: meet(x, y))))
-        return near.select("a", "b")
+        near = pairs.join(left, "a").join(right, "b").where(common >= F.lit(similarity) * (F.size("seta") + F.size("setb") - common))
+        near = cut(near.select("a", "b"))
+        discard(pairs)
+        discard(found)
+        return near
+
+    # Candidates by fingerprint: every class meets the smallest class of its group of linked fingerprints.
+    prints_ = cut(classes.groupBy("fp").agg(F.min("node").alias("first")))
+    group = connected_components(linked_pairs(prints_.select("fp"), distance=distance, segments=segments)).withColumnRenamed("node", "fp")
+    grouped = prints_.join(group, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("first").alias("other"))
+    met = classes.select("fp", "node").join(grouped.select("fp", "group"), "fp").join(least, "group").where("node <> other")
+    links = linked(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    root = connected_components(links)
+
+    # What the fingerprints miss: sets that share a shingle of their prefixes.
+    nodes = classes.select(F.col("node").alias("doc_id")).distinct()
+    if alone:
+        every = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, f"node {kind}, set array<long>")
+    else:
+        every = shingles(nodes.withColumnRenamed("doc_id", "node"))
+    keys = every.mapInArrow(prefixes, f"key long, node {kind}, place long")
+    own = Window.partitionBy("key")
+    met = keys.withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own)}).where("x <> y")
+    shared = met.select("key", "node", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+    single = classes.join(several, classes["node"] == several["doc_id"], "left_anti").groupBy("node").agg(*[F.first(p).alias(p) for p in odd])
+    shared = cut(shared.join(single, "node", "left"))  # a doc_id with several texts has no parity of its own
 
     def able(x: str, y: str):
-        """Whether two sets that meet first at these places of their orders can be similar, by length and by what is left."""
+        """Whether two sets that meet first at these places of their orders can be similar, by length, by what is left and by parity."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         most = 1 + F.least(n - F.col(f"{x}.at") - 1, m - F.col(f"{y}.at") - 1)
-        return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (n + m))
+        apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in odd])
+        fits = (most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (n + m)) & (F.coalesce(apart, F.lit(0)) <= F.lit((1 - similarity) / (1 + similarity)) * (n + m) + 1e-6)
+        return (F.col(f"{x}.root") != F.col(f"{y}.root")) & fits
 
     ordered = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    links, now = None, shared.withColumn("root", F.col("node"))
-    for turn in range(TURNS):
-        lead = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "at", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("l")).select("key", "l.*")
-        found = cut(linked(now.alias("x").join(lead.alias("y"), "key").where(able("x", "y")).select(*ordered).distinct()))
-        links = found if links is None else links.unionByName(found)
-        root = connected_components(links)
-        now = cut(shared.join(root.select("node", F.col("component").alias("r")), "node", "left").select("key", "node", "n", "at", F.coalesce("r", "node").alias("root")))
+    for turn in range(TURNS + 1):
+        now = shared.join(root.select("node", F.col("component").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        now = cut(now)
         parts = now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
         left, size = parts.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.sum("c")).first()
-        if (left or 0) <= 2 * (size or 0):
+        if not left:
+            break
+        if turn == TURNS or left <= REST * size:
+            rest = now.alias("x").join(now.alias("y"), "key").where(able("x", "y") & (F.col("x.node") < F.col("y.node")))
+            root = connected_components(links.unionByName(linked(rest.select(*ordered))))
             break
-    if left:
-        rest = now.alias("x").join(now.alias("y"), "key").where(able("x", "y") & (F.col("x.node") < F.col("y.node")))
-        links = links.unionByName(cut(linked(rest.select(*ordered).distinct())))
+        lead = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "at", "root", *odd), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("l")).select("key", "l.*")
+        links = cut(links.unionByName(linked(now.alias("x").join(lead.alias("y"), "key").where(able("x", "y")).select(*ordered))))
         root = connected_components(links)
+        discard(now)
+    discard(shared)
     root = root.withColumnRenamed("node", "n")
     named = classes.join(root, classes["node"] == root["n"], "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "key").select("doc_id", "component_id")

@@ -6,15 +6,13 @@ from lodestore.llm import simhash
 from .cases import documents
 
 
-def brute(rows, tables=4):
-    """Components of rows (doc_id, text), all doc_ids different."""
-    sets, fps, keys = [], [], []
+def brute(rows):
+    """Components of rows (doc_id, text), all doc_ids different, by plain Jaccard similarity of five-word shingles."""
+    sets, keys = [], []
     for _, t in rows:
         words = (t or "").encode().lower().split()
         keys.append(b" ".join(words))
         sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-        h = simhash.shingle_hashes(t, 3)
-        fps.append([simhash.majority(simhash.remixed(h, k)) for k in range(tables)])
     parent = list(range(len(rows)))
 
     def find(i):
@@ -23,9 +21,8 @@ def brute(rows, tables=4):
         return i
 
     for i, j in combinations(range(len(rows)), 2):
-        close = any(bin(a ^ b).count("1") <= 3 for a, b in zip(fps[i], fps[j], strict=True))
         union = len(sets[i] | sets[j])
-        if keys[i] == keys[j] or (close and (not union or len(sets[i] & sets[j]) >= 0.8 * union)):
+        if keys[i] == keys[j] or not union or len(sets[i] & sets[j]) >= 0.8 * union:
             parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -75,3 +72,21 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} >= {0, 4, None} and not {1, 2, 3, 5, 6} & {r.doc_id for r in kept.collect()}
     assert simhash.near_copies(documents(spark, empty=True)).count() == 0
+
+
+def test_fingerprints_only_shorten_the_way(spark):
+    """Other distances change what is compared first, never the groups; a few words in common link nobody."""
+    r = random.Random(5)
+    crowd = [f"common words of many texts here {' '.join(f'x{r.randrange(10**6)}' for _ in range(40))}" for _ in range(60)]
+    rows = list(enumerate(edited(8)[:40] + crowd))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute(rows)
+    for distance in (0, 3, 7):
+        assert sorted((x.doc_id, x.component_id) for x in simhash.near_copies(docs, distance=distance).collect()) == want
+
+
+def test_word_shingles():
+    assert len(simhash.word_shingles(None)) == len(simhash.word_shingles(" \n")) == 0
+    assert len(simhash.word_shingles("a b c")) == 1 and len(simhash.word_shingles("a a a a a a a")) == 1
+    one, two = simhash.word_shingles("a b c d e f"), simhash.word_shingles("B C D E F")
+    assert len(one) == 2 and len(two) == 1 and two[0] in one and simhash.word_shingles("b a")[0] != simhash.word_shingles("a b")[0]

@@ -2,6 +2,7 @@ import pytest
 
 from lodestore.llm import line_dedup as ld
 from lodestore.llm import quality, simhash
+from lodestore.llm.suffix_dedup import PASSAGE
 
 from .cases import documents
 
@@ -60,10 +61,10 @@ def test_suffix_stage_leaves_no_repeat(stages):
     seen = Counter()
     for r in out[3].collect():
         raw = r.text.encode()
-        seen.update(raw[i : i + 400] for i in range(len(raw) - 399))
+        seen.update(raw[i : i + PASSAGE] for i in range(len(raw) - PASSAGE + 1))
     for before, after in zip(sorted(out[3].collect(), key=repr), sorted(out[4].collect(), key=repr), strict=True):
         raw = before.text.encode()
-        if not any(seen[raw[i : i + 400]] > 1 for i in range(len(raw) - 399)):
+        if not any(seen[raw[i : i + PASSAGE]] > 1 for i in range(len(raw) - PASSAGE + 1)):
             assert before == after
         else:
             assert len(after.text) < len(before.text)
@@ -99,3 +100,28 @@ def test_line_dedup_equals_brute_force(spark):
         got = ld.line_dedup(docs, broadcast_bytes=limit)
         assert sorted(map(repr, ((r["doc_id"], r["text"], r["n_lines_"], r["n_removed"]) for r in got.collect()))) == sorted(map(repr, line_dedup_brute(data)))
     assert ld.line_dedup(documents(spark, empty=True)).count() == 0
+
+
+def test_run_leaves_only_its_result(spark, stages):
+    import os
+    import re
+
+    out = pipeline.run(spark, stages[0])
+    folder = re.sub("^file:/*", "/", os.path.dirname(out.inputFiles()[0]))
+    assert os.listdir(os.path.dirname(folder)) == [str(len(pipeline.STAGES) - 1)]
+
+
+def test_awkward_tables_pass_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, an empty table, columns with other names' clashes."""
+    folder = str(tmp_path)
+    extra = documents(spark).select(*COLUMNS, "Verdict", "component", "line")
+    nulls = spark.createDataFrame([(None, None, None, None, None, None, None, None), (900, "", None, "s0", 0, "v", "c", "l"), (901, None, "en", None, None, None, None, None)], extra.schema)
+    docs = extra.unionByName(nulls)
+    labels = spark.createDataFrame([(0, 1, 0), (None, None, None), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        for given in (docs, docs.where("false")):
+            got = stage(spark, given, folder)
+            assert got.columns == docs.columns and got.count() <= given.count()
+    packed = pipeline.STAGES[-1][1](spark, docs, folder)
+    assert packed.count() >= docs.count() and pipeline.STAGES[-1][1](spark, docs.where("false"), folder).count() == 0

@@ -86,3 +86,31 @@ def test_long_texts_are_cut_into_overlapping_units():
         for a, k in zip(s - np.concatenate([[0], ends[:-1]])[unit] + np.array(offsets)[unit], c, strict=True):
             starts += range(a, a + k)
     assert sorted(starts) == list(range(5000 - 399))
+
+
+def test_passages_of_over_fifty_words_go_and_clean_texts_stay(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 6)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passages = [p for p in (say(r.randint(51, 70)) for _ in range(60)) if 250 <= len(p) < 400][:25]
+    rows = [(i, f"{say(r.randint(0, 60))} {passages[i % 25]} {say(r.randint(1, 60))}") for i in range(75)]
+    clean = [(100 + i, say(r.randint(1, 300))) for i in range(40)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in sd.suffix_dedup_text(docs).collect()}
+    assert len(passages) == 25 and all(passages[i % 25] not in got[i] and len(got[i]) < len(t) - 200 for i, t in rows)
+    assert all(got[i] == t for i, t in clean)
+
+
+def test_two_lengths_in_one_scan(spark):
+    texts = corpus(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {x.doc_id: x for x in sd.suffix_dedup(docs, length=60, passage=32, gram=8, replace=True).collect()}
+    assert {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in rows.items()} == dict(enumerate(brute(texts, 60)))
+    short = {x.doc_id: x.text for x in sd.suffix_dedup_text(docs, length=32, gram=8).collect()}
+    assert {i: x.text for i, x in rows.items()} == short and short[0] is None
+    for i, (_, _, _, digest) in enumerate(brute(texts, 32)):
+        raw = (short[i] or "").encode()
+        assert sha256(raw).hexdigest() == digest or len(raw) < len((texts[i] or "").encode())  # split characters go as a whole
+    for bad in ({"length": 61}, {"passage": 400}, {"length": 512}):
+        with pytest.raises(ValueError):
+            sd.suffix_dedup(docs, **bad)

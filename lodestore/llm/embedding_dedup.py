@@ -4,6 +4,8 @@ The angle between vectors is a metric. Every vector belongs to the cell of its n
 pivot. If y of cell q lies within e of x of cell p, the triangle inequality gives
 d(x, q) <= d(x, p) + 2 e and d(x, q) <= radius(q) + e; x is copied to exactly the cells
 for which both hold. Each pair then meets in one cell, and cells join independently.
+Within a cell, blocks are rings around its pivot: as |d(x, p) - d(y, p)| <= d(x, y), only
+blocks whose rings come within e of each other are compared.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from .components import connected_components
 
 THRESHOLD = 0.9
 #: Mean vectors per cell; the number of pivots follows from it up to MAX_PIVOTS, which bounds what is broadcast.
-CELL = 8192
+CELL = 65536
 MAX_PIVOTS = 2048
 #: Rows of a cell that one task compares with as many others.
-BLOCK = 4096
+BLOCK = 16384
+#: Rings of equal width around a pivot; a block is some of them, or part of one.
+RINGS = 32
+_TILE = 512
 #: Slack of the angle bounds against rounding; it can only copy more.
 ROUNDING = 1e-6
 
@@ -48,26 +53,6 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1, 1))
 
 
-def local_components(linked: np.ndarray) -> np.ndarray:
-    """Smallest position in the component of each row of a symmetric boolean matrix."""
-    n = len(linked)
-    root = np.arange(n)
-    open_ = linked.any(axis=1)
-    for i in range(n):
-        if not open_[i]:
-            continue
-        front = np.array([i])
-        open_[i] = False
-        while len(front):
-            near = np.zeros(n, bool)
-            for at in range(0, len(front), 256):
-                near |= linked[front[at : at + 256]].any(axis=0)
-            front = np.flatnonzero(near & open_)
-            open_[front] = False
-            root[front] = i
-    return root
-
-
 def linked(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean matrix of the unit rows at cosine >= threshold in double precision.
 
@@ -87,41 +72,87 @@ def linked(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _weighted(links: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """Per row the sum of copies over its links."""
-    out = np.zeros(len(links), np.int64)
-    for at in range(0, len(links), 512):
-        part = links[at : at + 512]
-        if part.any():
-            out[at : at + 512] = np.where(part, copies[None, :], 0).sum(axis=1)
-    return out
-
-
 def _join_block(table: pa.Table, width: int, threshold: float) -> pa.Table:
-    """Links between the two blocks of a group, or within its one block: per row the weighted count of partners and its local root."""
+    """Links between the two blocks of a group, or within its one block: per row the weighted count of partners and edges to smaller rows.
+
+    Rows are taken in tiles. Within a tile the smallest position spreads along the links
+    until nothing changes; where a row's label changes, old and new label form an edge, so
+    the edges span what the links do. No more than a tile of the matrix is held.
+    """
     order = np.argsort(table["uid"].to_numpy())  # so that the smallest position is the smallest id
     table = table.take(pa.array(order)).combine_chunks()
     uid, copies, side = table["uid"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
-    units = _units(table["embedding"].chunk(0), width)
-    if table["low"][0] == table["high"][0]:
-        a = b = np.arange(len(uid))
-    else:
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    near = linked(units[a], units[b], threshold)
-    links = np.zeros(len(uid), np.int64)
-    if a is b:
-        np.fill_diagonal(near, False)
-        links[a] = _weighted(near, copies[b])
-    else:
-        links[a], links[b] = _weighted(near, copies[b]), _weighted(near.T, copies[a])
-    hit = np.flatnonzero(links)
-    place = np.full(len(uid), -1)
-    place[hit] = np.arange(len(hit))
-    square = np.zeros((len(hit), len(hit)), bool)
-    rows, cols = np.flatnonzero(place[a] >= 0), np.flatnonzero(place[b] >= 0)
-    square[np.ix_(place[a][rows], place[b][cols])] = near[np.ix_(rows, cols)]
-    root = uid[hit][local_components(square | square.T)] if len(hit) else uid[hit]
-    return pa.table({"uid": uid[hit], "links": links[hit], "root": root})
+    units, n = _units(table["embedding"].chunk(0), width), len(order)
+    alone = table["low"][0] == table["high"][0]
+    a, b = (np.arange(n), np.arange(n)) if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    links, label = np.zeros(n, np.int64), np.arange(n, dtype=np.int32)
+    turned = [np.zeros((0, 2), np.int32)]
+    for at in range(0, len(a), _TILE):
+        rows = a[at : at + _TILE]
+        near = linked(units[rows], units[b], threshold)
+        if alone:
+            near[np.arange(len(rows)), rows] = False
+        r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(r):
+            continue
+        near, r, c = near[np.ix_(r, c)], rows[r], b[c]
+        links[r] += np.where(near, copies[c][None, :], 0).sum(axis=1)
+        if not alone:
+            links[c] += np.where(near, copies[r][:, None], 0).sum(axis=0)
+        while True:
+            ends = np.concatenate([r, c])
+            was = label[ends]
+            np.minimum.at(label, r, np.where(near, label[c][None, :], n).min(axis=1).astype(np.int32))
+            np.minimum.at(label, c, np.where(near, label[r][:, None], n).min(axis=0).astype(np.int32))
+            new = label[ends] != was
+            if not new.any():
+                break
+            turned.append(np.unique(np.column_stack([was[new], label[ends][new]]), axis=0))
+    hit, pairs = np.flatnonzero(links), np.unique(np.concatenate(turned), axis=0)
+    return pa.table({
+        "uid": np.concatenate([uid[hit], uid[pairs[:, 0]]]), "links": np.concatenate([links[hit], np.zeros(len(pairs), np.int64)]),
+        "root": np.concatenate([uid[label[hit]], uid[pairs[:, 1]]]),
+    })
+
+
+def ring_layout(sizes: dict[tuple[int, bool, int], int], block: int, reach: float) -> list[tuple]:
+    """Blocks of each cell from its rows per (cell, home, ring): (cell, home, ring, first block, blocks of the ring, and the ranges h0..h1 of home and
+    o0..o1 of copied blocks to compare with).
+
+    Blocks are numbered from 0 in a cell, those of home rows first, and take
+    neighbouring rings up to `block` rows; a larger ring has several. Copied rows meet home
+    rows only. An empty range has its end before its start.
+    """
+    width, out = np.pi / RINGS, []
+    by_cell: dict[int, dict[tuple[bool, int], int]] = {}
+    for (cell, home, ring), n in sizes.items():
+        by_cell.setdefault(cell, {})[home, ring] = n
+    for cell, counts in by_cell.items():
+        blocks: list[tuple[bool, int, int]] = []  # home, first and last ring
+        place: dict[tuple[bool, int], tuple[int, int]] = {}
+        for home in (True, False):
+            held = block
+            for ring in sorted(r for h, r in counts if h == home):
+                n = counts[home, ring]
+                if n > block:
+                    place[home, ring] = len(blocks), -(-n // block)
+                    blocks += [(home, ring, ring)] * place[home, ring][1]
+                    held = block
+                elif held + n > block:
+                    place[home, ring] = len(blocks), 1
+                    blocks.append((home, ring, ring))
+                    held = n
+                else:
+                    place[home, ring] = len(blocks) - 1, 1
+                    blocks[-1] = (home, blocks[-1][1], ring)
+                    held += n
+        for (home, ring), (first, count) in place.items():
+            _, low, high = blocks[first]
+            near = [k for k, (_, a, b) in enumerate(blocks) if (max(low, a) - min(high, b) - 1) * width <= reach]
+            mine = [k for k in near if blocks[k][0]]
+            others = [k for k in near if not blocks[k][0]] if home else []
+            out.append((cell, home, ring, first, count, *((mine[0], mine[-1]) if mine else (0, -1)), *((others[0], others[-1]) if others else (0, -1))))
+    return out
 
 
 def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -169,18 +200,20 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
                 to = (d <= own + 2 * reach) & (d <= bounds.value[None, :] + reach) & (np.arange(count)[None, :] < p[:, None])
                 to[np.arange(len(p)), p] = True
                 row, where = np.nonzero(to)
+                ring = np.minimum(d[row, where] / (np.pi / RINGS), RINGS - 1).astype(np.int64)
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(where), pa.array(where == p[row])], ["uid", "copies", "embedding", "cell", "home"])
-
-    dealt = vectors.select("uid", "copies", "embedding").mapInArrow(copy, f"uid long, copies long, embedding {element}, cell long, home boolean")
-    # Home rows form blocks 0, 1, ..; copied ones the blocks behind them. Home blocks meet all blocks, copied ones the home blocks.
-    sizes = {(r["cell"], r["home"]): -(-r["count"] // block) for r in dealt.groupBy("cell", "home").count().collect()}  # at most 2 * MAX_PIVOTS rows
-    at_cell = lambda home: F.element_at(F.array(*[F.lit(sizes.get((c, home), 0)) for c in range(count)]), F.col("cell").cast("int") + 1)
-    dealt = dealt.withColumns({"homes": at_cell(True), "others": at_cell(False)})
-    spread = F.xxhash64("uid")
-    own = F.when(F.col("home"), F.pmod(spread, F.greatest("homes", F.lit(1)))).otherwise(F.col("homes") + F.pmod(spread, F.greatest("others", F.lit(1))))
-    last = F.when(F.col("home"), F.col("homes") + F.col("others")).otherwise(F.col("homes")) - 1
-    met = dealt.withColumns({"own": own.cast("int"), "other": F.explode(F.sequence(F.lit(0), last))})
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(where), pa.array(where == p[row]), pa.array(ring)], ["uid", "copies", "embedding", "cell", "home", "ring"])
+
+    dealt = vectors.select("uid", "copies", "embedding").mapInArrow(copy, f"uid long, copies long, embedding {element}, cell long, home boolean, ring long")
+    # At most 2 * MAX_PIVOTS * RINGS rows reach the driver and go back as the layout of the blocks.
+    sizes = {(r["cell"], r["home"], r["ring"]): r["count"] for r in dealt.groupBy("cell", "home", "ring").count().collect()}
+    layout = spark.createDataFrame(ring_layout(sizes, block, reach), "cell long, home boolean, ring long, first int, blocks int, h0 int, h1 int, o0 int, o1 int")
+    span = lambda a, b: F.when(F.col(a) <= F.col(b), F.sequence(F.col(a), F.col(b))).otherwise(F.array().cast("array<int>"))
+    placed = dealt.join(F.broadcast(layout), ["cell", "home", "ring"])
+    met = placed.select(
+        "uid", "copies", "embedding", "cell", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("blocks"))).cast("int").alias("own"),
+        F.explode(F.concat(span("h0", "h1"), span("o0", "o1"))).alias("other"),
+    )
     pairs = met.select(
         "uid", "copies", "embedding", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
@@ -204,7 +237,8 @@ def embedding_groups(
     rows with a null id link with nothing. Vectors shorter than the longest count as
     having zeros behind. Repeated ids are rows of their own. An empty table gives an
     empty one. Pivots, radii and cell sizes (MAX_PIVOTS rows at most) are all that
-    reaches the driver; a large cell is compared in block pairs by many tasks. Where
+    reaches the driver, with the sizes of their rings; a large cell is compared in pairs of
+    ring blocks by many tasks. Where
     distances between unrelated vectors are all alike (high intrinsic dimension), the
     bounds exclude little and the work approaches that of all block pairs.
     """

@@ -35,7 +35,7 @@ def rows_of(seed=2):
     return rows + [(3, rows[3][1]), (None, rows[4][1]), (706, [1e-30] * 8), (707, [1e30] * 8)]
 
 
-@pytest.mark.parametrize("cell, block", [(4096, 2048), (16, 8), (40, 64)])
+@pytest.mark.parametrize("cell, block", [(4096, 2048), (16, 8), (40, 64), (4096, 16)])
 def test_groups_equal_brute_force(spark, cell, block):
     rows = rows_of()
     df = spark.createDataFrame([(i, e and [None if x is None else float(x) for x in e], 1, 2) for i, e in rows], "vec_id long, embedding array<float>, uid int, root int").repartition(3)
@@ -47,3 +47,34 @@ def test_empty_and_single(spark):
     kind = "vec_id long, embedding array<double>"
     assert ed.embedding_groups(spark.createDataFrame([], kind)).count() == 0
     assert [tuple(r) for r in ed.embedding_groups(spark.createDataFrame([(4, [1.0, 0.0])], kind)).collect()] == [(4, 0, 4, True)]
+
+
+def test_ring_blocks_meet_within_reach_only():
+    r = np.random.default_rng(5)
+    sizes = {(0, True, int(k)): int(r.integers(1, 30)) for k in r.permutation(ed.RINGS)[:12]} | {(0, False, int(k)): int(r.integers(1, 30)) for k in r.permutation(ed.RINGS)[:9]}
+    width, reach = np.pi / ed.RINGS, 0.45
+    rows = {(home, ring): x for _, home, ring, *x in ed.ring_layout(sizes, 16, reach)}
+    held = {}
+    for (home, ring), (first, count, *_) in rows.items():
+        for k in range(count):
+            held.setdefault((first + k, home), []).append(sizes[0, home, ring] / count)
+    assert all(sum(x) <= 16 for x in held.values())
+    for (h1, a), (f1, n1, *x) in rows.items():
+        for (h2, b), (f2, n2, *_) in rows.items():
+            met = all(x[0] <= k <= x[1] or x[2] <= k <= x[3] for k in range(f2, f2 + n2))
+            if (h1 or h2) and (abs(a - b) - 1) * width <= reach:
+                assert met
+            if not h1 and not h2:
+                assert not met
+    alone = ed.ring_layout({(3, True, 5): 9}, 16, reach)
+    assert alone == [(3, True, 5, 0, 1, 0, 0, 0, -1)]
+
+
+def test_a_crowd_of_linked_vectors_in_tiles(spark):
+    """Chains that only close over several tiles, in one block."""
+    angles = np.arange(1300) * 0.004
+    rows = [(int(i), [float(np.cos(x)), float(np.sin(x))]) for i, x in zip(np.random.default_rng(1).permutation(1300), angles, strict=True)]
+    got = ed.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    e = np.array([v for _, v in sorted(rows)])
+    want = (e @ e.T / np.outer(*[np.linalg.norm(e, axis=1)] * 2) >= 0.9).sum(axis=1) - 1
+    assert {r.component_id for r in got} == {0} and [r.n_links for r in sorted(got)] == want.tolist()

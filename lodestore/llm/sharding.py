@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, trimmed
+from .common import cut, discard, fresh, trimmed
 
 SHARDS = 16
 #: Allowed distance of a splitter from its wanted byte count, as a share of a shard.
@@ -102,7 +102,7 @@ def shard_by_bytes(
     heavy of them, whatever the input); the others are split by key ranges that fill
     every shard to the same level. A group above a whole shard stays whole and the other
     shards share the rest. slot counts gapless from 0 within a shard, in the order of
-    text hash, `order` and row content; ties between equal rows are arbitrary.
+    text hash and `order`; rows that agree in both get their slots in any order.
     grown_shard is null under this law. Names that docs already has get a trailing
     underscore. An empty table gives an empty one. Two texts of one 64-bit hash count as
     one group, which costs balance only. Rows move once; the rounds read a checkpoint of
@@ -134,6 +134,7 @@ def shard_by_bytes(
         wanted += [at + give * (k + 1) // fine for k in range(fine)]
         at += give
     cuts = splitters(small, wanted[:-1], in_small, max(1, int(tolerance * level)))
+    discard(keyed)
     edges, below = [_LOW], [0]
     for c in cuts:
         edges.append(max(edges[-1], c[0]))
@@ -158,31 +159,32 @@ def shard_by_bytes(
                 cells.append((s, filled[s]))
                 filled[s] += counts.get((k, i), 0)
 
-    place = spark.sparkContext.broadcast(
-        (np.array(edges[1:], np.int64), np.array(sorted(home), np.int64), np.array([heavy_first[k] for k in sorted(home)], np.int64), np.array([splits[k] for k in sorted(home)], np.int64))
-    )
+    keys = sorted(home)
+    place = spark.sparkContext.broadcast((
+        np.array(edges[1:], np.int64), np.array(keys, np.int64), np.array([heavy_first[k] for k in keys], np.int64), np.array([splits[k] for k in keys], np.int64),
+        np.array([c[0] for c in cells], np.int32), np.array([c[1] for c in cells], np.int64),
+    ))
 
-    @F.pandas_udf("int")
-    def cell_of(keys: pd.Series, orders: pd.Series) -> pd.Series:
-        bounds, heavies, first, split = place.value
+    @F.pandas_udf("cell int, shard int, base long")
+    def placed(keys: pd.Series, orders: pd.Series) -> pd.DataFrame:
+        bounds, heavies, first, split, shard, base = place.value
         k = keys.to_numpy()
         out = np.searchsorted(bounds, k, side="right")
         if len(heavies):
             at = np.minimum(np.searchsorted(heavies, k), len(heavies) - 1)
             hit = heavies[at] == k
             out[hit] = (first[at] + np.mod(orders.to_numpy(), split[at]))[hit]
-        return pd.Series(out.astype(np.int32))
+        return pd.DataFrame({"cell": out.astype(np.int32), "shard": shard[out], "base": base[out]})
 
-    moved = docs.withColumn(key, F.xxhash64(body)).withColumn(cell, cell_of(F.col(key), F.xxhash64(F.col(order))))
-    shard_of = F.element_at(F.array(*[F.lit(c[0]) for c in cells]), F.col(cell) + 1)
-    base = F.element_at(F.array(*[F.lit(int(c[1])).cast("long") for c in cells]), F.col(cell) + 1)
+    spot = fresh(docs, "shard_spot")
+    moved = docs.withColumn(key, F.xxhash64(body)).withColumn(spot, placed(F.col(key), F.xxhash64(F.col(order)))).withColumn(cell, F.col(spot)["cell"])
     within = F.row_number().over(Window.partitionBy(cell).orderBy(key, order))
     return moved.select(
         *docs.columns,
         size.alias(names["size"]),
         F.crc32(F.encode(body, "UTF-8")).alias(names["text_crc32"]),
         F.lit("bytes").alias(names["law"]),
-        shard_of.alias(names["shard"]),
-        (base + within - 1).alias(names["slot"]),
+        F.col(spot)["shard"].alias(names["shard"]),
+        (F.col(spot)["base"] + within - 1).alias(names["slot"]),
         F.lit(None).cast("int").alias(names["grown_shard"]),
     )

@@ -191,7 +191,7 @@ def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
                     row, query = _best_of(score, files, limit)
                     best = pd.concat([best, pd.DataFrame({"q": query, "f": files[row], "k": keys[row], "s": score[row, query]})])
                     best = best.sort_values(["q", "s", "f", "k"], ascending=[True, False, True, True]).drop_duplicates(["q", "f"]).groupby("q").head(limit)
-            columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), pa.array(best["f"], pa.string()), pa.array(best["k"], pa.string()), pa.array(best["s"], pa.float64())]
+            columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), *(pa.array(best[c].to_numpy(object), pa.string()) for c in "fk"), pa.array(best["s"].to_numpy(np.float64))]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "file_path", "hash_seq", "score"])
 
         parts.append(rows.mapInArrow(run, out))

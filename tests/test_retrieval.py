@@ -73,3 +73,12 @@ def test_texts_enter_no_exchange_of_a_search(spark, chunks, queries, tmp_path):
     for line in said.split("\n"):
         if "Exchange" in line:
             assert "text_body" not in line
+
+
+def test_blocks_over_many_slices(spark):
+    """More rows in a task than one product takes."""
+    made = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * 0.37 + i))
+    rows = spark.range(9500, numPartitions=1).select(F.concat(F.lit("h"), "id").alias("hash_seq"), F.concat(F.lit("f"), F.col("id") % 4000).alias("file_path"), made.alias("vector"), F.lit(0.5).alias("importance"), F.lit(NOW).alias("embedded_at"))
+    asked = spark.createDataFrame([(1, [1.0, 0.5, -1.0, 0.2]), (2, [0.0, 1.0, 0.0, 0.0])], "query_id int, vector array<double>")
+    plain = got(retrieval.vector_search(rows, asked, as_of_ms=NOW, limit=15))
+    assert len(plain) == 30 and got(retrieval.vector_search(rows, asked, as_of_ms=NOW, limit=15, blocks=True)) == plain

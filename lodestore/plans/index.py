@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 from dataclasses import dataclass
+from functools import cache
 from hashlib import sha256
 from uuid import uuid4
 
@@ -26,14 +29,21 @@ class Index:
     postings: DataFrame
 
 
+@cache
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="lodestore-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; on one machine a temporary folder stands in where it is unset."""
+    """The cluster's spark.checkpoint.dir; on one machine a temporary folder, deleted at exit, stands in where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lodestore-")
+    return _temporary()
 
 
 def written(spark: SparkSession, chunks: DataFrame, folder: str) -> Index:

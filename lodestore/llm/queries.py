@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import embedding_dedup, licenses, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filters
+from . import decontamination, embedding_dedup, licenses, merkle, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filters
 from .common import table
 
 
@@ -71,6 +71,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filters": op2_url_filters,
@@ -82,4 +90,6 @@ QUERIES = {
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_decontamination": op13_decontamination,
 }

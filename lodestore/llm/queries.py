@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
-from . import decontamination, embedding_dedup, licenses, merkle, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filters
+from . import decontamination, embedding_dedup, licenses, merkle, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, trie, url_filters
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,5 +95,6 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_decontamination": op13_decontamination,
 }

@@ -31,7 +31,10 @@ COLUMNS = {
 def test_columns_and_rows(spark, name):
     got = QUERIES[name](spark, SF_DIR)
     assert ", ".join(f"{n} {t}" for n, t in got.dtypes) == COLUMNS[name]
-    source = {"op2_url_filters": "pages", "op10_embedding_near_dedup": "embeddings"}.get(name, "documents")
+    source = {"op2_url_filters": "pages", "op10_embedding_near_dedup": "embeddings", "op12_conversation_trie": "conversations"}.get(name, "documents")
     ids = sorted(r[0] for r in spark.read.parquet(f"{SF_DIR}/{source}.parquet").select(got.columns[0]).collect())
     found = sorted(r[0] for r in got.select(got.columns[0]).collect())
+    if name.startswith("op12"):
+        assert set(found) <= set(ids) and got.where("depth = 0").count() == 1
+        return
     assert sorted(set(found)) == ids if name.startswith("op3") else found == ids

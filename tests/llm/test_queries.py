@@ -23,7 +23,7 @@ COLUMNS = {
     "op10_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op11_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
     "op12_conversation_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
-    "op13_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, longest_at bigint, longest_item string, longest_item_at bigint",
+    "op13_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, longest_at bigint",
 }
 
 

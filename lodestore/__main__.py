@@ -46,7 +46,7 @@ def run(engine: Engine, a: argparse.Namespace) -> DataFrame | dict | int:
     if a.command == "delete":
         return {"chunks": engine.delete(a.memory_id)}
     if a.command == "compact":
-        return {"folders": engine.store.compact()}
+        return {"folders": engine.compact()}
     return {"list": engine.memories, "collections": engine.collections, "status": engine.status}[a.command]()
 
 

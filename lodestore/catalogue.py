@@ -15,6 +15,7 @@ from .functions.entities import mentions
 from .operators import evaluate, filters, fusion, graph, memories, retrieval
 from .plans import index, search, store
 from .plans.tables import AS_OF_MS, memory_chunks, read, search_queries
+from .schema import NAMESPACES
 from .sources import folder
 from .streaming import watch
 
@@ -149,7 +150,7 @@ def vector_topk_blocks(spark, sf_dir):
 @query
 def best_chunk_per_file(spark, sf_dir):
     """Documents of equal source as chunks of one file: the one nearest to the query stands for it."""
-    rows = _live(spark, sf_dir).withColumn("file_path", F.col("source"))
+    rows = _live(spark, sf_dir).drop("file_key", "chunk_id", "collection", *NAMESPACES).withColumn("file_path", F.col("source"))
     return retrieval.vector_search(rows, search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, limit=10).select("query_id", "file_path", "hash_seq", "rank0", *_r("score"))
 
 
@@ -174,7 +175,7 @@ def _fused(spark, sf_dir, *, intent=None, content_type=None, filter_type=False,
         vecs = read(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("vector"))
         variants = queries.select("query_id").join(vecs, "query_id").withColumn("variant", F.lit(1))
     found, order = search.branches(rows, queries, as_of_ms=AS_OF_MS, variants=variants, posted=_posted(spark, sf_dir))
-    media = rows.select("file_path", "content_type").distinct()
+    media = rows.select("file_key", "content_type").distinct()
     return fusion.fuse(found, order, intent=intent, content_type=content_type, media=media)
 
 
@@ -363,7 +364,7 @@ def result_bodies(spark, sf_dir):
     rows = index.opened(spark, sf_dir).chunks
     content = rows.select(F.col("content_hash").alias("hash"), F.col("text_body").alias("doc")).dropDuplicates(["hash"])
     empty = rows.withColumn("text_body", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text_body")))
-    got = retrieval.vector_search(_live(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS).select("query_id", "file_path", "hash_seq")
+    got = retrieval.vector_search(_live(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS).select("query_id", "file_key", "file_path", "hash_seq")
     return search.with_bodies(got, empty, content).select("query_id", "file_path", F.sha2("body", 256).alias("body_hash"))
 
 
@@ -513,8 +514,8 @@ def eval_percentiles(spark, sf_dir):
 def stage_metrics(spark, sf_dir):
     rows = _live(spark, sf_dir)
     found, _ = search.branches(rows, search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, posted=_posted(spark, sf_dir))
-    kinds = rows.select("file_path", "content_type").distinct()
-    got = evaluate.stage_metrics(found.withColumnRenamed("branch", "stage").join(kinds, "file_path"))
+    kinds = rows.select("file_key", "content_type").distinct()
+    got = evaluate.stage_metrics(found.withColumnRenamed("branch", "stage").join(kinds, "file_key"))
     return got.select("stage", "content_type", "n", *_r("min_score", "max_score", "mean_score"))
 
 

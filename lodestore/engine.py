@@ -25,6 +25,8 @@ class Storage(Protocol):
 
     def table(self, name: str, parts: list[str] | None = None) -> DataFrame: ...
     def version(self) -> int: ...
+    def fold(self, *, every: bool = False) -> int: ...
+    def compact(self) -> int: ...
     def manifest(self) -> dict: ...
     def upsert(self, tables: dict[str, DataFrame]) -> int: ...
     def upsert_memory(self, texts: DataFrame, *, now_ms: int, embed=None, model: str = "none") -> int: ...
@@ -101,7 +103,14 @@ class Engine:
         return search.search_batch(found.chunks, self._queries(queries), posted=found.postings, **self._options(scope))
 
     def add(self, texts: DataFrame) -> int:
-        return self.store.upsert_memory(texts, now_ms=self.now_ms(), embed=self.embed, model=self.config.model)
+        """Write texts in the place of what their paths held; layers that have piled up are folded. Returns the version that shows them."""
+        version = self.store.upsert_memory(texts, now_ms=self.now_ms(), embed=self.embed, model=self.config.model)
+        self.store.fold()
+        return version
+
+    def compact(self) -> int:
+        """Fold the store, and delete folders of it and segments of its index that the newest version does not name; returns how many folders went."""
+        return self.store.compact() + index.sweep(self.store)
 
     def get(self, memory_id: str | None = None, **where: str | None) -> DataFrame:
         return self.store.get_memory(memory_id, **where)

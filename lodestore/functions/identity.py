@@ -37,6 +37,11 @@ def memory_id(collection: Column, user: Column, session: Column, project: Column
     return name_uuid(F.concat_ws("::", *parts))
 
 
+def file_key(*parts: Column) -> Column:
+    """128-bit key of what a chunk's file is known by: collection, namespaces and path. Null and empty parts differ."""
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in parts]))
+
+
 def root_path(path: Column, root: Column | None = None) -> Column:
     """The given root, else the part of a path before its first '::'."""
     own = F.substring_index(path, "::", 1)

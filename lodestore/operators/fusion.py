@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PLAIN_WORD, words
 from ..functions.vectors import jaccard
+from ..schema import NAMESPACES
+from .retrieval import FILE
 
 RRF_K = 60
 # Branch weights by intent, and by requested content type without one.
@@ -52,10 +54,10 @@ def fuse(
     limit: int = 10,
     media: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per query and file: rrf, sources (names joined by +), best_rank, compensated, rrf_rank from 1.
+    """One row per query and file: rrf, sources (names joined by +), best_rank, compensated, rrf_rank from 1, by_branch (branch, rank from 1, score).
 
-    branches: query_id, branch, file_path, hash_seq, rank0. order: all branches that were asked, in
-    insertion order, which also breaks ties of equal scores. media (file_path,
+    branches: query_id, branch, file_key, file_path, hash_seq, score, rank0. order: all branches that were asked, in
+    insertion order, which also breaks ties of equal scores. media (file_key,
     content_type) is needed for content type image or video: files that no lexical branch
     found get the missing branches' weight back.
     """
@@ -65,8 +67,9 @@ def fuse(
     lexical = F.col("branch").contains("fts") | F.col("branch").contains("bm25")
     fused = (
         branches.withColumn("w", weight / (F.lit(k + 1) + F.col("rank0")))
-        .groupBy("query_id", "file_path")
+        .groupBy("query_id", *FILE)
         .agg(
+            F.array_sort(F.collect_list(F.struct("branch", (F.col("rank0") + 1).alias("rank"), "score"))).alias("by_branch"),  # a row per branch
             F.sum("w").alias("rrf"),
             F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("sources"),
             F.min("rank0").alias("best_rank"),
@@ -78,13 +81,13 @@ def fuse(
     rest = sum(weights.values()) - text_weight
     compensated: Column = F.lit(False)
     if content_type in ("image", "video") and text_weight > 0 and rest > 0 and media is not None:
-        fused = fused.join(media.select("file_path", "content_type"), "file_path")
+        fused = fused.join(media.select("file_key", "content_type"), "file_key")
         compensated = F.col("content_type").isin("image", "video") & ~F.col("lexical")
     factor = (text_weight + rest) / rest if rest else 1.0
     fused = fused.withColumn("compensated", compensated).withColumn("rrf", F.round(F.when(compensated, F.col("rrf") * factor).otherwise(F.col("rrf")), 12))
-    w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen", "file_path")
+    w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen", *reversed(FILE))
     ranked = fused.withColumn("rrf_rank", F.row_number().over(w)).where(F.col("rrf_rank") <= candidate_limit(limit))
-    return ranked.select("query_id", "file_path", "rrf", "sources", "best_rank", "compensated", "rrf_rank", F.col("seen.hash_seq").alias("hash_seq"))
+    return ranked.select("query_id", *FILE, "by_branch", "rrf", "sources", "best_rank", "compensated", "rrf_rank", F.col("seen.hash_seq").alias("hash_seq"))
 
 
 def is_media(kind: str = "content_type") -> Column:
@@ -111,7 +114,7 @@ def rerank(
     min_margin: float = 0.25,
     scorer=overlap_scorer,
 ) -> DataFrame:
-    """fused plus details of its first-seen chunk (file_path, hash_seq, content_type, ..., without text_body), rerank_score and rerank_path.
+    """fused plus details of its first-seen chunk (file_key, hash_seq, content_type, ..., without text_body), rerank_score and rerank_path.
 
     The gates run in order: no reranker (text), top_k 0 (skipped), media present but
     disabled, caps for media, a confident margin between the first two (media only),
@@ -119,7 +122,7 @@ def rerank(
     column function, for models a pandas UDF. It sees the texts of the first top_k
     ranks only, where they are read: texts enter no exchange of this function.
     """
-    joined = fused.join(details, ["file_path", "hash_seq"]).join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
+    joined = fused.join(details.drop("file_path"), ["file_key", "hash_seq"]).join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
     by_query = Window.partitionBy("query_id")
     half = F.lit(0.5)
     if not enabled or top_k <= 0:
@@ -183,13 +186,16 @@ def roll_up(blended: DataFrame, limit: int) -> DataFrame:
     """One row per query and memory: the root hit stands for it if there is one, with the best hit's score and a boost.
 
     Needs memory_id, memory_role, memory_root_path and tags (array, may be null). Score
-    is the best hit's times 1 + min(0.15, 0.03 per further hit).
+    is the best hit's times 1 + min(0.15, 0.03 per further hit). Collection and namespaces
+    of the best hit are kept where there are such columns.
     """
+    owner = [c for c in ("collection", *NAMESPACES) if c in blended.columns]
     hit = F.struct(
         (-F.col("score")).alias("o"), F.col("rrf_rank"), F.col("file_path"), F.col("memory_role"), F.col("memory_root_path"), F.col("title"),
         F.col("tags"), F.col("rrf"), F.col("rerank_score"), F.col("rrf_weight"), F.col("sources"), F.col("rerank_path"), F.col("compensated"),
+        F.col("rrf_norm"), F.col("rerank_norm"), F.col("by_branch"), *[F.col(c) for c in owner],
     )
-    grouped = blended.groupBy("query_id", F.coalesce("memory_id", "file_path").alias("memory_key")).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    grouped = blended.groupBy("query_id", F.coalesce("memory_id", "file_key").alias("memory_key")).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     top = F.col("hits")[0]
     root = F.get(F.filter("hits", lambda h: h["memory_role"] == "root"), F.lit(0))
     canonical = F.coalesce(root["memory_root_path"], top["memory_root_path"], root["file_path"], top["file_path"])
@@ -204,20 +210,20 @@ def roll_up(blended: DataFrame, limit: int) -> DataFrame:
         F.round(-F.col("top")["o"] * F.col("boost"), 9).alias("score"),
         F.col("n").alias("hit_count"), F.col("boost"),
         F.col("top")["file_path"].alias("evidence_path"), supporting.alias("supporting_paths"), F.slice(tags, 1, 8).alias("tags"),
-        *[F.col("top")[c].alias(c) for c in ("rrf_rank", "rrf", "rerank_score", "rrf_weight", "sources", "rerank_path", "compensated")],
+        *[F.col("top")[c].alias(c) for c in ("rrf_rank", "rrf", "rerank_score", "rrf_weight", "sources", "rerank_path", "compensated", "rrf_norm", "rerank_norm", "by_branch", *owner)],
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rrf_rank", "path")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rrf_rank", "path", "memory_key")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def merge_batch(ranked: DataFrame, weights: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
-    """Fuse the results of several queries: ranked (query_id, path, rank from 1, score), weights (query_id, weight)."""
+    """Fuse the results of several queries: ranked (query_id, memory_key, path, rank from 1, score), weights (query_id, weight)."""
     rows = ranked.join(weights, "query_id")
-    merged = rows.groupBy("path").agg(
+    merged = rows.groupBy("memory_key", "path").agg(
         F.round(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))), 12).alias("score"),
         F.array_join(F.transform(F.array_sort(F.collect_set("query_id")), lambda q: q.cast("string")), ",").alias("source"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_id", F.col("score"))))).alias("query_scores"),
         F.max(F.col("score")).alias("best_score"),
         F.min(F.struct("query_id", "rank")).alias("seen"),
     )
-    return merged.orderBy(F.desc("score"), "seen").limit(limit).drop("seen")
+    return merged.orderBy(F.desc("score"), "seen", "memory_key").limit(limit).drop("seen")

@@ -12,14 +12,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import vectors
+from ..functions import identity, vectors
 from ..functions.text import words
+from ..schema import NAMESPACES
 from .filters import policy
 
 #: What is broadcast is measured first: at most so many rows and so many bytes; larger tables are joined by shuffle or in blocks.
 MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_BYTES = 32 << 20
 DIGITS = 9
+#: Queries that are multiplied with the vectors as rows; more are multiplied in blocks.
+FEW_QUERIES = 16
+#: What a hit's file and chunk are known by. Paths alone are not unique: they repeat over collections and namespaces.
+FILE = ["file_key", "file_path"]
+CHUNK = [*FILE, "hash_seq"]
+
+
+def keyed(chunks: DataFrame) -> DataFrame:
+    """chunks with file_key (of collection, namespaces and path, where there are such columns) and chunk_id, a key of every chunk."""
+    if "file_key" not in chunks.columns:
+        chunks = chunks.withColumn("file_key", identity.file_key(*[F.col(c) for c in ("collection", *NAMESPACES, "file_path") if c in chunks.columns]))
+    return chunks if "chunk_id" in chunks.columns else chunks.withColumn("chunk_id", identity.file_key(F.col("file_key"), F.col("hash_seq")))
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -62,9 +75,10 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None, **carried) -> DataFrame:
-    """(term, hash_seq, file_path, len, tf) and carried columns of the chunk. With terms (term), only those reach a shuffle."""
-    keys = ["hash_seq", "file_path", "len", *carried]
-    rows = chunks.select("hash_seq", "file_path", length_of(chunks).alias("len"), *[c.alias(n) for n, c in carried.items()], F.explode(words(F.col("text_body"))).alias("term"))
+    """(term, chunk_id, file_key, file_path, hash_seq, len, tf) and carried columns of the chunk. With terms (term), only those reach a shuffle."""
+    keys = ["chunk_id", *CHUNK, "len", *carried]
+    chunks = keyed(chunks)
+    rows = chunks.select("chunk_id", *CHUNK, length_of(chunks).alias("len"), *[c.alias(n) for n, c in carried.items()], F.explode(words(F.col("text_body"))).alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term")
     return rows.groupBy("term", *keys).agg(F.count("*").alias("tf"))
@@ -72,14 +86,15 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None, **carried) -> Da
 
 def best_per_file(scored: DataFrame) -> DataFrame:
     """The best chunk of each file and query; ties go to the smaller key."""
-    w = Window.partitionBy("query_id", "file_path").orderBy(F.desc("score"), "hash_seq")
+    w = Window.partitionBy("query_id", "file_key").orderBy(F.desc("score"), "hash_seq")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def top_ranked(scored: DataFrame, limit: int) -> DataFrame:
     """Scores over the best of their query, the first `limit` by score, with rank0."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path")
-    ranked = scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < limit)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *reversed(FILE))
+    ranked = scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)  # tasks keep `limit` rows before the exchange
+    ranked = ranked.withColumn("rank0", F.col("_n") - 1).drop("_n")
     best = F.max("score").over(Window.partitionBy("query_id"))
     return ranked.withColumn("score", F.when(best > 0, F.col("score") / best).otherwise(F.col("score")))
 
@@ -87,10 +102,10 @@ def top_ranked(scored: DataFrame, limit: int) -> DataFrame:
 def bm25(
     chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, limit: int = 20, k1: float = 1.5, b: float = 0.75, posted: DataFrame | None = None
 ) -> DataFrame:
-    """(query_id, file_path, hash_seq, score, rank0): BM25 with lengths in characters, times policy, best chunk per file.
+    """(query_id, file_key, file_path, hash_seq, score, rank0): BM25 with lengths in characters, times policy, best chunk per file.
 
     queries: query_id, query. Repeated query words count as often as they stand there.
-    All chunks given are scored. posted: stored postings (term, hash_seq, len, tf) of a
+    All chunks given are scored. posted: stored postings (term, chunk_id, len, tf) of a
     table that holds the chunks; no text is read then. Without, chunk words meet the
     broadcast query terms before any shuffle, so only matching words are aggregated.
     """
@@ -101,34 +116,34 @@ def bm25(
     if posted is None:
         posts = postings(chunks, known, boost=policy(as_of_ms))
     else:
-        own = chunks.select("hash_seq", "file_path", policy(as_of_ms).alias("boost"))
-        posts = posted.select("term", "hash_seq", "len", "tf").join(known, "term").join(own, "hash_seq")
+        own = keyed(chunks).select("chunk_id", *CHUNK, policy(as_of_ms).alias("boost"))
+        posts = posted.select("term", "chunk_id", "len", "tf").join(known, "term").join(own, "chunk_id")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     weighed = hint(terms.join(df, "term")).crossJoin(F.broadcast(stats)).select("query_id", "term", F.col("qn"), idf.alias("idf"), "avgdl")
     scored = posts.join(weighed, "term")
-    summed = scored.groupBy("query_id", "hash_seq", "file_path", "boost").agg(F.round(F.sum(F.col("qn") * F.col("idf") * tf), DIGITS).alias("raw"))
-    found = summed.where("raw > 0").select("query_id", "file_path", "hash_seq", F.round(F.col("raw") * F.col("boost"), DIGITS).alias("score"))
+    summed = scored.groupBy("query_id", "chunk_id", *CHUNK, "boost").agg(F.round(F.sum(F.col("qn") * F.col("idf") * tf), DIGITS).alias("raw"))
+    found = summed.where("raw > 0").select("query_id", *CHUNK, F.round(F.col("raw") * F.col("boost"), DIGITS).alias("score"))
     return top_ranked(best_per_file(found), limit)
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, limit: int = 20, blocks: bool = False) -> DataFrame:
-    """(query_id, file_path, hash_seq, score, rank0): (1 + cosine) / 2 times policy, best chunk per file.
+    """(query_id, file_key, file_path, hash_seq, score, rank0): (1 + cosine) / 2 times policy, best chunk per file.
 
-    queries: query_id, vector. blocks=True, and any number of queries beyond a broadcast,
-    multiplies Arrow batches with query matrices and keeps the best files of each task;
-    the result is that of the expression path.
+    queries: query_id, vector. blocks=True, and more queries than a few, multiplies Arrow
+    batches with query matrices and keeps the best files of each task; the result is that
+    of the expression path.
     """
-    rows = chunks.where("vector is not null").select("hash_seq", "file_path", "vector", policy(as_of_ms).alias("boost"))
+    rows = keyed(chunks).where("vector is not null").select(*CHUNK, "vector", policy(as_of_ms).alias("boost"))
     asked = queries.where("vector is not null").select("query_id", F.col("vector").alias("q"))
-    if blocks or not _fits(asked):
+    if blocks or not _fits(asked, FEW_QUERIES):
         return top_ranked(best_per_file(_by_blocks(rows, asked, limit)), limit)
     length = F.col("_n") * F.col("_m")
     met = rows.withColumn("_n", vectors.norm(F.col("vector"))).crossJoin(F.broadcast(asked.withColumn("_m", vectors.norm(F.col("q")))))
     similar = F.when(length > 0, vectors.dot(F.col("vector"), F.col("q")) / length).otherwise(F.lit(0.0))
-    scored = met.select("query_id", "file_path", "hash_seq", F.round((1 + similar) / 2 * F.col("boost"), DIGITS).alias("score"))
+    scored = met.select("query_id", *CHUNK, F.round((1 + similar) / 2 * F.col("boost"), DIGITS).alias("score"))
     return top_ranked(best_per_file(scored), limit)
 
 
@@ -136,8 +151,8 @@ def neighbours(rows: DataFrame, asked: DataFrame, limit: int, *, blocks: bool =
     """(query_id, vec_id, cos, rank from 1): the nearest rows (vec_id, embedding) of each query (query_id, q), itself left out; ties go to the smaller id."""
     usable = rows.where("embedding is not null").select("vec_id", "embedding")
     if blocks or not _fits(asked):
-        keyed = usable.select(F.col("vec_id").cast("string").alias("hash_seq"), F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("file_path"), F.col("embedding").alias("vector"), F.lit(1.0).alias("boost"))
-        near = _by_blocks(keyed, asked.where("q is not null"), limit + 1)
+        named = usable.select(F.lit("").alias("file_key"), F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("file_path"), F.col("vec_id").cast("string").alias("hash_seq"), F.col("embedding").alias("vector"), F.lit(1.0).alias("boost"))
+        near = _by_blocks(named, asked.where("q is not null"), limit + 1)
         met = near.select("query_id", F.col("hash_seq").cast("long").alias("vec_id"), F.round(2 * F.col("score") - 1, DIGITS).alias("cos"))
     else:
         length = F.col("_n") * F.col("_m")
@@ -165,7 +180,9 @@ def _best_of(score: np.ndarray, files: np.ndarray, limit: int) -> tuple[np.ndarr
 def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     """Per task and query the best rows of limit files, by matrix products with blocks of queries of bounded size."""
     spark, kind = rows.sparkSession, asked.schema["query_id"].dataType.simpleString()
-    out = f"query_id {kind}, file_path string, hash_seq string, score double"
+    out = f"query_id {kind}, file_key string, file_path string, hash_seq string, score double"
+    # Files sort by path, then key, as the final ranking does.
+    rows = rows.select("hash_seq", F.concat("file_path", F.lit("\0"), "file_key").alias("file"), "vector", "boost")
     total, size = measured(asked)
     count = max(1, -(-total // MAX_BROADCAST_QUERIES), -(-size // MAX_BROADCAST_BYTES))
     parts = []
@@ -183,7 +200,7 @@ def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
             for b in batches:
                 for at in range(0, b.num_rows, 4096):
                     part = b.slice(at, 4096)
-                    part = part.take(pc.sort_indices(part, sort_keys=[("file_path", "ascending"), ("hash_seq", "ascending")]))
+                    part = part.take(pc.sort_indices(part, sort_keys=[("file", "ascending"), ("hash_seq", "ascending")]))
                     v = np.array(part.column(2).to_pylist(), np.float64)
                     cos = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                     score = np.round((1 + cos) / 2 * part.column(3).to_numpy(zero_copy_only=False)[:, None], DIGITS)
@@ -191,8 +208,9 @@ def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
                     row, query = _best_of(score, files, limit)
                     best = pd.concat([best, pd.DataFrame({"q": query, "f": files[row], "k": keys[row], "s": score[row, query]})])
                     best = best.sort_values(["q", "s", "f", "k"], ascending=[True, False, True, True]).drop_duplicates(["q", "f"]).groupby("q").head(limit)
-            columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), *(pa.array(best[c].to_numpy(object), pa.string()) for c in "fk"), pa.array(best["s"].to_numpy(np.float64))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "file_path", "hash_seq", "score"])
+            path, _, key = zip(*(f.rpartition("\0") for f in best["f"]), strict=True) if len(best) else ((), (), ())
+            columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), pa.array(key, pa.string()), pa.array(path, pa.string()), pa.array(best["k"].to_numpy(object), pa.string()), pa.array(best["s"].to_numpy(np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", *CHUNK, "score"])
 
         parts.append(rows.mapInArrow(run, out))
     if not parts:

@@ -1,9 +1,8 @@
-"""Search tables written once per corpus: chunks with their length, and postings sorted by term."""
+"""Search tables: chunks with their length, and postings sorted by term; of a corpus written once, of a store a segment per layer."""
 
 from __future__ import annotations
 
 import atexit
-import json
 import shutil
 import tempfile
 from dataclasses import dataclass
@@ -14,16 +13,20 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import postings
+from ..operators.retrieval import keyed, postings
+from ..schema import TABLES
 from .store import Store
 from .tables import memory_chunks
 
+#: A large segment's postings are written by so many tasks at most.
+SPREAD = 64
+
 _OPEN: dict[tuple[str, str], Index] = {}
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks: as memory_chunks, and chars. postings: term, hash_seq, len, tf of all of them, hidden and expired ones too."""
+    """chunks: as memory_chunks, with keys (see retrieval.keyed) and chars. postings: term, chunk_id, len, tf of all of them, hidden and expired ones too."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -48,10 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, chunks: DataFrame, folder: str) -> Index:
     """Write the two tables of chunks under a folder and read them back."""
-    chunks.withColumn("chars", F.length("text_body")).write.parquet(f"{folder}/chunks")
+    keyed(chunks).withColumn("chars", F.length("text_body")).write.parquet(f"{folder}/chunks")
     kept = spark.read.parquet(f"{folder}/chunks")
     # The grouping by chunk and term ends in one sort per partition, so that row groups hold ranges of terms.
-    postings(kept).select("term", "hash_seq", "len", "tf").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    postings(kept).select("term", "chunk_id", "len", "tf").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     return Index(kept, spark.read.parquet(f"{folder}/postings"))
 
 
@@ -73,14 +76,55 @@ def opened(spark: SparkSession, sf_dir: str) -> Index:
     return _OPEN[key]
 
 
+SEGMENT = "term string, chunk_id string, len int, tf long"
+
+
+def segments(store: Store) -> dict[str, str]:
+    """The folder of postings of every layer of chunks that the store's newest version names; those that are not there yet are written, in one job.
+
+    A layer never changes, so its postings don't either: a write costs the postings of
+    its own layer. Postings of rows that delete vectors name stay; they meet no chunk, as
+    every layer's rows have keys of their own. Layers that fold() merges become one segment.
+    """
+    spark, jvm = store.spark, store.spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(store.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    layers = [y["place"] for x in store.manifest()["tables"].get("embeddings", {}).values() for y in x["layers"]]
+    named = {p: sha256(p.encode()).hexdigest()[:32] for p in layers}
+    folder = path(f"{store.root}/index")
+    there = {x.getPath().getName() for x in fs.listStatus(folder)} if fs.exists(folder) else set()
+    missing = {p: n for p, n in named.items() if n not in there}
+    if missing:
+        side = f"{store.root}/index/.{uuid4().hex}"
+        rows = spark.read.schema(TABLES["embeddings"]).parquet(*[f"{store.root}/{p}" for p in missing]).select("*", F.substring_index("_metadata.file_path", "/", -3).alias("_place"))
+        names = spark.createDataFrame([("/".join(p.split("/")[-2:]), n) for p, n in missing.items()], "_folder string, _segment string")
+        # Folders of parts are escaped in paths, once more in the paths that rows tell.
+        own = F.substring_index("_place", "/", 2)
+        rows = rows.join(F.broadcast(names), F.url_decode(F.regexp_replace(own, r"\+", "%2B")) == F.col("_folder"))
+        posted = postings(rows, _segment=F.col("_segment")).select("term", "chunk_id", F.col("len").cast("int").alias("len"), "tf", "_segment")
+        posted.repartition("_segment", F.pmod(F.xxhash64("term"), F.lit(SPREAD))).sortWithinPartitions("_segment", "term").write.partitionBy("_segment").parquet(side)
+        for n in missing.values():
+            made, target = path(f"{side}/_segment={n}"), path(f"{store.root}/index/{n}")
+            if fs.exists(made):
+                fs.rename(made, target)  # another searcher may have been first: then it is as good
+            else:
+                fs.mkdirs(target)  # a layer without words
+        fs.delete(path(side), True)
+    return {p: f"{store.root}/index/{n}" for p, n in named.items()}
+
+
 def of_store(store: Store) -> Index:
-    """The index of a store's chunks, kept under its root by what the manifest names: written at the first search after a write, read afterwards."""
+    """The index of a store's newest version: its chunks, and the postings of their layers, which are written at the first search after a write."""
     spark = store.spark
-    state = sha256(json.dumps(store.manifest()["tables"].get("embeddings", {}), sort_keys=True).encode()).hexdigest()
-    folder = f"{store.root}/index/{state}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/postings/_SUCCESS")
-    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(done):
-        return Index(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/postings"))
-    fs.delete(done.getParent().getParent(), True)  # what a broken run has left
-    return written(spark, store.table("embeddings"), folder)
+    places = sorted(segments(store).values())
+    posted = spark.read.schema(SEGMENT).parquet(*places) if places else spark.createDataFrame([], SEGMENT)
+    return Index(store.table("embeddings"), posted)
+
+
+def sweep(store: Store) -> int:
+    """Delete segments of layers that the newest version does not name; returns how many went."""
+    path = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(store.root).getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
+    folder = path(f"{store.root}/index")
+    live = {sha256(y["place"].encode()).hexdigest()[:32] for x in store.manifest()["tables"].get("embeddings", {}).values() for y in x["layers"]}
+    return sum(fs.delete(x.getPath(), True) for x in (fs.listStatus(folder) if fs.exists(folder) else []) if x.getPath().getName() not in live)

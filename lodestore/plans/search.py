@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.generated import query_variants
 from ..operators import fusion, retrieval
 from ..operators.filters import live, visible, within
+from ..schema import NAMESPACES
 
 PROBE = 20
 #: A fused hit in memory, at most: keys, names of branches and numbers.
 HIT_BYTES = 512
-DETAILS = ["file_path", "hash_seq", "content_type", "title", "text_body", "memory_id", "memory_role", "memory_root_path", "tags"]
+DETAILS = ["file_key", "hash_seq", "content_type", "title", "text_body", "memory_id", "memory_role", "memory_root_path", "tags"]
 
 
 def searchable(chunks: DataFrame, as_of_ms: int, **scope: str | None) -> DataFrame:
@@ -35,7 +36,7 @@ def branches(
     chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, probe: int = PROBE, modes=("vec", "fts"), blocks: bool = False, variants: DataFrame | None = None,
     posted: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """(query_id, branch, file_path, hash_seq, score, rank0) and the branch names in insertion order.
+    """(query_id, branch, file_key, file_path, hash_seq, score, rank0) and the branch names in insertion order.
 
     variants: query_id, variant (1, 2) and vector, query or both: each variant adds a
     branch original_vec_exp<variant> by its vector and original_fts_exp<variant> by its words.
@@ -85,13 +86,13 @@ def hybrid(
     posted: stored postings of the chunks. The hits, of which each query has
     candidate_limit at most, are broadcast to the chunks if that bound is small enough.
     """
-    rows = searchable(chunks, as_of_ms, content_type=content_type, **(scope or {}))
+    rows = retrieval.keyed(searchable(chunks, as_of_ms, content_type=content_type, **(scope or {})))
     found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes, posted=posted, variants=variants)
-    media = rows.select("file_path", "content_type").distinct() if content_type in ("image", "video") else None
+    media = rows.select("file_key", "content_type").distinct() if content_type in ("image", "video") else None
     fused = fusion.fuse(found, order, intent=intent, content_type=content_type, limit=limit, media=media)
     if queries.count() * fusion.candidate_limit(limit) * HIT_BYTES <= retrieval.MAX_BROADCAST_BYTES:
         fused = F.broadcast(fused)
-    reranked = fusion.rerank(fused, rows.select(*DETAILS), queries, top_k=rerank_top_k, **rerank_options)
+    reranked = fusion.rerank(fused, rows.select(*DETAILS, *[c for c in ("collection", *NAMESPACES) if c in rows.columns]), queries, top_k=rerank_top_k, **rerank_options)
     blended = fusion.blend(reranked)
     return fusion.roll_up(blended, limit) if rolled else blended
 
@@ -124,22 +125,30 @@ def search_media(chunks: DataFrame, media: DataFrame, *, expand: bool = False, g
 
 
 def with_bodies(results: DataFrame, chunks: DataFrame, content: DataFrame) -> DataFrame:
-    """results (file_path, hash_seq) with their body: the chunk's text or, where that is empty, the whole content of its hash."""
-    text = chunks.select("file_path", "hash_seq", "content_hash", F.when(F.col("text_body") != "", F.col("text_body")).alias("_body"))
-    found = F.broadcast(results).join(text, ["file_path", "hash_seq"])
+    """results (file_key, hash_seq) with their body: the chunk's text or, where that is empty, the whole content of its hash."""
+    text = retrieval.keyed(chunks).select("file_key", "hash_seq", "content_hash", F.when(F.col("text_body") != "", F.col("text_body")).alias("_body"))
+    found = F.broadcast(results).join(text, ["file_key", "hash_seq"])
     empty = found.where("_body is null").select("content_hash").distinct()
     whole = content.join(empty, content["hash"] == empty["content_hash"], "left_semi").select(F.col("hash").alias("content_hash"), "doc")
     return found.join(whole, "content_hash", "left").select(*results.columns, F.coalesce("_body", "doc", F.lit("")).alias("body"))
 
 
 def explain(chunks: DataFrame, queries: DataFrame, **options) -> DataFrame:
-    """Provenance per result: scores of every stage, weights, path and boost, rounded to 4 digits for display."""
+    """Provenance per result: scores of every stage, weights, path and boost, rounded to 4 digits for display, and all of it as a JSON payload.
+
+    The payload has the place of the result (path, collection, namespaces, evidence and
+    supporting paths), rank and score in every branch that found it, and the numbers of
+    fusion, reranking, blending and roll-up.
+    """
     out = hybrid(chunks, queries, **options)
-    shown = {c: F.round(c, 4) for c in ("score", "rrf", "rerank_score", "rrf_weight", "boost")}
-    return out.withColumns(shown).withColumn("payload", F.to_json(F.struct("path", "title", "score", "sources", "rrf_rank", "rerank_path", "supporting_paths")))
+    shown = {c: F.round(c, 4) for c in ("score", "rrf", "rerank_score", "rrf_weight", "boost", "rrf_norm", "rerank_norm")}
+    shown["by_branch"] = F.transform("by_branch", lambda b: F.struct(b["branch"].alias("branch"), b["rank"].alias("rank"), F.round(b["score"], 4).alias("score")))
+    told = [c for c in ("collection", *NAMESPACES) if c in out.columns]
+    numbers = ("score", "by_branch", "sources", "compensated", "rrf", "rrf_rank", "rerank_path", "rerank_score", "rrf_norm", "rerank_norm", "rrf_weight", "hit_count", "boost")
+    return out.withColumns(shown).withColumn("payload", F.to_json(F.struct("path", "title", *told, "evidence_path", "supporting_paths", "tags", *numbers)))
 
 
 def search_batch(chunks: DataFrame, queries: DataFrame, *, as_of_ms: int, limit: int = 10, **options) -> DataFrame:
     """One merged ranking of several queries (query_id, query, vector, weight) by rank fusion over their own results."""
     each = hybrid(chunks, queries, as_of_ms=as_of_ms, limit=limit * 3, **options)
-    return fusion.merge_batch(each.select("query_id", "path", "rank", "score"), queries.select("query_id", "weight"), limit)
+    return fusion.merge_batch(each.select("query_id", "memory_key", "path", "rank", "score"), queries.select("query_id", "weight"), limit)

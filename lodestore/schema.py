@@ -24,7 +24,7 @@ TABLES = {
     "embeddings": _struct(
         "hash_seq:string content_hash:string collection:string file_path:string content_type:string title:string text_body:string "
         "seq:int pos:int model:string embedded_at:long vector:vector " + _NS + _MEMORY
-        + "importance:float ttl_seconds:int tags:tags expires_at:long active:byte index_batch_id:string",
+        + "importance:float ttl_seconds:int tags:tags expires_at:long active:byte index_batch_id:string file_key:string chunk_id:string chars:int",
         "hash_seq content_hash collection file_path content_type seq pos embedded_at",
     ),
     "documents": _struct(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from .functions import identity, vectors
 from .functions import text as tx
 from .functions.chunking import chunked
 from .functions.entities import mentions
-from .operators import evaluate, filters, fusion, graph, memories, retrieval
+from .operators import evaluate, filters, fusion, graph, memories, pruned, retrieval
 from .plans import index, search, store
 from .plans.tables import AS_OF_MS, memory_chunks, read, search_queries
 from .schema import NAMESPACES
@@ -123,6 +122,20 @@ def bm25_topk_batch(spark, sf_dir):
     return got.select("query_id", "file_path", "rank0", *_r("score"))
 
 
+@query
+def bm25_topk_pruned(spark, sf_dir):
+    """The rows of bm25_topk_batch from posting blocks that can reach them."""
+    got, _ = pruned.bm25_pruned(index.views(spark, sf_dir)[0], search_queries(spark, sf_dir))
+    return got.select("query_id", "file_path", "rank0", *_r("score"))
+
+
+@query
+def vector_topk_cells(spark, sf_dir):
+    """The rows of vector_topk_batch from cells that can reach them."""
+    got, _ = pruned.vector_cells(index.views(spark, sf_dir)[1], search_queries(spark, sf_dir))
+    return got.select("query_id", "file_path", "rank0", *_r("score"))
+
+
 @query
 def bm25_topk(spark, sf_dir):
     one = search_queries(spark, sf_dir).where("query_id = 0")
@@ -299,10 +312,12 @@ def orphan_content(spark, sf_dir):
     return store.orphans(rows.select(F.col("content_hash").alias("hash")).distinct(), rest, rest)
 
 
-def _store(spark, sf_dir):
-    """A store of its own that holds the memories."""
-    kept = store.Store(spark, f"{index.shared_folder(spark)}/store-{uuid4().hex}")
+def _store(spark, sf_dir, *, copied=False):
+    """A store of its own that holds the memories; copied: every tenth path in another collection too."""
+    kept = store.Store(spark, index.own_folder(spark, "store"))
     rows = memory_chunks(spark, sf_dir, vectors=False)
+    if copied:
+        rows = rows.unionByName(rows.where("doc_id % 10 = 0").withColumn("collection", F.lit("k")))
     docs = rows.withColumns({"id": identity.name_uuid(F.concat_ws("::", "memory_id", "file_path")), "created_at": F.col("embedded_at"), "updated_at": F.col("embedded_at")})
     content = rows.select(F.col("content_hash").alias("hash"), F.col("text_body").alias("doc"), F.lit("text").alias("content_type"), F.lit(AS_OF_MS).alias("created_at")).dropDuplicates(["hash"])
     kept.commit({"embeddings": rows, "documents": docs, "content": content})
@@ -346,13 +361,39 @@ def get_memory(spark, sf_dir):
 def upsert_memory(spark, sf_dir):
     """Every fiftieth document gets another text; the rest and all created_at stay."""
     kept = _store(spark, sf_dir)
-    old = memory_chunks(spark, sf_dir, vectors=False).where("doc_id % 50 = 0")
-    texts = old.select("collection", "file_path", "user_id", "session_id", "project_id", "profile", "memory_root_path", F.concat(F.lit("Updated text "), F.col("doc_id").cast("string")).alias("text"))
-    kept.upsert_memory(texts, now_ms=AS_OF_MS)
+    kept.upsert_memory(_renewed(spark, sf_dir), now_ms=AS_OF_MS)
     chunks = kept.table("embeddings").select("file_path", "collection", "memory_id", "content_hash", "active")
     return chunks.join(kept.table("documents").select("file_path", "created_at", "updated_at", F.col("content_hash").alias("document_hash")), "file_path")
 
 
+def _renewed(spark, sf_dir):
+    """Every fiftieth document with another text."""
+    old = memory_chunks(spark, sf_dir, vectors=False).where("doc_id % 50 = 0")
+    return old.select("collection", "file_path", "user_id", "session_id", "project_id", "profile", "memory_root_path", F.concat(F.lit("Updated text "), F.col("doc_id").cast("string")).alias("text"))
+
+
+def _stored_hits(spark, sf_dir, kept):
+    found = index.of_store(kept)
+    got = retrieval.bm25(search.searchable(found.chunks, AS_OF_MS), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS, posted=found.postings)
+    owners = found.chunks.select("file_key", "collection").distinct()
+    return F.broadcast(got).join(owners, "file_key").select("query_id", "file_path", "collection", "rank0", *_r("score"))
+
+
+@query
+def store_search(spark, sf_dir):
+    """BM25 over a store's segments: texts that repeat over paths, paths that repeat over collections."""
+    return _stored_hits(spark, sf_dir, _store(spark, sf_dir, copied=True))
+
+
+@query
+def store_search_after_upsert(spark, sf_dir):
+    """The same after a write of every fiftieth document: new segments beside the old ones, replaced rows left out."""
+    kept = _store(spark, sf_dir, copied=True)
+    index.segments(kept)
+    kept.upsert_memory(_renewed(spark, sf_dir), now_ms=AS_OF_MS)
+    return _stored_hits(spark, sf_dir, kept)
+
+
 @query
 def parent_summaries(spark, sf_dir):
     return memories.parent_summaries(memory_chunks(spark, sf_dir, vectors=False))
@@ -411,7 +452,7 @@ def chunk_documents(spark, sf_dir):
 
 def _mentions(spark, sf_dir):
     rows = memory_chunks(spark, sf_dir, vectors=False).where(filters.visible())
-    return mentions(rows.select("hash_seq", "memory_id", F.col("memory_root_path").alias("path"), "file_path", "text_body"))
+    return mentions(rows.select(F.concat_ws("|", "hash_seq", "file_path").alias("hash_seq"), "memory_id", F.col("memory_root_path").alias("path"), "file_path", "text_body"))
 
 
 @query

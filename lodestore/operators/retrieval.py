@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,10 @@ MAX_BROADCAST_BYTES = 32 << 20
 DIGITS = 9
 #: Queries that are multiplied with the vectors as rows; more are multiplied in blocks.
 FEW_QUERIES = 16
+#: Stands between path and key of a file; sorts before what paths are made of (pandas ends strings at a zero).
+APART = "\x01"
+#: Rows of one matrix product.
+SLICE = 4096
 #: What a hit's file and chunk are known by. Paths alone are not unique: they repeat over collections and namespaces.
 FILE = ["file_key", "file_path"]
 CHUNK = [*FILE, "hash_seq"]
@@ -177,45 +182,93 @@ def _best_of(score: np.ndarray, files: np.ndarray, limit: int) -> tuple[np.ndarr
     return row, query
 
 
-def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """Per task and query the best rows of limit files, by matrix products with blocks of queries of bounded size."""
-    spark, kind = rows.sparkSession, asked.schema["query_id"].dataType.simpleString()
-    out = f"query_id {kind}, file_key string, file_path string, hash_seq string, score double"
-    # Files sort by path, then key, as the final ranking does.
-    rows = rows.select("hash_seq", F.concat("file_path", F.lit("\0"), "file_key").alias("file"), "vector", "boost")
+def _by_file(rows: DataFrame) -> DataFrame:
+    """Rows as blocks are multiplied: files sort by path, then key, as the final ranking does."""
+    return rows.select("hash_seq", F.concat("file_path", F.lit(APART), "file_key").alias("file"), "vector", "boost", *[c for c in ("cell",) if c in rows.columns])
+
+
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors as rows of length 1; zero vectors stay zero."""
+    v = np.array(vectors.to_pylist(), np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _none_best() -> pd.DataFrame:
+    return pd.DataFrame({"q": np.zeros(0, np.int64), "f": [], "k": [], "s": np.zeros(0)})
+
+
+def _slice_best(part: pa.RecordBatch, matrix: np.ndarray, limit: int) -> pd.DataFrame:
+    """(q, f, k, s): the best chunks of the best `limit` files of a slice per row of the query matrix."""
+    part = part.take(pc.sort_indices(part, sort_keys=[("file", "ascending"), ("hash_seq", "ascending")]))
+    score = np.round((1 + unit_rows(part.column(2)) @ matrix.T) / 2 * part.column(3).to_numpy(zero_copy_only=False)[:, None], DIGITS)
+    keys, files = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+    row, query = _best_of(score, files, limit)
+    return pd.DataFrame({"q": query, "f": files[row], "k": keys[row], "s": score[row, query]})
+
+
+def _best(found: list[pd.DataFrame], limit: int) -> pd.DataFrame:
+    best = pd.concat(found).sort_values(["q", "s", "f", "k"], ascending=[True, False, True, True])
+    return best.drop_duplicates(["q", "f"]).groupby("q").head(limit)
+
+
+def _told(best: pd.DataFrame, ids: pa.Array) -> pa.RecordBatch:
+    path, _, key = zip(*(f.rpartition(APART) for f in best["f"]), strict=True) if len(best) else ((), (), ())
+    columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), pa.array(key, pa.string()), pa.array(path, pa.string()), pa.array(best["k"].to_numpy(object), pa.string()), pa.array(best["s"].to_numpy(np.float64))]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", *CHUNK, "score"])
+
+
+def query_blocks(asked: DataFrame, most: int | None = None) -> Iterator[pa.Table]:
+    """Queries (query_id, q) in blocks of bounded rows and bytes, none empty."""
     total, size = measured(asked)
-    count = max(1, -(-total // MAX_BROADCAST_QUERIES), -(-size // MAX_BROADCAST_BYTES))
-    parts = []
+    count = max(1, -(-total // (most or MAX_BROADCAST_QUERIES)), -(-size // MAX_BROADCAST_BYTES))
     for k in range(count):
-        got = (asked if count == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == k)).toArrow()  # one block of about the bound
-        if not got.num_rows:
-            continue
-        matrix = np.array(got["q"].to_pylist(), np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), matrix))
+        got = (asked if count == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == k)).toArrow()
+        if got.num_rows:
+            yield got
+
+
+def hits_schema(asked: DataFrame) -> str:
+    return f"query_id {asked.schema['query_id'].dataType.simpleString()}, file_key string, file_path string, hash_seq string, score double"
+
+
+def _by_blocks(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """Per task and query the best rows of limit files, by matrix products with blocks of queries of bounded size."""
+    spark, out = rows.sparkSession, hits_schema(asked)
+    rows, parts = _by_file(rows), []
+    for got in query_blocks(asked):
+        held = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), unit_rows(got["q"])))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, matrix = held.value
-            best = pd.DataFrame({"q": np.zeros(0, np.int64), "f": [], "k": [], "s": np.zeros(0)})
+            best = _none_best()
             for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    part = part.take(pc.sort_indices(part, sort_keys=[("file", "ascending"), ("hash_seq", "ascending")]))
-                    v = np.array(part.column(2).to_pylist(), np.float64)
-                    cos = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    score = np.round((1 + cos) / 2 * part.column(3).to_numpy(zero_copy_only=False)[:, None], DIGITS)
-                    keys, files = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                    row, query = _best_of(score, files, limit)
-                    best = pd.concat([best, pd.DataFrame({"q": query, "f": files[row], "k": keys[row], "s": score[row, query]})])
-                    best = best.sort_values(["q", "s", "f", "k"], ascending=[True, False, True, True]).drop_duplicates(["q", "f"]).groupby("q").head(limit)
-            path, _, key = zip(*(f.rpartition("\0") for f in best["f"]), strict=True) if len(best) else ((), (), ())
-            columns = [ids.take(pa.array(best["q"].to_numpy(np.int64))), pa.array(key, pa.string()), pa.array(path, pa.string()), pa.array(best["k"].to_numpy(object), pa.string()), pa.array(best["s"].to_numpy(np.float64))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", *CHUNK, "score"])
+                for at in range(0, b.num_rows, SLICE):
+                    best = _best([best, _slice_best(b.slice(at, SLICE), matrix, limit)], limit)
+            yield _told(best, ids)
 
         parts.append(rows.mapInArrow(run, out))
-    if not parts:
-        return spark.createDataFrame([], out)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], out)
+
+
+def by_cells(rows: DataFrame, got: pa.Table, wanted: dict[int, np.ndarray], limit: int, out: str) -> DataFrame:
+    """The same of rows with a cell: each is multiplied with the queries (numbers in got) that want its cell only."""
+    held = rows.sparkSession.sparkContext.broadcast((got["query_id"].combine_chunks(), unit_rows(got["q"]), wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, wanted = held.value
+        best = _none_best()
+        for b in batches:
+            b = b.take(pc.sort_indices(b, sort_keys=[("cell", "ascending")]))
+            cells = b.column(4).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)] if len(cells) else []
+            for a, z in zip(edges, edges[1:], strict=False):
+                own = wanted.get(int(cells[a]))
+                if own is None or not len(own):
+                    continue
+                for at in range(a, z, SLICE):
+                    part = _slice_best(b.slice(at, min(SLICE, z - at)), matrix[own], limit)
+                    part["q"] = own[part["q"].to_numpy(np.int64)]
+                    best = _best([best, part], limit)
+        yield _told(best, ids)
+
+    return _by_file(rows).mapInArrow(run, out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
@@ -13,15 +14,19 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import pruned
+from ..operators.filters import live as filters_live
+from ..operators.filters import visible
 from ..operators.retrieval import keyed, postings
 from ..schema import TABLES
 from .store import Store
-from .tables import memory_chunks
+from .tables import AS_OF_MS, memory_chunks
 
 #: A large segment's postings are written by so many tasks at most.
 SPREAD = 64
 
 _OPEN: dict[tuple[str, str], Index] = {}
+_VIEWS: dict[tuple[str, str], tuple[pruned.BlockIndex, pruned.CellIndex]] = {}
 
 
 @dataclass(frozen=True)
@@ -49,6 +54,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _temporary()
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted as this process exits."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    place, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), spark.sparkContext._jsc.hadoopConfiguration()
+
+    def gone() -> None:
+        with suppress(Exception):  # the JVM may have ended before
+            place.getFileSystem(conf).delete(place, True)
+
+    atexit.register(gone)
+    return folder
+
+
 def written(spark: SparkSession, chunks: DataFrame, folder: str) -> Index:
     """Write the two tables of chunks under a folder and read them back."""
     keyed(chunks).withColumn("chars", F.length("text_body")).write.parquet(f"{folder}/chunks")
@@ -72,10 +90,21 @@ def opened(spark: SparkSession, sf_dir: str) -> Index:
     """The index of a folder of tables, written at the first call of an application."""
     key = (spark.sparkContext.applicationId, _state(spark, sf_dir))
     if key not in _OPEN:
-        _OPEN[key] = written(spark, memory_chunks(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid4().hex}")
+        _OPEN[key] = written(spark, memory_chunks(spark, sf_dir), own_folder(spark, "index"))
     return _OPEN[key]
 
 
+def views(spark: SparkSession, sf_dir: str) -> tuple[pruned.BlockIndex, pruned.CellIndex]:
+    """What pruned searches read of a folder of tables: its searchable chunks at the fixed time, written at the first call of an application."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir))
+    if key not in _VIEWS:
+        found = opened(spark, sf_dir)
+        live = found.chunks.where(visible() & filters_live(AS_OF_MS))
+        folder = own_folder(spark, "views")
+        _VIEWS[key] = pruned.write_blocks(spark, live, found.postings, f"{folder}/blocks", as_of_ms=AS_OF_MS), pruned.write_cells(spark, live, f"{folder}/cells", as_of_ms=AS_OF_MS)
+    return _VIEWS[key]
+
+
 SEGMENT = "term string, chunk_id string, len int, tf long"
 
 

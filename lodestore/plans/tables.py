@@ -43,8 +43,8 @@ def memory_chunks(spark: SparkSession, sf_dir: str, *, vectors: bool = True) ->
         "memory_role": identity.role(F.col("file_path"), F.col("memory_root_path")),
         "memory_id": identity.memory_id(*[F.col(c) for c in ("collection", "user_id", "session_id", "project_id", "profile", "memory_root_path")]),
     })
-    # The chunk key holds the path, so equal texts at two paths are two chunks.
-    rows = rows.withColumn("hash_seq", F.concat_ws("|", identity.hash_seq(F.col("content_hash"), F.col("seq")), "file_path"))
+    # As in a store: equal texts at two paths have one hash_seq, and are told apart by their file_key.
+    rows = rows.withColumn("hash_seq", identity.hash_seq(F.col("content_hash"), F.col("seq")))
     if not vectors:
         return rows
     vecs = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))

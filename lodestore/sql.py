@@ -26,7 +26,7 @@ base as (
 ), hashed as (
   select *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(collection || '::' || user_id || '::::' || coalesce(project_id, '') || '::::' || memory_root_path)) as h from named
 ), mem as (
-  select hashed.*, {_UUID} as memory_id, content_hash || '_0|' || file_path as hash_seq, l.importance, e.embedding as vector,
+  select hashed.*, {_UUID} as memory_id, content_hash || '_0' as hash_seq, l.importance, e.embedding as vector,
     1 + 0.15 * coalesce(least(greatest(l.importance, 0), 1), 0) + case when doc_id % 60 <= 7 then 0.05 when doc_id % 60 <= 30 then 0.025 else 0 end as boost,
     regexp_extract(text_body, '^##?[^\\S\\n]+([^\\n]+)', 1) as heading
   from hashed left join (select doc_id, max(quality)::double as importance from labels group by 1) l using (doc_id)
@@ -198,6 +198,23 @@ judged as (select query_id, file_path, rank0 + 1 as rank, coalesce(relevance, 0)
 _CHANGES = """changes as (select event_id, 'u/' || user_id as path, case event_type when 'purchase' then 'deleted' when 'signup' then 'created' else 'modified' end as change, ts from events),
 latest as (select * from changes qualify row_number() over (partition by path order by ts desc, event_id desc) = 1)"""
 
+
+
+def _stored(upserted: bool) -> str:
+    """Rows of the catalogue's store with copies of every tenth path in another collection; what tells files apart follows their path."""
+    own = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    key = " || ".join(own(c) if c else "'-'" for c in ("collection", "user_id", "", "project_id", "", "file_path"))
+    fresh = f"doc_id % 50 = 0 and collection <> 'k' and {upserted}"
+    return f"""held as (select * from mem union all select * replace ('k' as collection) from mem where doc_id % 10 = 0),
+state as (select * replace (case when {fresh} then 'Updated text ' || doc_id else text_body end as text_body, case when {fresh} then 1.05 else boost end as boost,
+  case when {fresh} then 1 else active end as active, case when {fresh} then null else expires_at end as expires_at) from held),
+live as (select * replace (file_path || chr(1) || md5({key}) || chr(1) || collection as file_path, md5({key}) as hash_seq) from state
+  where active = 1 and (expires_at is null or expires_at > {AS_OF_MS}))"""
+
+
+#: A marked path is the path, the hash of what tells equal paths apart, which ranks them, and the collection.
+_STORED_HITS = "select query_id, string_split(file_path, chr(1))[1] as file_path, string_split(file_path, chr(1))[3] as collection, rank0, round(score, 6) as score from fts"
+
 SQL: dict[str, str] = {
     "content_hash_dedup": "select sha256(coalesce(text, '')) as hash, min(doc_id) as first_doc_id, count(*) as n_refs, substr(sha256(coalesce(text, '')), 1, 6) as docid from documents group by 1, 4",
     "memory_identity": _q(MEM, select="select doc_id, file_path, memory_root_path, memory_role, memory_id, content_hash, hash_seq from mem"),
@@ -215,8 +232,12 @@ select doc_id, case when a <> '' and a not in ('Notes', '📝 Notes') then a whe
     "corpus_stats": _q(MEM, LIVE, select="select count(*) as n, round(avg(length(text_body)), 6) as avgdl from live"),
     "term_postings": _q(MEM, LIVE, QS, bm25(), select="select term, count(*) as df, sum(tf)::bigint as tf from fts_tf group by 1"),
     "bm25_topk_batch": _q(MEM, LIVE, QS, bm25(), select="select query_id, file_path, rank0, round(score, 6) as score from fts"),
+    "bm25_topk_pruned": _q(MEM, LIVE, QS, bm25(), select="select query_id, file_path, rank0, round(score, 6) as score from fts"),
+    "store_search": _q(MEM, QS, _stored(False), bm25(), select=_STORED_HITS),
+    "store_search_after_upsert": _q(MEM, QS, _stored(True), bm25(), select=_STORED_HITS),
     "bm25_topk": _q(MEM, LIVE, QS, "mine as (select * from live where collection = 'c0')", "one as (select * from qs where query_id = 0)", bm25("mine", 10, queries="one"), select="select file_path, rank0, round(score, 6) as score from fts"),
     "vector_topk_batch": _q(MEM, LIVE, QS, vec(), select="select query_id, file_path, rank0, round(score, 6) as score from vec"),
+    "vector_topk_cells": _q(MEM, LIVE, QS, vec(), select="select query_id, file_path, rank0, round(score, 6) as score from vec"),
     "vector_topk": _q(MEM, LIVE, QS, "mine as (select * from live where content_type = 'text')", "one as (select * from qs where query_id = 0)", vec("mine", 10, queries="one"), select="select file_path, rank0, round(score, 6) as score from vec"),
     "best_chunk_per_file": _q(MEM, LIVE, QS, "mine as (select * replace (source as file_path) from live)", vec("mine", 10), select="select query_id, file_path, hash_seq, rank0, round(score, 6) as score from vec"),
     "knn_label_recall": """

@@ -28,6 +28,8 @@ BROADCAST_BITS = 23
 MAX_TARGET = 20_000
 #: Pseudo-count of each bucket in both multinomials.
 ALPHA = 1.0
+#: Weights are whole multiples of 1 / SCALE, so that their sums are exact in any order: verdicts do not depend on how texts meet weights.
+SCALE = 1 << 20
 #: Documents with a mean log-likelihood ratio below this are rejected.
 THRESHOLD = -0.25
 MIN_WORDS = 10
@@ -101,13 +103,16 @@ def bucket_bits(docs: DataFrame) -> int:
     return max(BITS, (grams // GRAMS_PER_BUCKET).bit_length() - 1)
 
 
+def _flagged(docs: DataFrame, target_ids: DataFrame | None) -> DataFrame:
+    """(text, target): target is true for trusted documents."""
+    if target_ids is None:
+        return docs.select("text", F.lit(False).alias("target"))
+    return docs.select("doc_id", "text").join(target_ids.withColumn("target", F.lit(True)), "doc_id", "left").select("text", "target")
+
+
 def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:
     """(chunk, raw, target): counts of 2 ** CHUNK_BITS buckets as packed arrays; one partial histogram per task, then a sum per chunk."""
-    flagged = docs.select("doc_id", "text")
-    if target_ids is None:
-        flagged = flagged.withColumn("target", F.lit(False))
-    else:
-        flagged = flagged.join(target_ids.withColumn("target", F.lit(True)), "doc_id", "left")
+    flagged = _flagged(docs, target_ids)
     width = 1 << min(bits, CHUNK_BITS)
     kind = "chunk long, raw binary, target binary"
 
@@ -147,22 +152,36 @@ def chunk_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS
         sums = [sum(map(unpacked, table.column(c).to_pylist())) for c in ("raw", "target")]
         return pa.Table.from_batches([rows([packed(key[0].as_py(), sums)])])
 
-    return flagged.select("text", "target").mapInArrow(count, kind).groupBy("chunk").applyInArrow(total, kind)
+    return flagged.mapInArrow(count, kind).groupBy("chunk").applyInArrow(total, kind)
 
 
 def ngram_counts(docs: DataFrame, target_ids: DataFrame | None, bits: int = BITS) -> DataFrame:
-    """(bucket, n_raw, n_target) over all documents, of the buckets that occur."""
-    width = 1 << min(bits, CHUNK_BITS)
+    """(bucket, n_raw, n_target) over all documents, of the buckets that occur: sparse counts of some bytes of text at a time, summed by partial aggregations that spill.
+
+    No task holds a table of buckets, so memory does not grow with their number.
+    """
+    flagged = _flagged(docs, target_ids)
 
     @trimmed
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c, raw, trusted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, trusted = unpacked(raw), unpacked(trusted)
-                at = np.flatnonzero(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(at + c * width), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "n_raw", "n_target"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 2 << 20):
+            raw, trusted = [], []
+            for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                if words:
+                    raw.append(_buckets(*_word_ids(words), bits))
+                    if target:
+                        trusted.append(raw[-1])
+            if raw:
+                at, n = np.unique(np.concatenate(raw), return_counts=True)
+                own = np.zeros(len(at), np.int64)
+                if trusted:
+                    some, k = np.unique(np.concatenate(trusted), return_counts=True)
+                    own[np.searchsorted(at, some)] = k
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64)), pa.array(own)], ["bucket", "n_raw", "n_target"])
 
-    return chunk_counts(docs, target_ids, bits).mapInArrow(rows, "bucket long, n_raw long, n_target long")
+    counts = flagged.mapInArrow(count, "bucket long, n_raw long, n_target long")
+    return counts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
 def _target(labels: DataFrame | None, max_target: int) -> DataFrame | None:
@@ -175,22 +194,26 @@ def _target(labels: DataFrame | None, max_target: int) -> DataFrame | None:
 def fitted_weights(
     docs: DataFrame, labels: DataFrame | None, *, bits: int = BITS, max_target: int = MAX_TARGET, alpha: float = ALPHA
 ) -> np.ndarray:
-    """log P(bucket | target) - log P(bucket | raw) of all 2 ** bits buckets, from the n-grams of all docs and of the
-    (at most max_target) trusted ones; all zero without a target."""
+    """log P(bucket | target) - log P(bucket | raw) of all 2 ** bits buckets in units of 1 / SCALE, from the n-grams of all
+    docs and of the (at most max_target) trusted ones; all zero without a target."""
     width = 1 << min(bits, CHUNK_BITS)
     raw, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
     for r in chunk_counts(docs, _target(labels, max_target), bits).toLocalIterator():
         at = slice(r["chunk"] * width, (r["chunk"] + 1) * width)
         raw[at], trusted[at] = unpacked(r["raw"]), unpacked(r["target"])
     if not trusted.sum():
-        return np.zeros(1 << bits)
+        return np.zeros(1 << bits, np.int32)
     trusted = np.log((trusted + alpha) / (trusted.sum() + alpha * len(trusted)))
-    return trusted - np.log((raw + alpha) / (raw.sum() + alpha * len(raw)))
+    return np.rint((trusted - np.log((raw + alpha) / (raw.sum() + alpha * len(raw)))) * SCALE).astype(np.int32)
 
 
 def _sent(docs: DataFrame, weights: np.ndarray):
-    """Broadcast of weights as the bytes of single floats: workers read them without a second copy."""
-    return docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).tobytes())
+    """Broadcast of weights as bytes: workers read them without a second copy."""
+    return docs.sparkSession.sparkContext.broadcast(weights.tobytes())
+
+
+def _mean(weights: np.ndarray, buckets: np.ndarray) -> float:
+    return int(weights[buckets].sum(dtype=np.int64)) / (len(buckets) * SCALE)
 
 
 def joined_scores(docs: DataFrame, labels: DataFrame | None, *, bits: int, max_target: int = MAX_TARGET, alpha: float = ALPHA) -> DataFrame:
@@ -199,7 +222,7 @@ def joined_scores(docs: DataFrame, labels: DataFrame | None, *, bits: int, max_t
     counts = cut(ngram_counts(docs, _target(labels, max_target), bits))
     raw, trusted = counts.agg(F.sum("n_raw"), F.sum("n_target")).first()
     own = F.log((F.col("n_target") + alpha) / F.lit((trusted or 0) + alpha * (1 << bits))) - F.log((F.col("n_raw") + alpha) / F.lit((raw or 0) + alpha * (1 << bits)))
-    weights = counts.select("bucket", (own if trusted else F.lit(0.0)).alias("w"))
+    weights = counts.select("bucket", (F.rint(own * SCALE) if trusted else F.lit(0.0)).cast("long").alias("w"))
 
     @trimmed
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +234,7 @@ def joined_scores(docs: DataFrame, labels: DataFrame | None, *, bits: int, max_t
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(at), pa.array(n)], ["ngram_row", "bucket", "n"])
 
     met = docs.select("ngram_row", "text").mapInArrow(grams, "ngram_row long, bucket long, n long").join(weights, "bucket")
-    scores = met.groupBy("ngram_row").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("llr"))
+    scores = met.groupBy("ngram_row").agg((F.sum(F.col("w") * F.col("n")) / (F.sum("n") * SCALE)).alias("llr"))
     return docs.join(scores, "ngram_row", "left").drop("ngram_row").fillna(0.0, ["llr"])
 
 
@@ -250,14 +273,14 @@ def quality_rules(
 
     @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = None if joined else np.frombuffer(held.value, np.float32)
+        w = None if joined else np.frombuffer(held.value, np.int32)
         for b in batches_of(batches):
             counts, scores = [], []
             for text in b.column(1).to_pylist():
                 got, kinds, ids = _counts(text or "")
                 counts.append(got)
                 if not joined:
-                    scores.append(float(w[_buckets(kinds, ids, bits)].mean(dtype=np.float64)) if got[0] else 0.0)
+                    scores.append(_mean(w, _buckets(kinds, ids, bits)) if got[0] else 0.0)
             c = np.array(counts, np.int64)
             failed = (c[:, 0] < MIN_WORDS) | (100 * c[:, 4] > MAX_REPEAT_PERCENT * c[:, 0])
             llr = b.column(2).to_numpy(zero_copy_only=False) if joined else np.array(scores)
@@ -282,13 +305,13 @@ def quality_filter(
 
     @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = None if joined else np.frombuffer(held.value, np.float32)
+        w = None if joined else np.frombuffer(held.value, np.int32)
         for b in batches_of(batches):
             good = []
             for k, text in enumerate(b.column(at).to_pylist()):
                 (n, _, _, _, repeated), kinds, ids = _counts(text or "")
                 bad = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
-                good.append(not bad and (b.column(len(schema))[k].as_py() if joined else float(w[_buckets(kinds, ids, bits)].mean(dtype=np.float64))) >= threshold)
+                good.append(not bad and (b.column(len(schema))[k].as_py() if joined else _mean(w, _buckets(kinds, ids, bits))) >= threshold)
             yield b.select(schema.names).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

@@ -1,5 +1,3 @@
-import pytest
-
 from lodestore.llm import quality
 
 
@@ -18,6 +16,6 @@ def test_joined_weights_give_the_same_verdicts(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     a, b = ({r.doc_id: r for r in quality.quality_rules(docs, labels, bits=18, broadcast_bits=k).collect()} for k in (18, 17))
     assert a.keys() == b.keys()
-    assert all(a[d].llr == pytest.approx(b[d].llr, abs=1e-5) and a[d][:7] == b[d][:7] and a[d].kept == b[d].kept for d in a)
+    assert all(a[d] == b[d] for d in a)  # sums of whole weights are the same in any order
     kept = quality.quality_filter(docs, labels, bits=18, broadcast_bits=17)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d in a if a[d].kept)

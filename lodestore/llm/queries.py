@@ -64,7 +64,7 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.suffix_dedup(docs, passage=suffix_dedup.PASSAGE, with_bytes=False, replace=True)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "passage_text")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

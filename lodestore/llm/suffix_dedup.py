@@ -458,8 +458,8 @@ def suffix_dedup(
 
     replace puts the remaining text in the place of text; a character that loses some of
     its bytes goes as a whole, and null stays null. With passage (shorter than length),
-    that text loses the repeated strings of `passage` bytes instead, found in the same
-    scan; the counts, spans and kept stay those of `length`.
+    passage_text is what is left without the repeated strings of `passage` bytes, found in
+    the same scan; everything else stays that of `length`.
 
     Lengths must be multiples of DEPTH and at most 511. Segments are told apart by two
     64-bit hashes; merged intervals are compared byte by byte. No task gathers more than
@@ -477,24 +477,26 @@ def suffix_dedup(
     joined = rows.join(spans, [k1, k2], "left").drop(k1, k2)
     columns = [c for c in docs.columns if c != "text" or with_text]
     added = list(names.values())[: 6 if with_bytes else 4]
+    extra = [] if passage is None else [fresh(docs, "passage_text")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()][: len(added)]
     kinds = ["long", "long", "long", "string", "array<struct<a:long,b:long>>", "binary"]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"`{n}` {k}" for n, k in zip(added, kinds, strict=False)])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"`{n}` {k}" for n, k in zip(added, kinds, strict=False)] + [f"`{n}` string" for n in extra])
     carried = [c for c in docs.columns if c != "text"]
 
     @trimmed
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                out, texts = [], []
+                out, texts, rests = [], [], []
                 for text, own in zip(b.column(len(carried)).to_pylist(), b.column(len(carried) + 1).to_pylist(), strict=True):
                     raw, levels = (text or "").encode(), [[(x["a"], x["b"]) for x in own or () if x["level"] == k] for k in range(len(lengths))]
                     kept, gone = remove_spans(raw, levels[0])
                     out.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept))
-                    rest = raw if not replace else kept if passage is None else remove_spans(raw, levels[1])[0]
-                    texts.append(None if text is None else rest.decode("utf-8", "ignore"))
+                    texts.append(kept.decode("utf-8", "ignore") if replace and text is not None else text)
+                    if extra:
+                        rests.append(None if text is None else remove_spans(raw, levels[1])[0].decode("utf-8", "ignore"))
                 given = dict(zip(carried, b.columns, strict=False)) | {"text": pa.array(texts, pa.string()) if with_text else None}
-                yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], [*columns, *added])
+                yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types)), *([pa.array(rests, pa.string())] if extra else [])], [*columns, *added, *extra])
 
     return joined.select(*carried, "text", runs).mapInArrow(remove, schema)
 

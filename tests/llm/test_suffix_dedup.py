@@ -107,7 +107,10 @@ def test_two_lengths_in_one_scan(spark):
     rows = {x.doc_id: x for x in sd.suffix_dedup(docs, length=60, passage=32, gram=8, replace=True).collect()}
     assert {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in rows.items()} == dict(enumerate(brute(texts, 60)))
     short = {x.doc_id: x.text for x in sd.suffix_dedup_text(docs, length=32, gram=8).collect()}
-    assert {i: x.text for i, x in rows.items()} == short and short[0] is None
+    assert {i: x.passage_text for i, x in rows.items()} == short and short[0] is None
+    for i, x in rows.items():
+        raw = (x.text or "").encode()
+        assert sha256(raw).hexdigest() == x.kept_sha256 or len(raw) < x.n_bytes - x.n_removed  # the text is what the row describes
     for i, (_, _, _, digest) in enumerate(brute(texts, 32)):
         raw = (short[i] or "").encode()
         assert sha256(raw).hexdigest() == digest or len(raw) < len((texts[i] or "").encode())  # split characters go as a whole

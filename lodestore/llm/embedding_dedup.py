@@ -11,6 +11,7 @@ blocks whose rings come within e of each other are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from .common import cut, drops_shuffles, trimmed
 from .components import connected_components
 
 THRESHOLD = 0.9
-#: Mean vectors per cell; the number of pivots follows from it up to MAX_PIVOTS, which bounds what is broadcast.
-CELL = 65536
-MAX_PIVOTS = 2048
+#: There are as many pivots as the root of the vectors over this: 4 for 2,000 vectors, 22 for 50,000 (2,300 to a cell), 3,162 for a billion.
+#: Where bounds exclude nothing, a vector is copied to half of the cells, so more pivots would copy more than they part.
+PER_PIVOT = 100
+#: Bounds what is broadcast; larger cells are parted into more ring blocks.
+MAX_PIVOTS = 4096
 #: Rows of a cell that one task compares with as many others.
-BLOCK = 16384
+BLOCK = 8192
 #: Rings of equal width around a pivot; a block is some of them, or part of one.
 RINGS = 32
 _TILE = 512
@@ -155,11 +158,28 @@ def ring_layout(sizes: dict[tuple[int, bool, int], int], block: int, reach: floa
     return out
 
 
-def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def compared_pairs(sizes: dict[tuple[int, bool, int], int], block: int, reach: float) -> int:
+    """Pairs of rows that the blocks of a layout compare; all others are excluded by the triangle inequality."""
+    rows: dict[tuple[int, int], float] = {}
+    reached: dict[tuple[int, int], list[range]] = {}
+    for cell, home, ring, first, count, h0, h1, o0, o1 in ring_layout(sizes, block, reach):
+        for k in range(first, first + count):
+            rows[cell, k] = rows.get((cell, k), 0) + sizes[cell, home, ring] / count
+            reached[cell, k] = [range(h0, h1 + 1), range(o0, o1 + 1)]
+    total = 0.0
+    for (cell, k), spans in reached.items():
+        n = rows[cell, k]
+        total += sum(n * (n - 1) / 2 if j == k else n * rows[cell, j] for span in spans for j in span if j >= k)
+    return round(total)
+
+
+def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: int | None = None, block: int = BLOCK, report: dict | None = None) -> DataFrame:
     """(uid, links, root) partial rows over unique vectors (uid long, copies long, embedding array).
 
     links sums to the weighted number of partners of uid; (uid, root) are edges that span
-    the same components as all links. No pair is ever emitted.
+    the same components as all links. No pair is ever emitted. cell: mean vectors per
+    cell, in the place of PER_PIVOT. report gets the numbers of cells, pairs, copied rows
+    and compared pairs.
     """
     spark = vectors.sparkSession
     n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
@@ -167,7 +187,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     if n < 2:
         return spark.createDataFrame([], out)
     reach = float(np.arccos(threshold)) + ROUNDING
-    count = max(1, min(MAX_PIVOTS, -(-n // cell)))
+    count = max(1, min(MAX_PIVOTS, isqrt(n // PER_PIVOT) if cell is None else -(-n // cell)))
     rows = vectors.orderBy(F.xxhash64("uid"), "uid").limit(count).select("embedding").toArrow()  # at most MAX_PIVOTS rows
     pivots = spark.sparkContext.broadcast(_units(rows["embedding"].combine_chunks(), width))
     element = vectors.schema["embedding"].dataType.simpleString()
@@ -207,6 +227,8 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     dealt = vectors.select("uid", "copies", "embedding").mapInArrow(copy, f"uid long, copies long, embedding {element}, cell long, home boolean, ring long")
     # At most 2 * MAX_PIVOTS * RINGS rows reach the driver and go back as the layout of the blocks.
     sizes = {(r["cell"], r["home"], r["ring"]): r["count"] for r in dealt.groupBy("cell", "home", "ring").count().collect()}
+    if report is not None:
+        report |= {"cells": count, "pairs": n * (n - 1) // 2, "copied": sum(k for (_, home, _), k in sizes.items() if not home), "compared": compared_pairs(sizes, block, reach)}
     layout = spark.createDataFrame(ring_layout(sizes, block, reach), "cell long, home boolean, ring long, first int, blocks int, h0 int, h1 int, o0 int, o1 int")
     span = lambda a, b: F.when(F.col(a) <= F.col(b), F.sequence(F.col(a), F.col(b))).otherwise(F.array().cast("array<int>"))
     placed = dealt.join(F.broadcast(layout), ["cell", "home", "ring"])
@@ -227,7 +249,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
 
 @drops_shuffles
 def embedding_groups(
-    rows: DataFrame, *, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding"
+    rows: DataFrame, *, threshold: float = THRESHOLD, cell: int | None = None, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding", report: dict | None = None
 ) -> DataFrame:
     """One row per row of rows (key, vector; other columns are ignored): vec_id, n_links, component_id, kept.
 
@@ -248,7 +270,7 @@ def embedding_groups(
     base = base.withColumn("h", F.xxhash64("embedding"))
     unique = base.where("embedding is not null").groupBy("h", "embedding").agg(F.min("vec_id").cast("long").alias("uid"), F.count("*").alias("copies"))
     unique = cut(unique)
-    links = cut(embedding_links(unique.select("uid", "copies", "embedding"), threshold=threshold, cell=cell, block=block))
+    links = cut(embedding_links(unique.select("uid", "copies", "embedding"), threshold=threshold, cell=cell, block=block, report=report))
     counts = links.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = connected_components(links.select("uid", "root")).select(F.col("node").alias("uid"), "component")
     found = unique.join(counts, "uid", "left").join(roots, "uid", "left").select(

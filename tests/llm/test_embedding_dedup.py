@@ -78,3 +78,16 @@ def test_a_crowd_of_linked_vectors_in_tiles(spark):
     e = np.array([v for _, v in sorted(rows)])
     want = (e @ e.T / np.outer(*[np.linalg.norm(e, axis=1)] * 2) >= 0.9).sum(axis=1) - 1
     assert {r.component_id for r in got} == {0} and [r.n_links for r in sorted(got)] == want.tolist()
+
+
+def test_clusters_are_parted_by_bounds(spark):
+    """At production parameters: several cells, and pairs of far clusters excluded."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(12, 6))
+    rows = [(i, (centres[i % 12] + r.normal(size=6) * 0.03).tolist()) for i in range(1200)]
+    report = {}
+    got = ed.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), report=report).collect()
+    e = np.array([v for _, v in rows])
+    want = (e @ e.T / np.outer(*[np.linalg.norm(e, axis=1)] * 2) >= 0.9).sum(axis=1) - 1
+    assert [x.n_links for x in sorted(got)] == want.tolist()
+    assert report["cells"] == 3 and report["pairs"] == 1200 * 1199 // 2 and want.sum() // 2 <= report["compared"] < 0.9 * report["pairs"]

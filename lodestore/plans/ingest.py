@@ -14,6 +14,9 @@ from ..operators import memories as mem
 from ..operators.filters import expiry
 from ..operators.graph import co_mentions
 from ..schema import NAMESPACES
+from ..sources.folder import decoded
+from ..sources.office import office_sections
+from ..sources.transcripts import preferred_sidecars, transcripts
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -82,6 +85,43 @@ def segment_texts(segments: DataFrame, collection: str) -> DataFrame:
     return segments.select(F.lit(collection).alias("collection"), place.alias("file_path"), F.col("path").alias("memory_root_path"), F.col("segment").alias("text"), F.lit("video").alias("content_type"))
 
 
+SIDECAR = r"(?i)(\.transcript\.json|\.srt|\.vtt|\.txt)$"
+
+
+def stem(path: Column) -> Column:
+    """What a media file and its transcripts have in common."""
+    return F.regexp_replace(path, r"(?i)(\.transcript\.json|\.[^./]+)$", "")
+
+
+def folder_texts(files: DataFrame, collection: str, *, caption=None) -> DataFrame:
+    """Texts of files of every kind (rel_path, content_type, content, status of sources.folder.routed), for memory_rows.
+
+    Text files are one text. Documents are a child per section and a root that sums up the
+    first ones. Images, videos and audio files are a root of caption and transcript, which
+    names the file where there is neither, and a child per segment of the transcript
+    beside them; such transcripts are no texts of their own, but for .txt files. Files of
+    another status and documents without a section have no text.
+    """
+    usable = files.where("status = 'ok'").select(F.col("rel_path").alias("path"), "content_type", "content")
+    nothing = F.lit(None).cast("array<string>")
+    media = usable.where(F.col("content_type").isin("image", "video", "audio"))
+    sides = usable.where((F.col("content_type") == "text") & F.col("path").rlike(SIDECAR)).withColumn("_stem", stem(F.col("path")))
+    owners = media.where("content_type <> 'image'").select(F.col("path").alias("_media"), stem(F.col("path")).alias("_stem"))
+    beside = preferred_sidecars(sides.join(owners, "_stem").select("_media", "path", decoded(F.col("content")).alias("text")), "path")
+    segments = transcripts(beside).select(F.col("_media").alias("path"), "seq", "start", "segment")
+    told = media.withColumn("caption", F.lit(None).cast("string")).withColumn("content_type", F.when(F.col("content_type") == "audio", "video").otherwise(F.col("content_type")))
+    spoken = media_texts(told, segments, collection, caption=caption).select("collection", "file_path", "memory_root_path", "text", "content_type", "tags")
+    plain = usable.where("content_type = 'text'").withColumn("_stem", stem(F.col("path"))).join(owners.select("_stem").distinct().withColumn("_owned", F.lit(True)), "_stem", "left")
+    plain = plain.where(~(F.coalesce("_owned", F.lit(False)) & F.col("path").rlike(SIDECAR) & ~F.lower("path").endswith(".txt")))
+    plain = plain.select(F.lit(collection).alias("collection"), F.col("path").alias("file_path"), F.col("path").alias("memory_root_path"), decoded(F.col("content")).alias("text"), "content_type", nothing.alias("tags"))
+    sections = office_sections(usable.where("content_type = 'document'").select("path", "content")).withColumnRenamed("path", "rel_path")
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") <= 2, F.struct("seq", "text")))), lambda x: x["text"])
+    roots = sections.groupBy("rel_path").agg(first.alias("_first")).withColumn("text", parent_summary(F.col("_first"), F.element_at(F.split("rel_path", "/"), -1)))
+    roots = roots.select(F.lit(collection).alias("collection"), F.col("rel_path").alias("file_path"), F.col("rel_path").alias("memory_root_path"), "text", F.lit("document").alias("content_type"), nothing.alias("tags"))
+    children = section_texts(sections, collection).withColumn("tags", nothing)
+    return plain.unionByName(spoken).unionByName(roots).unionByName(children)
+
+
 def media_texts(media: DataFrame, segments: DataFrame, collection: str, *, caption=None, tagger=None) -> DataFrame:
     """Root and child texts of images, videos and audio files, for memory_rows.
 

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from math import log
 from uuid import uuid4
@@ -151,6 +152,17 @@ class Store:
             }
         return {key: {"place": place, "bytes": self._fs.getContentSummary(self._path(f"{self.root}/{place}")).getLength()} for key, place in found.items()}
 
+    @contextmanager
+    def aside(self, *frames: DataFrame) -> Iterator[list[DataFrame]]:
+        """DataFrames written once beside the store's tables, for as long as the block lasts."""
+        folder = f"{self.root}/aside/{uuid4().hex}"
+        try:
+            for i, df in enumerate(frames):
+                df.write.parquet(f"{folder}/{i}")
+            yield [self.spark.read.schema(df.schema).parquet(f"{folder}/{i}") for i, df in enumerate(frames)]
+        finally:
+            self._fs.delete(self._path(folder), True)
+
     def stage(self, tables: dict[str, DataFrame], touched: dict[str, list[str]] | None = None, gone: dict[str, DataFrame] | None = None, reads: dict[str, list[str]] | None = None, base: dict | None = None) -> dict:
         """Write hidden rows of tables; promote() shows them, abort() drops them.
 
@@ -245,6 +257,13 @@ class Store:
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
         return rows.join(other, same, "left_semi")
 
+    @staticmethod
+    def without(rows: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows whose keys no row of keys_of has; nulls are equal to each other."""
+        other = keys_of.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        return rows.join(other, same, "left_anti")
+
     def _new_content(self, content: DataFrame, parts: list[str], base: dict) -> DataFrame:
         """The hashes that the content table lacks."""
         return content.dropDuplicates(["hash"]).join(self.located("content", parts, base).select("hash"), "hash", "left_anti")
@@ -285,12 +304,14 @@ class Store:
         mine = F.coalesce(family & filters.within(collection=collection, **namespaces), F.lit(False))
         return self._drop(lambda rows: rows.where(mine), [collection])
 
-    def upsert_memory(self, texts: DataFrame, *, now_ms: int, embed=None, model: str = "none") -> int:
+    def upsert_memory(self, texts: DataFrame, *, now_ms: int, embed=None, model: str = "none", families: DataFrame | None = None, collection: str | None = None) -> int:
         """Put texts (see ingest.memory_rows) in the place of what their paths held: chunks, mentions and edges are replaced, documents keep id and created_at.
 
         One version shows all of it. What is written grows with the texts, not with their
         collections: replaced rows leave by delete vectors. Paths count within their
         collection and namespaces; a path that occurs twice in texts gets the chunks of both.
+        families (path): what these paths of a collection and their children held leaves too,
+        and documents of them that texts do not write again are hidden.
         """
         from .ingest import memory_rows
 
@@ -298,11 +319,17 @@ class Store:
         paths = KEYS["documents"]
 
         def make(base: dict) -> dict:
-            mine = self.parts("documents", new["documents"])
+            mine = sorted({*self.parts("documents", new["documents"]), *([collection] if families is not None else [])})
             replaced = new["documents"].select(paths).distinct()
             reads = dict.fromkeys(OWNED, mine) | {"content": self.parts("content", new["content"])}
             old = {n: self.matching(self.located(n, mine, base), replaced, paths) for n in OWNED}
-            out = new | {"documents": kept_identity(old["documents"], new["documents"]), "content": self._new_content(new["content"], reads["content"], base)}
+            documents = kept_identity(old["documents"], new["documents"])
+            if families is not None:
+                held = {n: in_families(self.located(n, [collection], base), families) for n in OWNED}
+                hidden = self.without(held["documents"].where(filters.visible()), replaced, paths)
+                documents = documents.unionByName(conform(hidden.withColumn("active", F.lit(0)), "documents"))
+                old = {n: df.unionByName(hidden if n == "documents" else held[n]) for n, df in old.items()}
+            out = new | {"documents": documents, "content": self._new_content(new["content"], reads["content"], base)}
             return {"tables": out, "touched": {n: [] for n in out}, "gone": old, "reads": reads}
 
         return self._change(make)
@@ -332,14 +359,7 @@ class Store:
 
     def delete_paths(self, paths: DataFrame, collection: str) -> int:
         """The same for a table of paths (path) and their children, all in one version."""
-        keys = paths.select(F.col("path").alias("_path")).where("_path is not null").distinct()
-        owners = F.array_compact(F.array("file_path", F.substring_index("file_path", "::", 1), "memory_root_path"))
-
-        def chosen(rows: DataFrame) -> DataFrame:
-            hit = rows.select(F.col("file_path").alias("_hit"), F.explode(owners).alias("_path")).join(keys, "_path", "left_semi").select("_hit").distinct()
-            return rows.join(hit, F.col("file_path") == F.col("_hit"), "left_semi")
-
-        return self._drop(chosen, [checked_name(collection, "collection")])
+        return self._drop(lambda rows: in_families(rows, paths), [checked_name(collection, "collection")])
 
     def get_memory(self, memory_id: str | None = None, *, path: str | None = None, **scope: str | None) -> DataFrame:
         """The memory of an id or root path with its children, snippets, summary and tags; no row if there is none."""
@@ -432,6 +452,14 @@ class Store:
         return n
 
 
+def in_families(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of paths (path) and of their children."""
+    keys = paths.select(F.col("path").alias("_path")).where("_path is not null").distinct()
+    owners = F.array_compact(F.array("file_path", F.substring_index("file_path", "::", 1), "memory_root_path"))
+    hit = rows.select(F.col("file_path").alias("_hit"), F.explode(owners).alias("_path")).join(keys, "_path", "left_semi").select("_hit").distinct()
+    return rows.join(hit, F.col("file_path") == F.col("_hit"), "left_semi")
+
+
 def _file_key() -> Column:
     return identity.file_key(*[F.col(c) for c in KEYS["documents"]])
 

@@ -21,6 +21,8 @@ TYPES = {
 }
 MAX_MB = 100
 HEAD = 8192
+#: Characters of names that readers would take for patterns.
+GLOB, escaped = r"([\[\]{}*?\\])", r"\\\1"
 
 
 def matches_any(path: Column, globs: list[str]) -> Column:
@@ -38,11 +40,11 @@ def content_type(path: Column) -> Column:
 
 
 def list_folder(
-    spark: SparkSession, folder: str, *, recursive: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, content: bool = True
+    spark: SparkSession, folder: str, *, recursive: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, content: bool = True, only: list[str] | None = None
 ) -> DataFrame:
-    """path, rel_path, length, modified_ms, content_type, (content) of the files under a folder."""
+    """path, rel_path, length, modified_ms, content_type, (content) of the files under a folder; of those named only, if any are, which must be there."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(folder)
+    files = reader.load(folder if only is None else [f"{folder.rstrip('/')}/{re.sub(GLOB, escaped, p)}" for p in only])
     base = re.sub(r"/+$", "", folder.split("://", 1)[-1].removeprefix("file:"))
     full = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/*", "/")
     rows = files.withColumn("rel_path", F.substring(full, F.lit(len("/" + base.lstrip("/")) + 2), F.length(full)))

@@ -2,6 +2,7 @@
 
 import json
 import shutil
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,37 @@ def test_a_watched_folder_reaches_the_store(spark, engine, tmp_path):
     assert shown == {"sub/two.md": "second, longer"} and paths(engine.memories().where("collection = 'w'")) == [("w", "sub/two.md")]
 
 
+def test_a_watched_folder_takes_files_of_every_kind(spark, engine, tmp_path):
+    folder = tmp_path / "kinds"
+    folder.mkdir()
+
+    def docx(*said):
+        with zipfile.ZipFile(folder / "d.docx", "w") as z:
+            w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>' + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in said) + "</w:body></w:document>")
+
+    docx("x" * 1590, "second part")
+    (folder / "talk.mp4").write_bytes(b"\1")
+    (folder / "talk.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nhello there\n")
+    (folder / "[p]ic.png").write_bytes(b"\1")
+    (folder / "n.md").write_text("plain")
+    shown = lambda: {r.file_path: r.text_body for r in engine.store.table("embeddings").where("collection = 'k'").collect()}
+    assert engine.scan_folder(str(folder), "k") == {"deleted": 0, "written": 4}
+    first = shown()
+    assert first["talk.mp4"] == "hello there" and first["n.md"] == "plain" and "[p]ic.png" in first and "talk.srt" not in first
+    assert first["d.docx::section:0002"] == "second part" and any(p.startswith("talk.mp4::transcript:0001") for p in first)
+    docx("short now")
+    (folder / "talk.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nsomething else, longer\n")
+    (folder / "n.md").write_bytes(b"\0 no text any more")
+    (folder / "[p]ic.png").unlink()
+    engine.now_ms = lambda: 6000
+    assert engine.scan_folder(str(folder), "k") == {"deleted": 1, "written": 2}
+    now = shown()
+    assert now["talk.mp4"] == "something else, longer" and "n.md" not in now and "[p]ic.png" not in now and "d.docx::section:0002" not in now and now["d.docx::section:0001"] == "short now"
+    hidden = {r.file_path for r in engine.store.table("documents").where("collection = 'k' and active = 0").collect()}
+    assert hidden == {"n.md", "[p]ic.png", "d.docx::section:0002"}
+
+
 def test_a_stream_of_changes_reaches_the_store(spark, engine, tmp_path):
     folder, events = tmp_path / "f", tmp_path / "events"
     folder.mkdir()

@@ -40,6 +40,16 @@ def branch_weight(branch: str, intent: str | None = None, content_type: str | No
     return TYPE_WEIGHTS.get(content_type, {}).get(name, 2.0) * (EXPANDED if expanded else 1.0)
 
 
+def given(df: DataFrame, **defaults: Column) -> DataFrame:
+    """df with the columns that it lacks."""
+    return df.withColumns({n: c for n, c in defaults.items() if n not in df.columns})
+
+
+def _by_file(df: DataFrame) -> DataFrame:
+    """Where files have no key, their path is their key."""
+    return given(df, file_key=F.col("file_path"))
+
+
 def candidate_limit(limit: int, overfetch: int = 10, most: int = 200) -> int:
     return min(max(limit, most), limit * max(2, overfetch))
 
@@ -66,7 +76,8 @@ def fuse(
     position = F.element_at(F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, i)]), F.col("branch"))
     lexical = F.col("branch").contains("fts") | F.col("branch").contains("bm25")
     fused = (
-        branches.withColumn("w", weight / (F.lit(k + 1) + F.col("rank0")))
+        given(_by_file(branches), score=F.lit(None).cast("double"))
+        .withColumn("w", weight / (F.lit(k + 1) + F.col("rank0")))
         .groupBy("query_id", *FILE)
         .agg(
             F.array_sort(F.collect_list(F.struct("branch", (F.col("rank0") + 1).alias("rank"), "score"))).alias("by_branch"),  # a row per branch
@@ -81,7 +92,7 @@ def fuse(
     rest = sum(weights.values()) - text_weight
     compensated: Column = F.lit(False)
     if content_type in ("image", "video") and text_weight > 0 and rest > 0 and media is not None:
-        fused = fused.join(media.select("file_key", "content_type"), "file_key")
+        fused = fused.join(_by_file(media).select("file_key", "content_type"), "file_key")
         compensated = F.col("content_type").isin("image", "video") & ~F.col("lexical")
     factor = (text_weight + rest) / rest if rest else 1.0
     fused = fused.withColumn("compensated", compensated).withColumn("rrf", F.round(F.when(compensated, F.col("rrf") * factor).otherwise(F.col("rrf")), 12))
@@ -122,7 +133,7 @@ def rerank(
     column function, for models a pandas UDF. It sees the texts of the first top_k
     ranks only, where they are read: texts enter no exchange of this function.
     """
-    joined = fused.join(details.drop("file_path"), ["file_key", "hash_seq"]).join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
+    joined = _by_file(fused).join(_by_file(details).drop("file_path"), ["file_key", "hash_seq"]).join(queries.select("query_id", F.col("query").alias("_q")), "query_id")
     by_query = Window.partitionBy("query_id")
     half = F.lit(0.5)
     if not enabled or top_k <= 0:
@@ -190,6 +201,8 @@ def roll_up(blended: DataFrame, limit: int) -> DataFrame:
     of the best hit are kept where there are such columns.
     """
     owner = [c for c in ("collection", *NAMESPACES) if c in blended.columns]
+    unknown = F.lit(None).cast("double")
+    blended = given(_by_file(blended), rrf_norm=unknown, rerank_norm=unknown, by_branch=F.lit(None).cast("array<struct<branch:string,rank:int,score:double>>"))
     hit = F.struct(
         (-F.col("score")).alias("o"), F.col("rrf_rank"), F.col("file_path"), F.col("memory_role"), F.col("memory_root_path"), F.col("title"),
         F.col("tags"), F.col("rrf"), F.col("rerank_score"), F.col("rrf_weight"), F.col("sources"), F.col("rerank_path"), F.col("compensated"),
@@ -218,7 +231,7 @@ def roll_up(blended: DataFrame, limit: int) -> DataFrame:
 
 def merge_batch(ranked: DataFrame, weights: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
     """Fuse the results of several queries: ranked (query_id, memory_key, path, rank from 1, score), weights (query_id, weight)."""
-    rows = ranked.join(weights, "query_id")
+    rows = given(ranked, memory_key=F.col("path")).join(weights, "query_id")
     merged = rows.groupBy("memory_key", "path").agg(
         F.round(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))), 12).alias("score"),
         F.array_join(F.transform(F.array_sort(F.collect_set("query_id")), lambda q: q.cast("string")), ",").alias("source"),

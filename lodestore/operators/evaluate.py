@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, inf
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,60 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.agg(*[F.avg(c).alias(c) for c in per_query.columns if c != "query_id"], F.count("*").alias("queries"))
 
 
+#: Parts that a stretch of values is cut into per pass.
+PROBES = 1024
+
+
+def selected(values: DataFrame, column: str, ranks: list[int]) -> list[float | None]:
+    """The values of the given ranks (from 0; nulls and NaN do not count) in a numeric column, exactly; None beyond the last.
+
+    Each pass counts, per rank that is still open, the values of its stretch in PROBES
+    equal parts, with the least and greatest of each part: a few numbers per part, by
+    partial sums. The part with the rank is the next stretch; it is settled once its
+    least and greatest are one value, however many rows have it.
+    """
+    rows = values.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    finite = F.abs("v") < float("inf")
+    whole = rows.agg(
+        F.min(F.when(finite, F.col("v"))).alias("a"), F.max(F.when(finite, F.col("v"))).alias("b"), F.count("*").alias("n"),
+        F.count_if(~finite & (F.col("v") < 0)).alias("low"), F.count_if(~finite & (F.col("v") > 0)).alias("high"),
+    ).first()
+    rows = rows.where(finite)
+    found: dict[int, float | None] = {r: None for r in ranks if not 0 <= r < whole.n}
+    found |= {r: -inf for r in ranks if 0 <= r < whole.low} | {r: inf for r in ranks if whole.n - whole.high <= r < whole.n}
+    stretch = {r: (whole.a, whole.b, whole.low) for r in ranks if r not in found}  # least, greatest, values below
+    while stretch:
+        found |= {r: a for r, (a, b, _) in stretch.items() if a == b}
+        stretch = {r: x for r, x in stretch.items() if r not in found}
+        if not stretch:
+            break
+        spans = sorted({(a, b) for a, b, _ in stretch.values()})
+
+        def part(a: float, b: float) -> Column:
+            """0 for a, the last for b; scaled, as the difference of large values can be infinite and that of small ones vanish."""
+            s = 0.5 if b - a == inf else 2.0**500 if b - a < 1e-290 else 1.0
+            return F.least(F.floor((F.col("v") * s - a * s) / (b * s - a * s) * PROBES), F.lit(PROBES - 1))
+
+        spot = F.array_compact(F.array(*[F.when(F.col("v").between(a, b), F.struct(F.lit(i).alias("span"), part(a, b).alias("part"))) for i, (a, b) in enumerate(spans)]))
+        got = rows.select("v", F.inline(spot)).groupBy("span", "part").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"))
+        counts: dict[tuple[float, float], list] = {}
+        for x in got.orderBy("span", "part").collect():  # PROBES rows per open rank at most
+            counts.setdefault(spans[x.span], []).append((x.a, x.b, x.n))
+        for r, (a, b, below) in stretch.items():
+            for low, high, n in counts[a, b]:
+                if r < below + n:
+                    stretch[r] = (low, high, below)
+                    break
+                below += n
+    return [found[r] for r in ranks]
+
+
 def percentiles(values: DataFrame, column: str, shares=(0.5, 0.95)) -> DataFrame:
-    """Nearest-rank percentiles (element ceil(p n)) and the plain-index ones (element int(p n), from 0)."""
-    disc = lambda p, name: F.expr(f"percentile_disc({p}) within group (order by `{column}`)").alias(f"{name}{round(p * 100)}")
-    return values.agg(*[disc(p, "p") for p in shares], *[disc(p + 1e-9, "i") for p in shares])
+    """Nearest-rank percentiles (element ceil(p n)) and the plain-index ones (element int(p n), from 0), null without values."""
+    n = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    ranks = {f"p{round(p * 100)}": max(0, ceil(p * n) - 1) for p in shares} | {f"i{round(p * 100)}": min(int(p * n), n - 1) for p in shares}
+    got = selected(values, column, list(ranks.values()))
+    return values.sparkSession.createDataFrame([tuple(got)], ", ".join(f"{name} double" for name in ranks))
 
 
 def stage_metrics(hits: DataFrame) -> DataFrame:

@@ -154,3 +154,17 @@ def test_graph_equals_plain_python(spark):
     assert [(-x.score, x.path) for x in got] == order
     listed = [(x.name, x.path, x.ord) for x in graph.list_entities(df, 25).collect()]
     assert listed == sorted(((x[6], x[2], x[4]) for x in rows), key=lambda x: (x[0].lower(), x[1], x[2]))[:25]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranks_are_selected_over_partitions(spark, monkeypatch, seed):
+    import random
+
+    r = random.Random(seed)
+    monkeypatch.setattr(evaluate, "PROBES", 4)  # several passes
+    values = [r.choice([7.0, 7.0, r.gauss(0, 1), r.gauss(0, 1e6), 1e-300, 5e-324, 0.0, -1e308, 1e308, None, float("nan"), float("inf"), float("-inf")]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    known = sorted(v for v in values if v is not None and v == v)
+    ranks = [0, 40, 70, len(known) // 3, len(known) // 2, len(known) - 1, len(known), -1]
+    assert evaluate.selected(df, "x", ranks) == [*(known[k] for k in ranks[:6]), None, None]
+    assert evaluate.selected(df.where("x is null"), "x", [0]) == [None]

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 QUIET_MS = 2000
 MOST_EVENTS = 32
-TOLD = "path string, change string, ts timestamp, event_id long, events int"
+TOLD = "path string, change string, ts_ms long, event_id long, events int"
 _HELD = "change string, ts_ms long, event_id long, events int, due long"
 
 
@@ -30,13 +30,12 @@ class Latest(StatefulProcessor):
         change, ts, event, n, due = held
         self.handle.deleteTimer(due)
         self.held.clear()
-        return pd.DataFrame({"path": [key[0]], "change": [change], "ts": [pd.Timestamp(ts, unit="ms")], "event_id": [event], "events": [n]})
+        return pd.DataFrame({"path": [key[0]], "change": [change], "ts_ms": [ts], "event_id": [event], "events": [n]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = tuple(self.held.get()) if self.held.exists() else None
         for pdf in rows:
-            at = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            for change, ts, event in sorted(zip(pdf["change"], at, pdf["event_id"], strict=True), key=lambda x: x[1:]):
+            for change, ts, event in sorted(zip(pdf["change"], pdf["ts_ms"], pdf["event_id"], strict=True), key=lambda x: x[1:]):
                 n = held[3] if held else 0
                 newest = (change, int(ts), int(event)) if held is None or (int(ts), int(event)) > held[1:3] else held[:3]
                 if held:
@@ -60,12 +59,13 @@ class Latest(StatefulProcessor):
 
 
 def debounced(events: DataFrame, *, quiet_ms: int = QUIET_MS, most: int = MOST_EVENTS, late: str = "0 seconds") -> DataFrame:
-    """A stream of (path, change, ts, event_id) with one row per burst of a path: its latest change and how many events it had.
+    """A stream of (path, change, ts_ms, event_id, events) from one of (path, change, ts, event_id), with one row per burst of a path: its latest change and how many events it had.
 
     A burst ends when the watermark (the greatest ts so far less `late`) has passed its
     last event by quiet_ms, or with its `most`-th event. Events later than the watermark
     are dropped by Spark. State is one row per path that is not quiet. Needs the RocksDB
     state store (spark.sql.streaming.stateStore.providerClass).
     """
-    rows = events.where("path is not null and ts is not null").select("path", "change", F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("event_id"))
+    at = F.col("ts").cast("timestamp")
+    rows = events.where("path is not null and ts is not null").select("path", "change", at.alias("ts"), F.unix_millis(at).alias("ts_ms"), F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("event_id"))
     return rows.withWatermark("ts", late).groupBy("path").transformWithStateInPandas(statefulProcessor=Latest(quiet_ms, most), outputStructType=TOLD, outputMode="append", timeMode="eventTime")

@@ -236,7 +236,9 @@ def hybrid_search(spark, sf_dir):
 @query
 def explain_search(spark, sf_dir):
     got = _hybrid(spark, sf_dir, search.explain, content_type="text")
-    told = [F.get_json_object("payload", f"$.{c}").alias(f"payload_{c}") for c in ("path", "sources", "rrf_rank")]
+    told = [F.get_json_object("payload", f"$.{c}").alias(f"payload_{c}") for c in ("path", "sources", "rrf_rank", "collection", "user_id", "evidence_path")]
+    ranks = F.map_from_entries(F.transform("by_branch", lambda b: F.struct(b["branch"], b["rank"].cast("long"))))
+    told += [F.try_element_at(ranks, F.lit(name)).alias(f"{name}_rank") for name in ("original_vec", "original_fts")]
     return got.select("query_id", "rank", "path", "sources", "rrf_rank", "rerank_path", *_r("score", "rrf", "rerank_score", "rrf_weight", "boost", digits=4), *told)
 
 

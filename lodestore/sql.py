@@ -259,7 +259,9 @@ select round(avg(a), 6) as recall_at_1, round(avg(b), 6) as recall_at_5, round(a
         content_type=None, media_enabled=True, roll=False),
     "rerank_media_disabled": _hybrid("select query_id, file_path, rerank_path, compensated, round(rerank_score, 6) as rerank_score, round(score, 6) as score from blended", content_type="video", roll=False),
     "explain_search": _hybrid(
-        "select query_id, rank, path, sources, rrf_rank, rerank_path, round(score, 4) as score, round(rrf, 4) as rrf, round(rerank_score, 4) as rerank_score, round(rrf_weight, 4) as rrf_weight, round(boost, 4) as boost, path as payload_path, sources as payload_sources, rrf_rank::varchar as payload_rrf_rank from rolled"),
+        "select query_id, rank, path, sources, rrf_rank, rerank_path, round(score, 4) as score, round(rrf, 4) as rrf, round(rerank_score, 4) as rerank_score, round(rrf_weight, 4) as rrf_weight, round(boost, 4) as boost, path as payload_path, sources as payload_sources, rrf_rank::varchar as payload_rrf_rank, collection as payload_collection, user_id as payload_user_id, evidence_path as payload_evidence_path, "
+        "original_vec_rank, original_fts_rank from rolled join (select file_path as evidence_path, collection, user_id from mem) using (evidence_path) "
+        "left join (select query_id, file_path as evidence_path, rank0 + 1 as original_vec_rank from vec) using (query_id, evidence_path) left join (select query_id, file_path as evidence_path, rank0 + 1 as original_fts_rank from fts) using (query_id, evidence_path)"),
     "memory_rollup": _hybrid(
         """, sup as (select query_id, memory_id, list(file_path order by pos) as files, list([lower(lang), 'src ' || lower(source)] order by pos) as tg from hits group by 1, 2)
 select r.query_id, path, hit_count, round(score, 6) as score, round(boost, 6) as boost,

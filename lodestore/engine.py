@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, memories
 from .operators.filters import visible
+from .operators.fusion import INTENT_WEIGHTS
 from .plans import index, search, watching
 from .plans.store import Store
 
@@ -76,8 +77,11 @@ class Engine:
     def _queries(self, queries: list[dict]) -> DataFrame:
         if not 1 <= len(queries) <= MAX_SEARCHES:
             raise ValueError(f"1 to {MAX_SEARCHES} queries")
-        rows = [(i, q["query"], float(q.get("weight", 1.0))) for i, q in enumerate(queries)]
-        df = self.spark.createDataFrame(rows, "query_id int, query string, weight double")
+        for q in queries:
+            if q.get("intent") not in (None, *INTENT_WEIGHTS) or q.get("mode") not in (None, "hybrid", "vec", "fts"):
+                raise ValueError(f"unknown intent or mode of {q['query']!r}")
+        rows = [(i, q["query"], float(q.get("weight", 1.0)), q.get("intent"), q.get("mode")) for i, q in enumerate(queries)]
+        df = self.spark.createDataFrame(rows, "query_id int, query string, weight double, intent string, mode string")
         return df.withColumn("vector", self.embed(F.col("query")) if self.embed else F.lit(None).cast("array<float>"))
 
     def _options(self, scope: dict) -> dict:

@@ -63,16 +63,25 @@ def fuse(
     k: int = RRF_K,
     limit: int = 10,
     media: DataFrame | None = None,
+    intents: DataFrame | None = None,
 ) -> DataFrame:
     """One row per query and file: rrf, sources (names joined by +), best_rank, compensated, rrf_rank from 1, by_branch (branch, rank from 1, score).
 
     branches: query_id, branch, file_key, file_path, hash_seq, score, rank0. order: all branches that were asked, in
     insertion order, which also breaks ties of equal scores. media (file_key,
     content_type) is needed for content type image or video: files that no lexical branch
-    found get the missing branches' weight back.
+    found get the missing branches' weight back. intents (query_id, intent): queries with
+    an intent of their own, in the place of `intent` where it is not null.
     """
     weights = {b: branch_weight(b, intent, content_type) for b in order}
-    weight = F.element_at(F.create_map(*[F.lit(x) for b in order for x in (b, weights[b])]), F.col("branch"))
+    of_branch = lambda w: F.element_at(F.create_map(*[F.lit(x) for b in order for x in (b, w[b])]), F.col("branch"))
+    weight = of_branch(weights)
+    if intents is not None:
+        branches = branches.join(intents.select("query_id", F.col("intent").alias("_intent")), "query_id", "left")
+        for name in INTENT_WEIGHTS:
+            weight = F.when(F.col("_intent") == name, of_branch({b: branch_weight(b, name, content_type) for b in order})).otherwise(weight)
+    else:
+        branches = branches.withColumn("_intent", F.lit(None).cast("string"))
     position = F.element_at(F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, i)]), F.col("branch"))
     lexical = F.col("branch").contains("fts") | F.col("branch").contains("bm25")
     fused = (
@@ -86,6 +95,7 @@ def fuse(
             F.min("rank0").alias("best_rank"),
             F.min(F.struct(position.alias("branch"), F.col("rank0"), F.col("hash_seq"))).alias("seen"),
             F.max(lexical).alias("lexical"),
+            F.max("_intent").alias("_intent"),
         )
     )
     text_weight = sum(w for b, w in weights.items() if "fts" in b or "bm25" in b)
@@ -94,7 +104,15 @@ def fuse(
     if content_type in ("image", "video") and text_weight > 0 and rest > 0 and media is not None:
         fused = fused.join(_by_file(media).select("file_key", "content_type"), "file_key")
         compensated = F.col("content_type").isin("image", "video") & ~F.col("lexical")
-    factor = (text_weight + rest) / rest if rest else 1.0
+
+    def regained(w: dict[str, float]) -> float:
+        """All weights over those of branches without words."""
+        other = sum(x for b, x in w.items() if "fts" not in b and "bm25" not in b)
+        return sum(w.values()) / other if other else 1.0
+
+    factor = F.lit(regained(weights))
+    for name in INTENT_WEIGHTS if intents is not None else ():
+        factor = F.when(F.col("_intent") == name, regained({b: branch_weight(b, name, content_type) for b in order})).otherwise(factor)
     fused = fused.withColumn("compensated", compensated).withColumn("rrf", F.round(F.when(compensated, F.col("rrf") * factor).otherwise(F.col("rrf")), 12))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen", *reversed(FILE))
     ranked = fused.withColumn("rrf_rank", F.row_number().over(w)).where(F.col("rrf_rank") <= candidate_limit(limit))

@@ -38,21 +38,26 @@ def branches(
 ) -> tuple[DataFrame, list[str]]:
     """(query_id, branch, file_key, file_path, hash_seq, score, rank0) and the branch names in insertion order.
 
+    queries may have a mode of their own: vec, fts or hybrid (the default, null too).
     variants: query_id, variant (1, 2) and vector, query or both: each variant adds a
     branch original_vec_exp<variant> by its vector and original_fts_exp<variant> by its words.
     """
     exp = (1, 2) if variants is not None else ()
+    by_vector, by_terms = queries, queries
+    if "mode" in queries.columns:
+        mode = F.coalesce("mode", F.lit("hybrid"))
+        by_vector, by_terms = queries.where(mode != "fts"), queries.where(mode != "vec")
     by_words = [k for k in exp if "query" in variants.columns and "fts" in modes]
     parts, order = [], []
     if "vec" in modes:
-        parts.append(retrieval.vector_search(chunks, queries, as_of_ms=as_of_ms, limit=probe, blocks=blocks).withColumn("branch", F.lit("original_vec")))
+        parts.append(retrieval.vector_search(chunks, by_vector, as_of_ms=as_of_ms, limit=probe, blocks=blocks).withColumn("branch", F.lit("original_vec")))
         order.append("original_vec")
         for k in exp if variants is not None and "vector" in variants.columns else ():
             own = variants.where(F.col("variant") == k)
             parts.append(retrieval.vector_search(chunks, own, as_of_ms=as_of_ms, limit=probe, blocks=blocks).withColumn("branch", F.lit(f"original_vec_exp{k}")))
             order.append(f"original_vec_exp{k}")
     if "fts" in modes:
-        parts.append(retrieval.bm25(chunks, queries, as_of_ms=as_of_ms, limit=probe, posted=posted).withColumn("branch", F.lit("original_fts")))
+        parts.append(retrieval.bm25(chunks, by_terms, as_of_ms=as_of_ms, limit=probe, posted=posted).withColumn("branch", F.lit("original_fts")))
         order.append("original_fts")
         for k in by_words:
             own = variants.where(F.col("variant") == k).select("query_id", "query")
@@ -81,7 +86,7 @@ def hybrid(
     variants: DataFrame | None = None,
     **rerank_options,
 ) -> DataFrame:
-    """Results of every query (query_id, query, vector) with their provenance; rolled=False stops before the roll-up.
+    """Results of every query (query_id, query, vector, and on demand intent and mode of its own) with their provenance; rolled=False stops before the roll-up.
 
     posted: stored postings of the chunks. The hits, of which each query has
     candidate_limit at most, are broadcast to the chunks if that bound is small enough.
@@ -89,7 +94,7 @@ def hybrid(
     rows = retrieval.keyed(searchable(chunks, as_of_ms, content_type=content_type, **(scope or {})))
     found, order = branches(rows, queries, as_of_ms=as_of_ms, probe=probe, modes=modes, posted=posted, variants=variants)
     media = rows.select("file_key", "content_type").distinct() if content_type in ("image", "video") else None
-    fused = fusion.fuse(found, order, intent=intent, content_type=content_type, limit=limit, media=media)
+    fused = fusion.fuse(found, order, intent=intent, content_type=content_type, limit=limit, media=media, intents=queries.select("query_id", "intent") if "intent" in queries.columns else None)
     if queries.count() * fusion.candidate_limit(limit) * HIT_BYTES <= retrieval.MAX_BROADCAST_BYTES:
         fused = F.broadcast(fused)
     reranked = fusion.rerank(fused, rows.select(*DETAILS, *[c for c in ("collection", *NAMESPACES) if c in rows.columns]), queries, top_k=rerank_top_k, **rerank_options)

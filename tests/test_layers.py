@@ -137,3 +137,17 @@ def test_concurrent_writers_of_one_part_all_land(spark, tmp_path):
     held = {r.key: r.value for r in stores[0].table("cache").collect()}
     assert set(held) == {"k0", "k1", "k2", "both"} and stores[0].table("cache").count() == 4
     assert stores[0].version() == 3 and sum(s.published for s in stores) == 3 and sum(s.retried for s in stores) >= 1
+
+
+def test_queries_of_a_batch_have_intents_and_modes_of_their_own(spark, store):
+    found = index.of_store(store)
+    rows = found.chunks.withColumn("vector", F.array(F.length("text_body").cast("float"), F.lit(3.0).cast("float")))
+    kinds = [(0, "apple durian", None, None), (1, "apple durian", "exact_lookup", None), (2, "apple durian", "semantic", "hybrid"), (3, "apple durian", None, "fts"), (4, "apple durian", "broad", "vec")]
+    queries = spark.createDataFrame([(i, q, [1.0, 0.5], n, m) for i, q, n, m in kinds], "query_id int, query string, vector array<float>, intent string, mode string")
+    told = lambda df: sorted((r.query_id, r.collection, r.path, r.sources, round(r.rrf, 9)) for r in df.collect())
+    got = told(search.hybrid(rows, queries, as_of_ms=NOW, posted=found.postings))
+    want = []
+    for i, _, intent, mode in kinds:
+        modes = {"fts": ("fts",), "vec": ("vec",)}.get(mode, ("vec", "fts"))
+        want += told(search.hybrid(rows, queries.where(F.col("query_id") == i).drop("intent", "mode"), as_of_ms=NOW, posted=found.postings, intent=intent, modes=modes))
+    assert got == sorted(want) and len({x[4] for x in got}) > 5

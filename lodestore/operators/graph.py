@@ -47,4 +47,5 @@ def related_memories(mentions: DataFrame, seeds: DataFrame, limit: int = 20) ->
 
 
 def list_entities(mentions: DataFrame, limit: int = 100) -> DataFrame:
-    return mentions.orderBy(F.lower("name"), "path", "ord").limit(max(1, min(limit, 5000)))
+    """The first mentions by name whatever its case, then by path and place; files of one memory by exact name and key."""
+    return mentions.orderBy(F.lower("name"), "path", "ord", "name", "entity_key").limit(max(1, min(limit, 5000)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.entities import PROJECT_WORDS, STOP
 from .operators.fusion import branch_weight
 from .plans.tables import AS_OF_MS, DAY_MS
 
@@ -367,3 +368,76 @@ chunks as (
 )
 select doc_id, seq, a as pos, b - a as n_chars, sha256(substr(t, a + 1, b - a)) as chunk_hash from chunks join docs using (doc_id) where seq >= 0
 """
+
+# -- entities and their graph -------------------------------------------------
+# RE2 has no look-around and its \b is ASCII: every end of a word run is marked by two characters, of which a pattern's
+# closing boundary takes the first and its opening boundary the second; both are stripped from what is matched.
+
+_M = r"\x01\x02"
+
+
+def _run(chars: str, least: int = 1) -> str:
+    """At least `least` of the characters, with marks between and behind them."""
+    return "".join(f"[{_M}]*[{chars}]" for _ in range(least)) + f"[{chars}{_M}]*"
+
+
+def _found(pattern: str, text: str = "t") -> str:
+    """A file's matches with the stretch before each: (?s)(.*?)(pattern)."""
+    whole = f"'(?s)(.*?)({pattern})'"
+    return f"""select file_path, unnest(regexp_extract_all({text}, {whole}, 1)) as gap, unnest(regexp_extract_all({text}, {whole}, 2)) as said,
+    generate_subscripts(regexp_extract_all({text}, {whole}, 2), 1) as k from marked"""
+
+
+_BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
+_NAMED = r"A-Za-z0-9&._\-"
+_PROPER = rf"\x01[A-Z]{_run(_NAMED)}(?:[{_M}]*{_BLANK}(?:{_BLANK}|[{_M}])*[A-Z]{_run(_NAMED)}){{0,4}}\x02"
+_ACRONYM = rf"\x01[A-Z]{_run('A-Z0-9')}(?:[{_M}]*-{_run('A-Z0-9')})*\x02"
+_TICKET = rf"\x01[A-Z]{{2,10}}[{_M}]*-[{_M}]*\p{{Nd}}{{1,6}}\x02"
+_URL = rf"\x01https?[{_M}]*:[{_M}]*/[{_M}]*/[{_M}]*[^\s\x0b\p{{Z}})>\]{_M}][^\s\x0b\p{{Z}})>\]]*"
+_DOMAIN = rf"\x01(?:{_run(r'A-Za-z0-9\-')}\.)+[{_M}]*[A-Za-z]{{2,}}\x02"
+_HANDLE = rf"@{_run(r'A-Za-z0-9_.\-', 2)}"
+_PLAIN = "replace(replace({0}, chr(1), ''), chr(2), '')".format
+_EDGE = r"[.,;:!?()\[\]{}\x22''\x60]+"
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOP))
+MENTIONS = rf"""marked as (
+  select file_path, memory_id, memory_root_path as path, hash_seq || '|' || file_path as unit,
+    regexp_replace(text_body, '([\p{{L}}\p{{N}}_]+)', chr(2) || chr(1) || '\1' || chr(2) || chr(1), 'g') as t from mem where active = 1
+), matches as (
+  select 1 as kind, * from ({_found(_URL)}) union all select 2, * from ({_found(_TICKET)}) union all select 3, * from ({_found(_ACRONYM)})
+  union all select 4, * from ({_found(_PROPER)}) union all select 5, * from ({_found(_DOMAIN)})
+  union all select 6, * from ({_found(_HANDLE, "replace(t, chr(1) || '@', chr(1) || chr(5))")})
+), placed as (
+  select file_path, {_PLAIN("said")} as said, (sum(length({_PLAIN("gap || said")})) over (partition by file_path, kind order by k) - length({_PLAIN("said")}))::bigint as a from matches
+), trimmed as (select *, a + length(said) as b, regexp_replace({_compact("said")}, '^{_EDGE}|{_EDGE}$', '', 'g') as name from placed
+), keyed as (
+  select file_path, a, b, name, regexp_replace(regexp_replace(lower(regexp_replace(name, '^@', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as entity_key,
+    row_number() over (partition by file_path order by a, b desc, said) as i from trimmed
+), usable as (
+  select * from keyed where length(name) between 1 and 80 and length(entity_key) > 1 and name not in ({_STOP}) and entity_key not in ({_STOP.lower()})
+), taken as (
+  select file_path, 0::bigint as free, []::varchar[] as keys, 0 as ord, ''::varchar as name, ''::varchar as entity_key from marked
+  union all
+  select file_path, x.b, list_append(keys, x.entity_key), ord + 1, x.name, x.entity_key from (
+    select t.file_path, t.keys, t.ord, arg_min(struct_pack(b := u.b, name := u.name, entity_key := u.entity_key), u.i) as x
+    from taken t join usable u on u.file_path = t.file_path and u.a >= t.free and not list_contains(t.keys, u.entity_key)
+    where t.ord < 24 group by t.file_path, t.keys, t.ord)
+), mentions as materialized (select taken.file_path, memory_id, path, unit, ord, name, taken.entity_key from taken join marked using (file_path) where ord > 0)"""
+_PROJECT = " or ".join(f"list_contains(string_split(lower(name), ' '), '{w}')" for w in PROJECT_WORDS)
+_TYPE = rf"""case when starts_with(name, '@') then 'person' when regexp_full_match(name, '[A-Z]{{2,10}}-\p{{Nd}}{{1,6}}') then 'ticket'
+  when regexp_full_match(name, 'https?://[^\s)>\]]+|(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}') then 'url' when regexp_full_match(name, '[A-Z][A-Z0-9]+(?:-[A-Z0-9]+)*') then 'acronym'
+  when {_PROJECT} then 'project' else 'proper_noun' end"""
+_SHARED = "shared as (select * from mentions where entity_key in (select entity_key from mentions where path = 'doc/4') and memory_id not in (select memory_id from mentions where path = 'doc/4'))"
+
+
+def _graph(*stages: str, select: str) -> str:
+    return _q(MEM, MENTIONS, *stages, select=select, recursive=True)
+
+
+SQL["extract_entities"] = _graph(select=f"select file_path, ord, name, entity_key, {_TYPE} as entity_type from mentions")
+SQL["co_mentions"] = _graph(
+    """pairs as (select l.unit as hash_seq, l.entity_key as subject_key, r.entity_key as object_key, row_number() over (partition by l.unit order by l.ord, r.ord) as pair
+  from mentions l join mentions r on l.unit = r.unit and l.ord < r.ord where r.ord <= 12)""",
+    select="select sha256(hash_seq || chr(31) || subject_key || chr(31) || object_key) as id, * from pairs where pair <= 48",
+)
+SQL["related_memories"] = _graph(_SHARED, select="select memory_id, path, count(distinct entity_key) * 10 + count(*) as score from shared group by 1, 2 order by score desc, path limit 20")
+SQL["memory_entities"] = _graph(select="select name, path, ord, entity_key from mentions order by lower(name), path, ord, name, entity_key limit 100")

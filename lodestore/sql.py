@@ -412,7 +412,7 @@ MENTIONS = rf"""marked as (
 ), keyed as (
   select file_path, a, b, name, regexp_replace(regexp_replace(lower(regexp_replace(name, '^@', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as entity_key,
     row_number() over (partition by file_path order by a, b desc, said) as i from trimmed
-), usable as (
+), usable as materialized (
   select * from keyed where length(name) between 1 and 80 and length(entity_key) > 1 and name not in ({_STOP}) and entity_key not in ({_STOP.lower()})
 ), taken as (
   select file_path, 0::bigint as free, []::varchar[] as keys, 0 as ord, ''::varchar as name, ''::varchar as entity_key from marked

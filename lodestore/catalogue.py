@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .functions import identity, vectors
 from .functions import text as tx
 from .functions.chunking import chunked
-from .functions.entities import mentions
 from .operators import evaluate, filters, fusion, graph, memories, pruned, retrieval
 from .plans import index, search, store
 from .plans.tables import AS_OF_MS, memory_chunks, read, search_queries
@@ -452,30 +451,25 @@ def chunk_documents(spark, sf_dir):
     return got.select("doc_id", "seq", "pos", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_hash"))
 
 
-def _mentions(spark, sf_dir):
-    rows = memory_chunks(spark, sf_dir, vectors=False).where(filters.visible())
-    return mentions(rows.select(F.concat_ws("|", "hash_seq", "file_path").alias("hash_seq"), "memory_id", F.col("memory_root_path").alias("path"), "file_path", "text_body"))
-
-
 @query
 def extract_entities(spark, sf_dir):
-    return _mentions(spark, sf_dir).select("file_path", "ord", "name", "entity_key", "entity_type")
+    return index.mentioned(spark, sf_dir).select("file_path", "ord", "name", "entity_key", "entity_type")
 
 
 @query
 def co_mentions(spark, sf_dir):
-    return graph.co_mentions(_mentions(spark, sf_dir)).select("id", "hash_seq", "subject_key", "object_key", "pair")
+    return graph.co_mentions(index.mentioned(spark, sf_dir)).select("id", "hash_seq", "subject_key", "object_key", "pair")
 
 
 @query
 def related_memories(spark, sf_dir):
-    found = _mentions(spark, sf_dir)
+    found = index.mentioned(spark, sf_dir)
     return graph.related_memories(found, found.where("path = 'doc/4'").select("memory_id")).select("memory_id", "path", "score")
 
 
 @query
 def memory_entities(spark, sf_dir):
-    return graph.list_entities(_mentions(spark, sf_dir), 100).select("name", "path", "ord", "entity_key")
+    return graph.list_entities(index.mentioned(spark, sf_dir), 100).select("name", "path", "ord", "entity_key")
 
 
 # -- streams, expansion, evaluation ---------------------------------------------

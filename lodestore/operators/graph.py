@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import graph_id
+from .bounded import firsts
 
-MAX_ENDS, MAX_PAIRS = 12, 48
+MAX_ENDS, MAX_PAIRS, SHOWN = 12, 48, 5
 
 
 def co_mentions(mentions: DataFrame, *, key: str = "hash_seq", max_ends: int = MAX_ENDS, max_pairs: int = MAX_PAIRS) -> DataFrame:
@@ -34,16 +35,19 @@ def related_memories(mentions: DataFrame, seeds: DataFrame, limit: int = 20) ->
     """Memories that share entities with seed memories: score 10 per shared entity plus mentions.
 
     mentions: memory_id, path, file_path, entity_key, name, evidence. seeds: memory_id. Ties go to the smaller path.
+    Evidence is gathered for the memories of the result only, five places each, of which a
+    task sends five at most; mentions without a memory or a path are no result.
     """
     known = seeds.select("memory_id").distinct()
     keys = mentions.join(known, "memory_id", "left_semi").select("entity_key").distinct()
     others = mentions.join(keys, "entity_key", "left_semi").join(known, "memory_id", "left_anti")
-    scored = others.groupBy("memory_id", "path").agg(
-        (F.countDistinct("entity_key") * 10 + F.count("*")).alias("score"),
-        F.array_sort(F.collect_set("entity_key")).alias("shared_entities"),
-        F.slice(F.array_sort(F.collect_list(F.struct("file_path", "entity_key", "name", "evidence"))), 1, 5).alias("evidence"),
-    )
-    return scored.orderBy(F.desc("score"), "path").limit(max(1, min(limit, 200)))
+    scored = others.groupBy("memory_id", "path").agg((F.countDistinct("entity_key") * 10 + F.count("*")).alias("score"))
+    best = F.broadcast(scored.orderBy(F.desc("score"), "path", "memory_id").limit(max(1, min(limit, 200))))
+    theirs = others.join(best, ["memory_id", "path"])
+    shared = theirs.groupBy("memory_id", "path", "score").agg(F.array_sort(F.collect_set("entity_key")).alias("shared_entities"))
+    told = firsts(theirs.select("memory_id", "path", F.struct("file_path", "entity_key", "name", "evidence").alias("e")), ["memory_id", "path"], ["e"], SHOWN)
+    told = told.groupBy("memory_id", "path").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    return shared.join(told, ["memory_id", "path"]).orderBy(F.desc("score"), "path", "memory_id")
 
 
 def list_entities(mentions: DataFrame, limit: int = 100) -> DataFrame:

@@ -7,33 +7,47 @@ from pyspark.sql import functions as F
 
 from ..functions.generated import parent_summary
 from ..functions.text import compact, shortened
+from .bounded import firsts, firsts_different
 from .filters import is_root, visible, within
 
-SUMMARY, SUMMARY_FROM, SUMMARY_PARTS, PARENT = 320, 280, 2, 4000
+SUMMARY, SUMMARY_FROM, SUMMARY_PARTS, TAGS, PARENT = 320, 280, 2, 8, 4000
 
 
-def _ordered(value: Column) -> Column:
-    """A memory's values: the root's first, then by place."""
-    item = F.struct(
-        F.when(F.coalesce("memory_role", F.lit("child")) == "root", 0).otherwise(1).alias("r"), F.coalesce("pos", F.lit(0)).alias("p"),
-        F.coalesce("seq", F.lit(0)).alias("s"), F.col("file_path").alias("f"), value.alias("v"),
+def _spot() -> Column:
+    """A snippet's place in its memory: the root's first, then by place."""
+    return F.struct(
+        F.when(F.coalesce("memory_role", F.lit("child")) == "root", 0).otherwise(1).alias("r"), F.coalesce("pos", F.lit(0)).cast("long").alias("p"),
+        F.coalesce("seq", F.lit(0)).cast("long").alias("s"), F.col("file_path").alias("f"),
     )
-    return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"])
+
+
+def _gathered(kind: str) -> Column:
+    """A memory's items of a kind in order."""
+    item = F.when(F.col("kind") == kind, F.struct("spot", "at", "value"))
+    return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"])
+
+
+def _items(body: Column, more: list[Column]) -> list[Column]:
+    text = F.array(F.struct(F.lit("text").alias("kind"), F.lower(body).alias("key"), body.alias("value"), F.lit(0).alias("at")))
+    return [F.col("memory_id"), _spot().alias("spot"), F.inline(F.concat(text, *more))]
 
 
 def summaries(snippets: DataFrame) -> DataFrame:
-    """(memory_id, summary, tags, snippets): the first two different texts, or one of 280 characters, cut to 320.
+    """(memory_id, summary, tags, snippets): the first two different texts, or one of 280 characters, cut to 320; the first eight different tags.
 
-    Texts are cut to what a summary can show before they are gathered.
+    Texts are cut to what a summary can show. Of each memory a task sends eight texts and
+    eight tags at most, however many snippets it has; null and blank ones do not count.
     """
     body = F.substring(compact(F.col("text_body")), 1, 2 * SUMMARY)
-    rows = snippets.groupBy("memory_id").agg(_ordered(body).alias("texts"), _ordered(F.col("tags")).alias("all"), F.count("*").alias("snippets"))
-    texts = F.filter("texts", lambda t: t != "")
-    keys = F.transform(texts, F.lower)
-    first = F.filter(texts, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1)
-    chosen = F.when(F.length(first[0]) >= SUMMARY_FROM, F.slice(first, 1, 1)).otherwise(F.slice(first, 1, SUMMARY_PARTS))
-    tags = F.array_distinct(F.filter(F.transform(F.flatten(F.filter("all", lambda t: t.isNotNull())), lambda t: F.lower(F.trim(t))), lambda t: t != ""))
-    return rows.select("memory_id", shortened(F.array_join(chosen, " "), SUMMARY).alias("summary"), F.slice(tags, 1, 8).alias("tags"), "snippets")
+    none = F.array().cast("array<struct<kind:string,key:string,value:string,at:int>>")
+    tag = lambda t, i: F.struct(F.lit("tag").alias("kind"), F.lower(F.trim(t)).alias("key"), F.lower(F.trim(t)).alias("value"), (i + 1).alias("at"))
+    items = snippets.select(*_items(body, [F.coalesce(F.transform("tags", tag), none)])).where("key <> ''")
+    kept = firsts_different(items, ["memory_id", "kind"], "key", ["spot", "at", "value"], TAGS).withColumn("n", F.lit(None).cast("long"))
+    counts = snippets.groupBy("memory_id").agg(F.count("*").alias("n"))
+    rows = kept.unionByName(counts, allowMissingColumns=True).groupBy("memory_id").agg(_gathered("text").alias("texts"), _gathered("tag").alias("tags"), F.max("n").alias("snippets"))
+    first = F.col("texts")
+    chosen = F.when(F.length(F.get(first, F.lit(0))) >= SUMMARY_FROM, F.slice(first, 1, 1)).otherwise(F.slice(first, 1, SUMMARY_PARTS))
+    return rows.select("memory_id", shortened(F.array_join(chosen, " "), SUMMARY).alias("summary"), "tags", "snippets")
 
 
 def list_memories(documents: DataFrame, limit: int = 50) -> DataFrame:
@@ -58,16 +72,23 @@ def memory_view(documents: DataFrame, chunks: DataFrame, *, memory_id: str | Non
     ).where("first = 0")
     said = F.trim(F.coalesce("text_body", F.lit("")))
     text = F.struct(role.alias("role"), F.col("file_path").alias("path"), F.coalesce("seq", F.lit(0)).alias("seq"), F.substring(said, 1, shown).alias("text"))
-    told = chunks.where(visible() & within(**scope) & F.coalesce(own, F.lit(False)) & (said != "")).groupBy("collection", "memory_id").agg(F.array_sort(F.collect_list(text)).alias("all"))
+    own_texts = chunks.where(visible() & within(**scope) & F.coalesce(own, F.lit(False)) & (said != "")).select("collection", "memory_id", text.alias("text"))
+    told = firsts(own_texts, ["collection", "memory_id"], ["text"], snippets).groupBy("collection", "memory_id").agg(F.array_sort(F.collect_list("text")).alias("all"))
     joined = rows.join(told.withColumnRenamed("collection", "_c").withColumnRenamed("memory_id", "_m"), (F.col("collection") == F.col("_c")) & (F.col("memory_id") == F.col("_m")), "left")
-    kept = F.transform(F.slice(F.coalesce("all", F.array().cast("array<struct<role:int,path:string,seq:int,text:string>>")), 1, snippets), lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
+    kept = F.transform(F.coalesce("all", F.array().cast("array<struct<role:int,path:string,seq:int,text:string>>")), lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
     return joined.select("memory_id", "collection", F.col("root.path").alias("path"), F.coalesce("root.title", "root.path").alias("title"), "children", kept.alias("snippets"))
 
 
 def parent_summaries(snippets: DataFrame, title: str = "title") -> DataFrame:
-    """(memory_id, summary): what a memory's root is stored with, from its parts in order; the title if they are all blank."""
+    """(memory_id, summary): what a memory's root is stored with, from its parts in order; the title of the first if they are all blank.
+
+    Of each memory a task sends two texts and a title at most.
+    """
     body = F.substring(compact(F.col("text_body")), 1, PARENT)
-    rows = snippets.groupBy("memory_id").agg(_ordered(body).alias("texts"), _ordered(F.col(title)).alias("titles"))
+    named = F.array(F.struct(F.lit("title").alias("kind"), F.lit("-").alias("key"), F.col(title).alias("value"), F.lit(0).alias("at")))
+    items = snippets.select(*_items(body, [named])).where("key <> ''")
+    kept = firsts_different(items, ["memory_id", "kind"], "key", ["spot", "at", "value"], SUMMARY_PARTS)
+    rows = kept.groupBy("memory_id").agg(_gathered("text").alias("texts"), _gathered("title").alias("titles"))
     return rows.select("memory_id", parent_summary(F.col("texts"), F.get("titles", F.lit(0)), PARENT).alias("summary"))
 
 

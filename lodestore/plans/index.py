@@ -14,6 +14,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.entities import mentions
 from ..operators import pruned
 from ..operators.filters import live as filters_live
 from ..operators.filters import visible
@@ -27,6 +28,7 @@ SPREAD = 64
 
 _OPEN: dict[tuple[str, str], Index] = {}
 _VIEWS: dict[tuple[str, str], tuple[pruned.BlockIndex, pruned.CellIndex]] = {}
+_MENTIONED: dict[tuple[str, str], DataFrame] = {}
 
 
 @dataclass(frozen=True)
@@ -105,6 +107,18 @@ def views(spark: SparkSession, sf_dir: str) -> tuple[pruned.BlockIndex, pruned.C
     return _VIEWS[key]
 
 
+def mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity mentions of the visible memories of a folder of tables, written at the first call of an application; hash_seq tells equal texts at two paths apart."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir))
+    if key not in _MENTIONED:
+        rows = memory_chunks(spark, sf_dir, vectors=False).where(visible())
+        rows = rows.select(F.concat_ws("|", "hash_seq", "file_path").alias("hash_seq"), "memory_id", F.col("memory_root_path").alias("path"), "file_path", "text_body")
+        folder = own_folder(spark, "mentions")
+        mentions(rows).write.parquet(folder)
+        _MENTIONED[key] = spark.read.parquet(folder)
+    return _MENTIONED[key]
+
+
 SEGMENT = "term string, chunk_id string, len int, tf long"
 
 

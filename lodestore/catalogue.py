@@ -11,7 +11,7 @@ from .functions import identity, vectors
 from .functions import text as tx
 from .functions.chunking import chunked
 from .operators import evaluate, filters, fusion, graph, memories, pruned, retrieval
-from .plans import index, search, store
+from .plans import index, probes, search, store
 from .plans.tables import AS_OF_MS, memory_chunks, read, search_queries
 from .schema import NAMESPACES
 from .sources import folder
@@ -522,6 +522,20 @@ def expand_queries(spark, sf_dir):
     return search.expanded(_phrased(spark, sf_dir)).select("query_id", "variant", "query")
 
 
+@query
+def vector_cache_lru(spark, sf_dir):
+    """What a cache of half as many vectors as there are different benchmark texts holds after four rounds that ask for fifths of the table."""
+    kept = store.Store(spark, index.own_folder(spark, "cache"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    most = items.select("query").where("query is not null").distinct().count() // 2
+    embed = lambda text: F.transform(F.array(F.length(text), F.octet_length(text)), lambda n: n.cast("float"))
+    for turn, fifths in enumerate(([0, 1], [1, 2], [3], [0, 1])):
+        probes.embedded_queries(kept, items.where((F.col("query_id") % 5).isin(fifths)), embed, model="size", now_ms=AS_OF_MS + turn, most=most)
+    held = kept.table("cache").select("key", "used_at", (F.col("created_at") - AS_OF_MS).alias("made_in"))
+    texts = items.withColumn("key", probes.vector_key(F.col("query"), "size", 0)).groupBy("key").agg(F.min("query_id").alias("first_item"))
+    return held.join(texts, "key").select("first_item", "made_in", (F.col("used_at") - AS_OF_MS).alias("used_in"))
+
+
 def _judged(spark, sf_dir):
     """Vector results judged by the labels of the documents: quality plus 1 if not toxic."""
     got = retrieval.vector_search(_live(spark, sf_dir), search_queries(spark, sf_dir), as_of_ms=AS_OF_MS)

@@ -54,17 +54,24 @@ def vector_key(query: Column, model: str, index_version: int, namespace: str = "
     return F.sha2(F.to_json(parts), 256)
 
 
-def embedded_queries(store: Store, queries: DataFrame, embed: Callable[[Column], Column], *, model: str, now_ms: int, namespace: str = "") -> DataFrame:
+def embedded_queries(
+    store: Store, queries: DataFrame, embed: Callable[[Column], Column], *, model: str, now_ms: int, namespace: str = "", index_version: int = 0, most: int | None = None
+) -> DataFrame:
     """queries (query_id, query) with vector: from the store's cache, else by embed, each distinct query once; new ones enter the cache.
 
-    The key holds the model and the store's tables' version at the last write of chunks,
-    so a vector of another model or namespace is never found. Null queries have no vector.
+    The key holds model, namespace and index_version, so a vector made under another is never
+    found. Null queries have no vector. With `most`, what the call uses is stamped with
+    now_ms, and beyond `most` vectors those used longest ago leave in the same write.
     """
-    keyed = queries.withColumn("key", F.when(F.col("query").isNotNull(), vector_key(F.col("query"), model, 0, namespace)))
-    known = store.table("cache").select("key", "value")
-    missing = keyed.where("key is not null").dropDuplicates(["key"]).join(known, "key", "left_anti")
-    made = missing.select("key", F.to_json(embed(F.col("query")).cast("array<float>")).alias("value"), F.lit(now_ms).alias("created_at"))
-    if not missing.isEmpty():
+    keyed = queries.withColumn("key", F.when(F.col("query").isNotNull(), vector_key(F.col("query"), model, index_version, namespace)))
+    known = store.table("cache").select("key", "value", "created_at")
+    asked = keyed.where("key is not null").dropDuplicates(["key"])
+    missing = asked.join(known, "key", "left_anti")
+    made = missing.select("key", F.to_json(embed(F.col("query")).cast("array<float>")).alias("value"), F.lit(now_ms).cast("long").alias("created_at"))
+    if most is not None:
+        if not asked.isEmpty():
+            store.remember(made.unionByName(known.join(asked.select("key"), "key", "left_semi")), now_ms=now_ms, most=most)
+    elif not missing.isEmpty():
         store.upsert({"cache": made})
     found = keyed.join(store.table("cache").select("key", "value"), "key", "left")
     return found.select(*queries.columns, F.from_json("value", "array<float>").alias("vector"))

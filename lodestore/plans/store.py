@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..operators import filters, memories
+from ..operators.evaluate import selected
 from ..schema import TABLES, checked_name, conform
 
 KEYS = {"embeddings": ["collection", "user_id", "session_id", "project_id", "profile", "file_path", "hash_seq"], "content": ["hash"], "cache": ["key"]}
@@ -369,6 +370,32 @@ class Store:
         own = F.coalesce(F.col("memory_id") == memory_id if memory_id else F.col("memory_root_path") == F.lit(path), F.lit(False))
         return found.join(memories.summaries(rows.where(filters.visible() & own)).select("memory_id", "summary", "tags"), "memory_id", "left")
 
+    def remember(self, rows: DataFrame, *, now_ms: int, most: int) -> int:
+        """Put rows (key, value, created_at) into the cache as used now, and drop in the same version what was used longest ago beyond `most` rows.
+
+        Rows of the call itself stay even if they are more. Of rows last used at the same time
+        those whose key has the smaller SHA-256 leave first. Where to cut is found by counts
+        over partitions, so nothing is sorted whole.
+        """
+        used = F.coalesce("used_at", "created_at").cast("double")
+        tie = F.conv(F.substring(F.sha2("key", 256), 1, 13), 16, 10).cast("double")  # 52 bits: exact as a double
+
+        def make(base: dict) -> dict:
+            new = conform(rows.withColumn("used_at", F.lit(now_ms)), "cache").dropDuplicates(["key"])
+            old = self.located("cache", None, base)
+            gone, rest = self.matching(old, new, ["key"]), self.without(old, new, ["key"]).withColumns({"_used": used, "_tie": tie})
+            held = rest.count()
+            over = min(held, held + new.count() - most)
+            if over > 0:
+                (last,) = selected(rest, "_used", [over - 1])
+                earlier = rest.where(F.col("_used") < last).count()
+                (end,) = selected(rest.where(F.col("_used") == last), "_tie", [over - earlier - 1])
+                leaves = (F.col("_used") < last) | ((F.col("_used") == last) & (F.col("_tie") <= end))
+                gone = gone.unionByName(rest.where(leaves).drop("_used", "_tie"))
+            return {"tables": {"cache": new}, "touched": {"cache": []}, "gone": {"cache": gone}, "reads": {"cache": self.parts("cache", new)}}
+
+        return self._change(make)
+
     def cached(self, keys: DataFrame) -> DataFrame:
         """keys (key) with the cached value, null for those that the cache does not hold."""
         return keys.join(self.table("cache").select("key", "value"), "key", "left")

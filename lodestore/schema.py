@@ -43,7 +43,7 @@ TABLES = {
         "evidence:string " + _MEMORY + _NS + "file_path:string content_hash:string hash_seq:string seq:int created_at:long active:byte index_batch_id:string",
         "id collection subject_key subject_name object_key object_name relation_type",
     ),
-    "cache": _struct("key:string value:string created_at:long", "key value created_at"),
+    "cache": _struct("key:string value:string created_at:long used_at:long", "key value created_at"),
 }
 
 # Characters and sequences that names must not hold.

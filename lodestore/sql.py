@@ -441,3 +441,22 @@ SQL["co_mentions"] = _graph(
 )
 SQL["related_memories"] = _graph(_SHARED, select="select memory_id, path, count(distinct entity_key) * 10 + count(*) as score from shared group by 1, 2 order by score desc, path limit 20")
 SQL["memory_entities"] = _graph(select="select name, path, ord, entity_key from mentions order by lower(name), path, ord, name, entity_key limit 100")
+
+# -- a cache's rounds ---------------------------------------------------------
+
+
+def _cache_round(turn: int, fifths: str) -> str:
+    """The cache after a round: what was asked, then the last used of the rest as far as there is room."""
+    return f"""asked{turn} as (select distinct key from texts join benchmark using (text) where item_id % 5 in ({fifths})),
+rest{turn} as (select s.*, row_number() over (order by used_in desc, tie desc) as place from held{turn} s join texts using (key) where key not in (select key from asked{turn})),
+held{turn + 1} as (select key, coalesce(made_in, {turn}) as made_in, {turn} as used_in from asked{turn} left join held{turn} using (key)
+  union all select key, made_in, used_in from rest{turn} where place <= (select count(*) // 2 from texts) - (select count(*) from asked{turn}))"""
+
+
+SQL["vector_cache_lru"] = _q(
+    """texts as (select text, min(item_id) as first_item, sha256('{"data":' || to_json(text)::varchar || ',"index_version":"0","model":"size","namespace":"","type":"text"}') as key,
+  substr(sha256(sha256('{"data":' || to_json(text)::varchar || ',"index_version":"0","model":"size","namespace":"","type":"text"}')), 1, 13) as tie from benchmark where text is not null group by text)""",
+    "held0 as (select key, 0 as made_in, 0 as used_in from texts where false)",
+    *[_cache_round(turn, fifths) for turn, fifths in enumerate(("0, 1", "1, 2", "3", "0, 1"))],
+    select="select first_item, made_in, used_in from held4 join texts using (key)",
+)

@@ -3,6 +3,7 @@
 import json
 import shutil
 import zipfile
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,35 @@ def test_vectors_are_made_once(spark, engine, tmp_path):
     assert held.stats() == {"size": 2, "most": 2, "hits": 2, "misses": 3}
 
 
+def test_cache_keeps_what_was_used_last(spark, tmp_path):
+    """Rounds of lookups against a simulated cache: made vectors, eviction in order of use, ties by hash, a call larger than the cache."""
+    made = spark.sparkContext.accumulator(0)
+
+    class Model:
+        def embed_texts(self, texts):
+            made.add(len(texts))
+            return [[float(len(t))] for t in texts]
+
+    store, embed, most = Store(spark, str(tmp_path / "lru")), probes.embedder(Model()), 3
+    key = lambda q: sha256(f'{{"data":"{q}","index_version":"0","model":"m","namespace":"","type":"text"}}'.encode()).hexdigest()
+    tie = lambda q: int(sha256(key(q).encode()).hexdigest()[:13], 16)
+    held: dict[str, int] = {}
+    for now, asked in enumerate(["ab", "bc", "d", "", "bde", "abcdef", "x"]):
+        rows = spark.createDataFrame([(i, q) for i, q in enumerate([*asked, *asked[:1], None])], "query_id int, query string")
+        before = made.value
+        got = probes.embedded_queries(store, rows, embed, model="m", now_ms=now, most=most).collect()
+        assert all((r.vector is None) if r.query is None else (r.vector == [1.0]) for r in got) and len(got) == len(asked) + len(asked[:1]) + 1
+        assert made.value - before >= len(set(asked) - set(held))
+        rest = sorted(set(held) - set(asked), key=lambda q: (held[q], tie(q)), reverse=True)
+        if asked:
+            held = dict.fromkeys(asked, now) | {q: held[q] for q in rest[: max(0, most - len(asked))]}
+        assert {r.key: r.used_at for r in store.table("cache").collect()} == {key(q): t for q, t in held.items()}
+    # Rows without a stamp count from when they were made; other cached values leave by the same rule.
+    store.upsert({"cache": spark.createDataFrame([("old", "v", -5)], "key string, value string, created_at long")})
+    store.remember(spark.createDataFrame([("new", "v", 9)], "key string, value string, created_at long"), now_ms=9, most=2)
+    assert {r.key for r in store.table("cache").collect()} == {"new", key("x")}
+
+
 def test_media_probes(spark):
     rows = [(1, [1.0], "a cat", "said so"), (2, None, " ", None), (3, [1.0], "x", "x"), (4, None, "c" * 3000, None)]
     got = {r.query_id: r.query for r in search.media_probes(spark.createDataFrame(rows, "query_id int, vector array<float>, caption string, transcript string")).collect()}

@@ -570,6 +570,23 @@ def stage_metrics(spark, sf_dir):
     return got.select("stage", "content_type", "n", *_r("min_score", "max_score", "mean_score"))
 
 
+@query
+def stage_diagnostics(spark, sf_dir):
+    """Queries by the language of their id's document; what they look for are the documents of its source."""
+    rows, asked = _live(spark, sf_dir), search_queries(spark, sf_dir)
+    found, order = search.branches(rows, asked, as_of_ms=AS_OF_MS, posted=_posted(spark, sf_dir))
+    fused = fusion.fuse(found, order, media=rows.select("file_key", "content_type").distinct())
+    named = F.when(F.col("branch") == "original_vec", "vector").otherwise("bm25")
+    hits = found.select(named.alias("stage"), "query_id", F.col("file_path").alias("item"), (F.col("rank0") + 1).alias("rank"))
+    hits = hits.unionByName(fused.select(F.lit("rrf").alias("stage"), "query_id", F.col("file_path").alias("item"), F.col("rrf_rank").alias("rank")))
+    docs = memory_chunks(spark, sf_dir, vectors=False)
+    own = docs.select(F.col("doc_id").alias("query_id"), "lang", "source").join(asked.select("query_id"), "query_id")
+    targets = docs.select("source", F.col("file_path").alias("item")).join(own.select("query_id", "source"), "source")
+    categories = own.select("query_id", F.explode(F.array(F.lit("all"), F.col("lang"))).alias("category"))
+    got = evaluate.stage_diagnostics(hits, targets, categories, media=("all",), least=5)
+    return got.select("category", "queries", *_r("vector_at_5", "bm25_at_5", "rrf_at_5", "vector_at_10", "bm25_at_10", "rrf_at_10", "priority"), "best_stage", F.array_join("issues", ",").alias("issues"))
+
+
 @query
 def ingest_summary(spark, sf_dir):
     rows = memory_chunks(spark, sf_dir, vectors=False)

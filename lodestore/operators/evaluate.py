@@ -116,6 +116,46 @@ def diagnostics(per_group: DataFrame, target: float = 0.6) -> DataFrame:
     return per_group.withColumns({"issue": issue, "priority": F.round(gap + extra, 9)})
 
 
+#: Roles of stages in the order in which results pass them.
+STAGES = ["vector", "bm25", "rrf", "hybrid"]
+
+
+def stage_diagnostics(
+    hits: DataFrame, targets: DataFrame, categories: DataFrame, *, media: tuple[str, ...] = (), least: int = 10, weak: float = 0.6, delta: float = 0.05
+) -> DataFrame:
+    """Per category: queries, the share of them that each stage finds among 5 and 10, the best stage, issues and a priority.
+
+    hits: stage (one of STAGES), query_id, item, rank from 1. targets: query_id, item.
+    categories: query_id, category; a query may be in several. A stage that has no hit at all
+    is null, one without hits for a query misses it. Issues are the codes that apply: under_sampled (fewer
+    than `least` queries), embedding_gap (a weak vector stage in a media category), fusion_lift
+    or fusion_no_lift (what rrf adds to vector), rerank_regression or rerank_no_lift (what
+    hybrid adds to rrf). priority is the best stage's distance to `weak`, plus 0.15 if under
+    sampled and 0.05 for media. Repeated rows count once; nulls match nothing.
+    """
+    found = hits.where("rank <= 10").join(targets.select("query_id", "item").distinct(), ["query_id", "item"]).groupBy("query_id", "stage").agg(F.min("rank").alias("rank"))
+    ran = F.broadcast(hits.where(F.col("stage").isin(STAGES)).agg(*[F.coalesce(F.bool_or(F.col("stage") == s), F.lit(False)).alias(f"has_{s}") for s in STAGES]))
+    per = found.groupBy("query_id").agg(*[F.min(F.when(F.col("stage") == s, F.col("rank"))).alias(s) for s in STAGES])
+    asked = categories.select("query_id", "category").distinct().join(per, "query_id", "left")
+    share = lambda s, k: F.avg(F.coalesce(F.col(s) <= k, F.lit(False)).cast("double"))
+    rows = asked.groupBy("category").agg(F.count("*").alias("queries"), *[share(s, k).alias(f"{s}_at_{k}") for s in STAGES for k in (5, 10)])
+    rows = rows.crossJoin(ran)  # one row
+    rows = rows.withColumns({f"{s}_at_{k}": F.when(F.col(f"has_{s}"), F.col(f"{s}_at_{k}")) for s in STAGES for k in (5, 10)})
+    best = F.coalesce(F.greatest(*[f"{s}_at_5" for s in STAGES]), F.lit(0.0))
+    rows = rows.withColumn("best", best).withColumn("best_stage", F.coalesce(*[F.when(F.col(f"{s}_at_5") == F.col("best"), s) for s in STAGES]))
+    gained = lambda a, b, k: F.round(F.col(f"{a}_at_{k}") - F.col(f"{b}_at_{k}"), 9)
+    visual, poor, few = F.col("category").isin(list(media)), F.col("best") < weak, F.col("queries") < least
+    lift = (gained("rrf", "vector", 5) >= delta) | (gained("rrf", "vector", 10) >= delta)
+    turned = gained("hybrid", "rrf", 5)
+    fits = {
+        "under_sampled": few, "embedding_gap": visual & (F.col("vector_at_5") < weak), "fusion_lift": lift, "fusion_no_lift": ~lift & visual & poor,
+        "rerank_regression": turned <= -delta, "rerank_no_lift": poor & (F.abs(turned) < delta),
+    }
+    issues = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fits.items()]))
+    priority = F.greatest(F.lit(0.0), weak - F.col("best")) + F.when(few, 0.15).otherwise(0.0) + F.when(visual, 0.05).otherwise(0.0)
+    return rows.withColumns({"issues": issues, "priority": F.round(priority, 9)}).drop("best", *[f"has_{s}" for s in STAGES])
+
+
 def query_categories(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """(query_id, category): a query counts in every category that fits.
 

@@ -460,3 +460,20 @@ SQL["vector_cache_lru"] = _q(
     *[_cache_round(turn, fifths) for turn, fifths in enumerate(("0, 1", "1, 2", "3", "0, 1"))],
     select="select first_item, made_in, used_in from held4 join texts using (key)",
 )
+
+_SHARES = ", ".join(f"avg(coalesce({s} <= {k}, false)::int) as {s}_at_{k}" for s in ("vector", "bm25", "rrf") for k in (5, 10))
+SQL["stage_diagnostics"] = _q(
+    MEM, LIVE, QS, vec(), bm25(), fused(["original_vec", "original_fts"]),
+    """hits as (select 'vector' as stage, query_id, file_path, rank0 + 1 as rank from vec union all select 'bm25', query_id, file_path, rank0 + 1 from fts union all select 'rrf', query_id, file_path, rrf_rank from fused),
+own as (select doc_id as query_id, lang, source from documents where doc_id in (select query_id from qs)),
+met as (select h.query_id, min(rank) filter (stage = 'vector') as vector, min(rank) filter (stage = 'bm25') as bm25, min(rank) filter (stage = 'rrf') as rrf
+  from hits h join own using (query_id) join mem m on m.file_path = h.file_path and m.source = own.source group by 1),
+grouped as (select query_id, unnest(list_distinct(['all', lang])) as category from own)""",
+    f"shares as (select category, count(*) as queries, {_SHARES} from grouped left join met using (query_id) group by 1)",
+    "judged as (select *, greatest(vector_at_5, bm25_at_5, rrf_at_5) as best, round(rrf_at_5 - vector_at_5, 9) >= 0.05 or round(rrf_at_10 - vector_at_10, 9) >= 0.05 as lift from shares)",
+    select="""select category, queries, round(vector_at_5, 6) as vector_at_5, round(bm25_at_5, 6) as bm25_at_5, round(rrf_at_5, 6) as rrf_at_5, round(vector_at_10, 6) as vector_at_10, round(bm25_at_10, 6) as bm25_at_10,
+  round(rrf_at_10, 6) as rrf_at_10, round(greatest(0, 0.6 - best) + case when queries < 5 then 0.15 else 0 end + case when category = 'all' then 0.05 else 0 end, 6) as priority,
+  case best when vector_at_5 then 'vector' when bm25_at_5 then 'bm25' else 'rrf' end as best_stage,
+  array_to_string(list_filter([case when queries < 5 then 'under_sampled' end, case when category = 'all' and vector_at_5 < 0.6 then 'embedding_gap' end, case when lift then 'fusion_lift' end,
+    case when not lift and category = 'all' and best < 0.6 then 'fusion_no_lift' end], lambda x: x is not null), ',') as issues from judged""",
+)

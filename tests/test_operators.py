@@ -130,6 +130,24 @@ def test_diagnostics(spark):
     assert df.select(F.lit(1)).count() == 2
 
 
+def test_stage_diagnostics(spark):
+    """Stages that gain and lose, a category of one query, repeated rows, a query without hits, a stage that did not run, an empty table."""
+    hits = [("vector", q, f"i{q}", 1 if q < 4 else 7) for q in range(10)] + [("rrf", q, f"i{q}", 1 if q < 8 else 7) for q in range(10)] + [("hybrid", q, f"i{q}", 1 if q < 5 else 11) for q in range(10)]
+    hits += [*hits[:5], ("rrf", 0, None, 1), ("other", 0, "i0", 1)]
+    df = spark.createDataFrame(hits, "stage string, query_id int, item string, rank int")
+    targets = spark.createDataFrame([(q, f"i{q}") for q in range(11)] * 2 + [(0, None)], "query_id int, item string")
+    categories = spark.createDataFrame([(q, "all") for q in range(10)] + [(0, "one"), (0, "one"), (10, "none")], "query_id int, category string")
+    got = {r.category: r for r in evaluate.stage_diagnostics(df, targets, categories, media=("all", "none")).collect()}
+    whole = got["all"]
+    assert (whole.queries, whole.vector_at_5, whole.vector_at_10, whole.rrf_at_5, whole.hybrid_at_5, whole.bm25_at_5) == (10, 0.4, 1.0, 0.8, 0.5, None)
+    assert whole.issues == ["embedding_gap", "fusion_lift", "rerank_regression"] and whole.best_stage == "rrf" and whole.priority == 0.05
+    assert got["one"].issues == ["under_sampled"] and got["one"].best_stage == "vector" and got["one"].priority == 0.15
+    assert got["none"].issues == ["under_sampled", "embedding_gap", "fusion_no_lift", "rerank_no_lift"] and got["none"].priority == 0.8
+    empty = evaluate.stage_diagnostics(df.limit(0), targets, categories).collect()
+    assert all(r.vector_at_5 is None and r.best_stage is None for r in empty) and len(empty) == 3
+    assert evaluate.stage_diagnostics(df, targets, categories.limit(0)).count() == 0
+
+
 def test_graph_equals_plain_python(spark):
     """Co-mentions, related memories and listed entities of many mentions against loops."""
     import random

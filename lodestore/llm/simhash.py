@@ -15,11 +15,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BITS, batches_of, cut, discard, drops_shuffles, packed, trimmed, unpacked
-from .components import connected_components
+from .components import FEW, connected_components, snug
 
 WIDTH = 3
 SEED = 42
@@ -188,6 +188,23 @@ def rarest(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.nda
     return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
+def members(*of) -> Column:
+    """Half of a name for the set of a key's classes: the hashes of its members, in any order. The last argument is the window of the key."""
+    *columns, own = of
+    return F.bit_xor(F.xxhash64(*columns)).over(own)
+
+
+def firsts(met: DataFrame) -> DataFrame:
+    """(key) one for all keys of the same classes, of met (key, at, s, t, least): the first one in the order of all sets.
+
+    Keys of the same classes lead to the same pairs, and no two of those meet before the
+    first one; so near copies, which share most of their prefixes, meet once and not once
+    per shingle. s and t name the set of a key's classes, least marks its smallest one,
+    whose place tells the order.
+    """
+    return met.where("least").groupBy("s", "t").agg(F.min(F.struct("at", "key")).alias("f")).select("f.key")
+
+
 @drops_shuffles
 def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SEGMENTS, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of all rows of docs (doc_id, text) by verified links; rows with a null doc_id are left out.
@@ -199,10 +216,11 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SE
 
     1. Multi-index hashing over SimHash fingerprints of the shingle sets: every class is
        compared with the smallest one of its group of fingerprints within `distance` bits.
-    2. No link is missed: similar sets share a shingle of their prefixes (rarest). Within
-       the classes of a shingle that are still in different components, stars around a
-       leader are compared in rounds; then all such pairs that are left. Rarity is
-       estimated by bucket, which only decides how many pairs are looked at.
+    2. No link is missed: similar sets share a shingle of their prefixes (rarest). Of the
+       shingles that the same classes share one is kept (firsts). Within the classes of a
+       shingle that are still in different components, stars around a leader are compared
+       in rounds; then all such pairs that are left. Rarity is estimated by bucket, which
+       only decides how many pairs are looked at.
 
     Pairs whose lengths, places or parities rule out the similarity are dropped inside the
     join that finds them; sets are read only of classes in one of the others. Pairs, keys and
@@ -228,8 +246,9 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SE
     rows = cut(docs.mapInArrow(prints, f"doc_id {kind}, key binary, fp long, " + ", ".join(f"{p} long" for p in odd)))
     classes = cut(rows.groupBy("key", "fp", *odd).agg(F.min("doc_id").alias("node")))
     rows = rows.select("doc_id", "key")
-    several = cut(rows.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"))
-    alone = several.isEmpty()
+    repeated = cut(rows.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("key").alias("x"), F.max("key").alias("y")).where("c > 1"))
+    several = repeated.where("x <> y").select("doc_id")
+    once, alone = repeated.isEmpty(), several.isEmpty()
     bits = min(max(classes.count().bit_length() + MORE_BITS, MIN_BITS), MAX_BITS)
     held = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, bits, words))
 
@@ -250,29 +269,34 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SE
             size = np.repeat(np.array(list(map(len, every)), np.int64), lens)
             yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(np.repeat(np.arange(len(lens)), lens))), pa.array(size << 32 | at)], ["key", "node", "place"])
 
+    def unique(df: DataFrame, name: str) -> DataFrame:
+        """One row per doc_id; as it is where none is repeated, so that texts enter no exchange."""
+        return df if once else df.dropDuplicates([name])
+
     def shingles(nodes: DataFrame) -> DataFrame:
         """(node, set) of nodes (node), read from their texts."""
         wanted = nodes.select(F.col("node").alias("doc_id"))
-        if (n := wanted.count()) <= MAX_SENT:
+        if (n := wanted.coalesce(16).count()) <= MAX_SENT:
             wanted = F.broadcast(wanted)
         texts = docs.join(wanted, "doc_id", "left_semi").where(F.lit(n) > 0)
         if alone:
-            return texts.mapInArrow(sets, f"node {kind}, set array<long>").dropDuplicates(["node"])
+            return unique(texts, "doc_id").mapInArrow(sets, f"node {kind}, set array<long>")
         single = texts.join(several, "doc_id", "left_anti").mapInArrow(sets, f"node {kind}, set array<long>").dropDuplicates(["node"])
         joint = texts.join(several, "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, set array<long>")
         return single.unionByName(joint.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The distinct pairs (a, b) that are similar."""
-        pairs = cut(pairs.distinct())
+        kept = cut(pairs.distinct())
+        pairs, n = snug(kept)
         found = cut(shingles(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         left, right = (found.select(F.col("node").alias(n), F.col("set").alias(f"set{n}")) for n in "ab")
         common = F.size(F.array_intersect("seta", "setb"))
-        near = pairs.join(left, "a").join(right, "b").where(common >= F.lit(similarity) * (F.size("seta") + F.size("setb") - common))
+        near = left.join(F.broadcast(pairs) if n <= FEW else pairs, "a").join(right, "b").where(common >= F.lit(similarity) * (F.size("seta") + F.size("setb") - common))
         near = cut(near.select("a", "b"))
-        discard(pairs)
+        discard(kept)
         discard(found)
-        return near
+        return snug(near)[0]
 
     # Candidates by fingerprint: every class meets the smallest class of its group of linked fingerprints.
     prints_ = cut(classes.groupBy("fp").agg(F.min("node").alias("first")))
@@ -284,17 +308,18 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SE
     root = connected_components(links)
 
     # What the fingerprints miss: sets that share a shingle of their prefixes.
-    nodes = classes.select(F.col("node").alias("doc_id")).distinct()
-    if alone:
-        every = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, f"node {kind}, set array<long>")
-    else:
-        every = shingles(nodes.withColumnRenamed("doc_id", "node"))
+    every = shingles(classes.select("node").distinct())
     keys = every.mapInArrow(prefixes, f"key long, node {kind}, place long")
     own = Window.partitionBy("key")
-    met = keys.withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own)}).where("x <> y")
-    shared = met.select("key", "node", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
-    single = classes.join(several, classes["node"] == several["doc_id"], "left_anti").groupBy("node").agg(*[F.first(p).alias(p) for p in odd])
-    shared = cut(shared.join(single, "node", "left"))  # a doc_id with several texts has no parity of its own
+    met = keys.withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own), "s": members("node", own), "t": members(F.lit(1), "node", own)}).where("x <> y")
+    met = cut(met.select("key", "node", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("at"), "s", "t", F.expr("node = x").alias("least")))
+    shared = met.join(firsts(met), "key", "left_semi").drop("s", "t", "least")
+    single = classes.select("node", *odd)
+    if not alone:
+        single = single.join(several, single["node"] == several["doc_id"], "left_anti").groupBy("node").agg(*[F.first(p).alias(p) for p in odd])
+    # A doc_id with several texts has no parity of its own. Dealt by key once: what follows per key needs no exchange.
+    shared = cut(shared.join(single, "node", "left").repartition("key"))
+    discard(met)
 
     def able(x: str, y: str):
         """Whether two sets that meet first at these places of their orders can be similar, by length, by what is left and by parity."""
@@ -306,8 +331,10 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SE
 
     ordered = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     for turn in range(TURNS + 1):
-        now = shared.join(root.select("node", F.col("component").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
-        now = cut(now)
+        known, n = root.select("node", F.col("component").alias("r")), root.coalesce(16).count()
+        now = shared.join(F.broadcast(known) if n <= MAX_SENT // 8 else known, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        if n > MAX_SENT // 8:
+            now = cut(now.repartition("key"))
         parts = now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
         left, size = parts.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.sum("c")).first()
         if not left:
@@ -317,9 +344,10 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, segments: int = SE
             root = connected_components(links.unionByName(linked(rest.select(*ordered))))
             break
         lead = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "at", "root", *odd), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("l")).select("key", "l.*")
-        links = cut(links.unionByName(linked(now.alias("x").join(lead.alias("y"), "key").where(able("x", "y")).select(*ordered))))
+        links = links.unionByName(linked(now.alias("x").join(lead.alias("y"), "key").where(able("x", "y")).select(*ordered)))
         root = connected_components(links)
-        discard(now)
+        if n > MAX_SENT // 8:
+            discard(now)
     discard(shared)
     root = root.withColumnRenamed("node", "n")
     named = classes.join(root, classes["node"] == root["n"], "left").select("key", F.coalesce("component", "node").alias("component_id"))

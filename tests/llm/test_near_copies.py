@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from lodestore.llm import simhash
+from lodestore.llm import components, simhash
 
 from .cases import documents
 
@@ -90,3 +90,36 @@ def test_word_shingles():
     assert len(simhash.word_shingles("a b c")) == 1 and len(simhash.word_shingles("a a a a a a a")) == 1
     one, two = simhash.word_shingles("a b c d e f"), simhash.word_shingles("B C D E F")
     assert len(one) == 2 and len(two) == 1 and two[0] in one and simhash.word_shingles("b a")[0] != simhash.word_shingles("a b")[0]
+
+
+def test_near_copies_meet_once(spark, monkeypatch):
+    """Copies that share many rare shingles are met once each, and not once per shingle."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(6):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        for place in range(4):
+            own = list(base)
+            own[place * 90 : place * 90 + 14] = [f"v{r.randrange(10**6)}" for _ in range(14)]
+            rows.append((len(rows), " ".join(own)))
+    tables, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: tables.append((df.columns, df.count())) or cut(df))
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.component_id) for x in got.collect()) == brute(rows)
+    met = [n for columns, n in tables if {"key", "at", "p0"} <= set(columns)]
+    assert met and max(met) <= 6 * (6 * 2 + 4 * 3 + 4)  # per family at most one key for each set of two or more of its four
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """Few edges are united in one step, with the components that rounds find."""
+    r = random.Random(4)
+    rows = [(r.randrange(120), r.randrange(120)) for _ in range(90)] + [(1, 1), (None, 2), (3, None), (500, -7), (-7, 500)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    checks, settled = [], components._settled
+    monkeypatch.setattr(components, "_settled", lambda df: checks.append(1) or settled(df))
+    few = sorted(map(tuple, components.connected_components(edges).collect()))
+    assert not checks
+    monkeypatch.setattr(components, "FEW", 1)
+    rounds = sorted(map(tuple, components.connected_components(edges).collect()))
+    assert checks and few == rounds and (500, -7) in few and len(few) == len({n for n, _ in few})
+    assert components.connected_components(edges.limit(0)).count() == 0

@@ -118,7 +118,9 @@ def write_cells(spark: SparkSession, chunks: DataFrame, folder: str, *, as_of_ms
     are the rows of the smallest hashes. A vector goes to the nearest pivot; zero vectors,
     which have no angles, have a cell of their own.
     """
-    rows = retrieval.keyed(chunks).where("vector is not null").select(*CHUNK, "vector", policy(as_of_ms).alias("boost"))
+    # Written once: pivots, the range of cells and the cells themselves are then found without reading the chunks again.
+    retrieval.keyed(chunks).where("vector is not null").select(*CHUNK, "vector", policy(as_of_ms).alias("boost")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
     usable = F.exists("vector", lambda x: x != 0)
     total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     most = max(1, min(isqrt(total), MAX_BROADCAST_BYTES // (8 * width)))
@@ -142,6 +144,8 @@ def write_cells(spark: SparkSession, chunks: DataFrame, folder: str, *, as_of_ms
     celled = rows.mapInArrow(run, f"file_key string, file_path string, hash_seq string, vector {kind}, boost double, cell int, angle double")
     celled.repartitionByRange("cell", "file_key", "hash_seq").sortWithinPartitions("cell").write.parquet(f"{folder}/cells")
     kept = spark.read.parquet(f"{folder}/cells")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     radius, boost, size = np.zeros(len(pivots) + 1), np.zeros(len(pivots) + 1), np.zeros(len(pivots) + 1, np.int64)
     for r in kept.groupBy("cell").agg(F.max("angle").alias("a"), F.max("boost").alias("b"), F.count("*").alias("n")).collect():  # a row per pivot
         radius[r.cell], boost[r.cell], size[r.cell] = r.a, r.b, r.n

@@ -8,12 +8,15 @@ too. Then all others whose bound reaches the threshold are scored, and none of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +25,10 @@ from . import retrieval
 from .filters import policy
 from .retrieval import CHUNK, DIGITS, MAX_BROADCAST_BYTES
 
-#: Chunks whose postings of one term are one block, about.
+#: Chunks of one block.
 BLOCK_CHUNKS = 128
-#: Chunks of a zone have lengths within this factor, so that a block's bound is near its scores.
-ZONE = 1.3
+#: A task sorts so many chunks, or chunks of so many postings, by length before it cuts them into blocks, so that a block's bounds are near its scores.
+HELD_CHUNKS, HELD_POSTINGS = 1 << 14, 1 << 21
 #: What rounding may add to a score above its bound.
 SLACK = 1e-6
 K1, B = 1.5, 0.75
@@ -33,43 +36,115 @@ K1, B = 1.5, 0.75
 
 def _term_score() -> Column:
     """A posting's share of a score, without policy and the times that the query has the word; from n, df, avgdl, tf and len."""
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
+    return _idf() * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
 
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """postings: term, block, chunk_id, keys, len, tf, boost. blocks: term, block, size and top, the highest score of a posting. terms: term, df. n, avgdl: of the view."""
+    """postings: a row per term and block with size, top (the highest share of a posting, without idf, times its policy) and per posting the arrays at, tf and len.
+
+    chunks: block, at, keys and boost. terms: term, df. n, avgdl, boost: chunks of the view, their mean length and highest policy.
+    """
 
     postings: DataFrame
-    blocks: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     n: int
     avgdl: float
+    boost: float
 
     def numbers(self, df: DataFrame) -> DataFrame:
         return df.withColumns({"n": F.lit(self.n), "avgdl": F.lit(self.avgdl)})
 
 
-def write_blocks(spark: SparkSession, chunks: DataFrame, posted: DataFrame, folder: str, *, as_of_ms: int, block_chunks: int = BLOCK_CHUNKS) -> BlockIndex:
-    """Postings (term, chunk_id, len, tf) of the given chunks with bounds, written under a folder.
-
-    A zone holds chunks of like lengths and is dealt to blocks by hash; a block of a term
-    is what the term has among a block's chunks.
+_PART = "part string, term string, block long, size int, top double, at array<int>, tf array<int>, len array<int>, place int, file_key string, file_path string, hash_seq string, boost double"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about so many bytes."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def _blocks(held: list[pa.RecordBatch], first: int, most: int, avgdl: float) -> Iterator[pa.RecordBatch]:
+    """Rows (_PART) of chunks (keys, boost, len, lists of term and tf), sorted by length and cut into blocks of `most` from number `first`: their postings, then the chunks."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    rows = rows.take(pc.sort_indices(rows["len"])).combine_chunks()
+    count = rows.num_rows
+    lists = rows["_x"].combine_chunks()
+    said = pc.list_flatten(lists)
+    row = np.repeat(np.arange(count), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    names = pc.struct_field(said, "term").dictionary_encode()
+    tf = pc.struct_field(said, "tf").to_numpy(zero_copy_only=False).astype(np.int64)
+    length, boost = (rows[c].to_numpy().astype(kind) for c, kind in (("len", np.int64), ("boost", np.float64)))
+    schema = pa.schema([("part", pa.string()), ("term", pa.string()), ("block", pa.int64()), ("size", pa.int32()), ("top", pa.float64()), *[(c, pa.list_(pa.int32())) for c in ("at", "tf", "len")], ("place", pa.int32()), *[(c, pa.string()) for c in CHUNK], ("boost", pa.float64())])
+
+    def told(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    if len(row):
+        key = (row // most) * len(names.dictionary) + names.indices.to_numpy().astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key, row, tf = key[order], row[order], tf[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / avgdl)) * boost[row]
+        edges = pa.array(np.append(start, len(key)).astype(np.int32))
+        block, term = np.divmod(key[start], len(names.dictionary))
+        per = {c: pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for c, x in (("at", row % most), ("tf", tf), ("len", length[row]))}
+        n = len(start)
+        yield told(n, part=pa.repeat("postings", n), term=names.dictionary.take(pa.array(term)), block=pa.array(first + block), size=pa.array(np.diff(np.append(start, len(key))).astype(np.int32)), top=pa.array(np.maximum.reduceat(share, start)), **per)
+    place = np.arange(count)
+    yield told(count, part=pa.repeat("chunks", count), block=pa.array(first + place // most), place=pa.array((place % most).astype(np.int32)), boost=pa.array(boost), **{c: rows[c].combine_chunks() for c in CHUNK})
+
+
+def write_blocks(spark: SparkSession, chunks: DataFrame, posted: DataFrame | None, folder: str, *, as_of_ms: int, block_chunks: int = BLOCK_CHUNKS) -> BlockIndex:
+    """Postings of the given chunks by term and block, with bounds, written under a folder.
+
+    posted: stored postings (term, chunk_id, tf) of a table that holds the chunks. Without,
+    words are counted by the task that reads the texts. That task makes the blocks too: it
+    sorts chunks by length and cuts them, so that no posting enters an exchange.
     """
-    own = retrieval.keyed(chunks).withColumn("_len", retrieval.length_of(chunks)).select("chunk_id", *CHUNK, policy(as_of_ms).alias("boost"), F.floor(F.log(F.col("_len") + 1.0) / F.log(F.lit(ZONE))).cast("int").alias("_zone"), "_len")
-    stats = own.agg(F.count("*").alias("n"), F.coalesce(F.avg("_len"), F.lit(1.0)).alias("avgdl")).first()
-    zones = own.groupBy("_zone").agg(F.ceil(F.count("*") / F.lit(block_chunks)).alias("_blocks"))  # a row per factor of ZONE in length
-    own = own.join(F.broadcast(zones), "_zone").withColumn("block", F.col("_zone").cast("long") * (1 << 32) + F.pmod(F.xxhash64("chunk_id"), F.col("_blocks")))
-    rows = posted.select("term", "chunk_id", "len", "tf").join(own.drop("_zone", "_blocks", "_len"), "chunk_id")
-    rows.repartition("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
-    terms = spark.read.parquet(f"{folder}/terms")
-    index = BlockIndex(postings, postings, terms, stats.n, float(stats.avgdl))
-    scored = index.numbers(postings.join(terms, "term")).withColumn("_s", _term_score() * F.col("boost"))
-    scored.groupBy("term", "block").agg(F.max("_s").alias("top"), F.count("*").alias("size")).sortWithinPartitions("term").write.parquet(f"{folder}/blocks")
-    return BlockIndex(postings, spark.read.parquet(f"{folder}/blocks"), terms, stats.n, float(stats.avgdl))
+    own = retrieval.keyed(chunks).withColumn("len", retrieval.length_of(chunks)).withColumn("boost", policy(as_of_ms))
+    stats = own.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl"), F.coalesce(F.max("boost"), F.lit(1.0)).alias("boost")).first()
+    keys = ["chunk_id", *CHUNK, "len", "boost"]
+    if posted is None and not retrieval.repeated(own):
+        rows = own.select(*keys, words(F.col("text_body")).alias("_x"))
+    elif posted is None:
+        said = retrieval.postings(chunks, apart=False, boost=policy(as_of_ms))
+        rows = said.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("_x"))
+    else:
+        per = posted.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("_x"))
+        rows = per.join(own.select(*keys), "chunk_id")
+    avgdl = float(stats.avgdl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chunks, postings = [], 0, 0
+        first = TaskContext.get().partitionId() << 32
+        for b in _cut(batches):
+            said = b.column("_x")
+            if pa.types.is_string(said.type.value_type):
+                b = b.set_column(b.schema.get_field_index("_x"), "_x", retrieval._counts(said))
+            held.append(b)
+            chunks, postings = chunks + b.num_rows, postings + len(pc.list_flatten(b.column("_x")))
+            if chunks >= HELD_CHUNKS or postings >= HELD_POSTINGS:
+                yield from _blocks(held, first, block_chunks, avgdl)
+                first, held, chunks, postings = first + -(-chunks // block_chunks), [], 0, 0
+        if chunks:
+            yield from _blocks(held, first, block_chunks, avgdl)
+
+    made = rows.select(*CHUNK, "boost", F.col("len").cast("int").alias("len"), "_x").mapInArrow(run, _PART)
+    made.sortWithinPartitions("part", "term").write.partitionBy("part").option("compression", "zstd").parquet(f"{folder}/index")
+    every = spark.read.schema(_PART).parquet(f"{folder}/index")
+    postings = every.where("part = 'postings'").select("term", "block", "size", "top", "at", "tf", "len")
+    postings.groupBy("term").agg(F.sum("size").alias("df")).write.parquet(f"{folder}/terms")
+    kept = every.where("part = 'chunks'").select("block", F.col("place").alias("at"), *CHUNK, "boost")
+    return BlockIndex(postings, kept, spark.read.parquet(f"{folder}/terms"), stats.n, avgdl, float(stats.boost))
 
 
 def bm25_pruned(index: BlockIndex, queries: DataFrame, *, limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -77,27 +152,33 @@ def bm25_pruned(index: BlockIndex, queries: DataFrame, *, limit: int = 20) -> tu
 
     A block of chunks can reach the sum of its terms' highest scores. Per query the
     blocks of the highest sums, `limit` of them, give the threshold: the score of the
-    last of `limit` files found there, or none if there are fewer.
+    last of `limit` files found there, or none if there are fewer. Postings travel as
+    a row per query, term and block, and of what is scored only chunks that can reach
+    the threshold meet their keys.
     """
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     small = F.broadcast if retrieval.measured(asked)[1] <= MAX_BROADCAST_BYTES else lambda df: df
     asked = index.numbers(small(asked).join(index.terms, "term")).select("query_id", "term", "qn", "df", "n", "avgdl")
-    bounds = index.blocks.join(small(asked), "term").groupBy("query_id", "block").agg(F.sum(F.col("qn") * F.col("top")).alias("bound"), F.sum("size").alias("size"))
+    sums = index.postings.select("term", "block", "size", "top").join(small(asked), "term").groupBy("query_id", "block")
+    bounds = sums.agg(F.sum(F.col("qn") * _idf() * F.col("top")).alias("bound"), F.sum("size").alias("size"))
     first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    seeds = bounds.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).select("query_id", "block")
+    seeds = bounds.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).select("query_id", "block", F.lit(None).cast("double").alias("floor"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        sought = asked.join(pairs, "query_id")
-        parts = index.postings.join(sought, ["term", "block"])
-        keys = ["query_id", "chunk_id", *CHUNK, "boost"]
-        summed = parts.groupBy(*keys).agg(F.round(F.sum(F.col("qn") * _term_score()), DIGITS).alias("raw"))
-        return retrieval.best_per_file(summed.where("raw > 0").select("query_id", *CHUNK, F.round(F.col("raw") * F.col("boost"), DIGITS).alias("score")))
+        parts = index.postings.select("term", "block", "at", "tf", "len").join(small(asked), "term").join(pairs, ["query_id", "block"])
+        # Exchanged by block while postings are arrays; the sums per chunk need no exchange then.
+        posts = parts.repartition("query_id", "block").select("query_id", "block", "qn", "df", "n", "avgdl", "floor", F.explode(F.arrays_zip("at", "tf", "len")).alias("_p"))
+        posts = posts.select("query_id", "block", "qn", "df", "n", "avgdl", "floor", "_p.*")
+        summed = posts.groupBy("query_id", "block", "at").agg(F.round(F.sum(F.col("qn") * _term_score()), DIGITS).alias("raw"), F.max("floor").alias("floor")).where("raw > 0")
+        summed = summed.where(F.col("floor").isNull() | (F.col("raw") * index.boost + SLACK >= F.col("floor")))
+        found = summed.join(index.chunks, ["block", "at"]).withColumn("score", F.round(F.col("raw") * F.col("boost"), DIGITS))
+        return retrieval.best_per_file(found.where(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).select("query_id", *CHUNK, "score"))
 
     reached = scored(seeds).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "file_key"))).where(F.col("_n") == limit)
     floors = reached.select("query_id", F.col("score").alias("floor"))  # a row per query
     wanted = bounds.join(floors, "query_id", "left").withColumn("open", F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")))
     counts = wanted.groupBy("query_id").agg(F.sum("size").alias("postings"), F.sum(F.when(F.col("open"), F.col("size")).otherwise(0)).alias("scored"))
-    return retrieval.top_ranked(scored(wanted.where("open").select("query_id", "block")), limit), counts
+    return retrieval.top_ranked(scored(wanted.where("open").select("query_id", "block", "floor")), limit), counts
 
 
 @dataclass(frozen=True)
